@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +33,20 @@ class Encoder:
     """Token ids of texts, by white-space-separated words.
 
     The vocabulary's normaliser and pre-tokeniser never join text across white space, so a text's ids are its words' ids in a
-    row. Words seen before are looked up; `most` bounds the memory kept for that, not the words.
+    row, and ASCII capitals may be lowered first where it lowers them itself. Words seen before are looked up; new ones are
+    encoded in long strings, with a mark between them. `most` bounds the memory kept for words, not the words.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    MARK = "\x01"
+
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
         self.most = most
+        ids = lambda x: self.of.encode(x, add_special_tokens=False).ids
+        self.mark = m[0] if len(m := ids(self.MARK)) == 1 and ids(f"a {self.MARK} a") == [*ids("a"), *m, *ids("a")] else None
+        self.lowers = ids("AbC dEF") == ids("abc def")
         self.clear()
 
     def clear(self) -> None:
@@ -46,32 +54,52 @@ class Encoder:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin, self.size, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
+    def encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words in a row, and how many each has."""
+        if self.mark is None or any(self.MARK in w for w in new):
+            ids = [x.ids for x in self.of.encode_batch(new, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+        some, sizes = [], []
+        for i in range(0, len(new), 2000):
+            own = new[i : i + 2000]
+            ids = np.array(self.of.encode(f" {self.MARK} ".join(own) + f" {self.MARK}", add_special_tokens=False).ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark)
+            some.append(np.delete(ids, marks))
+            sizes.append(np.diff(marks, prepend=-1) - 1)
+        return np.concatenate(some), np.concatenate(sizes)
+
     def learn(self, new: list[str]) -> None:
-        ids = [x.ids for x in self.of.encode_batch(new, add_special_tokens=False)]
-        n, total = len(self.known), sum(map(len, ids))
-        while self.used + total > len(self.flat):
+        ids, sizes = self.encoded(new)
+        n = len(self.known)
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while n + len(new) > len(self.begin):
             self.begin, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.size))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.begin[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(new)] = sizes
-        self.flat[self.used : self.used + total] = np.fromiter((y for x in ids for y in x), np.uint32, total)
-        self.used += total
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
         self.known.update(zip(new, range(n, n + len(new)), strict=True))
 
+    def words(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # these split words in Python but not in the vocabulary's pattern
+            return [text]
+        if self.lowers and "<|" not in text:
+            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        return text.split()
+
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """An array of ids for each text; null as empty."""
-        # \x1c to \x1f split words in Python but not in the vocabulary's pattern
-        split = [[] if not t else [t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        split = [self.words(t) for t in texts]
+        every = list(chain.from_iterable(split))
         if len(self.known) > self.most:
             self.clear()
-        new = list({w for ws in split for w in ws if w not in self.known})
-        if new:
+        if new := list(set(every).difference(self.known)):
             self.learn(new)
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        get = self.known.__getitem__
-        which = np.fromiter((get(w) for ws in split for w in ws), np.int64, int(counts.sum()))
+        which = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
         size = self.size[which]
         ends = np.cumsum(size)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[which] - ends + size, size)]
@@ -79,6 +107,12 @@ class Encoder:
         return [ids[a:b] for a, b in zip(np.concatenate(([0], stops[:-1])).tolist(), stops.tolist(), strict=True)]
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, which serves many tasks."""
+    return Encoder(path)
+
+
 def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (document, start, length); lengths are those of a block's documents."""
     total = sum(lengths)
@@ -128,7 +162,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 36
         held: list[tuple[int | None, int, int, np.ndarray]] = []  # document, start, its tokens, ids
@@ -150,7 +184,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder(part.column("text").to_pylist()), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
                     ids = np.append(ids, np.uint32(end_id))
                     for at in range(0, len(ids), block_tokens):
                         piece = ids[at : at + block_tokens]
