@@ -38,8 +38,9 @@ class Encoder:
     """
 
     MARK = "\x01"
+    SIGNS = ".,;:!?#%&*$)]}-"
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
@@ -61,15 +62,13 @@ class Encoder:
             return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
         some, sizes = [], []
         for i in range(0, len(new), 2000):
-            own = new[i : i + 2000]
-            ids = np.array(self.of.encode(f" {self.MARK} ".join(own) + f" {self.MARK}", add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.of.encode(f" {self.MARK} ".join(new[i : i + 2000]) + f" {self.MARK}", add_special_tokens=False).ids, np.uint32)
             marks = np.flatnonzero(ids == self.mark)
             some.append(np.delete(ids, marks))
             sizes.append(np.diff(marks, prepend=-1) - 1)
         return np.concatenate(some), np.concatenate(sizes)
 
-    def learn(self, new: list[str]) -> None:
-        ids, sizes = self.encoded(new)
+    def add(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.known)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
@@ -81,14 +80,28 @@ class Encoder:
         self.used += len(ids)
         self.known.update(zip(new, range(n, n + len(new)), strict=True))
 
-    def words(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # these split words in Python but not in the vocabulary's pattern
-            return [text]
-        if self.lowers and "<|" not in text:
-            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        return text.split()
+    def of_words(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of known words in a row, and how many each has."""
+        size = self.size[which]
+        ends = np.cumsum(size)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[which] - ends + size, size)], size
+
+    def learn(self, new: list[str]) -> None:
+        """The pre-tokeniser always cuts between a letter or digit and other signs, so signs that end a word are encoded apart."""
+        pairs, alone = [], set()
+        for w in new:
+            c = w.rstrip(self.SIGNS)
+            if c and c != w and (c[-1].isalnum() and c[-1].isascii()):
+                pairs.append((w, c, w[len(c) :]))
+                alone.update(pairs[-1][1:])
+            else:
+                alone.add(w)
+        if alone := [w for w in alone if w not in self.known]:
+            self.add(alone, *self.encoded(alone))
+        if pairs:
+            parts = np.array([self.known[x] for p in pairs for x in p[1:]], np.int64)
+            ids, sizes = self.of_words(parts)
+            self.add([p[0] for p in pairs], ids, sizes.reshape(-1, 2).sum(axis=1))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """An array of ids for each text; null as empty."""
@@ -99,12 +112,18 @@ class Encoder:
         if new := list(set(every).difference(self.known)):
             self.learn(new)
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        which = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
-        size = self.size[which]
-        ends = np.cumsum(size)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[which] - ends + size, size)]
-        stops = np.concatenate(([0], ends))[np.cumsum(counts)]
-        return [ids[a:b] for a, b in zip(np.concatenate(([0], stops[:-1])).tolist(), stops.tolist(), strict=True)]
+        ids, size = self.of_words(np.fromiter(map(self.known.__getitem__, every), np.int64, len(every)))
+        stops = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return [ids[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
+
+    def words(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # these split words in Python but not in the vocabulary's pattern
+            return [text]
+        if self.lowers and "<|" not in text:  # which may name a special token
+            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        return text.split()
 
 
 @cache
