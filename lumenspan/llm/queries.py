@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenspan.llm import fingerprint, html_text, langid, minhash, mixing, packing, secret_scan
-from lumenspan.llm.runtime import table
+from lumenspan.llm import fingerprint, html_text, langid, minhash, mixing, packing, secret_scan, topk, warc
+from lumenspan.llm.runtime import shared_dir, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -18,6 +18,11 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER)))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -34,6 +39,11 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_by_next(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.history(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc")
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "stamp")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +52,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op4_html, op5_langid, op6_mix, op7_fingerprint, op9_minhash, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_topk, op4_html, op5_langid, op6_mix, op7_fingerprint, op8_warc, op9_minhash, op10_secrets)}
 
 SQL: dict[str, str] = {}
