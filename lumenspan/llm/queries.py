@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenspan.llm import fingerprint, html_text, langid, minhash, mixing, packing, secret_scan, topk, warc
+from lumenspan.llm import fingerprint, html_text, langid, minhash, mixing, packing, secret_scan, substring, topk, warc
 from lumenspan.llm.runtime import shared_dir, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -52,6 +56,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_topk, op4_html, op5_langid, op6_mix, op7_fingerprint, op8_warc, op9_minhash, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_topk, op3_substring, op4_html, op5_langid, op6_mix, op7_fingerprint, op8_warc, op9_minhash, op10_secrets)}
 
 SQL: dict[str, str] = {}
