@@ -5,10 +5,12 @@ k places, gives them. Two permutations thus serve all `COORDINATES`. Each of the
 
 1. A scan gives each row its shingle set's size, 128-bit digest and signature. Rows of equal sets form one class at once, so
    exact copies, however many, cost one row afterwards.
-2. Classes meet in band buckets, one partition pass each. A bucket compares four-bit sketches of its members' signatures with
-   leaders only; buckets beyond `DENSE` are split again by their sketches. It passes on each pair that may be similar enough,
-   never all pairs of a group of copies.
-3. Pairs are confirmed on full sets; connected components over confirmed links give each class its smallest doc_id.
+2. Classes meet in band buckets, in one pass. A bucket compares four-bit sketches of its members' signatures with a few hubs;
+   buckets beyond `DENSE` are split again by their sketches. It passes on a few pairs for each member, which connect all those
+   that may be linked, never all pairs of a group.
+3. These pairs are confirmed on full sets. Where a connected group of pairs falls into several parts by its confirmed links, the
+   members outside its largest part are compared on full sets with all members of other parts, in blocks of `BLOCK`.
+4. Connected components over confirmed links give each class its smallest doc_id.
 
 A pair of Jaccard 0.75 misses all buckets with a probability of about 2e-4, one of 0.8 with less than 1e-5.
 """
@@ -33,8 +35,11 @@ BANDS = np.concatenate([np.random.Generator(np.random.PCG64(i)).permutation(COOR
 SIGMA, PI = 0xA0761D6478BD642F, 0xE7037ED1
 #: Of 64 four-bit coordinates, this many agree in all but 1 in 100,000 pairs of Jaccard 0.75 (49 on average, deviation 3.4).
 LOW = 34
-HIGH = 58
+#: Places that agree in about half of the pairs of Jaccard 0.77, and in nearly all that a link and such a pair bring together.
+MID, CONNECT = 50, 28
 DENSE = 4096
+#: Documents of one side that a task of the last step compares.
+BLOCK = 4096
 
 
 def pi(x: np.ndarray) -> np.ndarray:
@@ -97,38 +102,45 @@ def _banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bucket(rid: np.ndarray, sketch: np.ndarray, depth: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a bucket that may be links, so that no link between two of its members is lost from their connection. rid ascends."""
+    """Pairs that connect all members of a bucket of which some chain may be links, a few for each member. rid ascends.
+
+    Members gather round hubs: the one that most others resemble comes first. A member leaves when it surely resembles a hub, or
+    may resemble three. A later hub is paired with the nearest member of each earlier hub's circle.
+    """
     out = []
     _, at, back = np.unique(sketch, axis=0, return_index=True, return_inverse=True)
-    if len(at) < len(rid):  # equal sketches: linked to the first of them
+    if len(at) < len(rid):  # equal sketches: paired with the first of them
         lead = at[back.ravel()]
         other = np.flatnonzero(lead != np.arange(len(rid)))
         out.append((rid[lead[other]], rid[other]))
         at = np.sort(at)
         rid, sketch = rid[at], sketch[at]
-    group = np.full(len(rid), -1)
-    leaders = 0
-    for i in range(len(rid)):
-        if group[i] >= 0:
-            continue
-        if len(rid) > DENSE and leaders >= 64:
+    circle, tries = np.full(len(rid), -1), np.zeros(len(rid), np.int64)
+    queue = np.argsort(mix(rid.astype(U)), kind="stable")  # the same documents lead in every bucket
+    hubs = []
+    while True:
+        queue = queue[circle[queue] < 0]
+        if not len(queue):
+            return out
+        if len(rid) > DENSE and len(hubs) >= 64:
             break
-        same = (sketch == sketch[i]).sum(axis=1)
-        same[i] = 0
-        hit = np.flatnonzero((same >= LOW) & ((group >= 0) | (np.arange(len(rid)) > i)))
-        out.append((np.full(len(hit), rid[i]), rid[hit]))
-        group[i] = leaders
-        group[hit[(same[hit] >= HIGH) & (group[hit] < 0)]] = leaders
-        leaders += 1
-    else:  # every leader has met all; members of different groups may still link two groups
-        big = np.flatnonzero(np.bincount(group, minlength=leaders) > 1)
-        inner = np.flatnonzero(np.isin(group, big)) if len(big) > 1 else np.zeros(0, int)
-        for i in inner:
-            rest = inner[(inner > i) & (group[inner] != group[i])]
-            hit = rest[(sketch[rest] == sketch[i]).sum(axis=1) >= LOW]
-            out.append((np.full(len(hit), rid[i]), rid[hit]))
-        return out
-    left = np.flatnonzero((group < 0) | np.isin(np.arange(len(rid)), np.unique(group, return_index=True)[1]))
+        lead = queue[:32]
+        alike = (sketch[lead][:, None] == sketch[queue][None, :2048]).sum(axis=2) >= MID
+        hub = int(lead[alike.sum(axis=1).argmax()])
+        same = (sketch == sketch[hub]).sum(axis=1)
+        free = circle < 0
+        free[hub] = False
+        hit = np.flatnonzero(free & (same >= LOW))
+        out.append((np.full(len(hit), rid[hub]), rid[hit]))
+        near = np.flatnonzero((circle >= 0) & (same >= CONNECT))
+        near = near[np.argsort(-same[near], kind="stable")]
+        near = near[np.unique(circle[near], return_index=True)[1]]
+        out.append((np.full(len(near), rid[hub]), rid[near]))
+        tries[hit] += 1
+        circle[hit[(same[hit] >= MID) | (tries[hit] > 2)]] = len(hubs)
+        circle[hub] = len(hubs)
+        hubs.append(hub)
+    left = np.sort(np.concatenate((queue, hubs)))
     r, s = rid[left], sketch[left]
     rng = np.random.Generator(np.random.PCG64(depth + 3))
     for _ in range(32):  # four agreeing places of 64 at least once in 32 draws: all but 2e-6 of the pairs of Jaccard 0.75
@@ -137,10 +149,9 @@ def _bucket(rid: np.ndarray, sketch: np.ndarray, depth: int = 0) -> list[tuple[n
         for c in own:
             key = mix(key + s[:, c])
         order = np.argsort(key, kind="stable")
-        cuts = np.flatnonzero(np.diff(key[order])) + 1
-        for own_ in np.split(order, cuts):
-            if 1 < len(own_) < len(left):
-                out += _bucket(r[np.sort(own_)], s[np.sort(own_)], depth + 1)
+        for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            if 1 < len(part) < len(left):
+                out += _bucket(r[np.sort(part)], s[np.sort(part)], depth + 1)
     return out
 
 
@@ -209,6 +220,61 @@ def _confirmed(percent: int):
     return kernel
 
 
+def _across(percent: int):
+    """Sorted by task and side (0: outside the largest part): a link from each document of side 0 to each other part that it is linked with."""
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+            outer, inner = ([r for r in rows if r[0] == side] for side in (0, 1))
+            found: set[tuple[int, int]] = set()
+            if outer and inner:
+                size = np.array([len(r[3]) for r in inner])
+                at = np.concatenate(([0], np.cumsum(size)))
+                every = np.concatenate([r[3] for r in inner])
+                order = np.argsort(every, kind="stable")
+                values, owner = every[order], np.repeat(np.arange(len(inner)), size)[order]
+                part = np.array([r[2] for r in inner])
+                for _, rid, own, x in outer:
+                    low, high = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+                    n = high - low
+                    where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                    common = np.bincount(owner[where], minlength=len(inner))
+                    hit = np.flatnonzero((100 * common >= percent * (len(x) + size - common)) & (part != own))
+                    found.update((rid, inner[i][1]) for i in hit[np.unique(part[hit], return_index=True)[1]].tolist())
+            pairs = sorted(found)
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        task, held = None, []
+        for batch in batches:
+            for t, side, rid, part, own in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "rid", "part", "set")), strict=True):
+                if t != task and held:
+                    yield linked(held)
+                    held = []
+                task = t
+                held.append((side, rid, part, np.frombuffer(own, U)))
+        if held:
+            yield linked(held)
+
+    return kernel
+
+
+def _between_parts(nodes: DataFrame, groups: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links between different parts of one group, enough to connect those that have any; None if no group has parts."""
+    n = nodes.join(groups.withColumnRenamed("root", "g"), F.col("rid") == F.col("node"), "left").drop("node").join(parts.withColumnRenamed("root", "p"), F.col("rid") == F.col("node"), "left").drop("node")
+    n = materialize(n.select("rid", F.coalesce("g", "rid").alias("gid"), F.coalesce("p", "rid").alias("part")))
+    sizes = n.groupBy("gid", "part").agg(F.count("*").alias("n"))
+    whole = sizes.groupBy("gid").agg(F.sum("n").alias("members"), F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.max("n").alias("most"), F.count("*").alias("parts"))
+    whole = materialize(whole.where("parts > 1 AND members > 2").select("gid", "main", F.ceil(F.col("members") / BLOCK).cast("int").alias("inner"), F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int").alias("outer")))
+    if not whole.take(1):
+        return None
+    n = n.join(whole, "gid").withColumn("at", F.xxhash64("rid"))
+    every = lambda c, name: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias(name)
+    out = n.where("part <> main").select("gid", "rid", "part", F.pmod("at", F.col("outer")).cast("int").alias("i"), every("inner", "j"), F.lit(0).alias("side"))
+    inn = n.select("gid", "rid", "part", every("outer", "i"), F.pmod("at", F.col("inner")).cast("int").alias("j"), F.lit(1).alias("side"))
+    tasks = out.union(inn).withColumn("task", F.xxhash64("gid", "i", "j")).select("task", "side", "rid", "part")
+    return tasks.join(sets, "rid").select("task", "side", "rid", "part", "set").repartition("task").sortWithinPartitions("task", "side").mapInArrow(_across(percent), "a long, b long")
+
+
 def near_duplicates(df: DataFrame, percent: int = 75, k: int = SHINGLE) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id`, `kept` for each row of `doc_id`, `text`.
 
@@ -228,8 +294,10 @@ def near_duplicates(df: DataFrame, percent: int = 75, k: int = SHINGLE) -> DataF
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = materialize(docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets(k), "rid long, set binary"))
     a, b = (sets.select(F.col("rid").alias(x), F.col("set").alias(f"set_{x}")) for x in ("a", "b"))
-    links = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long")
-    roots = components(links)
+    links = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long"))
+    parts = components(links)
+    more = _between_parts(ends.select(F.col("doc_id").alias("rid")), components(pairs), parts, sets, percent)
+    roots = parts if more is None else components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     named = classes.select("one", "two", "rid").join(roots, F.col("rid") == F.col("node"), "left").select("one", "two", F.coalesce("root", "rid").alias("found"))
     out = rows.drop("sig").join(named, ["one", "two"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("found", "doc_id")).otherwise(F.col("doc_id")))
