@@ -15,14 +15,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenspan.llm.kernel import SHINGLE, U, shingle_hashes
 from lumenspan.llm.runtime import materialize, only, slices
 
 SCALE = 1 / 16
-FLOOR = 64
+FLOOR = 48
 BITS = 48
 ALL = (1 << BITS) - 1
 
@@ -42,8 +42,20 @@ def sketches(texts: list[str | None], k: int = SHINGLE) -> list[Sketch]:
     return out
 
 
+def packed(s: Sketch) -> bytes:
+    """The threshold and the hashes, six bytes each."""
+    return np.append(U(s[0]), s[1]).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
 def written(s: Sketch) -> str:
-    return f"{s[0]:012x}:" + s[1].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes().hex()
+    raw = packed(s).hex()
+    return f"{raw[:12]}:{raw[12:]}"
+
+
+def as_written(raw: str) -> Column:
+    """The string of a packed sketch."""
+    digits = F.lower(F.hex(raw))
+    return F.concat(F.substring(digits, 1, 12), F.lit(":"), F.substring(digits, 13, 1 << 30))
 
 
 def read(text: str) -> Sketch:
@@ -91,18 +103,18 @@ def fingerprints(df: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 COLUMNS = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _against(rows: list[tuple[int | None, str, str, Sketch]]) -> list[list]:
     """rows: document, text, the next text, the next text's sketch. Columns of the result."""
     edited = [t[: len(t) - len(t) // 3] + nxt[: len(t) // 3] for _, t, nxt, _ in rows]
     own, new = sketches([r[1] for r in rows]), sketches(edited)
-    made = [(r[0], len(r[1]), hashlib.sha256(e.encode()).hexdigest(), written(s), written(n), likeness(s, n), likeness(s, r[3])) for r, e, s, n in zip(rows, edited, own, new, strict=True)]
+    made = [(r[0], len(r[1]), hashlib.sha256(e.encode()).digest(), packed(s), packed(n), likeness(s, n), likeness(s, r[3])) for r, e, s, n in zip(rows, edited, own, new, strict=True)]
     return [list(c) for c in zip(*made, strict=True)] if made else [[] for _ in COLUMNS]
 
 
-_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
 
 
 def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,11 +123,13 @@ def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     context = TaskContext.get()
     number = context.partitionId() if context else 0
+    codec = pa.Codec("zstd")
     last: tuple[int | None, str] | None = None
     head: tuple[int | None, str] | None = None
     for batch in batches:
-        for part in slices(batch, "text"):
-            rows = list(zip(part.column("doc_id").to_pylist(), (t or "" for t in part.column("text").to_pylist()), strict=True))
+        for part in slices(batch, "text", 1 << 19):
+            texts = (codec.decompress(t.as_buffer(), n, asbytes=True).decode() if n else "" for t, n in zip(part.column("text"), part.column("n_bytes").to_pylist(), strict=True))
+            rows = list(zip(part.column("doc_id").to_pylist(), texts, strict=True))
             head = head or rows[0]
             rows = [last, *rows] if last else rows
             nexts = sketches([t for _, t in rows[1:]])
@@ -129,6 +143,14 @@ def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (*_TYPES, pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=[*COLUMNS, "part", "head_id", "head", "tail"])
 
 
+def _compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd", compression_level=1)
+    for batch in batches:
+        for part in slices(batch, "text", 1 << 22):
+            texts = [t.as_buffer() if t.is_valid else b"" for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([codec.compress(t, asbytes=True) if len(t) else b"" for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "text", "n_bytes"])
+
+
 def _ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "tail"):
@@ -140,14 +162,16 @@ def _ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def edited_by_next(df: DataFrame) -> DataFrame:
     """Each row's fingerprint against that of its text with the last third replaced from the next row, and against the next row's.
 
-    The order is descending doc_id, rows of equal ids by text, null ids last; after the last row comes the first. Null texts are
-    empty. One row is its own next; an empty table gives no rows. Texts are shuffled once, into ranges of doc_id; a range's last
-    row is finished afterwards from a table with a row per range.
+    The order is descending doc_id, rows of equal ids by their compressed text, null ids last; after the last row comes the first. Null texts are
+    empty. One row is its own next; an empty table gives no rows. Texts are shuffled once, compressed, into ranges of doc_id;
+    a range's last row is finished afterwards from a table with a row per range.
     """
-    ordered = only(df, doc_id="long", text="string").repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text")
+    packed_ = only(df, doc_id="long", text="string").mapInArrow(_compressed, "doc_id long, text binary, n_bytes long")
+    ordered = packed_.repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text")
     made = materialize(ordered.mapInArrow(_edges, f"{_OUT}, part long, head_id long, head string, tail string"))
     ends = made.where("part IS NOT NULL").select("doc_id", "part", "head_id", "head", "tail")
     w = Window.partitionBy(F.lit(0)).orderBy(F.col("head_id").desc_nulls_last())
     order = ends.select("part", "head_id").withColumn("to", F.coalesce(F.lead("part").over(w), F.first("part").over(w))).select("part", "to")
     whole = ends.join(order, "part").join(ends.select(F.col("part").alias("to"), F.col("head").alias("next")), "to").select("doc_id", "tail", "next")
-    return made.where("part IS NULL").select(*COLUMNS).unionByName(whole.mapInArrow(_ends, _OUT))
+    out = made.where("part IS NULL").select(*COLUMNS).unionByName(whole.mapInArrow(_ends, _OUT))
+    return out.withColumns({"edited_sha256": F.lower(F.hex("edited_sha256")), "fingerprint": as_written("fingerprint"), "edited_fingerprint": as_written("edited_fingerprint")})
