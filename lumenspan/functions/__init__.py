@@ -1 +1 @@
-
+"""Column builders: vectors, scores and text."""

@@ -1 +1 @@
-
+"""Tables in, tables out, and configurations."""

@@ -1 +1 @@
-
+"""Profiles for documents as they arrive."""
