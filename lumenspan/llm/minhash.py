@@ -39,7 +39,7 @@ LOW = 34
 MID, CONNECT = 50, 28
 DENSE = 4096
 #: Documents of one side that a task of the last step compares.
-BLOCK = 4096
+BLOCK = 512
 
 
 def pi(x: np.ndarray) -> np.ndarray:
@@ -292,7 +292,7 @@ def near_duplicates(df: DataFrame, percent: int = 75, k: int = SHINGLE) -> DataF
     banded = classes.select("rid", "sig").mapInArrow(_banded, "key long, rid long, sketch binary")
     pairs = materialize(banded.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_paired, "a long, b long").distinct())
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets(k), "rid long, set binary"))
+    sets = materialize(docs.join(ends.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k), "rid long, set binary"))
     a, b = (sets.select(F.col("rid").alias(x), F.col("set").alias(f"set_{x}")) for x in ("a", "b"))
     links = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long"))
     parts = components(links)
