@@ -61,8 +61,8 @@ class Encoder:
             ids = [x.ids for x in self.of.encode_batch(new, add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
         some, sizes = [], []
-        for i in range(0, len(new), 2000):
-            ids = np.array(self.of.encode(f" {self.MARK} ".join(new[i : i + 2000]) + f" {self.MARK}", add_special_tokens=False).ids, np.uint32)
+        for i in range(0, len(new), 250):
+            ids = np.array(self.of.encode(f" {self.MARK} ".join(new[i : i + 250]) + f" {self.MARK}", add_special_tokens=False).ids, np.uint32)
             marks = np.flatnonzero(ids == self.mark)
             some.append(np.delete(ids, marks))
             sizes.append(np.diff(marks, prepend=-1) - 1)
