@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenspan.functions.text import sanitize_query, tokens
+from lumenspan.sources.shared import kept, spread
 
 K1, B = 1.2, 0.75
 MODELS = ("BM25", "TF_IDF")
+#: Terms of all queries together that are broadcast; more are joined by term.
+BROADCAST_TERMS = 1_000_000
 
 
 @dataclass
 class Index:
-    """postings: `term`, `docno`, `tf`; lengths: `docno`, `dl`; terms: `term`, `df`."""
+    """postings: `term`, `docno`, `tf`, `dl`; lengths: `docno`, `dl`; terms: `term`, `df`."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -40,10 +43,22 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "terms")))
 
 
-def build(corpus: DataFrame) -> Index:
-    """Of `docno`, `text`; null texts are empty."""
-    t = corpus.select("docno", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
-    postings = t.select("docno", F.explode("t").alias("term")).groupBy("term", "docno").agg(F.count("*").alias("tf"))
+def query_terms(topics: DataFrame) -> DataFrame:
+    """`qid`, `term`, `qtf`."""
+    return topics.select("qid", F.explode(tokens(sanitize_query(F.col("query")))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+
+
+def build(corpus: DataFrame, only: DataFrame | None = None) -> Index:
+    """Of `docno`, `text`; null texts are empty. Texts are split once, into a kept table of their terms.
+
+    only: a table of `term`; no others are indexed, which is enough for runs of topics of these terms, but not for stats().
+    """
+    t = kept(spread(corpus.select("docno", "text")).select("docno", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t")))
+    words = t.select("docno", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    if only is not None:
+        words = words.join(only.select("term").distinct(), "term", "left_semi")
+    postings = words.groupBy("docno", "dl", "term").agg(F.count("*").alias("tf"))
+    postings = kept(postings) if only is not None else postings
     return Index(postings, t.select("docno", F.size("t").cast("long").alias("dl")), postings.groupBy("term").agg(F.count("*").alias("df")))
 
 
@@ -69,13 +84,16 @@ def resolve(spark: SparkSession, path: str | None, corpus: DataFrame | None, bui
 def run(index: Index, topics: DataFrame, k: int, model: str = "BM25", first_rank: int = 0) -> DataFrame:
     """`qid`, `docno`, `score`, `rank`: each query's k best documents, ties to the smaller docno; ranks from 0.
 
-    Only postings of query terms move: they meet the queries' terms before anything is grouped.
+    Postings are dealt out by document once; there they meet the queries' terms, and only sums and then each query's best move on.
     """
     if model not in MODELS:
         raise ValueError(f"the model is one of {MODELS}, not {model}")
-    q = topics.select("qid", F.explode(tokens(sanitize_query(F.col("query")))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    q = query_terms(topics)
     n = index.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = index.postings.join(q.join(index.terms, "term"), "term").join(index.lengths, "docno").join(F.broadcast(n))
+    asked = q.join(index.terms, "term").join(F.broadcast(n))
+    if q.count() <= BROADCAST_TERMS:  # scores then add up where a document's postings are
+        asked = F.broadcast(asked)
+    hits = index.postings.repartition("docno").join(asked, "term")
     if model == "BM25":
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -11,7 +11,6 @@ Repair moves documents one by one in a fixed order until the budget is met or sp
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenspan.operators.profiles import Profile
+from lumenspan.sources.shared import kept
 
 TREE = 4
 EXACT = "decimal(38,15)"
@@ -55,15 +55,6 @@ class Candidate:
     moves_left: bool = False
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A table in the shared folder, so that loops neither recompute nor depend on executors that may be lost."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    path = f"{root.rstrip('/')}/lumenspan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def build(utility: DataFrame, profiles: list[Profile], budget: int, dtype: str = "float16") -> Problem:
     """From exactly one finite `utility` for each `docno` and `profile`; raises on unknown profiles, gaps, repeats and budgets below the cheapest choice."""
     names, costs = [p.name for p in profiles], [p.cost(dtype) for p in profiles]
@@ -74,7 +65,7 @@ def build(utility: DataFrame, profiles: list[Profile], budget: int, dtype: str =
     bad = t.agg(F.count_if((F.col("i") < 0) | F.col("i").isNull()).alias("unknown"), F.count_if(F.col("utility").isNull() | F.isnan("utility") | (F.abs("utility") == float("inf"))).alias("odd")).first()
     if bad["unknown"] or bad["odd"]:
         raise ValueError(f"{bad['unknown']} utilities of unknown profiles, {bad['odd']} that aren't finite")
-    wide = _kept(t.groupBy("docno").agg(F.count("*").alias("n"), F.size(F.collect_set("i")).alias("d"), F.sort_array(F.collect_list(F.struct("i", "utility"))).alias("s")).select("docno", "n", "d", F.transform("s", lambda x: x["utility"]).alias("u")))
+    wide = kept(t.groupBy("docno").agg(F.count("*").alias("n"), F.size(F.collect_set("i")).alias("d"), F.sort_array(F.collect_list(F.struct("i", "utility"))).alias("s")).select("docno", "n", "d", F.transform("s", lambda x: x["utility"]).alias("u")))
     wrong = wide.where((F.col("n") != len(names)) | (F.col("d") != len(names))).select("docno").limit(5).collect()
     if wrong:
         raise ValueError(f"not one utility for each profile: {[r['docno'] for r in wrong]}")
@@ -242,7 +233,7 @@ def running(df: DataFrame, order: tuple, value: str) -> DataFrame:
     Ranges are written with their number, summed, and shifted by what is before them: the driver sees a sum per range.
     """
     cols = [f(c) for f, c in order]
-    parted = _kept(df.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()))
+    parted = kept(df.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()))
     sums = parted.groupBy("_part").agg(F.sum(value).alias("s"), F.count("*").alias("n")).orderBy("_part").collect()
     before, pos, offsets = 0, 0, []
     for r in sums:
@@ -257,7 +248,7 @@ def running(df: DataFrame, order: tuple, value: str) -> DataFrame:
 
 def _moved(chosen: DataFrame, taken: DataFrame) -> DataFrame:
     j = chosen.join(taken.select("docno", F.col("target").alias("_t")), "docno", "left")
-    return _kept(j.select("docno", "u", F.coalesce("_t", "k").cast("int").alias("k")))
+    return kept(j.select("docno", "u", F.coalesce("_t", "k").cast("int").alias("k")))
 
 
 def upgrade_round(moves: DataFrame, room: int) -> tuple[DataFrame | None, int, int]:
@@ -268,12 +259,12 @@ def upgrade_round(moves: DataFrame, room: int) -> tuple[DataFrame | None, int, i
     """
     left, out, count, spent = moves, None, 0, 0
     after = -1
-    ordered = _kept(running(left, UP, "extra").drop("_cum").withColumnRenamed("_pos", "_at"))
+    ordered = kept(running(left, UP, "extra").drop("_cum").withColumnRenamed("_pos", "_at"))
     while True:
         left = ordered.where((F.col("_at") > after) & (F.col("extra") <= room - spent))
         if not left.take(1):
             return out, count, spent
-        summed = _kept(running(left, ((F.asc, "_at"),), "extra"))
+        summed = kept(running(left, ((F.asc, "_at"),), "extra"))
         fits = summed.where(F.col("_cum") <= room - spent)
         r = fits.agg(F.count("*").alias("n"), F.max("_cum").alias("c")).first()
         stop = summed.where(F.col("_cum") > room - spent).agg(F.min("_at").alias("a")).first()["a"]
@@ -307,7 +298,7 @@ def downgrade(p: Problem, c: Candidate) -> Candidate:
     for _ in range(max(1, len(p.costs) - 1)):
         if cost <= p.budget:
             break
-        taken = _kept(downgrade_pass(chosen, p, cost - p.budget))
+        taken = kept(downgrade_pass(chosen, p, cost - p.budget))
         r = taken.agg(F.count("*").alias("n"), F.sum("saved").alias("s")).first()
         if not r["n"]:
             break
@@ -483,7 +474,7 @@ def solve(utility: DataFrame, profiles: list[Profile], budget: int, max_iter: in
         if better_feasible(c, best, p.budget):
             best = c
     r = {"lambda_star": best.lam, "num_upgrades": best.upgrades, "num_downgrades": best.downgrades, "search_iterations": found.iterations, "selected_candidate_origin": best.origin, "tolerance_reached": found.reached, "positive_gain_moves_remaining": best.moves_left}
-    return Solution(assignments(_kept(best.chosen), p), _report(p, best.cost, float(best.utility), None if best.relaxed_cost is None else (best.relaxed_cost, float(best.relaxed_utility)), r))
+    return Solution(assignments(kept(best.chosen), p), _report(p, best.cost, float(best.utility), None if best.relaxed_cost is None else (best.relaxed_cost, float(best.relaxed_utility)), r))
 
 
 def _report(p: Problem, cost: int, utility: float, relaxed: tuple[int, float] | None, more: dict) -> dict:

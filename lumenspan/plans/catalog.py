@@ -237,6 +237,11 @@ def bm25_index_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bm25.build(text_corpus(spark, d)).stats(), "avgdl")
 
 
+def text_run(spark: SparkSession, d: str, k: int) -> DataFrame:
+    topics = text_topics(spark, d)
+    return bm25.run(bm25.build(text_corpus(spark, d), only=bm25.query_terms(topics)), topics, k)
+
+
 _BM25 = f"""t AS (SELECT CAST(doc_id AS VARCHAR) AS docno, regexp_extract_all(lower(text), {_TOK}) AS w FROM documents),
 q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT CAST(item_id AS VARCHAR) AS qid, unnest(regexp_extract_all(lower(replace(text, ':', ' ')), {_TOK})) AS term FROM benchmark) GROUP BY qid, term),
 p AS (SELECT docno, term, count(*) AS tf FROM (SELECT docno, unnest(w) AS term FROM t) GROUP BY docno, term),
@@ -247,13 +252,12 @@ bm AS (SELECT qid, docno, score, CAST(row_number() OVER (PARTITION BY qid ORDER
 
 @query(f"WITH {_BM25} SELECT qid, docno, round(score, 5) AS score, rank FROM bm WHERE rank < {K}")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(bm25.run(bm25.build(text_corpus(spark, d)), text_topics(spark, d), K), "score", digits=5)
+    return rounded(text_run(spark, d, K), "score", digits=5)
 
 
 @query(f"WITH {_BM25}, z AS (SELECT qid, docno, score FROM bm WHERE rank < 50), c AS (SELECT qid, docno, count(*) AS n FROM z GROUP BY qid, docno), x AS (SELECT z.qid, z.docno, len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), {_TOK})), list_distinct(t.w))) / greatest(len(list_distinct(list_concat(regexp_extract_all(lower(b.text), {_TOK}), t.w))), 1) AS j FROM z JOIN benchmark b ON CAST(b.item_id AS VARCHAR) = z.qid JOIN t USING (docno)), r AS (SELECT qid, docno, round(j, 9) AS score FROM x) SELECT qid, docno, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) - 1 AS INTEGER) AS rank FROM r")
 def cross_scores(spark: SparkSession, d: str) -> DataFrame:
-    run = bm25.run(bm25.build(text_corpus(spark, d)), text_topics(spark, d), 50)
-    return rounded(relevance.rescore(run, text_topics(spark, d), text_corpus(spark, d)), "score")
+    return rounded(relevance.rescore(text_run(spark, d, 50), text_topics(spark, d), text_corpus(spark, d)), "score")
 
 
 # ---- relevance
