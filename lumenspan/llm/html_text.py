@@ -23,7 +23,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NEVER = frozenset("head title script style noscript template iframe object svg math canvas audio video select textarea button datalist nav header footer aside form dialog menu".split())
 HOLDS = frozenset("article main section div body td".split())
-BOILER = frozenset("ad ads advert adverts advertisement advertisements adsense adslot sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall comment comments commentlist commentary respond replies disqus discussion sidebar sidebars widget widgets menu menus nav navbar navigation navigator breadcrumb breadcrumbs topbar masthead header footer share sharing shares social related recommended recommendations toolbar pagination pager login search skiplink disclaimer copyright".split())
+BOILER = frozenset("ad ads adsbygoogle advert adverts advertisement advertisements adsense adslot sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall comment comments commentlist commentary respond replies disqus discussion sidebar sidebars widget widgets menu menus nav navbar navigation navigator breadcrumb breadcrumbs topbar masthead header footer share sharing shares social related recommended recommendations toolbar pagination pager login search skiplink disclaimer copyright".split())
+BOILER_BEGINS = ("advert", "comment", "cookie", "newsletter", "sidebar", "sponsor")
 #: An element called has-sidebar or no-comments is none.
 WITH = ("has", "with", "no-", "no_", "layout", "page-with", "col-")
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
@@ -46,6 +47,7 @@ class Events(HTMLParser):
         self.soft: set[int] = set()  # hidden by its class or id only
         self.shown: set[int] = set()
         self.links = 0
+        self.muted = 0
         self.n = 0
         self.cut()
 
@@ -79,10 +81,12 @@ class Events(HTMLParser):
         hard, soft = self.hides(tag, attrs)
         if tag in ("article", "main") and not soft:
             self.shown.update(self.hiding)
-        if soft:
-            self.soft.add(self.n)
-        if hard or soft:
+        if tag in INLINE:  # what an inline element hides is left out of its block
+            self.muted += hard or soft
+        elif hard or soft:
             self.hiding.append(self.n)
+            if soft:
+                self.soft.add(self.n)
         if tag in HOLDS:
             self.holders.append(self.n)
             self.tags[self.n] = tag
@@ -98,7 +102,7 @@ class Events(HTMLParser):
             if name == "hidden" and v != "until-found" or name == "aria-hidden" and v == "true" or name == "role" and v in ROLES or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v):
                 return True, False
             if name in ("class", "id") and tag not in ("html", "body", "main"):
-                soft = soft or any(w in BOILER for token in v.split() if not token.startswith(WITH) for w in _NAME.findall(token))
+                soft = soft or any(w in BOILER or w.startswith(BOILER_BEGINS) for token in v.split() if not token.startswith(WITH) for w in _NAME.findall(token))
         return False, soft
 
     def close_to(self, tag: str, stop: frozenset[str]) -> None:
@@ -114,7 +118,9 @@ class Events(HTMLParser):
         for tag, n, hides in reversed(self.open[i:]):
             if tag not in INLINE:
                 self.cut()
-            if hides:
+            if hides and tag in INLINE:
+                self.muted -= 1
+            elif hides:
                 self.hiding.remove(n)
             if tag in HOLDS:
                 self.holders.remove(n)
@@ -132,7 +138,7 @@ class Events(HTMLParser):
         self.close_to(tag, stop=frozenset() if tag not in INLINE else HOLDS | {"p", "li"})
 
     def handle_data(self, data: str) -> None:
-        if self.now is None and not data.strip():
+        if self.muted or self.now is None and not data.strip():
             return
         block = self.block()
         block[0].append(data)

@@ -228,6 +228,7 @@ def test_all_exact_repeats_of_the_table(spark):
     [
         (None, ""), ("", ""), ("<p></p>", ""), ("<script>x</script>", ""), ("plain &lt;text&gt; &amp more", "plain <text> & more"),
         ("<body><nav><a>Home</a></nav><article><h1>T</h1><p>One  two<br>three</p><p>Four</p><aside>Side</aside><p>Five</article><footer>&copy; x</footer>", "T\n\nOne two three\n\nFour\n\nFive"),
+        ("<article><p>Some <b>bold <i class='ad'>buy</i> text</b> that goes <ins class=adsbygoogle>ad</ins>on.</p></article>", "Some bold text that goes on."),
         ("<main><p>Some long text of an article, it goes on.</p><div class='comments'><p>A comment that is quite long, too, really.</p></div></main>", "Some long text of an article, it goes on."),
         ("<div class='wrap has-sidebar'><div id='cookie-notice'>We use cookies</div><div class='post'><p>First paragraph of the text here.</p><p>Ok.</p><p>Last paragraph of the text here.</p></div><div class='sidebar'><ul><li><a>x</a></ul></div><form>Mail <input></form></div>", "First paragraph of the text here.\n\nOk.\n\nLast paragraph of the text here."),
     ],
