@@ -136,3 +136,18 @@ def lsh_search(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: flo
     pairs = buckets(q, "qid").join(buckets(d, "docno"), ["t", "b"]).select("qid", "docno").distinct()
     pairs = pairs.where("qid <> docno") if skip_self else pairs
     return rerank(pairs, queries, corpus, "dot", k)
+
+
+def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, probes: int = 4, sample: int = 100_000, skip_self: bool = False) -> DataFrame:
+    """Approximate search: k-means cells fitted on at most `sample` vectors, every vector indexed, each query against the vectors of its nearest `probes` cells. Products rank them."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    d = corpus.select("docno", "vec", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    model = KMeans(k=cells, seed=13, maxIter=10).fit(d.orderBy(F.xxhash64("docno")).limit(sample))
+    centers = [[float(x) for x in c] for c in model.clusterCenters()]
+    dist = F.array(*(F.struct(F.aggregate(F.zip_with("qvec", F.array(*map(F.lit, c)), lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda a, x: a + x).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centers)))
+    asked = queries.select("qid", F.explode(F.transform(F.slice(F.sort_array(dist), 1, probes), lambda x: x["cell"])).alias("cell"))
+    pairs = asked.join(model.transform(d).select("docno", F.col("prediction").alias("cell")), "cell").select("qid", "docno")
+    pairs = pairs.where("qid <> docno") if skip_self else pairs
+    return rerank(pairs, queries, corpus, "dot", k)

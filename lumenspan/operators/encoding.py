@@ -70,3 +70,14 @@ def cached(spark: SparkSession, folder: str, key: str, make, resume: str = "auto
         raise ValueError(f"{folder} holds vectors of another context")
     make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def newest(spark: SparkSession, folder: str) -> str | None:
+    """The latest finished table in a folder of cached ones."""
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(to):
+        return None
+    done = [(s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(to) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return max(done)[1] if done else None

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumenspan.functions import scores as S
 from lumenspan.functions import vectors as V
 from lumenspan.operators import dense
+from lumenspan.operators.knapsack import running
 from lumenspan.operators.profiles import Profile, check, with_profiles
 
 
@@ -78,13 +79,21 @@ class Tail:
     low: float = 0.0
 
 
-def sampled_quality(docs: DataFrame, queries: DataFrame, profiles: list[Profile], metric: str = S.METRICS[0], similarity: str = "dot", n: int = 32, seed: int = 13, epsilon: float = 1e-6) -> DataFrame:
-    """`docno`, `profile`, `profile_quality`: the mean preservation over at most n queries drawn by a seed, within 0 and 1. A stated number of queries meets all documents."""
-    if metric in S.MARGIN_METRICS:
-        raise ValueError("margins need a group of documents; sampled quality is by pairs")
+def sampled_quality(docs: DataFrame, queries: DataFrame, profiles: list[Profile], metric: str = S.METRICS[0], similarity: str = "dot", n: int = 32, seed: int = 13, epsilon: float = 1e-6, alpha: float = 0.7, negatives: int = 4, chunk: int = 512) -> DataFrame:
+    """`docno`, `profile`, `profile_quality`: the mean preservation over at most n queries drawn by a seed, within 0 and 1. A stated number of queries meets all documents.
+
+    Margin metrics take a document's negatives from its chunk, `chunk` documents in order of docno.
+    """
     drawn = queries.orderBy(F.xxhash64(F.lit(seed), "qid"), "qid").limit(n)
     pairs = docs.select("docno").join(F.broadcast(drawn.select("qid")))
-    s = preserved(pairs, drawn, docs, profiles, metric, similarity, epsilon)
+    if metric in S.MARGIN_METRICS:
+        at = running(docs.select("docno", F.lit(1).alias("one")), ((F.asc, "docno"),), "one").select("docno", F.floor(F.col("_pos") / chunk).alias("chunk"))
+        s = dense.pair_scores(pairs.join(at, "docno"), drawn, docs, profiles, similarity)
+        keys = ("qid", "profile", "chunk")
+        s = hard_negatives(hard_negatives(s, "full_score", negatives, keys), "reduced_score", negatives, keys)
+        s = s.withColumn("score_preservation", S.preservation(metric, F.col("full_score"), F.col("reduced_score"), F.col("full_score_negative"), F.col("reduced_score_negative"), F.col("n"), epsilon, alpha))
+    else:
+        s = preserved(pairs, drawn, docs, profiles, metric, similarity, epsilon)
     return s.groupBy("docno", "profile").agg(S.clip(F.avg("score_preservation")).alias("profile_quality"))
 
 
@@ -114,3 +123,7 @@ def coverage(docs: DataFrame, pairs: DataFrame, means: DataFrame) -> DataFrame:
     a = pairs.agg(F.count("*").alias("n_pairs"), F.countDistinct("docno").alias("pair_docs"), F.countDistinct("qid").alias("pair_queries"), F.coalesce(F.sum(F.col("is_qrel_overridden").cast("long")), F.lit(0)).alias("overrides"))
     n = docs.join(means.select("docno").distinct().withColumn("_o", F.lit(1)), "docno", "left").agg(F.count("*").alias("n_docs"), F.sum(F.when(F.col("_o").isNull(), 1).otherwise(0)).alias("default_docs"))
     return a.join(F.broadcast(n)).withColumn("default_fraction", F.col("default_docs") / F.greatest(F.col("n_docs"), F.lit(1)))
+
+
+#: Estimators by name: what configurations call them.
+ESTIMATORS = {"residual_norm": residual, "query_log": observed}

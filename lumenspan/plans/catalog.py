@@ -437,6 +437,19 @@ def tail_utility_sampled(spark: SparkSession, d: str) -> DataFrame:
     return _tail(spark, d, utility.Tail("rbp_residual_interval", quality="sampled_dense_score_preservation"), quality)
 
 
+_CHUNKS = "ch AS (SELECT docno, (row_number() OVER (ORDER BY docno) - 1) // 512 AS chunk FROM dv), sc AS (SELECT qid, docno, profile, chunk, list_inner_product(qvec, v) AS s, list_inner_product(qvec[1:dimension], v[1:dimension]) AS r FROM qv, dv JOIN ch USING (docno), prof)"
+_CHUNK_NEG = """w1 AS (SELECT *, count(*) OVER (PARTITION BY qid, profile, chunk) AS n, row_number() OVER (PARTITION BY qid, profile, chunk ORDER BY s DESC, docno) AS ns, row_number() OVER (PARTITION BY qid, profile, chunk ORDER BY r DESC, docno) AS nr FROM sc),
+ws AS (SELECT a.qid, a.docno, a.profile, avg(b.s) AS sn FROM w1 a JOIN w1 b ON b.qid = a.qid AND b.profile = a.profile AND b.chunk = a.chunk AND b.ns <= 5 AND b.docno <> a.docno AND b.ns - (CASE WHEN a.ns < b.ns THEN 1 ELSE 0 END) <= 4 GROUP BY a.qid, a.docno, a.profile),
+wr AS (SELECT a.qid, a.docno, a.profile, avg(b.r) AS rn FROM w1 a JOIN w1 b ON b.qid = a.qid AND b.profile = a.profile AND b.chunk = a.chunk AND b.nr <= 5 AND b.docno <> a.docno AND b.nr - (CASE WHEN a.nr < b.nr THEN 1 ELSE 0 END) <= 4 GROUP BY a.qid, a.docno, a.profile),
+w2 AS (SELECT * FROM w1 LEFT JOIN ws USING (qid, docno, profile) LEFT JOIN wr USING (qid, docno, profile))"""
+
+
+@query(f"WITH {_DV}, {_PROF}, {_CHUNKS}, {_CHUNK_NEG} SELECT docno, profile, round(least(greatest(avg(CASE WHEN n <= 1 THEN 1.0 ELSE {_MAR} END), 0.0), 1.0), 5) AS profile_quality FROM w2 GROUP BY docno, profile")
+def sampled_quality_margin(spark: SparkSession, d: str) -> DataFrame:
+    q = query_vec(spark, d)
+    return rounded(utility.sampled_quality(doc_vec(spark, d), q, PROFILES, S.METRICS[3], n=q.count()), "profile_quality", digits=5)
+
+
 @query(f"WITH {_CAND}, c AS (SELECT count(*) AS n_pairs, count(DISTINCT docno) AS pair_docs, count(DISTINCT qid) AS pair_queries, CAST(0 AS BIGINT) AS overrides FROM cand), n AS (SELECT count(*) AS n_docs FROM dv) SELECT n_pairs, pair_docs, pair_queries, overrides, n_docs, n_docs - pair_docs AS default_docs, round((n_docs - pair_docs) / n_docs, 6) AS default_fraction FROM c, n")
 def coverage_report(spark: SparkSession, d: str) -> DataFrame:
     return rounded(utility.coverage(doc_vec(spark, d).select("docno"), log_pairs(spark, d), log_means(spark, d)), "default_fraction")
@@ -571,6 +584,11 @@ def ann_lsh(spark: SparkSession, d: str) -> DataFrame:
     return dense.lsh_search(query_vec(spark, d), full_corpus(spark, d), K, skip_self=True)
 
 
+@query()
+def ann_ivf(spark: SparkSession, d: str) -> DataFrame:
+    return dense.ivf_search(query_vec(spark, d), full_corpus(spark, d), K, skip_self=True)
+
+
 # ---- reporting and training data
 
 

@@ -113,7 +113,7 @@ class Experiment:
         tail = None
         if u.tail.mode == "rbp_residual_interval":
             t = utility.Tail(u.tail.mode, u.tail.target_residual, u.tail.conservatism_beta, u.tail.expected_fraction, u.tail.max_tail_relevance, u.tail.profile_quality, u.tail.sampled_quality_queries, u.tail.utility_low)
-            quality = utility.padding_quality(docs, self.profiles) if t.quality == "cosine_padding" else utility.sampled_quality(docs, queries, self.profiles, u.metric, self.cfg.model.similarity, t.sampled_queries, u.seed, u.epsilon)
+            quality = utility.padding_quality(docs, self.profiles) if t.quality == "cosine_padding" else utility.sampled_quality(docs, queries, self.profiles, u.metric, self.cfg.model.similarity, t.sampled_queries, u.seed, u.epsilon, u.alpha, u.margin_negatives)
             tail = utility.tail_utility(docs.select("docno").join(pairs.select("docno"), "docno", "left_anti"), docs, quality, t)
         return utility.table(docs, self.profiles, utility.mean_utility(scored), tail, u.default_utility_profile_name), pairs, scored
 
@@ -158,6 +158,7 @@ class Experiment:
         first = "bm25_run" if self.cfg.retrieval.include_bm25_baseline else "full_run"
         sinks.save(r.assignments, f"{f}/assignments.parquet")
         sinks.save(r.utility, f"{f}/utility_table.parquet")
+        sinks.save(r.assignments.select("docno").orderBy("docno"), f"{x.output_dir}/corpus_metadata.parquet")
         if x.save_runs:
             sinks.save(r.runs, f"{f}/runs.parquet")
         if x.save_score_pairs and r.score_pairs is not None:

@@ -176,7 +176,7 @@ def test_vector_cache(spark, tmp_path):
     make = lambda: made.append(1) or encoding.encode(d, "docno", "text", encoding.HashingEncoder(8))
     for resume in ("auto", "auto", "restart"):
         assert encoding.cached(spark, str(tmp_path / "v"), "k", make, resume).count() == 2
-    assert len(made) == 2
+    assert len(made) == 2 and encoding.newest(spark, str(tmp_path / "v")) == "k" and encoding.newest(spark, str(tmp_path / "none")) is None
     with pytest.raises(ValueError):
         encoding.cached(spark, str(tmp_path / "v"), "other", make, "fail")
 
@@ -203,3 +203,19 @@ def test_configuration_of_older_names():
     with pytest.warns(UserWarning):
         c = config.parse(RAW | {"data": RAW["data"] | {"candidates_per_query": 7, "candidate_source": "pyterrier_bm25"}, "optimization": {"algorithm": "lagrangian_dual", "budget_gb": 1}})
     assert (c.retrieval.candidate_k, c.retrieval.mode, c.optimization.algorithm, config.budget(c)) == (7, "pyterrier_candidates", "lagrangian_relaxation", 1 << 30)
+
+
+def test_approximate_search_finds_most(spark):
+    from lumenspan.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    want = {(r.qid, r.docno) for r in catalog.dense_topk_dot(spark, d).collect()}
+    for name, least in (("ann_ivf", 0.4), ("ann_lsh", 0.4)):
+        got = {(r.qid, r.docno) for r in catalog.QUERIES[name](spark, d).collect()}
+        assert len(got & want) / len(want) >= least
+
+
+def test_all_cells_are_exact(spark, docs, queries):
+    corpus = dense.materialize(docs, dense.uniform(docs, P[1]))
+    got = sorted((r.qid, r.docno) for r in dense.ivf_search(queries, corpus, 3, cells=2, probes=2).collect())
+    assert got == sorted((r.qid, r.docno) for r in dense.search(queries, corpus, 3).collect())
