@@ -1,9 +1,9 @@
-"""Shared plumbing: input tables, shared folders, small Arrow slices, exact placement of partitions."""
+"""Shared plumbing: input tables, tables in the shared folder, small Arrow slices."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+_made: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,6 +35,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder: it survives the loss of any executor and is read by all."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,13 +54,10 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         at, done = to, int(ends[to - 1])
 
 
-def arrow_map(df: DataFrame, kernel: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(kernel, schema)
-
-
-def parts_for(df_bytes: float, each: int, least: int) -> int:
-    return max(least, int(df_bytes // each) + 1)
-
-
-def cores(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, 1)
+def release(spark: SparkSession) -> int:
+    """Remove the tables that this process has made, once no result reads them any more. Returns how many."""
+    jvm, n = spark.sparkContext._jvm, len(_made)
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n

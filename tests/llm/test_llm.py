@@ -611,3 +611,10 @@ def test_pipeline_of_nothing(spark):
     for _, stage in pipeline.STAGES:
         d = stage(spark, d, SF)
         assert d.count() == 0
+
+
+def test_tables_can_be_released(spark):
+    from lumenspan.llm import runtime
+
+    assert runtime.materialize(spark.range(3)).count() == 3
+    assert runtime.release(spark) >= 1 and runtime.release(spark) == 0
