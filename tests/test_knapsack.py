@@ -58,3 +58,10 @@ def test_former_repair():
     rows = [("x", [0.1, 0.5, 0.6], 2), ("y", [0.0, 0.1, 0.9], 2)]
     out = K.repair_by_single_moves(rows, [16, 32, 64], ["a", "b", "c"], 96)
     assert [k for _, _, k in out] == [1, 2]
+
+
+def test_kept_tables_can_be_released(spark):
+    from lumenspan.sources import shared
+
+    t = shared.kept(spark.range(3))
+    assert t.count() == 3 and shared.release(spark) >= 1 and shared.release(spark) == 0
