@@ -6,7 +6,7 @@ k places, gives them. Two permutations thus serve all `COORDINATES`. Each of the
 1. A scan gives each row its shingle set's size, 128-bit digest and signature. Rows of equal sets form one class at once, so
    exact copies, however many, cost one row afterwards.
 2. Classes meet in band buckets, in one pass. A bucket compares four-bit sketches of its members' signatures with a few hubs;
-   buckets beyond `DENSE` are split again by their sketches. It passes on a few pairs for each member, which connect all those
+   buckets beyond `HOT` are shared out first, those beyond `DENSE` split again by their sketches. It passes on a few pairs for each member, which connect all those
    that may be linked, never all pairs of a group.
 3. These pairs are confirmed on full sets. Where a connected group of pairs falls into several parts by its confirmed links, the
    members outside its largest part are compared on full sets with all members of other parts, in blocks of `BLOCK`.
@@ -38,6 +38,8 @@ LOW = 34
 #: Places that agree in about half of the pairs of Jaccard 0.77, and in nearly all that a link and such a pair bring together.
 MID, CONNECT = 50, 28
 DENSE = 4096
+#: Members of a bucket from which on it is shared out.
+HOT = 1 << 15
 #: Documents of one side that a task of the last step compares.
 BLOCK = 512
 
@@ -101,18 +103,18 @@ def _banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rid[many]), sketch.take(pa.array(many))], names=["key", "rid", "sketch"])
 
 
-def _bucket(rid: np.ndarray, sketch: np.ndarray, depth: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+def _bucket(rid: np.ndarray, sketch: np.ndarray, depth: int = 0, lead: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs that connect all members of a bucket of which some chain may be links, a few for each member. rid ascends.
 
     Members gather round hubs: the one that most others resemble comes first. A member leaves when it surely resembles a hub, or
-    may resemble three. A later hub is paired with the nearest member of each earlier hub's circle.
+    may resemble three. A later hub is paired with the nearest member of each earlier hub's circle. `lead` gets the hubs' rids.
     """
     out = []
     _, at, back = np.unique(sketch, axis=0, return_index=True, return_inverse=True)
     if len(at) < len(rid):  # equal sketches: paired with the first of them
-        lead = at[back.ravel()]
-        other = np.flatnonzero(lead != np.arange(len(rid)))
-        out.append((rid[lead[other]], rid[other]))
+        alike = at[back.ravel()]
+        other = np.flatnonzero(alike != np.arange(len(rid)))
+        out.append((rid[alike[other]], rid[other]))
         at = np.sort(at)
         rid, sketch = rid[at], sketch[at]
     circle, tries = np.full(len(rid), -1), np.zeros(len(rid), np.int64)
@@ -121,12 +123,14 @@ def _bucket(rid: np.ndarray, sketch: np.ndarray, depth: int = 0) -> list[tuple[n
     while True:
         queue = queue[circle[queue] < 0]
         if not len(queue):
+            if lead is not None:
+                lead.append(rid[hubs])
             return out
         if len(rid) > DENSE and len(hubs) >= 64:
             break
-        lead = queue[:32]
-        alike = (sketch[lead][:, None] == sketch[queue][None, :2048]).sum(axis=2) >= MID
-        hub = int(lead[alike.sum(axis=1).argmax()])
+        first = queue[:32]
+        alike = (sketch[first][:, None] == sketch[queue][None, :2048]).sum(axis=2) >= MID
+        hub = int(first[alike.sum(axis=1).argmax()])
         same = (sketch == sketch[hub]).sum(axis=1)
         free = circle < 0
         free[hub] = False
@@ -142,6 +146,8 @@ def _bucket(rid: np.ndarray, sketch: np.ndarray, depth: int = 0) -> list[tuple[n
         hubs.append(hub)
     left = np.sort(np.concatenate((queue, hubs)))
     r, s = rid[left], sketch[left]
+    if lead is not None:
+        lead.append(r)
     rng = np.random.Generator(np.random.PCG64(depth + 3))
     for _ in range(32):  # four agreeing places of 64 at least once in 32 draws: all but 2e-6 of the pairs of Jaccard 0.75
         own = rng.permutation(COORDINATES)[: WIDTH + depth // 2]
@@ -193,6 +199,54 @@ def _paired(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(*(np.concatenate([x[i] for x in held]) for i in range(3)))
 
 
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shares of hot buckets, sorted by share and rid: pairs within each (a, b), and its hubs (key, rid, sketch) for the whole bucket."""
+
+    def made(share: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        rid, raw = np.array([x[1] for x in share]), [x[2] for x in share]
+        packed = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+        sketch = np.empty((len(raw), COORDINATES), np.uint8)
+        sketch[:, ::2], sketch[:, 1::2] = packed & 15, packed >> 4
+        lead: list[np.ndarray] = []
+        pairs = {(min(x), max(x)) for a, b in _bucket(rid, sketch, lead=lead) for x in zip(a.tolist(), b.tolist(), strict=True) if x[0] != x[1]}
+        of = dict(zip(rid.tolist(), raw, strict=True))
+        hubs = sorted(set(np.concatenate(lead).tolist()))
+        none = [None] * len(pairs)
+        columns = [none + [share[0][0]] * len(hubs), none + hubs, none + [of[h] for h in hubs], [p[0] for p in pairs] + [None] * len(hubs), [p[1] for p in pairs] + [None] * len(hubs)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["key", "rid", "sketch", "a", "b"])
+
+    now, held = None, []
+    for batch in batches:
+        for key, salt, rid, sketch in zip(*(batch.column(c).to_pylist() for c in ("key", "salt", "rid", "sketch")), strict=True):
+            if (key, salt) != now and held:
+                yield made(held)
+                held = []
+            now = key, salt
+            held.append((key, rid, sketch))
+    if held:
+        yield made(held)
+
+
+def _candidates(classes: DataFrame, hot: int) -> DataFrame:
+    """Pairs `a`, `b` of classes (`rid`, `sig`) from all band buckets.
+
+    One class in 64 tells which buckets have more than about `hot` members. These are gone through in shares of that size first,
+    and only the hubs of their shares meet as one bucket.
+    """
+    band = lambda c: c.select("rid", "sig").mapInArrow(_banded, "key long, rid long, sketch binary")
+    banded = band(classes)
+    drawn = band(classes.where(F.pmod(F.xxhash64("rid"), F.lit(64)) == 0)).groupBy("key").agg(F.count("*").alias("n"))
+    large = materialize(drawn.where(F.col("n") * 64 > hot).select("key", F.ceil(F.col("n") * 64 / hot).cast("int").alias("shares")))
+    more = None
+    if large.take(1):
+        salted = banded.join(large, "key").withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("shares")).cast("int"))
+        gathered = materialize(salted.select("key", "salt", "rid", "sketch").repartition("key", "salt").sortWithinPartitions("key", "salt", "rid").mapInArrow(_gathered, "key long, rid long, sketch binary, a long, b long"))
+        more = gathered.where("a IS NOT NULL").select("a", "b")
+        banded = banded.join(large, "key", "left_anti").unionByName(gathered.where("a IS NULL").select("key", "rid", "sketch"))
+    pairs = banded.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_paired, "a long, b long")
+    return pairs if more is None else pairs.union(more)
+
+
 def _sets(k: int):
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,7 +329,7 @@ def _between_parts(nodes: DataFrame, groups: DataFrame, parts: DataFrame, sets:
     return tasks.join(sets, "rid").select("task", "side", "rid", "part", "set").repartition("task").sortWithinPartitions("task", "side").mapInArrow(_across(percent), "a long, b long")
 
 
-def near_duplicates(df: DataFrame, percent: int = 75, k: int = SHINGLE) -> DataFrame:
+def near_duplicates(df: DataFrame, percent: int = 75, k: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id`, `kept` for each row of `doc_id`, `text`.
 
     Documents whose k-word shingle sets have a Jaccard similarity of `percent` hundredths or more are linked; component_id is
@@ -289,8 +343,7 @@ def near_duplicates(df: DataFrame, percent: int = 75, k: int = SHINGLE) -> DataF
     rows = materialize(docs.mapInArrow(_signed("text", k), "doc_id long, n_shingles long, one long, two long, sig binary"))
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(full.groupBy("one", "two").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig")))
-    banded = classes.select("rid", "sig").mapInArrow(_banded, "key long, rid long, sketch binary")
-    pairs = materialize(banded.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_paired, "a long, b long").distinct())
+    pairs = materialize(_candidates(classes, hot).distinct())
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = materialize(docs.join(ends.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k), "rid long, set binary"))
     a, b = (sets.select(F.col("rid").alias(x), F.col("set").alias(f"set_{x}")) for x in ("a", "b"))

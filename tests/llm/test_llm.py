@@ -211,6 +211,28 @@ def test_repeats_are_found_and_clean_documents_left(spark):
     assert substring.repeats(df.limit(0)).count() == 0
 
 
+def test_long_runs_of_one_window_in_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    common = sentence(rng, 70)
+    df = spark.createDataFrame([(i, f"{sentence(rng, 20)} {common} {sentence(rng, 20)}") for i in range(300)], "doc_id long, text string")
+    batches = [b for b in df.repartition(1).mapInArrow(substring._windows(5, 46), "key long, doc_id long, place long, around long").orderBy("key", "doc_id", "place").toArrow().to_batches(max_chunksize=50)]
+    reach = []
+    for held in (1 << 18, 100):
+        monkeypatch.setattr(substring, "HELD", held)
+        monkeypatch.setattr(substring, "READY", min(held, 20_000))
+        cut = [[b for i in range(0, x.num_rows, 50) for b in [x.slice(i, 50)]] for x in batches]
+        links = pa.Table.from_batches(list(substring._linked(iter(sum(cut, [])))))
+        root = list(range(300))
+        for a, b in zip(links.column("a").to_pylist(), links.column("b").to_pylist()):
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+        reach.append((links.num_rows < 300 * 40, all(root[i] < i for i in range(1, 300))))
+    assert reach == [(True, True)] * 2
+
+
 def test_repeats_of_odd_rows(odd):
     assert {r.doc_id for r in substring.repeats(odd).collect()} == {5, 6}
 
@@ -458,8 +480,9 @@ def test_groups_of_near_copies(spark):
             n += 1
     docs += [(n + i, t) for i, t in enumerate(["", None, "  ", "one", "One", "a b c d", "a b c d e", *[docs[3][1]] * 20, *(sentence(rng, 40) for _ in range(30))])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
-    assert got == brute_components(docs)
+    want = brute_components(docs)
+    for hot in (minhash.HOT, 4):  # the latter shares out every bucket that one of the drawn classes is in
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, hot=hot).collect()} == want
 
 
 def test_near_duplicates_of_odd_rows(spark, odd, none):
