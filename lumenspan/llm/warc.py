@@ -10,8 +10,9 @@ runs are written as files. The merge deals the key range out to tasks; each merg
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import zlib
+import io
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
@@ -79,18 +80,28 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in (80, 443) else "") + ")" + (u.path.lower() or "/") + (f"?{query}" if query else "")
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """Headers, block, offset and length of each record, by the lengths that headers give."""
+def parsed(archive: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+    """Headers, block, offset and length of each record, by the lengths that headers give; one record is held at a time."""
     at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
+    while first := archive.readline():
+        if not first.startswith(b"WARC/"):
             raise ValueError(f"no record at byte {at}")
-        headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+        size, headers = len(first), {}
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            size += len(line)
+            k, _, v = line.decode().rstrip("\r\n").partition(": ")
+            headers[k.lower()] = v
         n = int(headers["content-length"])
-        yield headers, data[stop + 4 : stop + 4 + n], at, stop + 4 + n - at
-        at = stop + 4 + n + 4
+        block, end = archive.read(n), archive.read(4)
+        if len(block) < n or end != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {at} is cut off")
+        yield headers, block, at, size + 2 + n
+        at += size + 2 + n + 4
+
+
+def opened(path: str, raw: memoryview) -> io.BufferedIOBase:
+    data = io.BytesIO(raw)
+    return io.BufferedReader(gzip.GzipFile(fileobj=data), 1 << 20) if path.endswith(".gz") else data
 
 
 def _number(identity: str | None) -> int | None:
@@ -101,9 +112,8 @@ def _captures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in CAPTURES.split(", ")]
     for batch in batches:
         for path, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            data = zlib.decompress(raw.as_buffer(), 47) if path.endswith(".gz") else raw.as_py()
             rows = []
-            for h, block, at, n in parsed(data):
+            for h, block, at, n in parsed(opened(path, memoryview(raw.as_buffer()))):
                 head, _, payload = block.partition(b"\r\n\r\n")
                 size = int(dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])["Content-Length"])
                 digest = h["warc-payload-digest"].removeprefix("sha1:")

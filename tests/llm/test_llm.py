@@ -2,6 +2,7 @@ import base64
 import collections
 import gzip
 import hashlib
+import io
 import os
 import random
 import re
@@ -437,6 +438,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.history(df.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def test_damaged_archives_are_refused():
+    record = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert [(h, b, at, n) for h, b, at, n in warc.parsed(io.BytesIO(record * 2))] == [({"content-length": "3"}, b"abc", 0, len(record) - 4), ({"content-length": "3"}, b"abc", len(record), len(record) - 4)]
+    for bad in (record[:-6], record[1:], record + b"x"):
+        with pytest.raises(ValueError):
+            list(warc.parsed(io.BytesIO(bad)))
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
 def test_loser_tree(k):
     rng = random.Random(k)
