@@ -24,13 +24,6 @@ def head(run: DataFrame, k: int) -> DataFrame:
     return run.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 
-def second_best(value: Column) -> Column:
-    """A query's second highest value, or its only one."""
-    w = Window.partitionBy("qid")
-    top = F.slice(F.sort_array(F.collect_list(value).over(w), asc=False), 1, 2)
-    return F.element_at(top, -1)
-
-
 def calibrate(run: DataFrame, how: str = "minmax_score", source_mode: str = "weak") -> DataFrame:
     """Pairs of a candidate run (`qid`, `docno`, `score`, `rank` from 0). Confidence is the distance to the query's second best."""
     if how not in CALIBRATIONS:
