@@ -608,9 +608,9 @@ def describe_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return rounded(reporting.describe(read(spark, d, "lineitem"), "l_quantity", ["l_linestatus"]), "mean", "std", "p10", "p50", "p90")
 
 
-@query("SELECT doc_id, lang, CAST(NULL AS INT) AS quality, CAST(NULL AS VARCHAR) AS note FROM documents UNION ALL SELECT doc_id, NULL, quality, NULL FROM labels")
+@query("SELECT doc_id, lang, CAST(NULL AS VARCHAR) AS quality, CAST(NULL AS VARCHAR) AS note FROM documents UNION ALL SELECT doc_id, NULL, CAST(quality AS VARCHAR), NULL FROM labels")
 def canonical_union(spark: SparkSession, d: str) -> DataFrame:
-    return reporting.canonical_union([read(spark, d, "documents").select("doc_id", "lang", "source"), read(spark, d, "labels").select("doc_id", "quality", "toxic")], ["doc_id", "lang", "quality", "note"])
+    return reporting.canonical_union([read(spark, d, "documents").select("doc_id", "lang", "source"), read(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"), "toxic")], ["doc_id", "lang", "quality", "note"])
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
