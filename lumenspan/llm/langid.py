@@ -127,17 +127,19 @@ def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("_order"), pa.array(rows, pa.binary())], names=["lang", "_order", "x"])
 
 
-def fit(labelled: DataFrame, per_lang: int = 800, most_langs: int = 200, seed: int = 5) -> dict | None:
+def fit(labelled: DataFrame, per_lang: int = 800, most_langs: int = 200, most_rows: int = 6000, seed: int = 5) -> dict | None:
     """A model from rows of `text`, `lang`; None if there are none.
 
-    At most `per_lang` rows a language, drawn by a hash of the row so that reruns agree, and the `most_langs` commonest
-    languages reach the driver: this bounds what training reads. Rows without text, language or letters teach nothing.
+    At most `per_lang` rows a language (fewer of each, 30 at least, if there are so many languages that these would be more than
+    `most_rows`), drawn by a hash of the row so that reruns agree, and the `most_langs` commonest languages reach the driver:
+    this bounds what training reads. Rows without text, language or letters teach nothing.
     """
     rows = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text IS NOT NULL AND lang IS NOT NULL")
     rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), "text"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not counts:
         return None
+    per_lang = min(per_lang, max(30, most_rows // len(counts)))
     part = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, (1.5 * per_lang + 60) / n))])
     drawn = rows.where(F.pmod("_order", F.lit(1 << 30)) < F.try_element_at(part, F.col("lang")) * (1 << 30))
     got: dict[str, list] = {}
