@@ -29,18 +29,31 @@ END_ID = 1
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
+class Known(dict):
+    """Words by number; one that is asked for the first time gets the next number and is noted as new."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
     """Token ids of texts, by white-space-separated words.
 
     The vocabulary's normaliser and pre-tokeniser never join text across white space, so a text's ids are its words' ids in a
     row, and ASCII capitals may be lowered first where it lowers them itself. Words seen before are looked up; new ones are
-    encoded in long strings, with a mark between them. `most` bounds the memory kept for words, not the words.
+    encoded in strings of many, with a mark between them. `most` bounds the memory kept for words, not the words: beyond it,
+    words that have been met once only are forgotten.
     """
 
     MARK = "\x01"
     SIGNS = ".,;:!?#%&*$)]}-"
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
@@ -48,12 +61,35 @@ class Encoder:
         ids = lambda x: self.of.encode(x, add_special_tokens=False).ids
         self.mark = m[0] if len(m := ids(self.MARK)) == 1 and ids(f"a {self.MARK} a") == [*ids("a"), *m, *ids("a")] else None
         self.lowers = ids("AbC dEF") == ids("abc def")
+        self.cuts = all(ids(f"a{x}") + ids(s) == ids(f"a{x}{s}") for x in "b1" for s in self.SIGNS)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Known()
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.begin, self.size, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.begin, self.size, self.uses, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def forget(self) -> None:
+        """Keep the words met most, half of `most` at best."""
+        words = list(self.known)
+        uses = self.uses[: len(words)]
+        least = 2
+        while (uses >= least).sum() > self.most // 2:
+            least *= 2
+        keep = np.flatnonzero(uses >= least)
+        ids, sizes = self.of_words(keep)
+        uses = uses[keep] // 2
+        self.clear()
+        for i in keep.tolist():
+            self.known[words[i]]
+        self.known.new = []
+        self.grow()
+        self.uses[: len(keep)] = uses
+        self.add(np.arange(len(keep)), ids, sizes)
+
+    def grow(self) -> None:
+        while len(self.known) > len(self.begin):
+            self.begin, self.size, self.uses = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.size, self.uses))
 
     def encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in a row, and how many each has."""
@@ -68,17 +104,13 @@ class Encoder:
             sizes.append(np.diff(marks, prepend=-1) - 1)
         return np.concatenate(some), np.concatenate(sizes)
 
-    def add(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.known)
+    def add(self, which: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while n + len(new) > len(self.begin):
-            self.begin, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.size))
-        self.begin[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(new)] = sizes
+        self.begin[which] = self.used + np.cumsum(sizes) - sizes
+        self.size[which] = sizes
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.known.update(zip(new, range(n, n + len(new)), strict=True))
 
     def of_words(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of known words in a row, and how many each has."""
@@ -86,33 +118,38 @@ class Encoder:
         ends = np.cumsum(size)
         return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[which] - ends + size, size)], size
 
-    def learn(self, new: list[str]) -> None:
-        """The pre-tokeniser always cuts between a letter or digit and other signs, so signs that end a word are encoded apart."""
-        pairs, alone = [], set()
-        for w in new:
-            c = w.rstrip(self.SIGNS)
-            if c and c != w and (c[-1].isalnum() and c[-1].isascii()):
-                pairs.append((w, c, w[len(c) :]))
-                alone.update(pairs[-1][1:])
+    def learn(self) -> None:
+        """Ids of the new words. Where the pre-tokeniser cuts between a letter or digit and other signs, the signs that end a word are encoded apart."""
+        known, new = self.known, self.known.new
+        first = len(known) - len(new)
+        alone, whole, parts = [], [], []
+        for w in new:  # which grows by parts that are new themselves
+            c = w.rstrip(self.SIGNS) if self.cuts else w
+            if c and len(c) < len(w) and c[-1].isalnum() and c[-1].isascii():
+                whole.append(w)
+                parts += [known[c], known[w[len(c) :]]]
             else:
-                alone.add(w)
-        if alone := [w for w in alone if w not in self.known]:
-            self.add(alone, *self.encoded(alone))
-        if pairs:
-            parts = np.array([self.known[x] for p in pairs for x in p[1:]], np.int64)
-            ids, sizes = self.of_words(parts)
-            self.add([p[0] for p in pairs], ids, sizes.reshape(-1, 2).sum(axis=1))
+                alone.append(w)
+        self.grow()
+        split = np.fromiter(map(known.__getitem__, whole), np.int64, len(whole))
+        rest = np.setdiff1d(np.arange(first, len(known)), split, assume_unique=True)
+        self.add(rest, *self.encoded(alone))
+        if whole:
+            ids, sizes = self.of_words(np.array(parts, np.int64))
+            self.add(split, ids, sizes.reshape(-1, 2).sum(axis=1))
+        known.new = []
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """An array of ids for each text; null as empty."""
-        split = [self.words(t) for t in texts]
-        every = list(chain.from_iterable(split))
         if len(self.known) > self.most:
-            self.clear()
-        if new := list(set(every).difference(self.known)):
-            self.learn(new)
+            self.forget()
+        split = [self.words(t) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        ids, size = self.of_words(np.fromiter(map(self.known.__getitem__, every), np.int64, len(every)))
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        if self.known.new:
+            self.learn()
+        self.uses[: len(self.known)] += np.bincount(which, minlength=len(self.known))
+        ids, size = self.of_words(which)
         stops = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
         return [ids[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
 

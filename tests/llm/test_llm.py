@@ -113,6 +113,15 @@ def test_assignment_balances_cost():
     assert len(full) == sum(lengths) // 2048 and max(cost) < 1.6 * np.mean(cost)
 
 
+def test_encoder_keeps_what_it_meets_often():
+    rng = random.Random(2)
+    e = packing.Encoder(WORDS, most=40)
+    for _ in range(30):
+        t = sentence(rng, 30) + " often met words."
+        assert e([t])[0].tolist() == e.of.encode(t, add_special_tokens=False).ids
+    assert "often" in e.known and len(e.known) <= 40 + 2 * 33
+
+
 def test_encoder_forgets_and_goes_on():
     small = packing.Encoder(WORDS, most=3)
     whole = packing.Encoder(WORDS)
