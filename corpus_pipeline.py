@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspan.llm import langid, minhash, mixing, packing, secret_scan
-from lumenspan.llm.runtime import materialize, table
+from lumenspan.llm.runtime import materialize, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language (`und`: no text or no letter) go; a missing lang is filled in."""
+    small_batches(spark)
     known = langid.held_out(docs).where("NOT held_out AND doc_id IS NOT NULL")
     told = langid.predict(docs.select(*COLUMNS), langid.fit(known))
     return told.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)

@@ -13,10 +13,20 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+#: Bytes of an Arrow batch, of which a worker holds a few at once.
+BATCH_BYTES = 8 << 20
 _made: list[str] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have at most BATCH_BYTES (a row at least); a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

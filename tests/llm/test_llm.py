@@ -659,3 +659,14 @@ def test_tables_can_be_released(spark):
 
     assert runtime.materialize(spark.range(3)).count() == 3
     assert runtime.release(spark) >= 1 and runtime.release(spark) == 0
+
+
+def test_batches_are_made_small_only_if_larger(spark):
+    from lumenspan.llm import runtime
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for given, want in (("64m", str(runtime.BATCH_BYTES)), ("1m", "1m")):
+        spark.conf.set(key, given)
+        runtime.small_batches(spark)
+        assert spark.conf.get(key) == want
+    spark.conf.unset(key)
