@@ -189,17 +189,16 @@ def scan_text(text: str, escapes: bool = True, runs: bool = True) -> list[tuple[
 
 def _long_runs(buf: np.ndarray, at: np.ndarray, inside: np.ndarray, least: int) -> np.ndarray:
     """Whether each text has a run of `least` such bytes."""
-    x = inside[buf]
+    x = np.insert(inside[buf], at[1:-1], False)  # a gap between texts, so that no run goes on over their border
     edge = np.flatnonzero(np.diff(np.concatenate(([0], x.view(np.int8), [0]))))
     start = edge[::2][edge[1::2] - edge[::2] >= least]
     out = np.zeros(len(at) - 1, bool)
-    out[np.searchsorted(at, start, "right") - 1] = True
+    out[np.searchsorted(at + np.arange(len(at)), start, "right") - 1] = True
     return out
 
 
 def batch_findings(texts: pa.Array) -> list[list[tuple]]:
     buf, at = flat(texts)
-    # a run may go on over the border of two texts; that only opens a text for nothing
     run, hexed = _long_runs(buf, at, _RUN_BYTES, 16), _long_runs(buf, at, _HEX_BYTES, 16)
     out = []
     for i, text in enumerate(texts.to_pylist()):

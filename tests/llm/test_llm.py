@@ -569,6 +569,12 @@ def test_base_findings_of_all_texts(spark, odd):
             assert {f"{k}:{a}:{b}" for k, a, b in own} <= set(r.spans.split(",") if r.spans else [])
 
 
+def test_neighbours_in_a_batch_hide_no_secret():
+    for one in ("see the code", "deadbeef", "xQ7/", None, ""):
+        texts = pa.array([one, "deadbeefdeadbeef00 is it", "", one, f"{B64(f'the key is {KEY} ok')} is it", one], pa.string())
+        assert secret_scan.batch_findings(texts) == [secret_scan.scan_text(t or "") for t in texts.to_pylist()]
+
+
 B64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
 
 
