@@ -243,6 +243,15 @@ def test_long_runs_of_one_window_in_parts(spark, monkeypatch):
     assert reach == [(True, True)] * 2
 
 
+def test_a_passage_that_one_document_repeats_often(spark):
+    rng = random.Random(9)
+    common = sentence(rng, 60)
+    for m in (1, 16, 17, 50):
+        docs = [(1, f"{sentence(rng, 20)} {common} {sentence(rng, 20)}"), (2, " ".join(f"{sentence(rng, 30 + i)} {common}" for i in range(m)))]
+        got = {(r.a, r.b, r.b_start) for r in substring.shared_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert got and {x[:2] for x in got} == {(1, 2)}, m
+
+
 def test_repeats_of_odd_rows(odd):
     assert {r.doc_id for r in substring.repeats(odd).collect()} == {5, 6}
 
