@@ -252,6 +252,18 @@ def test_a_passage_that_one_document_repeats_often(spark):
         assert got and {x[:2] for x in got} == {(1, 2)}, m
 
 
+def test_near_passages_are_found(spark):
+    rng = random.Random(10)
+    docs, pairs = [], set()
+    for i in range(200):  # Jaccard 0.80 to 0.85 over 50 to 66 words
+        one = sentence(rng, 50 + i % 17).split()
+        two = [*one[: len(one) // 2], "changed", *one[len(one) // 2 + 1 :]]
+        docs += [(2 * i + j, f"{sentence(rng, 60)} {' '.join(p)} {sentence(rng, 60)}") for j, p in enumerate((one, two))]
+        pairs.add((2 * i, 2 * i + 1))
+    got = {(r.a, r.b) for r in substring.shared_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got <= pairs and len(got) >= 198
+
+
 def test_repeats_of_odd_rows(odd):
     assert {r.doc_id for r in substring.repeats(odd).collect()} == {5, 6}
 
