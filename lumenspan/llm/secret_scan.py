@@ -2,7 +2,7 @@
 
 A text's own layer is searched for every kind of secret. Then nested layers are unwrapped: URL escapes and Unicode escapes by
 line, base64 by run, compressed data (gzip, zlib, bzip2, xz) behind base64. Each decoded layer is searched again and put on the
-worklist, until nothing new turns up; layers seen before in the same document are not opened twice. Every character of a layer
+worklist, until nothing new turns up; a layer seen before at the same place of the document is not opened twice. Every character of a layer
 knows the span of the original text that it came from, so findings carry spans of the original, in code points.
 """
 
@@ -170,14 +170,14 @@ def unwrapped(text: str, escapes: bool = True, runs: bool = True) -> Iterator[tu
 def scan_text(text: str, escapes: bool = True, runs: bool = True) -> list[tuple[str, int, int, int, str]]:
     """Findings of all layers: kind, start, end (code points of text, end exclusive), depth (0: the text itself), how it was reached."""
     found = {(k, a, b): (0, "") for k, a, b in search(text)}
-    seen = {hashlib.sha256(text.encode(errors="surrogatepass")).digest()}
+    seen = {(hashlib.sha256(text.encode(errors="surrogatepass")).digest(), 0, len(text))}
     work = [(text, None, None, 0, "", escapes, runs)]
     while work:
         layer, begin, end, depth, via, esc, run = work.pop()
         for how, inner, a, b in unwrapped(layer, esc, run):
-            mark = hashlib.sha256(inner.encode(errors="surrogatepass")).digest()
             a, b = (a, b) if begin is None else ([begin[i] for i in a], [end[i - 1] for i in b])
-            if mark in seen and depth:
+            mark = hashlib.sha256(inner.encode(errors="surrogatepass")).digest(), a[0], b[-1]
+            if mark in seen:
                 continue
             seen.add(mark)
             path = f"{via}>{how}" if via else how

@@ -630,6 +630,17 @@ def test_ties_failures_and_endless_layers():
     assert [f[0] for f in secret_scan.scan_text(deep)].count("access") == 1
 
 
+def test_equal_layers_at_other_places_are_opened():
+    inner = B64(f"the key is {KEY} ok")
+    for parts in ([B64(f"first {inner}"), B64(f"second {inner}")], [inner, B64(f"again {inner}")], [inner, "x%20" + "".join(f"%{ord(c):02x}" for c in inner)]):
+        text = "\n".join(parts)
+        spans = [f[1:3] for f in secret_scan.scan_text(text) if f[0] == "access"]
+        at = 0
+        for p in parts:
+            assert any(at <= a < b <= at + len(p) for a, b in spans)
+            at += len(p) + 1
+
+
 def test_redaction_keeps_columns(spark, odd, none):
     df = odd.withColumn("text", F.when(F.col("doc_id") == 2, F.lit(f"my {KEY} x")).otherwise(F.col("text")))
     got = secret_scan.redact(df)
