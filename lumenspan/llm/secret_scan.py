@@ -1,7 +1,7 @@
 """Secret scan with a recursive decoding worklist.
 
 A text's own layer is searched for every kind of secret. Then nested layers are unwrapped: URL escapes and Unicode escapes by
-line, base64 by run, compressed data (gzip, zlib, bzip2, xz) behind base64. Each decoded layer is searched again and put on the
+line, base64 by run and by wrapped lines, compressed data (gzip, zlib, bzip2, xz) behind base64. Each decoded layer is searched again and put on the
 worklist, until nothing new turns up; a layer seen before at the same place of the document is not opened twice. Every character of a layer
 knows the span of the original text that it came from, so findings carry spans of the original, in code points.
 """
@@ -39,8 +39,16 @@ _RUN_BYTES = np.zeros(256, bool)
 _RUN_BYTES[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
 _HEX_BYTES = np.zeros(256, bool)
 _HEX_BYTES[list(b"0123456789abcdef")] = True
-#: A compressed layer is opened up to this size; one that is larger (a decompression bomb) stays closed as a whole.
-LARGEST_LAYER = 1 << 26
+#: Lines of base64 in a row: the first may follow something else, the others hold nothing else.
+_WRAPPED = re.compile(r"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++(?=={0,2}(?:[\x20\t]*+\r?(?:\n|\Z)|["'<,;)])))++={0,2}""")
+_PART = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Decompressed data is searched in pieces of this size; each repeats so much of the end of the one before it.
+PIECE = 1 << 24
+OVERLAP = 1 << 20
+#: A decompression bomb isn't followed beyond so many bytes; what came before is searched.
+LARGEST_LAYER = 1 << 33
+#: A compressed layer inside another is held up to this size to be opened; a larger one is searched as it is.
+LARGEST_INNER = 1 << 26
 
 
 def search(text: str) -> list[tuple[str, int, int]]:
@@ -56,31 +64,74 @@ def search(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def opened(data: bytes) -> tuple[bytes, str] | None:
-    """What is compressed in data, with the format's name."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            d, name = zlib.decompressobj(31), "gzip"
-        elif len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-            d, name = zlib.decompressobj(), "zlib"
-        elif data[:3] == b"BZh":
-            d, name = bz2.BZ2Decompressor(), "bzip2"
-        elif data[:6] == b"\xfd7zXZ\x00":
-            d, name = lzma.LZMADecompressor(), "xz"
-        else:
-            return None
-        out = d.decompress(data, LARGEST_LAYER)
-        return (out, name) if d.eof else None
-    except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
-        return None
+def _format(data: bytes) -> str | None:
+    if data[:2] == b"\x1f\x8b":
+        return "gzip"
+    if len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
+        return "zlib"
+    return "bzip2" if data[:3] == b"BZh" else "xz" if data[:6] == b"\xfd7zXZ\x00" else None
+
+
+def _inflated(data: bytes, name: str) -> Iterator[bytes]:
+    """What is compressed in data, all members, by parts of `OVERLAP` at most; up to the first fault, if it has one."""
+    while data:
+        d = zlib.decompressobj(31) if name == "gzip" else zlib.decompressobj() if name == "zlib" else bz2.BZ2Decompressor() if name == "bzip2" else lzma.LZMADecompressor()
+        try:
+            while not d.eof:
+                out = d.decompress(data, OVERLAP)
+                data = d.unconsumed_tail if name in ("gzip", "zlib") else b""
+                if out:
+                    yield out
+                elif not data and not d.eof:
+                    return
+        except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
+            return
+        data = d.unused_data
+        if _format(data) != name:
+            if data:
+                yield data
+            return
+
+
+def opened(data: bytes) -> Iterator[tuple[bytes, str]]:
+    """Layers of what is compressed in data, in overlapping pieces, with the formats' names."""
+    work, seen = [(data, "")], set()
+    while work:
+        data, via = work.pop()
+        name = _format(data)
+        mark = hashlib.sha256(data).digest()
+        if name is None or mark in seen:  # the latter: data that expand to themselves
+            continue
+        seen.add(mark)
+        via = f"{via}+{name}" if via else name
+        held, new, total, closed = bytearray(), 0, 0, False
+        for part in _inflated(data, name):
+            held += part
+            new += len(part)
+            total += len(part)
+            if new >= PIECE:
+                closed = closed or total == len(held) <= LARGEST_INNER and _format(held) is not None and next(_inflated(bytes(held), _format(held)), b"") != b""
+                if not closed or len(held) > LARGEST_INNER:
+                    yield bytes(held), via
+                    del held[:-OVERLAP]
+                    closed = False
+                    new = 0
+            if total > LARGEST_LAYER:
+                break
+        if new:
+            yield bytes(held), via  # also if it is compressed again: what looks like a format's beginning may be none
+            if total == len(held):
+                work.append((bytes(held), via))
 
 
-def readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r\f\v" for c in text) else None
+def readable(data: bytes) -> tuple[str, np.ndarray, bool]:
+    """Data as text, bytes that aren't UTF-8 replaced; where each character begins, and the end; whether all is text."""
+    text = data.decode(errors="surrogateescape")
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    bad = (code >= 0xDC80) & (code <= 0xDCFF)
+    at = np.concatenate(([0], np.cumsum(np.where(bad, 1, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)))))
+    clean = not bad.any() and re.sub("[\t\n\r\f\v]", "", text).isprintable()
+    return re.sub("[\udc80-\udcff]", "\ufffd", text), at, clean
 
 
 def unescaped(line: str) -> tuple[str, list[int], list[int]] | None:
@@ -129,42 +180,54 @@ def unescaped(line: str) -> tuple[str, list[int], list[int]] | None:
     return "".join(out), begin, end
 
 
-def unwrapped(text: str, escapes: bool = True, runs: bool = True) -> Iterator[tuple[str, str, list[int], list[int]]]:
+def unwrapped(text: str, escapes: bool = True, runs: bool = True) -> Iterator[tuple[str, str, np.ndarray, np.ndarray]]:
     """Layers inside text: how, its text, and for each character the span of `text` behind it."""
     if escapes and ("%" in text or "\\" in text or "&#" in text):
         at = 0
         for line in text.splitlines(keepends=True):
             if got := unescaped(line):
-                yield "escape", got[0], [at + i for i in got[1]], [at + i for i in got[2]]
+                yield "escape", got[0], at + np.array(got[1]), at + np.array(got[2])
             at += len(line)
     if runs:
+        for m in _WRAPPED.finditer(text):
+            lines = [(p.start(), p.end()) for p in _PART.finditer(text, m.start(), m.end())]
+            width = lines[1][1] - lines[1][0]
+            same = next((i for i in range(2, len(lines)) if lines[i][1] - lines[i][0] != width), len(lines))
+            # lines of one length, with a shorter last one or without
+            for own in ([lines[: same + 1]] if same < len(lines) and lines[same][1] - lines[same][0] < width else []) + [lines[:same]]:
+                where = np.concatenate([np.arange(x, y) for x, y in own])
+                if (yield from _decoded("".join(text[x:y] for x, y in own), where, own[-1][1])):
+                    break
         for m in _RUN.finditer(text):
             body = m.group().rstrip("=")
-            for skip in range(2):  # a run may have swallowed a path's slash or the like; try it whole, then its last part
-                part = body if not skip else re.split(r"[/_-]", body)[-1]
-                if skip and (part == body or len(part) < 16):
-                    continue
-                if len(part) % 4 == 1:
-                    continue
-                try:
-                    data = base64.b64decode(part.replace("-", "+").replace("_", "/") + "=" * (-len(part) % 4), validate=True)
-                except (binascii.Error, ValueError):
-                    continue
+            for part in (body, re.split(r"[/_-]", body)[-1]):  # a run may have swallowed a path's slash or the like
                 a = m.start() + len(body) - len(part)
-                how = "base64"
-                packed = opened(data)
-                while packed:
-                    data, how = packed[0], f"{how}+{packed[1]}"
-                    packed = opened(data)
-                if (inner := readable(data)) is None:
-                    continue
-                if how != "base64":
-                    yield how, inner, [a] * len(inner), [m.end()] * len(inner)
-                else:
-                    sizes = np.cumsum([0, *(len(c.encode()) for c in inner)])
-                    stop = a + len(part)
-                    yield how, inner, [a + int(i) * 4 // 3 for i in sizes[:-1]], [min(stop, a + -(-int(i) * 4 // 3)) for i in sizes[1:]]
-                break
+                if part is not body and (part == body or len(part) < 16) or (yield from _decoded(part, np.arange(a, a + len(part)), m.end())):
+                    break
+
+
+def _decoded(part: str, where: np.ndarray, stop: int):
+    """Layers of a base64 run whose characters stand at `where`, like `unwrapped`; returns whether it was text or compressed."""
+    if len(part) % 4 == 1:
+        return False
+    try:
+        data = base64.b64decode(part.replace("-", "+").replace("_", "/") + "=" * (-len(part) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return False
+    packed = False
+    for piece, how in opened(data):
+        packed = True
+        inner, _, _ = readable(piece)
+        yield f"base64+{how}", inner, np.broadcast_to(where[0], len(inner)), np.broadcast_to(np.int64(stop), len(inner))
+    inner, at, clean = readable(data)  # also of what was opened: what looks like a format's beginning may be none
+    if inner and (clean or search(inner) or _RUN.search(inner) or _ESCAPE.search(inner)):
+        yield "base64", inner, where[at[:-1] * 4 // 3], where[np.minimum(len(part), -(-at[1:] * 4 // 3)) - 1] + 1
+    return packed or clean and bool(inner)
+
+
+def _through(outer: np.ndarray, at: np.ndarray, less: int = 0) -> np.ndarray:
+    """outer at the places `at`, without memory for places that are all one."""
+    return np.broadcast_to(outer[at[0] - less], at.shape) if at.strides == (0,) else outer[at - less]
 
 
 def scan_text(text: str, escapes: bool = True, runs: bool = True) -> list[tuple[str, int, int, int, str]]:
@@ -175,14 +238,14 @@ def scan_text(text: str, escapes: bool = True, runs: bool = True) -> list[tuple[
     while work:
         layer, begin, end, depth, via, esc, run = work.pop()
         for how, inner, a, b in unwrapped(layer, esc, run):
-            a, b = (a, b) if begin is None else ([begin[i] for i in a], [end[i - 1] for i in b])
-            mark = hashlib.sha256(inner.encode(errors="surrogatepass")).digest(), a[0], b[-1]
+            a, b = (a, b) if begin is None else (_through(begin, a), _through(end, b, 1))
+            mark = hashlib.sha256(inner.encode(errors="surrogatepass")).digest(), int(a[0]), int(b[-1])
             if mark in seen:
                 continue
             seen.add(mark)
             path = f"{via}>{how}" if via else how
             for k, s, e in search(inner):
-                found.setdefault((k, min(a[s:e]), max(b[s:e])), (depth + 1, path))
+                found.setdefault((k, int(np.min(a[s:e])), int(np.max(b[s:e]))), (depth + 1, path))
             work.append((inner, a, b, depth + 1, path, True, True))
     return [(k, a, b, *how) for (k, a, b), how in sorted(found.items(), key=lambda x: (x[0][1], KINDS.index(x[0][0]), x[0][2]))]
 

@@ -1,8 +1,10 @@
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
 import io
+import lzma
 import os
 import random
 import re
@@ -641,6 +643,24 @@ def test_equal_layers_at_other_places_are_opened():
             at += len(p) + 1
 
 
+def test_layers_that_are_wrapped_unclean_or_in_parts(monkeypatch):
+    wrap = lambda x, n, end="\n": end.join(B64(x)[i : i + n] for i in range(0, len(B64(x)), n))
+    rng = random.Random(3)
+    pad = sentence(rng, 60)
+    raw = f"{pad} key {KEY} {pad}".encode()
+    hidden = [wrap(f(raw), n, end) for f in (gzip.compress, zlib.compress, lambda x: x) for n, end in ((64, "\n"), (76, "\r\n"), (64, "\n  "))]
+    hidden += [wrap(f"{pad[:45]} {KEY} {pad}", 64), B64(f"\ufeffno\u00a0break {KEY} ok"), B64(b"one bad \xff byte " + KEY.encode() + b" ok")]
+    hidden += [B64(f(b"first") + f(KEY.encode())) for f in (gzip.compress, bz2.compress, lzma.compress)]
+    large = B64(gzip.compress(b"x " * 40_000 + KEY.encode() + b" y" * 40_000))
+    for h in [*hidden, large]:
+        if h is large:
+            monkeypatch.setattr(secret_scan, "PIECE", 1 << 15)
+            monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 10)
+        text = f"see: {h}\nend of it"
+        assert any(f[0] == "access" and f[3] and 5 <= f[1] < f[2] <= 5 + len(h) for f in secret_scan.scan_text(text)), h
+    assert [text[a:b] for text in (f"{B64(b'bad ' + bytes([255]) + b' ' + KEY.encode())} z",) for k, a, b, *_ in secret_scan.scan_text(text)] == [B64(b"bad \xff " + KEY.encode())[8:].rstrip("=")]
+
+
 def test_redaction_keeps_columns(spark, odd, none):
     df = odd.withColumn("text", F.when(F.col("doc_id") == 2, F.lit(f"my {KEY} x")).otherwise(F.col("text")))
     got = secret_scan.redact(df)
