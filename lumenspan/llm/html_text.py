@@ -199,10 +199,10 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     total = sum(len(blocks[i][0]) for i in content)
     best = lambda tag: max((n for n in votes if page.tags[n] == tag), key=lambda n: (votes[n], -n), default=None)
     region = next((n for n in (best("article"), best("main")) if n is not None and 2 * votes[n] >= total), None)
-    if region is None:  # the innermost element that holds most of the content
-        region = max((n for n in votes if 4 * votes[n] >= 3 * total), default=None)
+    if region is None:  # the innermost element that holds all of the content
+        region = max((n for n in votes if votes[n] >= total), default=None)
         first, last = min(content), max(content)
-        own = [b for i, b in enumerate(blocks) if b[4] and (region is None or region in b[3]) and (first <= i <= last or region is not None and page.tags[region] != "body" and ratio[i] > 0)]
+        own = [b for i, b in enumerate(blocks) if b[4] and (region is None or region in b[3]) and (first <= i <= last or ratio[i] > 0)]
     else:
         own = [b for b in blocks if b[4] and region in b[3]]
     return "\n\n".join(b[0] for b in own)

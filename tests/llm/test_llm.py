@@ -292,6 +292,17 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_pages_without_an_article_lose_no_text():
+    rng = random.Random(4)
+    long, short = [sentence(rng, 120) for _ in range(4)], sentence(rng, 100)
+    p = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    menu = "<nav><a>Home</a></nav>"
+    assert html_text.main_text(f"<body>{menu}<div><section>{p(long)}</section><section>{p([short])}</section></div></body>") == "\n\n".join([*long, short])
+    divs = [" ".join(long), short, sentence(rng, 60)]
+    assert html_text.main_text(f"<body>{menu}" + "".join(f"<div>{t}</div>" for t in divs) + "</body>") == "\n\n".join(divs)
+    assert html_text.main_text(f"<body>{menu}<h1>Title</h1>{p(long)}<p>The end.</p></body>") == "\n\n".join(["Title", *long, "The end."])
+
+
 def test_extraction_of_the_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in queries.op4_html(spark, SF).collect()}
