@@ -93,6 +93,8 @@ class Encoder:
 
     def encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in a row, and how many each has."""
+        if not new:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if self.mark is None or any(self.MARK in w for w in new):
             ids = [x.ids for x in self.of.encode_batch(new, add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
@@ -170,40 +172,50 @@ def encoder(path: str) -> Encoder:
 
 
 def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[list[tuple[int, int, int]]]:
-    """Sequences as lists of (document, start, length); lengths are those of a block's documents."""
+    """Sequences as lists of (document, start, length); lengths are those of a block's documents.
+
+    As what is placed gets shorter, sequences that once had too little room come back: `waiting` holds them by room, `heap` those
+    that have room for the piece at hand, by cost. A document is cut only when no sequence has room for it; the sequence with
+    most room takes its beginning, and the rest is placed in its turn.
+    """
     total = sum(lengths)
     whole, rest = divmod(total, capacity)
-    rooms = [capacity] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-    out: list[list[tuple[int, int, int]]] = [[] for _ in rooms]
-    cost = lambda n: linear * n + quadratic * n * n
-    todo = [(-min(n, capacity), d, at) for d, m in enumerate(lengths) for at in range(0, m, capacity) for n in [m - at]]
-    todo.sort()
-    heap = [(0.0, i) for i in range(len(rooms))]
-    room = rooms[:]
-    heapq.heapify(heap)
-    for n, d, at in todo:
-        left = -n
-        while left:
-            passed = []
-            while heap and room[heap[0][1]] < left:
-                passed.append(heapq.heappop(heap))
-                if len(passed) > 64 and room[passed[-1][1]]:
-                    break
-            if heap and room[heap[0][1]] >= left:
-                c, i = heapq.heappop(heap)
-                put = left
-            else:  # none of those looked at has room for all of it: the largest of them takes what it can
-                c, i = max(passed, key=lambda x: (room[x[1]], -x[1]))
-                passed.remove((c, i))
-                put = room[i]
-            out[i].append((d, at, put))
-            room[i] -= put
-            at, left = at + put, left - put
-            for x in passed:
-                if room[x[1]]:
-                    heapq.heappush(heap, x)
-            if room[i]:
-                heapq.heappush(heap, (c + cost(put), i))
+    room = [capacity] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+    out: list[list[tuple[int, int, int]]] = [[] for _ in room]
+    todo = [(-min(m - at, capacity), d, at) for d, m in enumerate(lengths) for at in range(0, m, capacity)]
+    heapq.heapify(todo)
+    waiting: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    for i, r in enumerate(room):
+        waiting[r].append((0.0, i))
+    heap: list[tuple[float, int]] = []
+    least = most = capacity + 1  # all of room `least` or more are in heap; none that waits has more than `most`
+    while todo:
+        n, d, at = heapq.heappop(todo)
+        n = -n
+        while least > n:
+            least -= 1
+            for x in waiting[least]:
+                heapq.heappush(heap, x)
+            waiting[least] = []
+        if heap:
+            c, i = heapq.heappop(heap)
+            put = n
+        else:
+            most = min(most, least - 1)
+            while not waiting[most]:
+                most -= 1
+            c, i = min(waiting[most])
+            waiting[most].remove((c, i))
+            put = most
+            heapq.heappush(todo, (put - n, d, at + put))
+        out[i].append((d, at, put))
+        room[i] -= put
+        if room[i]:
+            x = c + linear * put + quadratic * put * put, i
+            if room[i] >= least:
+                heapq.heappush(heap, x)
+            else:
+                waiting[room[i]].append(x)
     return out
 
 

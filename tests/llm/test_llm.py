@@ -115,6 +115,55 @@ def test_assignment_balances_cost():
     assert len(full) == sum(lengths) // 2048 and max(cost) < 1.6 * np.mean(cost)
 
 
+def placed_slowly(lengths, capacity, linear, quadratic):
+    """The packing rule by looking at every sequence each time, and how often a document was cut although a sequence had room."""
+    whole, rest = divmod(sum(lengths), capacity)
+    room = [capacity] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+    cost, out = [0.0] * len(room), [[] for _ in room]
+    todo = [(-min(m - at, capacity), d, at) for d, m in enumerate(lengths) for at in range(0, m, capacity)]
+    while todo:
+        n, d, at = min(todo)
+        todo.remove((n, d, at))
+        fits = [i for i, r in enumerate(room) if r >= -n] or [i for i, r in enumerate(room) if r == max(room)]
+        i = min(fits, key=lambda i: (cost[i], i))
+        put = min(-n, room[i])
+        if put < -n:
+            todo.append((n + put, d, at + put))
+        out[i].append((d, at, put))
+        room[i] -= put
+        cost[i] += linear * put + quadratic * put * put
+    return out
+
+
+def test_assignment_takes_the_cheapest_sequence_with_room():
+    rng = random.Random(4)
+    for _ in range(120):
+        lengths = [rng.randint(1, rng.choice([5, 50, 300])) for _ in range(rng.randint(0, 60))]
+        assert packing.assign(lengths, 64, 1.0, 1 / 1024) == placed_slowly(lengths, 64, 1.0, 1 / 1024)
+
+
+@pytest.mark.parametrize("kind", ["log-normal", "mixed"])
+def test_few_documents_are_cut(kind):
+    """Blocks of a million tokens: a document is cut only when no sequence has room."""
+    rng = np.random.default_rng(6)
+    draw = (lambda: rng.lognormal(5, 1.2)) if kind == "log-normal" else (lambda: rng.integers(1, 60) if rng.random() < 0.7 else rng.integers(600, 1400))
+    lengths = []
+    while sum(lengths) < 1_000_000:
+        lengths.append(max(1, int(draw())))
+    sequences = packing.assign(lengths, 2048, 1.0, 1 / 1024)
+    assert sum(n for s in sequences for _, _, n in s) == sum(lengths)
+    pieces = collections.Counter(d for s in sequences for d, _, _ in s)
+    cut = [d for d, n in pieces.items() if n > -(-lengths[d] // 2048)]
+    assert len(cut) < 0.06 * len(lengths) and max(pieces[d] for d in cut) <= 6
+
+
+def test_words_that_are_new_in_known_parts_only(spark):
+    """A slice of which every new word is made of known ones teaches the encoder nothing more."""
+    docs = [(1, "the end ." + " x" * 600_000), (2, "the end."), (3, "the end . end.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    check_packing(packing.pack(df, WORDS).collect(), docs)
+
+
 def test_encoder_keeps_what_it_meets_often():
     rng = random.Random(2)
     e = packing.Encoder(WORDS, most=40)
