@@ -352,6 +352,61 @@ def test_pages_without_an_article_lose_no_text():
     assert html_text.main_text(f"<body>{menu}<h1>Title</h1>{p(long)}<p>The end.</p></body>") == "\n\n".join(["Title", *long, "The end."])
 
 
+LINKS = "".join(f"<div><a href=/{i}>Go to part {i}</a></div>" for i in range(8))
+
+
+def telling_nothing(rng):
+    """A page without article, main or names that say anything, by its parts; and its text."""
+    title, long, short = sentence(rng, 6), [sentence(rng, rng.randint(40, 120)) for _ in range(4)], "So it is."
+    text = [title, long[0], short, long[1], f"A <b>list</b> of {short}", long[2], long[3]]
+    inner = f"<h2>{title}</h2>" + "".join(f"<p>{t}</p>" for t in text[1:])
+    return text, inner
+
+
+@pytest.mark.parametrize("indent", [False, True])
+def test_ratios_find_the_text_of_pages_that_say_nothing(monkeypatch, indent):
+    rng = random.Random(11)
+    for _ in range(40):
+        text, inner = telling_nothing(rng)
+        side = "".join(f"<div><span>{sentence(rng, 2)}</span> <a>{sentence(rng, 1)}</a></div>" for _ in range(6))
+        page = f"<html><body><div class=x1><div>{LINKS}</div></div><div class=x2><div class=x3>{inner}</div><div class=x4>{side}</div></div><div class=x5><span>Since</span> <b>1999</b> <a>Us</a></div></body></html>"
+        if indent:
+            page = page.replace("<div", "\n  <div").replace("<p", "\n<p")
+        want = "\n\n".join(re.sub("<[^>]*>", "", t) for t in text)
+        assert html_text.main_text(page) == want
+        with monkeypatch.context() as m:
+            m.setattr(html_text, "upper", lambda ratio, sigma: np.ones(len(ratio), bool))
+            assert html_text.main_text(page) != want  # the clusters decide, not what elements are called
+
+
+def test_parts_beside_the_content():
+    rng = random.Random(12)
+    one, two = (f"<p>{sentence(rng, 90)}</p><p>{sentence(rng, 70)}</p>" for _ in range(2))
+    said = lambda *x: [re.sub("<[^>]*>", "", p) for h in x for p in re.findall("<p>.*?</p>", h)]
+    # two parts with content, links between and before them
+    assert html_text.main_text(f"<body><div>{LINKS}</div><div><div>{LINKS}</div>{one}</div><div>{LINKS}</div><div>{two}</div><div>{LINKS}</div></body>").split("\n\n") == said(one, two)
+    # a short part between
+    assert html_text.main_text(f"<body><div>{LINKS}</div><div>{one}</div><div>Yes, <a>so</a> it was.</div><div>{two}</div></body>").split("\n\n") == [*said(one), "Yes, so it was.", *said(two)]
+    # a page that is one form, a form on a page, lines of the source
+    assert html_text.main_text(f"<body><form><div>{LINKS}</div><div>{one}</div></form></body>").split("\n\n") == said(one)
+    assert html_text.main_text(f"<body><div>{one}</div><form>Your name, please <input></form></body>").split("\n\n") == said(one)
+    assert html_text.main_text("<body><div>" + one.replace(" ", "\n") + f"</div><div>{LINKS}</div></body>").split("\n\n") == said(one)
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div>x", "<div class=ad>x", "<span>x", "<b><table>", "<ul><li>x", "<p><b>x", "<form>x", "<article><div class=ad>x", "</p>", "x<br>", "<td>x\n"])
+def test_deep_nesting_takes_linear_time(unit):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_text.main_text(unit * n)
+        return time.process_time() - began
+
+    took(1000)
+    n = (1 << 20) // len(unit) // 4
+    assert min(took(4 * n) for _ in range(2)) < 8 * max(took(n), 0.05)
+
+
 def test_extraction_of_the_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in queries.op4_html(spark, SF).collect()}
