@@ -3,8 +3,8 @@
 Each document draws the key -ln(u) / quality, u from a hash of its own row, so that reruns agree. A source whose target is e
 times its size and a bit takes e complete epochs, then the documents of the smallest keys, prefix-summed up to what is left.
 
-The prefix sum of a source, which may hold a third of all rows, is taken in two steps: sums over `BINS` ranges of keys, and
-then single rows of the one range that the budget ends in. Only DataFrame operations are used.
+The prefix sum of a source, which may hold a third of all rows, is taken in two steps: sums over ranges of keys, `BINS` for each
+doubling, and then single rows of the one range that the budget ends in. Only DataFrame operations are used.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspan.llm.runtime import materialize
+from lumenspan.llm.runtime import materialize, numbered, small
 
 WORD = r"[^\x20\x09-\x0D]+"
-BINS = 4096
-#: A plan of up to this many sources is broadcast; one with more is joined by source.
-BROADCAST_SOURCES = 20_000
+#: Ranges of keys for each doubling. The logarithm of a key is spread by the same law for any quality, which puts at most
+#: 0.37 ln 2 / BINS of a source's documents into one range: 1 in 4000.
+BINS = 1024
 
 
 def n_words(text: Column) -> Column:
@@ -31,42 +31,43 @@ def text_quality(text: Column) -> Column:
     return F.coalesce(F.when(n > 0, F.greatest(odd / n, F.lit(0.05))), F.lit(0.05))
 
 
-def keyed(df: DataFrame, text: str, source: str, quality: Column, seed: int) -> DataFrame:
-    """df with `_size`, `_key`, `_tie`: equal for equal rows only. _tie orders rows of equal keys."""
-    t = F.col(text)
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(source), t), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    return df.withColumns({"_size": n_words(t), "_key": -F.log(u) / quality, "_tie": F.xxhash64(F.lit(seed + 1), t, F.col("doc_id"))})
+def keyed(df: DataFrame, quality: Column, seed: int) -> DataFrame:
+    """df (`doc_id`, `text`, `source`, more) with `_size`, `_key`, `_tie`: equal for equal rows only. _tie orders rows of equal keys."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text")), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return df.withColumns({"_size": n_words(F.col("text")), "_key": -F.log(u) / quality, "_tie": F.xxhash64(F.lit(seed + 1), F.col("text"), F.col("doc_id"))})
 
 
 def targets(sizes: DataFrame, fraction: float, weights: tuple[float, ...], cap: float) -> DataFrame:
     """sizes: a row per `source` with its `source_size`. Adds `target`: sources by code point, null last, share `fraction` of all sizes by the repeating weights; none gets more than `cap` times its size, and the excess is shared again.
 
-    That is the level of a water filling: sources ordered by the level at which they are full, it is the level of
-    the first that is not full when all from it on take up the rest.
+    That is the level of a water filling: sources that are full at the level of the round before leave, until none does. A round
+    is a sum over the sources, of which the driver sees nothing else.
     """
-    one = Window.partitionBy(F.lit(0))
-    n = F.row_number().over(one.orderBy(F.col("source").asc_nulls_last()))
-    w = F.element_at(F.array(*map(F.lit, map(float, weights))), ((n - 1) % len(weights) + 1).cast("int"))
-    s = sizes.withColumn("w", w).withColumn("full", F.col("source_size") * cap)
-    order = one.orderBy(F.col("full") / F.col("w"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumns({"total": F.sum("source_size").over(one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * F.lit(fraction), "used": F.coalesce(F.sum("full").over(before), F.lit(0.0)), "rest_w": F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))})
-    level = (F.col("total") - F.col("used")) / F.col("rest_w")
-    s = s.withColumn("level", F.first(F.when(level <= F.col("full") / F.col("w"), level), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return s.select("source", "source_size", F.coalesce(F.least("full", F.col("level") * F.col("w")), "full").alias("target"))
+    s = numbered(sizes, F.col("source").asc_nulls_last())
+    s = s.withColumn("w", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("_n") % len(weights) + 1).cast("int")))
+    total, level, known = None, 0.0, -1
+    while True:
+        full = (F.col("source_size") * F.lit(float(cap)) < F.lit(level) * F.col("w")) if total is not None else F.lit(False)
+        every, used, w, n = s.agg(F.sum("source_size"), F.sum(F.when(full, F.col("source_size"))), F.sum(F.when(~full, F.col("w"))), F.count(F.when(full, 1))).first()
+        total = fraction * (every or 0)
+        if n == known or not w:
+            break
+        known, level = n, (total - cap * (used or 0)) / w
+    return s.select("source", "source_size", F.least(F.col("source_size") * F.lit(float(cap)), F.lit(level) * F.col("w")).alias("target"))
 
 
 def plan(slim: DataFrame, fraction: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), cap: float = 2.0) -> DataFrame:
     """slim: `source`, `_size`, `_key`, `_tie`. A row per source: `source_size`, `target`, `epochs`, and the last document (`cut_key`, `cut_tie`) of the fractional epoch with the words that it gives (`cut_words`)."""
     goal = targets(slim.groupBy("source").agg(F.sum("_size").alias("source_size")), fraction, weights, cap)
     goal = materialize(goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)).withColumn("budget", F.greatest(F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"), F.lit(0))))
-    bin_ = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * BINS), F.lit(BINS - 1))
+    bin_ = F.coalesce(F.floor(F.log2(F.col("_key")) * BINS), F.lit(-1 << 40))  # a key may be 0
     slim = slim.where("_size > 0").withColumn("bin", bin_)
     sums = slim.groupBy("source", "bin").agg(F.sum("_size").alias("words")).withColumnRenamed("source", "s")
     w = Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(w), F.lit(0)))
-    ends = sums.join(_small(goal.where("budget > 0")), F.col("s").eqNullSafe(F.col("source"))).where("before < budget AND before + words >= budget").select("s", F.col("bin").alias("b"), "before", "budget")
-    last = slim.join(_small(ends), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
+    ends = sums.join(small(goal.where("budget > 0")), F.col("s").eqNullSafe(F.col("source"))).where("before < budget AND before + words >= budget")
+    ends = materialize(ends.select("s", F.col("bin").alias("b"), "before", "budget"))
+    last = slim.join(small(ends), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
     rows = last.groupBy("s", "before", "budget", "_key", "_tie").agg(F.sum("_size").alias("words"), F.count("*").alias("copies"))
     at = Window.partitionBy("s").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("prior", F.col("before") + F.coalesce(F.sum("words").over(at), F.lit(0)))
@@ -74,14 +75,9 @@ def plan(slim: DataFrame, fraction: float = 1.5, weights: tuple[float, ...] = (5
     return materialize(goal.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
 
 
-def _small(per_source: DataFrame) -> DataFrame:
-    """Broadcast only if it is counted to be small."""
-    return F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source
-
-
 def apply(rows: DataFrame, planned: DataFrame, source: str = "source") -> DataFrame:
     """Adds `source_size`, `target`, `epochs`, `taken` (words that the mix takes of the row) to rows with `_size`, `_key`, `_tie`."""
-    p = _small(planned.withColumnRenamed("source", "_s"))
+    p = small(planned.withColumnRenamed("source", "_s"))
     before = (F.col("_key") < F.col("cut_key")) | ((F.col("_key") == F.col("cut_key")) & (F.col("_tie") < F.col("cut_tie")))
     at = (F.col("_key") == F.col("cut_key")) & (F.col("_tie") == F.col("cut_tie"))
     more = F.when(F.col("cut_key").isNull(), F.lit(0)).when(before, F.col("_size")).when(at, F.col("cut_words")).otherwise(0)
@@ -89,22 +85,26 @@ def apply(rows: DataFrame, planned: DataFrame, source: str = "source") -> DataFr
     return out.withColumn("taken", F.col("epochs") * F.col("_size") + more).drop("_s", "budget", "cut_key", "cut_tie", "cut_words")
 
 
+def _told(df: DataFrame, seed: int, *more: Column) -> DataFrame:
+    d = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"), *more)
+    return keyed(d, text_quality(F.col("text")), seed)
+
+
 def mix(df: DataFrame, fraction: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), cap: float = 2.0, seed: int = 6) -> DataFrame:
     """A row per row of `doc_id`, `text`, `source`: `doc_id`, `source`, `size`, `source_size`, `target`, `epochs`, `taken`.
 
     Null texts have size 0 and weigh nothing; a null source is a source of its own, the last. Equal rows draw equal keys; where
     the budget ends among them, they share it evenly. An empty table gives no rows; other columns are left aside.
     """
-    d = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
-    slim = materialize(keyed(d, "text", "source", text_quality(F.col("text")), seed).drop("text"))
+    slim = materialize(_told(df, seed).drop("text"))
     return apply(slim, plan(slim, fraction, weights, cap)).select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "epochs", F.col("taken").cast("long"))
 
 
 def sample(df: DataFrame, fraction: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), cap: float = 2.0, seed: int = 6) -> DataFrame:
-    """The mix itself: rows of df with all their columns, once for each epoch and once more if the fractional epoch takes at least half of them. Whole documents only."""
-    rows = keyed(df, "text", "source", text_quality(F.col("text")), seed)
-    slim = materialize(rows.select("source", "_size", "_key", "_tie"))
+    """The mix itself: rows of df with all their columns, whatever they are called, once for each epoch and once more if the fractional epoch takes at least half of them. Whole documents only."""
+    rows = _told(df, seed, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")).drop("doc_id", "text")
+    slim = materialize(rows.drop("_row"))
     got = apply(rows, plan(slim, fraction, weights, cap))
     times = F.col("epochs") + F.when((F.col("_size") > 0) & (2 * (F.col("taken") - F.col("epochs") * F.col("_size")) >= F.col("_size")), 1).otherwise(0)
     copies = F.explode(F.array_repeat(F.lit(0), F.coalesce(times, F.lit(0)).cast("int")))
-    return got.withColumn("_copy", copies).select(*(F.col(f"`{c}`") for c in df.columns))
+    return got.select("_row", copies).select(*(F.col("_row").getField(c).alias(c) for c in df.columns))

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once. It bounds a worker's memory and is no limit on texts: a longer text is a slice of its own.
@@ -36,8 +36,12 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir as the cluster names it. Only where it is unset, as in tests, one below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """A folder that driver and executors share: spark.checkpoint.dir as the cluster names it. Where it is unset, in local mode only, one below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{root.rstrip('/')}/lumenspan-{uuid.uuid4().hex}"
 
 
@@ -49,6 +53,32 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df with `_n`, the number of each row (from 0) in that order, written as a table. Rows are sorted in ranges; only each range's count reaches the driver."""
+    spark = df.sparkSession
+    own = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    own = materialize(own)
+    counts = sorted(map(tuple, own.groupBy("_part").agg(F.count("*")).collect()))
+    if not counts:
+        return own.drop("_part")
+    starts, at = [], 0
+    for part, n in counts:
+        starts.append((part, at))
+        at += n
+    offsets = spark.createDataFrame(starts, "_part int, _from long")  # a row per partition
+    return own.join(F.broadcast(offsets), "_part").withColumn("_n", F.col("_n") + F.col("_from")).drop("_part", "_from")
+
+
+#: What a broadcast table may hold, by the bytes of its values.
+BROADCAST_BYTES = 8 << 20
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df as a table to be broadcast, if its values are counted to have `most` bytes at most; else as it is."""
+    width = sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) if kind == "string" else F.lit(0) for c, kind in df.dtypes), F.lit(16 * len(df.columns)))
+    return F.broadcast(df) if (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= most else df
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in consecutive pieces of about `most` bytes of `column`, a row at least."""
     if not batch.num_rows:

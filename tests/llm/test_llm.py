@@ -521,6 +521,41 @@ def test_better_documents_are_drawn_first(spark):
     assert good > 1.15 * bad
 
 
+def test_a_source_of_low_quality_is_dealt_into_many_ranges(spark):
+    d = spark.createDataFrame([(i, "#### " * 5 + f"{i} {i}", "s") for i in range(4000)] + [(9999, "y " * 40_000, "t")], "doc_id long, text string, source string")
+    rows = mixing._told(d, 6)
+    most = rows.where("source = 's'").groupBy(F.floor(F.log2("_key") * mixing.BINS)).count().agg(F.max("count")).first()[0]
+    assert rows.agg(F.min(mixing.text_quality(F.col("text")))).first()[0] < 0.2 and most < 15
+    taken = mixing.mix(d, weights=(1,), fraction=0.15).where("source = 's'").agg(F.sum("taken"), F.first("target")).first()
+    assert abs(taken[0] - taken[1]) <= 1
+
+
+def test_many_sources_share_as_by_rounds(spark):
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.choice([0, 1, 3, 40, 900]), rng.choice([None, *(chr(97 + k) + "é" * (k % 3) for k in range(25))])) for i in range(300)]
+    size, by, goal = brute_mix(rows)
+    got = {r.source: r.target for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(9)).collect()}
+    assert set(got) == set(by) and all(abs(got[s] - goal[s]) < 1e-6 for s in by)
+
+
+def test_sample_keeps_columns_of_any_name(spark):
+    names = ["epochs", "target", "taken", "source_size", "budget", "_size", "_key", "_row", "_s", "cut_key", "a.b"]
+    d = spark.createDataFrame([(i, "word " * 20, "s", *[i] * len(names)) for i in range(50)], f"doc_id long, text string, source string, {', '.join(f'`{n}` int' for n in names)}")
+    got = mixing.sample(d).collect()
+    assert mixing.sample(d).columns == d.columns and len(got) == 75 and all(set(r[3:]) == {r.doc_id} for r in got)
+
+
+def test_rows_are_numbered_in_order(spark):
+    from lumenspan.llm import runtime
+
+    rng = random.Random(2)
+    values = [rng.choice([None, *range(50)]) for _ in range(2000)]
+    got = runtime.numbered(spark.createDataFrame([(v,) for v in values], "v int").repartition(7), F.col("v").asc_nulls_last()).collect()
+    assert sorted(r._n for r in got) == list(range(2000))
+    assert [r.v for r in sorted(got, key=lambda r: r._n)] == sorted(values, key=lambda v: (v is None, v))
+    assert runtime.numbered(spark.createDataFrame([], "v int"), F.col("v")).count() == 0
+
+
 # ---- fingerprints
 
 
