@@ -1,9 +1,9 @@
 """Language identification by hierarchical discrimination.
 
-A linear support vector machine for each pair of families tells the family, then one for each pair of its languages, by votes,
+A linear support vector machine for each family tells it from the others, then one for each pair of its languages, by votes,
 tells the language. Features are byte trigrams of the whole text, letters only, hashed into `WIDTH` places and weighted by the
-square root of their count. The machines are fitted on the driver from a bounded sample of labelled rows; `per_lang` is that
-bound. Prediction sees nothing but the text.
+square root of their count. The machines are fitted on the driver from a bounded sample of labelled rows; `per_lang` and
+`most_rows` are that bound. Prediction sees nothing but the text.
 """
 
 from __future__ import annotations
@@ -64,34 +64,41 @@ def features(texts: pa.Array) -> Iterator[np.ndarray | None]:
         yield x / max(float(np.sqrt(x @ x)), 1e-9)
 
 
-def machine(x: np.ndarray, y: np.ndarray, c: float = 4.0, rounds: int = 150) -> np.ndarray:
-    """Weights (the last is the bias) of a linear SVM with squared hinge loss, by accelerated gradient descent from zero; classes count alike."""
+def machines(x: np.ndarray, y: np.ndarray, c: float = 4.0, rounds: int = 150) -> np.ndarray:
+    """A column of weights (the last is the bias) for each column of y (1 and -1): linear SVMs with squared hinge loss, by accelerated gradient descent from zero; both sides count alike."""
     x = np.hstack((x, np.ones((len(x), 1), np.float32)))
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    w = v = np.zeros(x.shape[1], np.float32)
-    step = 1 / (1 / c + 4.0)
+    up = y > 0
+    share = (np.where(up, 0.5 / np.maximum(up.sum(axis=0), 1), 0.5 / np.maximum((~up).sum(axis=0), 1)) * y).astype(np.float32)
+    w = v = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    step = np.float32(1 / (1 / c + 4.0))
     for i in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ v)) * share * y
-        new = v - step * (v / c / 10 - 2 * (slack @ x))
+        slack = np.maximum(0, 1 - y * (x @ v)) * share
+        new = v - step * (v / np.float32(c * 10) - 2 * (x.T @ slack))
         v = new + np.float32(i / (i + 3)) * (new - w)
         w = new
     return w
 
 
+def _sides(of: np.ndarray, names: list[str]) -> np.ndarray:
+    return np.where(of[:, None] == np.array(names)[None], 1, -1).astype(np.float32)
+
+
 def fitted(x: np.ndarray, langs: list[str]) -> dict:
-    """The model: names, and a machine for each pair of families and each pair of languages of a family."""
+    """The model: names, a machine for each family (for two, one against the other), and one for each pair of languages of a family."""
     own = np.array(langs)
     names = sorted(set(langs))
     fam = np.array([family(c) for c in langs])
-    tell = lambda of, values: {(a, b): machine(x[m], np.where(of[m] == a, 1, -1).astype(np.float32)) for a, b in combinations(values, 2) for m in [(of == a) | (of == b)]}
-    families = sorted(set(fam))
-    return {"families": families, "family": tell(fam, families), "languages": {f: [n for n in names if family(n) == f] for f in families}, "language": {f: tell(own, [n for n in names if family(n) == f]) for f in families}}
+    families = sorted(set(fam.tolist()))
+    languages = {f: [n for n in names if family(n) == f] for f in families}
+    pairs = {f: {(a, b): machines(x[m], _sides(own[m], [a]))[:, 0] for a, b in combinations(languages[f], 2) for m in [(own == a) | (own == b)]} for f in families}
+    told = machines(x, _sides(fam, families[: len(families) if len(families) > 2 else 1])) if len(families) > 1 else None
+    return {"families": families, "family": told, "languages": languages, "language": pairs}
 
 
-def vote(x: np.ndarray, names: list[str], machines: dict) -> tuple[np.ndarray, np.ndarray]:
+def vote(x: np.ndarray, names: list[str], duels: dict) -> tuple[np.ndarray, np.ndarray]:
     """For each row the index of the name with most votes, ties to the larger sum of margins, and its least probability in its own duels."""
     votes, sums, least = (np.full((len(x), len(names)), v, np.float32) for v in (0, 0, 1))
-    for (a, b), w in machines.items():
+    for (a, b), w in duels.items():
         i, j = names.index(a), names.index(b)
         m = x @ w[:-1] + w[-1]
         p = 1 / (1 + np.exp(-3 * m))
@@ -104,8 +111,19 @@ def vote(x: np.ndarray, names: list[str], machines: dict) -> tuple[np.ndarray, n
     return best, least[np.arange(len(x)), best]
 
 
+def first_of(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the index of the family of the largest margin, and its probability."""
+    w = model["family"]
+    if w is None:
+        return np.zeros(len(x), int), np.ones(len(x), np.float32)
+    m = x @ w[:-1] + w[-1]
+    m = m if m.shape[1] > 1 else np.hstack((m, -m))
+    best = np.argmax(m, axis=1)
+    return best, 1 / (1 + np.exp(-3 * m[np.arange(len(x)), best]))
+
+
 def told(model: dict, x: np.ndarray) -> tuple[list[str], np.ndarray]:
-    best, score = vote(x, model["families"], model["family"])
+    best, score = first_of(x, model)
     out = [""] * len(x)
     score = score.astype(np.float64)
     for f, name in enumerate(model["families"]):
@@ -127,21 +145,23 @@ def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("_order"), pa.array(rows, pa.binary())], names=["lang", "_order", "x"])
 
 
-def fit(labelled: DataFrame, per_lang: int = 800, most_langs: int = 200, most_rows: int = 6000, seed: int = 5) -> dict | None:
+def fit(labelled: DataFrame, per_lang: int = 800, most_rows: int = 6000, seed: int = 5) -> dict | None:
     """A model from rows of `text`, `lang`; None if there are none.
 
-    At most `per_lang` rows a language (fewer of each, 30 at least, if there are so many languages that these would be more than
-    `most_rows`), drawn by a hash of the row so that reruns agree, and the `most_langs` commonest languages reach the driver:
-    this bounds what training reads. Rows without text, language or letters teach nothing.
+    It is fitted on `most_rows` different texts at most, drawn by a hash of the text so that reruns agree: of each language
+    `per_lang`, or fewer, alike for all, if there are so many languages. This bounds what reaches the driver. Copies of a text
+    count once. Rows without text, language or letters teach nothing.
     """
     rows = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text IS NOT NULL AND lang IS NOT NULL")
     rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), "text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    n = F.approx_count_distinct("_order", 0.05)
+    counts = rows.groupBy("lang").agg(n.alias("n")).orderBy(F.desc("n"), "lang").limit(most_rows).collect()  # the bound leaves each language a row at least
     if not counts:
         return None
-    per_lang = min(per_lang, max(30, most_rows // len(counts)))
-    part = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, (1.5 * per_lang + 60) / n))])
-    drawn = rows.where(F.pmod("_order", F.lit(1 << 30)) < F.try_element_at(part, F.col("lang")) * (1 << 30))
+    per_lang = max(1, min(per_lang, most_rows // len(counts)))
+    spark = labelled.sparkSession
+    parts = spark.createDataFrame([(r["lang"], min(1.0, (1.5 * per_lang + 60) / max(r["n"], 1)) * (1 << 30)) for r in counts], "lang string, _below double")
+    drawn = rows.join(F.broadcast(parts), "lang").where(F.pmod("_order", F.lit(1 << 30)) < F.col("_below")).select("text", "lang", "_order").dropDuplicates(["lang", "_order"])
     got: dict[str, list] = {}
     for r in sorted(drawn.mapInArrow(_featured, "lang string, _order long, x binary").where("x IS NOT NULL").collect(), key=lambda r: (r["lang"], r["_order"] & ((1 << 30) - 1), r["_order"])):
         own = got.setdefault(r["lang"], [])
@@ -154,7 +174,8 @@ def fit(labelled: DataFrame, per_lang: int = 800, most_langs: int = 200, most_ro
 
 
 def predict(df: DataFrame, model: dict | None) -> DataFrame:
-    """df with `lang_pred` and `score` (0 to 1). Null texts and texts without a letter, and all texts if there is no model, are `und` with score 0. All columns of df are kept; it must have a `text`."""
+    """df with `lang_pred` and `score` (0 to 1), in place of columns of these names. Null texts and texts without a letter, and all texts if there is no model, are `und` with score 0. All other columns of df are kept; it must have a `text`."""
+    df = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")))
     schema = df.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -460,6 +460,33 @@ def test_prediction_sees_only_text(spark):
     assert a == b
 
 
+def test_rare_languages_and_copies_are_learnt(spark):
+    """A language of a few texts copied thousands of times beside larger ones, and more languages than any bound on them would leave."""
+    rng = random.Random(6)
+    letters = {"aa": "abcdefg", "bb": "hijklmn", "cc": "opqrstu"}
+    text = lambda c, n=20: " ".join("".join(rng.choice(letters[c]) for _ in range(5)) for _ in range(n))
+    rows = [(text("aa"), "aa") for _ in range(2000)] + [(text("bb"), "bb") for _ in range(2000)] + [(t, "cc") for t in [text("cc") for _ in range(5)] for _ in range(600)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), per_lang=50)
+    assert model["families"] == ["aa", "bb", "cc"]
+    asked = [(c, text(c)) for c in letters for _ in range(10)]
+    got = langid.predict(spark.createDataFrame(asked, "lang string, text string").withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1)), model)
+    assert got.columns == ["lang", "text", "lang_pred", "score"] and all(r.lang_pred == r.lang and 0 <= r.score <= 1 for r in got.collect())
+    many = [(f"{'xyz'[i % 3]}{i} " * 5, f"l{i:03}") for i in range(260)]
+    assert len(langid.fit(spark.createDataFrame(many, "text string, lang string"), most_rows=300)["families"]) == 260
+    assert len(langid.fit(spark.createDataFrame(many, "text string, lang string"), most_rows=100)["families"]) == 100
+
+
+def test_closely_related_languages_are_told_apart(spark):
+    rng = random.Random(8)
+    common = [sentence(rng, 1) for _ in range(200)]
+    own = {c: [sentence(rng, 1) for _ in range(60)] for c in ("en", "de", "nl", "fr", "it")}
+    text = lambda c: " ".join(rng.choice(own[c] if rng.random() < 0.4 else common) for _ in range(60))
+    rows = [(i, text(c), c) for i, c in enumerate(rng.choices(sorted(own), k=1500))]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {d: c for d, _, c in rows}
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in got if r.held_out]) > 0.97
+
+
 # ---- mixing
 
 
