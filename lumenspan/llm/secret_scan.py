@@ -2,8 +2,11 @@
 
 A text's own layer is searched for every kind of secret. Then nested layers are unwrapped: URL escapes and Unicode escapes by
 line, base64 by run and by wrapped lines, compressed data (gzip, zlib, bzip2, xz) behind base64. Each decoded layer is searched again and put on the
-worklist, until nothing new turns up; a layer seen before at the same place of the document is not opened twice. Every character of a layer
-knows the span of the original text that it came from, so findings carry spans of the original, in code points.
+worklist, until nothing new turns up; a layer seen before at the same place of the document is not opened twice.
+
+A layer's characters are mapped to the layer around it by where its escapes stand, or by its place in base64, and through all
+layers to the original text, so findings carry spans of the original, in code points. The maps take memory for escapes only, and
+the worklist goes into depth first, so it holds a layer of each depth at most.
 """
 
 from __future__ import annotations
@@ -42,8 +45,12 @@ _HEX_BYTES[list(b"0123456789abcdef")] = True
 #: Lines of base64 in a row: the first may follow something else, the others hold nothing else.
 _WRAPPED = re.compile(r"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++(?=={0,2}(?:[\x20\t]*+\r?(?:\n|\Z)|["'<,;)])))++={0,2}""")
 _PART = re.compile(r"[A-Za-z0-9+/_-]+")
+_PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
+#: From so many escaped layers in a row on, a percent sign that is escaped again and again is opened at once: same fixpoint, in linear time.
+ROWS = 64
+_AGAIN = re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})|" + _ESCAPE.pattern)
 #: Decompressed data is searched in pieces of this size; each repeats so much of the end of the one before it.
-PIECE = 1 << 24
+PIECE = 1 << 23
 OVERLAP = 1 << 20
 #: A decompression bomb isn't followed beyond so many bytes; what came before is searched.
 LARGEST_LAYER = 1 << 33
@@ -119,74 +126,176 @@ def opened(data: bytes) -> Iterator[tuple[bytes, str]]:
             if total > LARGEST_LAYER:
                 break
         if new:
-            yield bytes(held), via  # also if it is compressed again: what looks like a format's beginning may be none
-            if total == len(held):
-                work.append((bytes(held), via))
+            whole = bytes(held)
+            del held
+            for at in range(0, len(whole), PIECE):  # also if it is compressed again: what looks like a format's beginning may be none
+                yield whole[max(0, at - OVERLAP) : at + PIECE], via
+            if total == len(whole):
+                work.append((whole, via))
 
 
-def readable(data: bytes) -> tuple[str, np.ndarray, bool]:
-    """Data as text, bytes that aren't UTF-8 replaced; where each character begins, and the end; whether all is text."""
+def readable(data: bytes) -> tuple[str, bool]:
+    """Data as text, bytes that aren't UTF-8 replaced by one character each; whether all is text."""
     text = data.decode(errors="surrogateescape")
+    clean = text if text.isascii() else re.sub("[\udc80-\udcff]", "\ufffd", text)
+    return clean, (clean is text or clean == text) and re.sub("[\t\n\r\f\v]", "", text).isprintable()
+
+
+def starts(data: bytes) -> np.ndarray | None:
+    """The byte at which each character begins, and the end; None if each is at its own number."""
+    if data.isascii():
+        return None
+    width = _widths(data.decode(errors="surrogateescape"))
+    out = np.zeros(len(width) + 1, np.uint32 if len(data) < 1 << 32 else np.int64)
+    np.cumsum(width, out=out[1:])
+    return out
+
+
+def _widths(text: str) -> np.ndarray:
+    """Bytes of each character in UTF-8, one for what stands for a byte that isn't."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    bad = (code >= 0xDC80) & (code <= 0xDCFF)
-    at = np.concatenate(([0], np.cumsum(np.where(bad, 1, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)))))
-    clean = not bad.any() and re.sub("[\t\n\r\f\v]", "", text).isprintable()
-    return re.sub("[\udc80-\udcff]", "\ufffd", text), at, clean
-
-
-def unescaped(line: str) -> tuple[str, list[int], list[int]] | None:
-    """A line without its URL, Unicode and character escapes, and for each character where it began and ended in the line."""
-    out, begin, end = [], [], []
-    at, n = 0, len(line)
-    changed = False
-    for m in _ESCAPE.finditer(line):
+    out = np.ones(len(code), np.uint8)
+    for least in (0x80, 0x800, 0x10000):
+        out += code >= least
+    out[(code >= 0xDC80) & (code <= 0xDCFF)] = 1
+    return out
+
+
+class Whole:
+    """All characters of a layer stand for one span."""
+
+    def __init__(self, begin: int, end: int):
+        self.a, self.b = begin, end
+
+    def begin(self, i):
+        return i * 0 + self.a
+
+    def end(self, i):
+        return i * 0 + self.b
+
+
+class Escaped:
+    """Characters at `at` stand for spans `a` to `b`, the others for themselves; `shift` is the line's place in its layer."""
+
+    def __init__(self, at: list[int], a: list[int], b: list[int], shift: int):
+        self.at, self.a, self.b, self.shift = np.array(at, np.int64), np.array(a, np.int64), np.array(b, np.int64), shift
+        self.less = np.concatenate(([0], self.b - self.at - 1))  # what a character after so many escapes is moved by
+
+    def begin(self, i):
+        j = np.searchsorted(self.at, i)
+        hit = self.at[np.minimum(j, len(self.at) - 1)] == i
+        return self.shift + np.where(hit, self.a[np.minimum(j, len(self.at) - 1)], i + self.less[j])
+
+    def end(self, i):
+        j = np.searchsorted(self.at, i)
+        hit = self.at[np.minimum(j, len(self.at) - 1)] == i
+        return self.shift + np.where(hit, self.b[np.minimum(j, len(self.at) - 1)], i + self.less[j] + 1)
+
+
+class Coded:
+    """Characters at bytes `at` (None: at their own number) of what base64 says in pieces that begin at `cut` of its n signs and stand at `place`."""
+
+    def __init__(self, at: np.ndarray | None, n: int, cut: np.ndarray, place: np.ndarray):
+        self.at, self.n, self.cut, self.place = at, n, cut, place
+
+    def sign(self, k):
+        j = np.searchsorted(self.cut, k, "right") - 1
+        return self.place[j] + k - self.cut[j]
+
+    def byte(self, i):
+        return i if self.at is None else self.at[i].astype(np.int64)
+
+    def begin(self, i):
+        return self.sign(self.byte(i) * 4 // 3)
+
+    def end(self, i):
+        return self.sign(np.minimum(self.n, -(-self.byte(i + 1) * 4 // 3)) - 1) + 1
+
+
+class Dense:
+    def __init__(self, begin: np.ndarray, end: np.ndarray):
+        self.a, self.b = begin, end
+
+    def begin(self, i):
+        return self.a[i]
+
+    def end(self, i):
+        return self.b[i]
+
+
+#: Maps that are looked through one by one; a longer chain is made one map.
+CHAIN = 16
+
+
+class Chain:
+    """Maps of nested layers, from the inner one to the original text."""
+
+    def __init__(self, inner, n: int, outer: Chain | None):
+        self.maps = [inner, *(outer.maps if outer else [])]
+        if isinstance(inner, Whole):
+            self.maps = [Whole(self.begin(0), self.end(0))]
+        elif len(self.maps) > CHAIN:
+            every = np.arange(n)
+            self.maps = [Dense(self.begin(every), self.end(every))]
+
+    def begin(self, i):
+        for m in self.maps:
+            i = m.begin(i)
+        return i
+
+    def end(self, i):
+        for m in self.maps:
+            i = m.end(i) - 1
+        return i + 1
+
+
+def unescaped(line: str, shift: int = 0, pattern: re.Pattern = _ESCAPE) -> tuple[str, Escaped] | None:
+    """A line without its URL, Unicode and character escapes, and where its characters stood."""
+    out: list[str] = []
+    where: tuple[list[int], list[int], list[int]] = [], [], []
+    at = made = 0
+    for m in pattern.finditer(line):
         if m.start() < at:
             continue
-        for i in range(at, m.start()):
-            out.append(line[i]), begin.append(i), end.append(i + 1)
+        out.append(line[at : m.start()])
+        made += m.start() - at
         at = m.start()
         x = m.group()
-        if x[0] == "%":
-            raw, stops = bytearray(), []
-            while at < n and (e := re.compile(r"%([0-9A-Fa-f]{2})").match(line, at)):
+        if x[0] == "%" and pattern is _AGAIN and x.startswith("%25"):
+            out.append("%")
+            stops = [at, m.end()]
+            at = m.end()
+        elif x[0] == "%":
+            raw = bytearray()
+            while e := _PERCENT.match(line, at + 3 * len(raw)):
                 raw.append(int(e[1], 16))
-                stops.append(e.end())
-                at = e.end()
-            i = 0
-            while i < len(raw):
-                for w in range(1, 5):
-                    try:
-                        c = bytes(raw[i : i + w]).decode()
-                    except UnicodeDecodeError:
-                        continue
-                    if c:
-                        break
-                else:
-                    c, w = "�", 1
-                w = min(w, len(raw) - i)
-                out.append(c), begin.append(stops[i] - 3), end.append(stops[i + w - 1])
-                i += w
+            text = raw.decode(errors="surrogateescape")
+            stops = (at + 3 * np.concatenate(([0], np.cumsum(_widths(text), dtype=np.int64)))).tolist()
+            out.append(re.sub("[\udc80-\udcff]", "\ufffd", text))
+            at += 3 * len(raw)
         else:
             digits = x[3:-1] if x[:3] in ("\\u{", "&#x", "&#X") else x[2:-1] if x[:2] == "&#" else x[2:]
             code = int(digits, 10 if x[:2] == "&#" and x[2] not in "xX" else 16)
-            ok = code < 0x110000 and not 0xD800 <= code < 0xE000
-            out.append(chr(code) if ok else "�"), begin.append(at), end.append(m.end())
+            out.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd")
+            stops = [at, m.end()]
             at = m.end()
-        changed = True
-    if not changed:
-        return None
-    for i in range(at, n):
-        out.append(line[i]), begin.append(i), end.append(i + 1)
-    return "".join(out), begin, end
+        for own, new in zip(where, (range(made, made + len(stops) - 1), stops[:-1], stops[1:]), strict=True):
+            own.extend(new)
+        made += len(stops) - 1
+    return ("".join([*out, line[at:]]), Escaped(*where, shift)) if out else None
+
 
+Layer = tuple[str, str, Whole | Escaped | Coded]
 
-def unwrapped(text: str, escapes: bool = True, runs: bool = True) -> Iterator[tuple[str, str, np.ndarray, np.ndarray]]:
-    """Layers inside text: how, its text, and for each character the span of `text` behind it."""
+
+def unwrapped(text: str, escapes: bool = True, runs: bool = True, rows: int = 0) -> Iterator[Layer]:
+    """Layers inside text: how, its text, and where in `text` its characters stand. rows: of how many escaped layers in a row text is the last."""
+    pattern = _ESCAPE if rows < ROWS else _AGAIN
     if escapes and ("%" in text or "\\" in text or "&#" in text):
         at = 0
         for line in text.splitlines(keepends=True):
-            if got := unescaped(line):
-                yield "escape", got[0], at + np.array(got[1]), at + np.array(got[2])
+            if got := unescaped(line, at, pattern):
+                yield "escape", *got
             at += len(line)
     if runs:
         for m in _WRAPPED.finditer(text):
@@ -195,19 +304,20 @@ def unwrapped(text: str, escapes: bool = True, runs: bool = True) -> Iterator[tu
             same = next((i for i in range(2, len(lines)) if lines[i][1] - lines[i][0] != width), len(lines))
             # lines of one length, with a shorter last one or without
             for own in ([lines[: same + 1]] if same < len(lines) and lines[same][1] - lines[same][0] < width else []) + [lines[:same]]:
-                where = np.concatenate([np.arange(x, y) for x, y in own])
-                if (yield from _decoded("".join(text[x:y] for x, y in own), where, own[-1][1])):
+                place = np.array([x for x, _ in own])
+                cut = np.cumsum([0, *(y - x for x, y in own[:-1])])
+                if (yield from _decoded("".join(text[x:y] for x, y in own), cut, place, own[-1][1])):
                     break
         for m in _RUN.finditer(text):
             body = m.group().rstrip("=")
             for part in (body, re.split(r"[/_-]", body)[-1]):  # a run may have swallowed a path's slash or the like
                 a = m.start() + len(body) - len(part)
-                if part is not body and (part == body or len(part) < 16) or (yield from _decoded(part, np.arange(a, a + len(part)), m.end())):
+                if part is not body and (part == body or len(part) < 16) or (yield from _decoded(part, np.zeros(1, np.int64), np.array([a]), m.end())):
                     break
 
 
-def _decoded(part: str, where: np.ndarray, stop: int):
-    """Layers of a base64 run whose characters stand at `where`, like `unwrapped`; returns whether it was text or compressed."""
+def _decoded(part: str, cut: np.ndarray, place: np.ndarray, stop: int):
+    """Layers of a base64 run whose pieces begin at `cut` and stand at `place`, like `unwrapped`; returns whether it was text or compressed."""
     if len(part) % 4 == 1:
         return False
     try:
@@ -217,36 +327,41 @@ def _decoded(part: str, where: np.ndarray, stop: int):
     packed = False
     for piece, how in opened(data):
         packed = True
-        inner, _, _ = readable(piece)
-        yield f"base64+{how}", inner, np.broadcast_to(where[0], len(inner)), np.broadcast_to(np.int64(stop), len(inner))
-    inner, at, clean = readable(data)  # also of what was opened: what looks like a format's beginning may be none
+        yield f"base64+{how}", piece.decode(errors="replace"), Whole(int(place[0]), stop)
+    inner, clean = readable(data)  # also of what was opened: what looks like a format's beginning may be none
     if inner and (clean or search(inner) or _RUN.search(inner) or _ESCAPE.search(inner)):
-        yield "base64", inner, where[at[:-1] * 4 // 3], where[np.minimum(len(part), -(-at[1:] * 4 // 3)) - 1] + 1
+        yield "base64", inner, Coded(starts(data), len(part), cut, place)
     return packed or clean and bool(inner)
 
 
-def _through(outer: np.ndarray, at: np.ndarray, less: int = 0) -> np.ndarray:
-    """outer at the places `at`, without memory for places that are all one."""
-    return np.broadcast_to(outer[at[0] - less], at.shape) if at.strides == (0,) else outer[at - less]
+def _path(steps: tuple[tuple[str, int], ...]) -> str:
+    return ">".join(how if n == 1 else f"{how}*{n}" for how, n in steps)
 
 
 def scan_text(text: str, escapes: bool = True, runs: bool = True) -> list[tuple[str, int, int, int, str]]:
     """Findings of all layers: kind, start, end (code points of text, end exclusive), depth (0: the text itself), how it was reached."""
     found = {(k, a, b): (0, "") for k, a, b in search(text)}
     seen = {(hashlib.sha256(text.encode(errors="surrogatepass")).digest(), 0, len(text))}
-    work = [(text, None, None, 0, "", escapes, runs)]
+    layers = unwrapped(text, escapes, runs)
+    work = [(layers, first, None, 0, ())] if (first := next(layers, None)) else []  # layers still to come, the next of them
     while work:
-        layer, begin, end, depth, via, esc, run = work.pop()
-        for how, inner, a, b in unwrapped(layer, esc, run):
-            a, b = (a, b) if begin is None else (_through(begin, a), _through(end, b, 1))
-            mark = hashlib.sha256(inner.encode(errors="surrogatepass")).digest(), int(a[0]), int(b[-1])
-            if mark in seen:
-                continue
-            seen.add(mark)
-            path = f"{via}>{how}" if via else how
-            for k, s, e in search(inner):
-                found.setdefault((k, int(np.min(a[s:e])), int(np.max(b[s:e]))), (depth + 1, path))
-            work.append((inner, a, b, depth + 1, path, True, True))
+        layers, (how, inner, where), outer, depth, steps = work.pop()
+        if (more := next(layers, None)) is not None:
+            work.append((layers, more, outer, depth, steps))
+        del layers, more
+        if not inner:
+            continue
+        chain = Chain(where, len(inner), outer)
+        mark = hashlib.sha256(inner.encode(errors="surrogatepass")).digest(), int(chain.begin(0)), int(chain.end(len(inner) - 1))
+        if mark in seen:
+            continue
+        seen.add(mark)
+        steps = (*steps[:-1], (how, steps[-1][1] + 1)) if steps and steps[-1][0] == how else (*steps, (how, 1))
+        for k, s, e in search(inner):
+            found.setdefault((k, int(chain.begin(s)), int(chain.end(e - 1))), (depth + 1, _path(steps)))
+        inside = unwrapped(inner, rows=steps[-1][1] if how == "escape" else 0)
+        if (first := next(inside, None)) is not None:
+            work.append((inside, first, chain, depth + 1, steps))
     return [(k, a, b, *how) for (k, a, b), how in sorted(found.items(), key=lambda x: (x[0][1], KINDS.index(x[0][0]), x[0][2]))]
 
 

@@ -838,6 +838,45 @@ def test_layers_that_are_wrapped_unclean_or_in_parts(monkeypatch):
     assert [text[a:b] for text in (f"{B64(b'bad ' + bytes([255]) + b' ' + KEY.encode())} z",) for k, a, b, *_ in secret_scan.scan_text(text)] == [B64(b"bad \xff " + KEY.encode())[8:].rstrip("=")]
 
 
+@pytest.mark.parametrize("depth", [1, 5, 17, 40, 90])
+def test_spans_through_many_layers(depth):
+    hidden = "".join("%" + "25" * (depth - 1) + f"{ord(c):02x}" for c in KEY)
+    text = f"é🎉 a%20{hidden} z"
+    spans = [f[1:3] for f in secret_scan.scan_text(text) if f[0] == "access"]
+    assert (7, 7 + len(hidden)) in spans and len(set(spans)) == 1
+    wrapped = base64.b64encode(f"ä {hidden} ä".encode()).decode()
+    (a, b), = {f[1:3] for f in secret_scan.scan_text(f"🎉🎉 {wrapped}\n") if f[0] == "access"}
+    n = len(wrapped.rstrip("="))
+    assert 3 < a <= 3 + 3 * 4 // 3 + 1 and 3 + n - 7 < b <= 3 + n
+
+
+def test_escapes_of_escapes_take_linear_time():
+    import time
+
+    began = time.process_time()
+    found = secret_scan.scan_text("%" + "25" * 50_000 + f"41{KEY[1:]}")
+    assert time.process_time() - began < 20 and any(f[0] == "access" for f in found)
+
+
+def test_a_large_layer_takes_little_memory():
+    """48 MB behind 65 KB, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = (
+        "import base64, gzip, io, resource; from lumenspan.llm import secret_scan as s\n"
+        "out = io.BytesIO(); z = gzip.GzipFile(fileobj=out, mode='wb')\n"
+        f"for i in range(48): z.write(b'x ' * (1 << 19))\n"
+        f"z.write(b'{KEY} end'); z.close()\n"
+        "text = 'see ' + base64.b64encode(out.getvalue()).decode()\n"
+        "peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10\n"
+        "before = peak(); found = s.scan_text(text); print(len(text), sum(f[0] == 'access' for f in found), peak() - before)"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    n, found, grown = map(int, done.stdout.split())
+    assert n < 70_000 and found == 1 and grown < 200
+
+
 def test_redaction_keeps_columns(spark, odd, none):
     df = odd.withColumn("text", F.when(F.col("doc_id") == 2, F.lit(f"my {KEY} x")).otherwise(F.col("text")))
     got = secret_scan.redact(df)
