@@ -36,20 +36,21 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir as the cluster names it. Where it is unset, in local mode only, one below the warehouse."""
+    """A new folder that driver and executors share, which release() removes: below spark.checkpoint.dir as the cluster names it. Where it is unset, in local mode only, one below the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{root.rstrip('/')}/lumenspan-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/lumenspan-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder: it survives the loss of any executor and is read by all."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -95,7 +96,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 
 
 def release(spark: SparkSession) -> int:
-    """Remove the tables that this process has made, once no result reads them any more. Returns how many."""
+    """Remove the tables and folders that this process has made, once no result reads them any more. Returns how many."""
     jvm, n = spark.sparkContext._jvm, len(_made)
     while _made:
         path = jvm.org.apache.hadoop.fs.Path(_made.pop())

@@ -4,19 +4,21 @@ Writing uses the text sink, so archives land wherever Spark can write: a record
 is the sink's line separator. Of equal payloads of `REVISIT_BYTES` or more, the capture of the largest page_id is stored, the
 others are revisit records that refer to it.
 
-Reading parses each archive by the lengths in its headers and gives a run of captures, sorted locally by URL key and timestamp;
-runs are written as files. The merge deals the key range out to tasks; each merges its part of all runs with a loser tree.
+Reading uses the text source: an archive comes as a stream of lines, is put together again and parsed by the lengths in its
+headers, a record at a time, whatever the archive's size. It gives a run of captures, sorted locally by URL key and timestamp; runs are written as files. The merge deals the key range out
+to tasks of about `RANGE_ROWS` captures; each merges its part of all runs with a loser tree.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import io
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from lumenspan.llm.runtime import materialize
 
 REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 8192
+RANGE_ROWS = 1 << 17
 #: Fixed values of the format.
 SEPARATOR = "\r\n\r\n"
 PROFILE = "http://netpreservefoundation.org/warc/1.1/revisit/identical-payload-digest"
@@ -34,7 +37,7 @@ def records(pages: DataFrame) -> DataFrame:
     """A WARC record (`value`) per row of `page_id`, `url`, `html`.
 
     Null pages have an empty payload. A null url leaves its header out. Rows without page_id never are what others refer to;
-    rows that repeat the largest page_id of a payload are responses all.
+    rows that repeat the largest page_id of a payload are responses all. An empty table gives no records.
     """
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html").cast("long")})
@@ -63,6 +66,7 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str) -> None:
+    """Archives below path, a folder that doesn't exist yet; an empty table makes one without archives or with empty ones."""
     records(pages).write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
@@ -99,31 +103,61 @@ def parsed(archive: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes,
         at += size + 2 + n + 4
 
 
-def opened(path: str, raw: memoryview) -> io.BufferedIOBase:
-    data = io.BytesIO(raw)
-    return io.BufferedReader(gzip.GzipFile(fileobj=data), 1 << 20) if path.endswith(".gz") else data
+class Stream(io.RawIOBase):
+    """The bytes of an archive from parts of it."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self.parts, self.now, self.at = parts, b"", 0
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out: memoryview) -> int:
+        while self.at == len(self.now):
+            part = next(self.parts, None)
+            if part is None:
+                return 0
+            self.now, self.at = part, 0
+        n = min(len(out), len(self.now) - self.at)
+        out[:n] = self.now[self.at : self.at + n]
+        self.at += n
+        return n
 
 
 def _number(identity: str | None) -> int | None:
     return int(identity[len("<urn:x-page:") : -1]) if identity else None
 
 
+_TYPES = {x.split()[0]: pa.int64() if x.endswith("long") else pa.string() for x in CAPTURES.split(", ")}
+
+
+def _run(path: str, archive: io.BufferedIOBase) -> pa.RecordBatch:
+    rows = []
+    for h, block, at, n in parsed(archive):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        size = int(dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])["Content-Length"])
+        digest = h["warc-payload-digest"].removeprefix("sha1:")
+        kind = h["warc-type"]
+        if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
+            raise ValueError(f"{path}: the record at byte {at} is damaged")
+        url = h.get("warc-target-uri")
+        rows.append((path, url_key(url), h["warc-date"], _number(h.get("warc-record-id")), url, kind, size, digest, _number(h.get("warc-refers-to")), at, n))
+    rows.sort(key=lambda r: _order(r[1:4]))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES.values())], names=list(_TYPES))
+
+
 def _captures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in CAPTURES.split(", ")]
-    for batch in batches:
-        for path, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            rows = []
-            for h, block, at, n in parsed(opened(path, memoryview(raw.as_buffer()))):
-                head, _, payload = block.partition(b"\r\n\r\n")
-                size = int(dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])["Content-Length"])
-                digest = h["warc-payload-digest"].removeprefix("sha1:")
-                kind = h["warc-type"]
-                if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
-                    raise ValueError(f"{path}: the record at byte {at} is damaged")
-                url = h.get("warc-target-uri")
-                rows.append((path, url_key(url), h["warc-date"], _number(h.get("warc-record-id")), url, kind, size, digest, _number(h.get("warc-refers-to")), at, n))
-            rows.sort(key=lambda r: _order(r[1:4]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64() if x.endswith("long") else pa.string() for x in CAPTURES.split(", ")], strict=True)] if rows else [pa.array([], pa.int64() if x.endswith("long") else pa.string()) for x in CAPTURES.split(", ")], names=names)
+    """Lines of archives, each archive's in order and one archive after another: a sorted run of each."""
+
+    def parts() -> Iterator[tuple[str, bytes]]:
+        for batch in batches:
+            runs, at = pc.run_end_encode(batch.column("path")), 0
+            for path, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                yield path, b"\n".join([*batch.column("value").slice(at, end - at).to_pylist(), b""])
+                at = end
+
+    for path, own in groupby(parts(), key=lambda x: x[0]):
+        yield _run(path, io.BufferedReader(Stream(part for _, part in own), 1 << 16))
 
 
 def _order(key: tuple) -> tuple:
@@ -132,8 +166,9 @@ def _order(key: tuple) -> tuple:
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of all archives in a folder, each archive's a sorted run, written as run files."""
-    return materialize(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_captures, CAPTURES))
+    """The captures of all gzip archives in a folder, each archive's a sorted run, written as run files. A compressed file isn't split, so its lines come in order."""
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.gz").text(path)
+    return materialize(lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value")).mapInArrow(_captures, CAPTURES))
 
 
 class LoserTree:
@@ -186,12 +221,14 @@ def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merge(captures: DataFrame) -> DataFrame:
-    """All runs in one order by URL key and timestamp: partitions follow each other, and rows within them."""
+    """All runs (a written table) in one order by URL key and timestamp: partitions follow each other, and rows within them. Equal captures are in order of their archives, so a key may have any number."""
     keys = (F.col("url_key"), F.col("stamp"), F.col("page_id").asc_nulls_first())
-    return captures.repartitionByRange(*keys).sortWithinPartitions("run", *keys).mapInArrow(_merged, CAPTURES)
+    spark = captures.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // RANGE_ROWS))
+    return captures.repartitionByRange(parts, *keys, "run", "offset").sortWithinPartitions("run", *keys, "offset").mapInArrow(_merged, CAPTURES)
 
 
 def history(pages: DataFrame, path: str) -> DataFrame:
-    """Write pages as archives below path, read them back, and give all captures in global order."""
+    """Write pages as archives below path, read them back, and give all captures in global order. Repeated rows are captures each; an empty table gives no rows."""
     write(pages, path)
     return merge(runs(pages.sparkSession, path))

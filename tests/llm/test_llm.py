@@ -647,12 +647,34 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.history(df.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def test_archives_are_read_in_parts(spark, tmp_path, monkeypatch):
+    """Payloads with separators at their ends and inside, long ones, and a merge of many ranges."""
+    rng = random.Random(3)
+    ends = ["\r\n\r\n", "\r\n", "\r\r\n\r\n", "\r\n\r", "\n\r\n\r\n\r\n", "x"]
+    rows = [(i, f"http://h{rng.randrange(9)}.example/{rng.randrange(5)}", rng.choice(ends) + "\r\n\r\n".join(sentence(rng, rng.randrange(40)) for _ in range(rng.randrange(5))) + rng.choice(ends)) for i in range(400)] + [(999, None, "é\r\n\r\n" * 300_000)]
+    rows += [(i, "http://hot.example/", "") for i in range(1000, 1200)] + [(5000, "http://hot.example/", "same")] * 20
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "RANGE_ROWS", 64)
+    warc.write(df.repartition(5), str(tmp_path / "w"))
+    captures = warc.runs(spark, str(tmp_path / "w"))
+    got = warc.merge(captures).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == sorted((i, len(h.encode()), hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows)
+    keys = [(r.url_key.encode(), r.stamp, r.page_id) for r in got]
+    assert keys == sorted(keys) and warc.merge(captures).rdd.getNumPartitions() >= 9
+    for p in (tmp_path / "w").glob("*.gz"):  # offsets and lengths are those of the archive
+        data = gzip.open(p).read()
+        for r in got:
+            if r.run.endswith(p.name):
+                assert data[r.offset :].startswith(b"WARC/1.1\r\n") and data[r.offset + r.length : r.offset + r.length + 4] == b"\r\n\r\n"
+
+
 def test_damaged_archives_are_refused():
     record = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [(h, b, at, n) for h, b, at, n in warc.parsed(io.BytesIO(record * 2))] == [({"content-length": "3"}, b"abc", 0, len(record) - 4), ({"content-length": "3"}, b"abc", len(record), len(record) - 4)]
     for bad in (record[:-6], record[1:], record + b"x"):
         with pytest.raises(ValueError):
             list(warc.parsed(io.BytesIO(bad)))
+    assert io.BufferedReader(warc.Stream(iter([record[:5], b"", record[5:], record])), 7).read() == record * 2
 
 
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
