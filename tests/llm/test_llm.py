@@ -733,18 +733,75 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
         minhash.near_duplicates(odd, percent=50)
 
 
-def test_buckets_connect_their_members():
-    rng = np.random.default_rng(4)
+def agree(a, b):
+    return (a[:, None] == b[None]).sum(axis=2)
+
+
+def parts_of(n, a, b):
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def families(rng, n, spread):
+    """Sketches of a few families, their members between them, and some that resemble none."""
     base = rng.integers(0, 16, (3, 64)).astype(np.uint8)
-    sketch = np.concatenate([np.where(rng.random((200, 64)) < 0.12, rng.integers(0, 16, (200, 64)), b) for b in base]).astype(np.uint8)
-    pairs = minhash._bucket(np.arange(600), sketch)
-    a, b = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
-    assert len(a) < 600 * 8
-    root = np.arange(600)
-    for _ in range(20):
-        for x, y in zip(a, b):
-            root[x] = root[y] = min(root[x], root[y])
-    assert all(len(set(root[i * 200 : i * 200 + 200])) == 1 for i in range(3)) and len(set(root)) == 3
+    base = np.concatenate([base, np.where(np.arange(64) < 34, base[0], base[1])[None]])
+    of = rng.integers(0, len(base) + 1, n)
+    out = np.where(rng.random((n, 64)) < rng.choice(spread, n)[:, None], rng.integers(0, 16, (n, 64)), base[np.minimum(of, len(base) - 1)])
+    return np.where((of == len(base))[:, None], rng.integers(0, 16, (n, 64)), out).astype(np.uint8)
+
+
+@pytest.mark.parametrize("n, hubs", [(2, 64), (3, 64), (40, 64), (40, 1), (700, 64), (700, 2), (700, 0)])
+def test_buckets_connect_all_that_agree(monkeypatch, n, hubs):
+    monkeypatch.setattr(minhash, "HUBS", hubs)
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        sketch = families(rng, n, [0, 0.1, 0.3, 0.45])
+        assert (minhash._agreeing(minhash._packed(sketch), minhash._packed(sketch)) == agree(sketch, sketch)).all()
+        pairs, part = minhash._bucket(np.arange(n) * 3 + 5, sketch)
+        a, b = (np.concatenate([p[i] for p in pairs]) // 3 - 1 for i in (0, 1))
+        root = parts_of(n, a, b)
+        x, y = np.nonzero(agree(sketch, sketch) >= minhash.LOW)
+        assert (root[x] == root[y]).all() and len(a) <= 8 * n
+        assert len({*zip(root.tolist(), part.tolist())}) == len(set(root.tolist())) == len(set(part.tolist()))
+
+
+@pytest.mark.parametrize("left", [4096, 16])
+def test_shares_of_a_hot_bucket_connect_all_that_agree(spark, monkeypatch, left):
+    """One bucket in shares of about 60: what agrees is connected, as it would be in one piece."""
+    monkeypatch.setattr(minhash, "LEFT", left)
+    rng = np.random.default_rng(7)
+    n = 1500
+    sketch = families(rng, n, [0.1, 0.3, 0.42])
+    bands = np.unique(minhash.BANDS[0])
+    sketch[:, bands] = 3
+    sig = sketch.astype(np.uint32) | (rng.integers(0, 1 << 28, sketch.shape).astype(np.uint32) << 4)
+    sig[:, bands] = 3
+    df = spark.createDataFrame([(i, bytes(s.tobytes())) for i, s in enumerate(sig)], "rid long, sig binary")
+    pairs = minhash._candidates(df, hot=60).collect()
+    a, b = (np.array([p[i] for p in pairs]) for i in (0, 1))
+    root = parts_of(n, a, b)
+    x, y = np.nonzero(agree(sketch, sketch) >= minhash.LOW)
+    assert (root[x] == root[y]).all() and len(a) < 32 * n
+
+
+def test_ids_with_several_texts_are_documents_each(spark):
+    rng = random.Random(3)
+    one, two, three = (sentence(rng, 60) for _ in range(3))
+    rows = [(1, one), (7, one), (7, two), (7, two), (9, two + " more"), (7, three), (12, three), (20, one + " or so"), (7, None)] + [(30, one)] * 40
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(1, 56, 1, True), (7, 56, 1, False), (7, 56, 7, True), (7, 56, 7, True), (9, 57, 7, False), (7, 56, 7, True), (12, 56, 7, False), (20, 58, 1, False), (7, 0, 7, True)] + [(30, 56, 1, False)] * 40
+    assert got == collections.Counter(want)
 
 
 def test_components(spark):
