@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.runtime import materialize
+from lumenspan.llm.runtime import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nothing but a yes or no reaches the driver. Each round hangs every node on the smallest in sight, which about squares the
     distance covered; hubs are split by adaptive joins, and their minima are pre-aggregated. Loops, repeated edges and edges
-    with a null end are left out.
+    with a null end are left out; a table without edges gives no rows.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
     while True:
@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialize(both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct())
         lowest = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(lowest, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        e = materialize(small.union(lowest.select("x", F.col("m").alias("y"))).distinct())
+        last, e = e, materialize(small.union(lowest.select("x", F.col("m").alias("y"))).distinct())
+        discard(last, large)
         two = e.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x")
         deep = e.join(e.select(F.col("x").alias("p")), F.col("y") == F.col("p"), "left_semi").select("x")
         if not two.union(deep).take(1):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.llm.components import components
 from lumenspan.llm.kernel import SHINGLE, U, mix, shingle_hashes
-from lumenspan.llm.runtime import materialize, only, slices
+from lumenspan.llm.runtime import discard, materialize, only, slices
 
 COORDINATES = 64
 WIDTH = 4
@@ -483,6 +483,7 @@ def near_duplicates(df: DataFrame, percent: int = 75, k: int = SHINGLE, hot: int
     parts = components(links)
     more = _between_parts(ends.select("rid", "n_shingles"), components(pairs), parts, sets, percent)
     roots = parts if more is None else components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    discard(pairs, sets, links)
     inside = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).join(ends.select("rid", "doc"), F.col("node") == F.col("rid")).select("rid", "root", "doc")
     found = inside.join(inside.groupBy("root").agg(F.min("doc").alias("found")), "root").select("rid", "found")
     named = classes.select("one", "two", "rid", "doc").join(found, "rid", "left").select("one", "two", F.coalesce("found", "doc").alias("found"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,7 +51,33 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder: it survives the loss of any executor and is read by all."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of materialize() that nothing reads any more."""
+    for df in tables:
+        if (path := getattr(df, "_written", None)) in _made:
+            _made.remove(path)
+            _removed(df.sparkSession, path)
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, written; all that was written on the way is removed."""
+    before = len(_made)
+    out = materialize(make())
+    for path in _made[before:]:
+        if path != out._written:
+            _made.remove(path)
+            _removed(spark, path)
+    return out
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def numbered(df: DataFrame, *order: Column) -> DataFrame:
@@ -97,8 +123,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 
 def release(spark: SparkSession) -> int:
     """Remove the tables and folders that this process has made, once no result reads them any more. Returns how many."""
-    jvm, n = spark.sparkContext._jvm, len(_made)
+    n = len(_made)
     while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _removed(spark, _made.pop())
     return n

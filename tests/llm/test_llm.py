@@ -1012,6 +1012,10 @@ def test_tables_can_be_released(spark):
 
     assert runtime.materialize(spark.range(3)).count() == 3
     assert runtime.release(spark) >= 1 and runtime.release(spark) == 0
+    kept = runtime.finished(spark, lambda: runtime.materialize(spark.range(5)).where("id > 1"))
+    assert kept.count() == 3 and runtime._made == [kept._written]
+    runtime.discard(kept, kept, spark.range(1))
+    assert runtime._made == [] and not os.path.exists(kept._written.removeprefix("file:"))
 
 
 def test_batches_are_made_small_only_if_larger(spark):
