@@ -6,11 +6,13 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspan.llm import langid, minhash, mixing, packing, secret_scan
-from lumenspan.llm.runtime import materialize, small_batches, table
+from lumenspan.llm.runtime import discard, finished, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,10 +26,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group stays; of repeated rows, one."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    """One row of each group stays, of those with the smallest doc_id the one of the smallest hash; rows without words or doc_id aren't in groups, but of repeated rows with an id one stays."""
+    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS))
+    found = minhash.near_duplicates(docs, tag="_row").where("kept AND doc_id IS NOT NULL")
+    kept = found.groupBy("doc_id", F.when(F.col("n_shingles") == 0, F.col("_row"))).agg(F.min("_row").alias("_row")).select("doc_id", "_row")
+    named = docs.join(kept, ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"])
+    return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each but the last written; a stage's table and what it wrote on the way are removed once the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        last, docs = docs, finished(spark, partial(stage, spark, docs, sf_dir))
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
