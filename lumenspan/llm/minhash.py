@@ -441,7 +441,7 @@ def _across(percent: int):
 def _between_parts(nodes: DataFrame, groups: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """nodes: `rid`, `n_shingles`. Links between different parts of one group, enough to connect those that have any; None if no group has parts."""
     n = nodes.join(groups.withColumnRenamed("root", "g"), F.col("rid") == F.col("node"), "left").drop("node").join(parts.withColumnRenamed("root", "p"), F.col("rid") == F.col("node"), "left").drop("node")
-    n = materialize(n.select("rid", "n_shingles", F.coalesce("g", "rid").alias("gid"), F.coalesce("p", "rid").alias("part")))
+    n = materialize(n.select("rid", "n_shingles", F.coalesce("g", "rid").alias("gid"), F.coalesce("p", "rid").alias("part")), nodes.count())
     sizes = n.groupBy("gid", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     largest = F.struct("n", -F.col("part"))
     whole = sizes.groupBy("gid").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max_by("part", largest).alias("main"), (F.sum("n") - F.max("n")).alias("out"), (F.sum("s") - F.max_by("s", largest)).alias("out_s"), F.count("*").alias("parts"))
