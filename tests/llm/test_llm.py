@@ -272,26 +272,83 @@ def test_repeats_are_found_and_clean_documents_left(spark):
     assert substring.repeats(df.limit(0)).count() == 0
 
 
-def test_long_runs_of_one_window_in_parts(spark, monkeypatch):
+def linked_docs(links, n):
+    root = list(range(n))
+    for a, b in zip(links.column("a").to_pylist(), links.column("b").to_pylist()):
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        root[max(a, b)] = min(a, b)
+    return all(root[i] < i for i in range(1, n))
+
+
+def test_long_runs_of_one_window_in_parts(monkeypatch):
     rng = random.Random(8)
     common = sentence(rng, 70)
-    df = spark.createDataFrame([(i, f"{sentence(rng, 20)} {common} {sentence(rng, 20)}") for i in range(300)], "doc_id long, text string")
-    batches = [b for b in df.repartition(1).mapInArrow(substring._windows(5, 46), "key long, doc_id long, place long, around long").orderBy("key", "doc_id", "place").toArrow().to_batches(max_chunksize=50)]
-    reach = []
+    texts = [f"{sentence(rng, 20)} {common} {sentence(rng, 20)}" for i in range(300)]
+    made = []
+    for i, x in enumerate(texts):
+        buf, at = kernel.flat(pa.array([x]))
+        start, end, first = kernel.words(buf, at)
+        h, at = kernel.shingles(kernel.word_hashes(buf, start, end), first, 5, whole=False)
+        made.append(substring._rows(h, at, at, np.array([i]), 46))
+    columns = [np.concatenate(x) for x in zip(*made)]
+    order = np.lexsort((columns[2], columns[1], columns[0]))
+    table = pa.table([*(pa.array(x[order]) for x in columns), pa.array(np.zeros(len(order), np.int64))], names=list(substring._NAMES))
     for held in (1 << 18, 100):
         monkeypatch.setattr(substring, "HELD", held)
         monkeypatch.setattr(substring, "READY", min(held, 20_000))
-        cut = [[b for i in range(0, x.num_rows, 50) for b in [x.slice(i, 50)]] for x in batches]
-        links = pa.Table.from_batches(list(substring._linked(iter(sum(cut, [])))))
-        root = list(range(300))
-        for a, b in zip(links.column("a").to_pylist(), links.column("b").to_pylist()):
-            while root[a] != a:
-                a = root[a]
-            while root[b] != b:
-                b = root[b]
-            root[max(a, b)] = min(a, b)
-        reach.append((links.num_rows < 300 * 40, all(root[i] < i for i in range(1, 300))))
-    assert reach == [(True, True)] * 2
+        links = pa.Table.from_batches(list(substring._linked(iter(table.to_batches(max_chunksize=50)))))
+        assert links.num_rows < 300 * 40 and linked_docs(links, 300)
+
+
+def test_hot_windows_are_combined_in_each_task(spark, monkeypatch):
+    """What all documents share leaves each task once for a group, and the documents are linked all the same."""
+    rng = random.Random(9)
+    common = sentence(rng, 70)
+    docs = [(i, f"{sentence(rng, 20)} {common} {sentence(rng, 20)}") for i in range(400)] + [(1000 + i, sentence(rng, 90)) for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    plain = substring.shared_passages(df).collect()
+    monkeypatch.setattr(substring, "HOT", 64 * 3)
+    keys = collections.Counter(r.key for r in df.mapInArrow(substring._keys(5, 46), "key long").collect())
+    hot = np.array(sorted(k for k, n in keys.items() if n > 50), np.int64)
+    rows = df.mapInArrow(substring._windows(5, 46, hot, 1 << 18), substring.WINDOWS).where("win = 0")
+    most = rows.groupBy("key").count().agg(F.max("count")).first()[0]
+    assert len(hot) >= 6 and max(keys.values()) == 400 and most < 50
+    for got in (plain, substring.shared_passages(df).collect()):
+        assert linked_docs(pa.table({"a": [r.a for r in got], "b": [r.b for r in got]}), 400) and len(got) < 1600
+        assert all(r.a_end - r.a_start >= 70 and r.b < 1000 for r in got)
+
+
+def test_a_hub_comes_to_its_partners_in_blocks(spark, monkeypatch):
+    rng = random.Random(10)
+    one = sentence(rng, 3000).split()
+    docs = [(0, " ".join(one))] + [(i, f"{sentence(rng, 10)} {' '.join(one[20 * i : 20 * i + 60])}") for i in range(1, 100)]
+    docs += [docs[5], docs[5]]  # repeated rows
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {partners: sorted(map(tuple, substring.shared_passages(df).collect())) for partners in (64, 3) if not monkeypatch.setattr(substring, "PARTNERS", partners)}
+    assert got[64] == got[3] and {r[3] for r in got[3] if r[0] == 0} == set(range(1, 100))
+    assert len(set(got[3])) == len(got[3])
+
+
+@pytest.mark.parametrize("n, changes", [(50, 1), (60, 1), (80, 2), (101, 2), (101, 3), (150, 4)])
+def test_recall_of_changed_passages(spark, n, changes):
+    """Pairs of passages with changed words at random places: all of 75 % similarity by brute force are looked for."""
+    rng = random.Random(n + changes)
+    docs, want = [], set()
+    for i in range(150):
+        one = sentence(rng, n).split()
+        two = one[:]
+        for j in rng.sample(range(5, n - 5), changes):  # a passage begins and ends with five equal words
+            two[j] = "changed"
+        a, b = ({tuple(x[j : j + 5]) for j in range(n - 4)} for x in (one, two))
+        docs += [(2 * i + j, f"{sentence(rng, 40)} {' '.join(p)} {sentence(rng, 40)}") for j, p in enumerate((one, two))]
+        if 100 * len(a & b) >= 75 * len(a | b):
+            want.add((2 * i, 2 * i + 1))
+    got = {(r.a, r.b) for r in substring.shared_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(want) > 20 and len(got & want) >= 0.98 * len(want), (len(got & want), len(want))
+    assert all(b == a + 1 and a % 2 == 0 for a, b in got)
 
 
 def test_a_passage_that_one_document_repeats_often(spark):
