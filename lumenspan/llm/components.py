@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from lumenspan.llm.runtime import discard, materialize
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges: `a`, `b` longs. Returns `node`, `root` for each node but the roots, root the smallest node that it reaches.
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """edges: `a`, `b` longs, about `rows` if that is known. Returns `node`, `root` for each node but the roots, root the smallest node that it reaches.
 
     Nothing but a yes or no reaches the driver. Each round hangs every node on the smallest in sight, which about squares the
     distance covered; hubs are split by adaptive joins, and their minima are pre-aggregated. Loops, repeated edges and edges
     with a null end are left out; a table without edges gives no rows.
     """
-    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
+    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), rows)
     n = e.count()  # no round adds edges
     while True:
         both = e.select("x", "y").union(e.select(F.col("y").alias("x"), F.col("x").alias("y")))

@@ -332,8 +332,8 @@ def _apart(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs_of([(ids[a], ids[b]) for a, b in found])
 
 
-def _candidates(classes: DataFrame, hot: int) -> DataFrame:
-    """Pairs `a`, `b` of classes (`rid`, `sig`) from all band buckets.
+def _candidates(classes: DataFrame, hot: int, n: int) -> DataFrame:
+    """Pairs `a`, `b` of n classes (`rid`, `sig`) from all band buckets.
 
     One class in 64 tells which buckets have more than about `hot` members. These are gone through in shares of that size. The
     largest parts of a bucket's shares are connected by their leaders, in a family mostly; all members outside of it are
@@ -342,7 +342,7 @@ def _candidates(classes: DataFrame, hot: int) -> DataFrame:
     band = lambda c: c.select("rid", "sig").mapInArrow(_banded, "key long, rid long, sketch binary")
     banded = band(classes)
     drawn = band(classes.where(F.pmod(F.xxhash64("rid"), F.lit(64)) == 0)).groupBy("key").agg(F.count("*").alias("n"))
-    large = materialize(drawn.where(F.col("n") * 64 > hot).select("key", F.ceil(F.col("n") * 64 / hot).cast("int").alias("shares")))
+    large = materialize(drawn.where(F.col("n") * 64 > hot).select("key", F.ceil(F.col("n") * 64 / hot).cast("int").alias("shares")), len(BANDS) * n // hot)
     if not large.take(1):
         return banded.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_paired, "a long, b long")
     salted = banded.join(large, "key").withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("shares")).cast("int")).select("key", "salt", "rid", "sketch")
@@ -447,7 +447,7 @@ def _between_parts(nodes: DataFrame, groups: DataFrame, parts: DataFrame, sets:
     whole = sizes.groupBy("gid").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max_by("part", largest).alias("main"), (F.sum("n") - F.max("n")).alias("out"), (F.sum("s") - F.max_by("s", largest)).alias("out_s"), F.count("*").alias("parts"))
     block = F.least(F.greatest(F.sqrt(F.col("n") * F.col("out")) / DEALT, F.lit(BLOCKS[0])), F.lit(BLOCKS[1]))
     blocks = lambda n, s: F.ceil(F.greatest(F.col(n) / block, F.col(s) * 8 / BLOCK_BYTES)).cast("int")
-    whole = materialize(whole.where("parts > 1 AND n > 2").select("gid", "main", blocks("n", "s").alias("inner"), blocks("out", "out_s").alias("outer")))
+    whole = materialize(whole.where("parts > 1 AND n > 2").select("gid", "main", blocks("n", "s").alias("inner"), blocks("out", "out_s").alias("outer")), nodes.count())
     if not whole.take(1):
         return None
     n = n.join(whole, "gid").withColumn("at", F.xxhash64("rid"))
@@ -473,15 +473,17 @@ def near_duplicates(df: DataFrame, percent: int = 75, k: int = SHINGLE, hot: int
     rows = materialize(only(df, doc_id="long", text="string", **tags).mapInArrow(_signed("text", k), ", ".join(["doc_id long, n_shingles long, one long, two long, sig binary", *(f"`{t}` long" for t in tags)])))
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("one", "two").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    classes = materialize(classes.withColumn("rid", F.monotonically_increasing_id()))
-    pairs = materialize(_candidates(classes, hot).distinct())
+    classes = materialize(classes.withColumn("rid", F.monotonically_increasing_id()), rows.count())
+    n = classes.count()
+    pairs = materialize(_candidates(classes, hot, n).distinct(), n)
+    m = pairs.count()
     ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    ends = materialize(classes.select("rid", "doc", "one", "two", "n_shingles").join(ends, "rid"))
+    ends = materialize(classes.select("rid", "doc", "one", "two", "n_shingles").join(ends, "rid"), 2 * m)
     sets = materialize(docs.join(ends.drop("n_shingles").hint("merge"), F.col("doc_id") == F.col("doc")).select("doc_id", "rid", "one", "two", "text").mapInArrow(_sets(k), "rid long, set binary"))
     a, b = (sets.select(F.col("rid").alias(x), F.col("set").alias(f"set_{x}")) for x in ("a", "b"))
     links = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long"))
-    parts = components(links)
-    more = _between_parts(ends.select("rid", "n_shingles"), components(pairs), parts, sets, percent)
+    parts = components(links, m)
+    more = _between_parts(ends.select("rid", "n_shingles"), components(pairs, m), parts, sets, percent)
     roots = parts if more is None else components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     discard(pairs, sets, links)
     inside = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).join(ends.select("rid", "doc"), F.col("node") == F.col("rid")).select("rid", "root", "doc")

@@ -37,13 +37,13 @@ def keyed(df: DataFrame, quality: Column, seed: int) -> DataFrame:
     return df.withColumns({"_size": n_words(F.col("text")), "_key": -F.log(u) / quality, "_tie": F.xxhash64(F.lit(seed + 1), F.col("text"), F.col("doc_id"))})
 
 
-def targets(sizes: DataFrame, fraction: float, weights: tuple[float, ...], cap: float) -> DataFrame:
-    """sizes: a row per `source` with its `source_size`. Adds `target`: sources by code point, null last, share `fraction` of all sizes by the repeating weights; none gets more than `cap` times its size, and the excess is shared again.
+def targets(sizes: DataFrame, fraction: float, weights: tuple[float, ...], cap: float, rows: int | None = None) -> DataFrame:
+    """sizes: a row per `source` with its `source_size`, about `rows`. Adds `target`: sources by code point, null last, share `fraction` of all sizes by the repeating weights; none gets more than `cap` times its size, and the excess is shared again.
 
     That is the level of a water filling: sources that are full at the level of the round before leave, until none does. A round
     is a sum over the sources, of which the driver sees nothing else.
     """
-    s = numbered(sizes, F.col("source").asc_nulls_last())
+    s = numbered(sizes, F.col("source").asc_nulls_last(), rows=rows)
     s = s.withColumn("w", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("_n") % len(weights) + 1).cast("int")))
     total, level, known = None, 0.0, -1
     while True:
@@ -58,21 +58,22 @@ def targets(sizes: DataFrame, fraction: float, weights: tuple[float, ...], cap:
 
 def plan(slim: DataFrame, fraction: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), cap: float = 2.0) -> DataFrame:
     """slim: `source`, `_size`, `_key`, `_tie`. A row per source: `source_size`, `target`, `epochs`, and the last document (`cut_key`, `cut_tie`) of the fractional epoch with the words that it gives (`cut_words`)."""
-    goal = targets(slim.groupBy("source").agg(F.sum("_size").alias("source_size")), fraction, weights, cap)
-    goal = materialize(goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)).withColumn("budget", F.greatest(F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"), F.lit(0))))
+    n = slim.agg(F.approx_count_distinct("source")).first()[0]
+    goal = targets(slim.groupBy("source").agg(F.sum("_size").alias("source_size")), fraction, weights, cap, n)
+    goal = materialize(goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)).withColumn("budget", F.greatest(F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"), F.lit(0))), n)
     bin_ = F.coalesce(F.floor(F.log2(F.col("_key")) * BINS), F.lit(-1 << 40))  # a key may be 0
     slim = slim.where("_size > 0").withColumn("bin", bin_)
     sums = slim.groupBy("source", "bin").agg(F.sum("_size").alias("words")).withColumnRenamed("source", "s")
     w = Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(w), F.lit(0)))
     ends = sums.join(small(goal.where("budget > 0")), F.col("s").eqNullSafe(F.col("source"))).where("before < budget AND before + words >= budget")
-    ends = materialize(ends.select("s", F.col("bin").alias("b"), "before", "budget"))
+    ends = materialize(ends.select("s", F.col("bin").alias("b"), "before", "budget"), n)
     last = slim.join(small(ends), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
     rows = last.groupBy("s", "before", "budget", "_key", "_tie").agg(F.sum("_size").alias("words"), F.count("*").alias("copies"))
     at = Window.partitionBy("s").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("prior", F.col("before") + F.coalesce(F.sum("words").over(at), F.lit(0)))
     cut = rows.where("prior < budget AND prior + words >= budget").select("s", F.col("_key").alias("cut_key"), F.col("_tie").alias("cut_tie"), F.floor((F.col("budget") - F.col("prior")) / F.col("copies")).alias("cut_words"))
-    return materialize(goal.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
+    return materialize(goal.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), n)
 
 
 def apply(rows: DataFrame, planned: DataFrame, source: str = "source") -> DataFrame:

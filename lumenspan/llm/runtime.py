@@ -48,11 +48,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows of a slim table for each file.
-FILE_ROWS = 1 << 20
+FILE_ROWS = 1 << 17
 
 
 def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Cut the lineage with a table in the shared folder: it survives the loss of any executor and is read by all. rows: how many it has at most, if few files should hold them."""
+    """Cut the lineage with a table in the shared folder: it survives the loss of any executor and is read by all. rows: about how many it has, if few files should hold them."""
     path = shared_dir(df.sparkSession)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
@@ -86,11 +86,11 @@ def _removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def numbered(df: DataFrame, *order: Column) -> DataFrame:
-    """df with `_n`, the number of each row (from 0) in that order, written as a table. Rows are sorted in ranges; only each range's count reaches the driver."""
+def numbered(df: DataFrame, *order: Column, rows: int | None = None) -> DataFrame:
+    """df with `_n`, the number of each row (from 0) in that order, written as a table. Rows are sorted in ranges; only each range's count reaches the driver. rows: as of materialize()."""
     spark = df.sparkSession
     own = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
-    own = materialize(own)
+    own = materialize(own, rows)
     counts = sorted(map(tuple, own.groupBy("_part").agg(F.count("*")).collect()))
     if not counts:
         return own.drop("_part")

@@ -845,7 +845,7 @@ def test_shares_of_a_hot_bucket_connect_all_that_agree(spark, monkeypatch, left)
     sig = sketch.astype(np.uint32) | (rng.integers(0, 1 << 28, sketch.shape).astype(np.uint32) << 4)
     sig[:, bands] = 3
     df = spark.createDataFrame([(i, bytes(s.tobytes())) for i, s in enumerate(sig)], "rid long, sig binary")
-    pairs = minhash._candidates(df, hot=60).collect()
+    pairs = minhash._candidates(df, 60, n).collect()
     a, b = (np.array([p[i] for p in pairs]) for i in (0, 1))
     root = parts_of(n, a, b)
     x, y = np.nonzero(agree(sketch, sketch) >= minhash.LOW)
