@@ -47,15 +47,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-#: Rows of a slim table for each file.
-FILE_ROWS = 1 << 17
+#: Rows of a slim table for each file, and files that it may have in any case.
+FILE_ROWS, FILES = 1 << 17, 16
 
 
 def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut the lineage with a table in the shared folder: it survives the loss of any executor and is read by all. rows: about how many it has, if few files should hold them."""
     path = shared_dir(df.sparkSession)
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+        df = df.coalesce(max(FILES, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
