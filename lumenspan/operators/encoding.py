@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -57,19 +58,41 @@ def context(**what: object) -> str:
     return hashlib.sha256(json.dumps(what, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
-def cached(spark: SparkSession, folder: str, key: str, make, resume: str = "auto") -> DataFrame:
-    """The table at folder/key, made if it isn't there or `resume` is restart. `fail` takes only a folder that holds no other context."""
+def _folder(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written there to its end."""
+    fs, at = _folder(spark, f"{path}/_SUCCESS")
+    return fs.exists(at)
+
+
+def store_name(base: str, *parts: str) -> str:
+    """A name for a store of one model's vectors: the base and a slug of the parts, of 64 characters at most, a digest in place of what is cut off."""
+    slug = re.sub(r"[^a-zA-Z0-9._-]+", "-", "__".join(p for p in parts if p).lower()).strip(".-_") or "model"
+    if len(slug) > 64:
+        slug = f"{slug[:53]}-{hashlib.sha1(slug.encode()).hexdigest()[:10]}"
+    return f"{base}_{slug}"
+
+
+def cached(spark: SparkSession, folder: str, key: str, df: DataFrame, make: Callable[[DataFrame], DataFrame], column: str = "docno", resume: str = "auto", chunks: int = 8) -> DataFrame:
+    """make(df), kept at folder/key. Rows go in `chunks` by a hash of `column`; chunks that are finished stay, so what an interruption left is done again chunk by chunk.
+
+    `restart` makes all of them again. `fail` takes only a folder that holds no other context.
+    """
     path = f"{folder.rstrip('/')}/{key}"
-    jvm = spark.sparkContext._jvm
-    to = jvm.org.apache.hadoop.fs.Path(path)
-    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
-    if done and resume != "restart":
-        return spark.read.parquet(path)
-    if resume == "fail" and fs.exists(to.getParent()) and len(fs.listStatus(to.getParent())):
+    fs, at = _folder(spark, path)
+    if resume == "restart":
+        fs.delete(at, True)
+    if resume == "fail" and not fs.exists(at) and fs.exists(at.getParent()) and len(fs.listStatus(at.getParent())):
         raise ValueError(f"{folder} holds vectors of another context")
-    make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    parts = [f"{path}/chunk-{i:04}-of-{chunks:04}" for i in range(chunks)]
+    for i, part in enumerate(parts):
+        if not finished(spark, part):
+            make(df.where(F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(chunks)) == i)).write.mode("overwrite").parquet(part)
+    return spark.read.parquet(*parts)
 
 
 def newest(spark: SparkSession, folder: str) -> str | None:
@@ -79,5 +102,6 @@ def newest(spark: SparkSession, folder: str) -> str | None:
     fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(to):
         return None
-    done = [(s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(to) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    whole = lambda p: any(fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")) for x in [p, *(c.getPath() for c in fs.listStatus(p) if c.isDirectory())])
+    done = [(s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(to) if s.isDirectory() and whole(s.getPath())]
     return max(done)[1] if done else None

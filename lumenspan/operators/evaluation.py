@@ -11,7 +11,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MEASURES = ("ndcg10", "ap_rel2", "rr_rel2", "rr10", "recall100")
+#: map and recip_rank count labels of 1 or more as relevant and have no cutoff.
+MEASURES = ("ndcg10", "ap_rel2", "rr_rel2", "rr10", "recall100", "map", "recip_rank")
 
 
 def per_query(runs: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -21,17 +22,20 @@ def per_query(runs: DataFrame, qrels: DataFrame) -> DataFrame:
     ideal = judged.withColumn("_n", ideal_rank).groupBy("qid").agg(F.sum(F.when((F.col("_n") <= 10) & (F.col("label") > 0), F.col("label") / F.log2(F.col("_n") + 1)).otherwise(0.0)).alias("idcg"), F.sum(F.when(F.col("label") >= 1, 1).otherwise(0)).alias("rel1"), F.sum(F.when(F.col("label") >= 2, 1).otherwise(0)).alias("rel2"))
     w = Window.partitionBy("run", "qid").orderBy(F.desc("score"), "docno")
     ranked = runs.join(ideal.select("qid"), "qid", "left_semi").withColumn("n", F.row_number().over(w)).join(judged, ["qid", "docno"], "left")
-    ranked = ranked.withColumn("hit2", F.when(F.col("label") >= 2, 1).otherwise(0)).withColumn("hits2", F.sum("hit2").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    hits = lambda label: F.sum(F.when(F.col("label") >= label, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranked.withColumns({"hits1": hits(1), "hits2": hits(2)})
+    precision = lambda label: F.sum(F.when(F.col("label") >= label, F.col(f"hits{label}") / F.col("n")).otherwise(0.0))
     got = ranked.groupBy("run", "qid").agg(
         F.sum(F.when((F.col("n") <= 10) & (F.col("label") > 0), F.col("label") / F.log2(F.col("n") + 1)).otherwise(0.0)).alias("dcg"),
-        F.sum(F.when(F.col("hit2") == 1, F.col("hits2") / F.col("n")).otherwise(0.0)).alias("ap"),
+        precision(2).alias("ap"),
+        precision(1).alias("ap1"),
         F.min(F.when(F.col("label") >= 2, F.col("n"))).alias("first2"),
-        F.min(F.when((F.col("label") >= 1) & (F.col("n") <= 10), F.col("n"))).alias("first1"),
+        F.min(F.when(F.col("label") >= 1, F.col("n"))).alias("first1"),
         F.sum(F.when((F.col("label") >= 1) & (F.col("n") <= 100), 1).otherwise(0)).alias("top"),
     )
-    every = runs.select("run").distinct().join(F.broadcast(ideal)) if ideal.count() <= 100_000 else ideal.join(F.broadcast(runs.select("run").distinct()))
+    every = ideal.join(F.broadcast(runs.select("run").distinct()))  # the runs of an experiment are a few names
     share = lambda a, b: F.when(F.col(b) > 0, F.coalesce(F.col(a), F.lit(0.0)) / F.col(b)).otherwise(0.0)
-    return every.join(got, ["run", "qid"], "left").select("run", "qid", share("dcg", "idcg").alias("ndcg10"), share("ap", "rel2").alias("ap_rel2"), F.coalesce(1 / F.col("first2"), F.lit(0.0)).alias("rr_rel2"), F.coalesce(1 / F.col("first1"), F.lit(0.0)).alias("rr10"), share("top", "rel1").alias("recall100"))
+    return every.join(got, ["run", "qid"], "left").select("run", "qid", share("dcg", "idcg").alias("ndcg10"), share("ap", "rel2").alias("ap_rel2"), F.coalesce(1 / F.col("first2"), F.lit(0.0)).alias("rr_rel2"), F.coalesce(F.when(F.col("first1") <= 10, 1 / F.col("first1")), F.lit(0.0)).alias("rr10"), share("top", "rel1").alias("recall100"), share("ap1", "rel1").alias("map"), F.coalesce(1 / F.col("first1"), F.lit(0.0)).alias("recip_rank"))
 
 
 def means(scores: DataFrame, digits: int = 4) -> DataFrame:

@@ -3,7 +3,7 @@
 The problem is a table `docno`, `u` (an array of utilities in the order of the profiles) with the profiles' costs beside it.
 A choice is a column `k` (0-based). For a multiplier, each document takes the profile of the largest u - multiplier * cost, ties
 to the first; a bisection of multipliers is evaluated `TREE` levels at a time, in one pass over the table, as its midpoints are
-known beforehand. Only sums reach the driver. Sums of utilities are decimals, so they don't depend on the order of rows.
+known beforehand. Only sums reach the driver. Utilities are summed as whole numbers of 1e-15, so sums don't depend on the order of rows.
 
 Repair moves documents one by one in a fixed order until the budget is met or spent. A running sum over that order in two steps
 (within range partitions, then their offsets) takes whole stretches of moves at once. Documents compare by docno as strings.
@@ -11,9 +11,13 @@ Repair moves documents one by one in a fixed order until the budget is met or sp
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +25,9 @@ from lumenspan.operators.profiles import Profile
 from lumenspan.sources.shared import kept
 
 TREE = 4
-EXACT = "decimal(38,15)"
+#: Utilities are summed as whole numbers of these, and so may not be beyond LARGEST.
+UNITS = 1e15
+LARGEST = 9000.0
 
 
 class InfeasibleError(ValueError):
@@ -62,9 +68,11 @@ def build(utility: DataFrame, profiles: list[Profile], budget: int, dtype: str =
         raise ValueError("profiles need unique names and positive costs")
     order = F.array_position(F.array(*map(F.lit, names)), F.col("profile")) - 1
     t = utility.select("docno", order.cast("int").alias("i"), F.col("utility").cast("double").alias("utility"))
-    bad = t.agg(F.count_if((F.col("i") < 0) | F.col("i").isNull()).alias("unknown"), F.count_if(F.col("utility").isNull() | F.isnan("utility") | (F.abs("utility") == float("inf"))).alias("odd")).first()
+    bad = t.agg(F.count_if((F.col("i") < 0) | F.col("i").isNull()).alias("unknown"), F.count_if(F.col("utility").isNull() | F.isnan("utility") | (F.abs("utility") == float("inf"))).alias("odd"), F.count_if(F.abs("utility") > LARGEST).alias("large")).first()
     if bad["unknown"] or bad["odd"]:
         raise ValueError(f"{bad['unknown']} utilities of unknown profiles, {bad['odd']} that aren't finite")
+    if bad["large"]:
+        raise ValueError(f"{bad['large']} utilities beyond {LARGEST:g}; scale them down")
     wide = kept(t.groupBy("docno").agg(F.count("*").alias("n"), F.size(F.collect_set("i")).alias("d"), F.sort_array(F.collect_list(F.struct("i", "utility"))).alias("s")).select("docno", "n", "d", F.transform("s", lambda x: x["utility"]).alias("u")))
     wrong = wide.where((F.col("n") != len(names)) | (F.col("d") != len(names))).select("docno").limit(5).collect()
     if wrong:
@@ -84,13 +92,13 @@ def choice(u: Column, costs: list[int], lam: Column | float) -> Column:
 
 def _totals(chosen: DataFrame, p: Problem, *by: str) -> DataFrame:
     k = F.col("k") + 1
-    sums = (F.coalesce(F.sum(F.element_at(p.cost_array, k)), F.lit(0)).alias("cost"), F.coalesce(F.sum(F.element_at("u", k).cast(EXACT)), F.lit(0).cast("decimal(38,15)")).alias("utility"))
+    sums = (F.coalesce(F.sum(F.element_at(p.cost_array, k)), F.lit(0)).alias("cost"), F.coalesce(F.sum(F.rint(F.element_at("u", k) * UNITS).cast("long").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("utility"))
     return chosen.groupBy(*by).agg(*sums) if by else chosen.agg(*sums)
 
 
 def candidate(chosen: DataFrame, p: Problem, lam: float, origin: str, **more) -> Candidate:
     t = _totals(chosen, p).first()
-    return Candidate(chosen, int(t["cost"]), t["utility"], lam, origin, **more)
+    return Candidate(chosen, int(t["cost"]), Decimal(t["utility"]).scaleb(-15), lam, origin, **more)
 
 
 def at_lambda(p: Problem, lam: float) -> DataFrame:
@@ -102,8 +110,8 @@ def curve(p: Problem, lams: list[float]) -> dict[float, tuple[int, object]]:
     if not lams:
         return {}
     many = p.wide.withColumn("lam", F.explode(F.array(*map(F.lit, map(float, lams)))))
-    got = {r["lam"]: (int(r["cost"]), r["utility"]) for r in _totals(many.withColumn("k", choice(F.col("u"), p.costs, F.col("lam"))), p, "lam").collect()}
-    return {x: got.get(x, (0, 0)) for x in lams}
+    got = {r["lam"]: (int(r["cost"]), Decimal(r["utility"]).scaleb(-15)) for r in _totals(many.withColumn("k", choice(F.col("u"), p.costs, F.col("lam"))), p, "lam").collect()}
+    return {x: got.get(x, (0, Decimal(0))) for x in lams}
 
 
 def cheapest(p: Problem) -> Candidate:
@@ -319,19 +327,16 @@ def assignments(chosen: DataFrame, p: Problem) -> DataFrame:
     return chosen.select("docno", F.element_at(F.array(*map(F.lit, p.names)), k).alias("profile"), F.element_at("u", k).alias("utility"), F.element_at(p.cost_array, k).alias("cost_bytes"))
 
 
-#: Up to so many utilities (32 MB) a problem is solved in the driver's memory by the same rules; beyond, by passes over the table.
+#: Up to so many utilities (32 MB) a problem is solved in the memory of one task by the same rules; beyond, by passes over the table.
 LOCAL = 1 << 22
 
 
 class Local:
-    """The same search and repair over arrays of a problem that was counted to be small."""
+    """The same search and repair over arrays of a problem that was counted to be small. Rows are in order of docno."""
 
-    def __init__(self, p: Problem):
-        got = p.wide.orderBy("docno").collect()
-        self.docno = [r["docno"] for r in got]
-        self.u = np.array([r["u"] for r in got], np.float64).reshape(len(got), len(p.costs))
-        self.c, self.budget, self.rows = np.array(p.costs, np.int64), p.budget, np.arange(len(got))
-        self.exact = np.round(self.u * 1e15).astype(object) if np.abs(self.u).max(initial=0) > 9 else np.round(self.u * 1e15).astype(np.int64)
+    def __init__(self, u: np.ndarray, costs: list[int], budget: int):
+        self.u, self.c, self.budget, self.rows = u, np.array(costs, np.int64), budget, np.arange(len(u))
+        self.exact = np.rint(u * UNITS).astype(np.int64)
 
     def value(self, k: np.ndarray) -> tuple[int, int]:
         """Cost, and utility in units of 1e-15."""
@@ -451,27 +456,65 @@ class Local:
         return k, {"lambda_star": at[0], "relaxed": relaxed, "num_upgrades": ups, "num_downgrades": downs, "search_iterations": done, "selected_candidate_origin": at[1] + ("_upgraded" if ups else ""), "tolerance_reached": reached, "positive_gain_moves_remaining": left}
 
 
-def solve(utility: DataFrame, profiles: list[Profile], budget: int, max_iter: int = 64, tolerance: float = 1e-3, low: float = 0.0, high: float = 1.0, dtype: str = "float16", local: int = LOCAL) -> Solution:
+def _in_one_task(p: Problem, max_iter: int, tolerance: float, low: float, high: float) -> tuple[DataFrame, dict]:
+    """`docno`, `profile`, `utility`, `cost_bytes` of a small problem, and its report, which alone reaches the driver."""
+    names, costs, budget = p.names, p.costs, p.budget
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        docno = pa.chunked_array([b.column("docno") for b in held], pa.string()).combine_chunks()
+        u = np.concatenate([b.column("u").flatten().to_numpy(zero_copy_only=False) for b in held] or [np.zeros(0)]).astype(np.float64).reshape(len(docno), len(costs))
+        order = np.array(sorted(range(len(docno)), key=docno.to_pylist().__getitem__), np.int64)
+        own = Local(u[order], costs, budget)
+        k, report = own.solve(max_iter, tolerance, low, high)
+        report["total"] = own.value(k)
+        columns = [docno.take(pa.array(order)), pa.array(names, pa.string()).take(pa.array(k)), pa.array(own.u[own.rows, k]), pa.array(own.c[k]), pa.nulls(len(k), pa.string())]
+        kinds = ["docno", "profile", "utility", "cost_bytes", "report"]
+        yield pa.RecordBatch.from_arrays(columns, names=kinds)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, c.type) for c in columns[:4]] + [pa.array([json.dumps(report)])], names=kinds)
+
+    made = kept(p.wide.select("docno", "u").repartition(1).mapInArrow(kernel, "docno string, profile string, utility double, cost_bytes long, report string"))
+    report = json.loads(made.where("report IS NOT NULL").first()["report"])
+    return made.where("report IS NULL").drop("report"), report
+
+
+@dataclass
+class Strategies:
+    """What a solution is made of; each can be replaced. Given any, the problem is solved by passes over the table."""
+
+    search: Callable[..., Search] = search
+    upgrade: Callable[[Problem, Candidate], Candidate] = upgrade
+    downgrade: Callable[[Problem, Candidate], Candidate] = downgrade
+    better: Callable[[Candidate, Candidate | None, int], bool] = better_feasible
+
+
+ALGORITHMS = {"lagrangian_relaxation": Strategies, "lagrangian_dual": Strategies}
+
+
+def strategies(algorithm: str) -> Strategies:
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"optimization.algorithm is one of {sorted(ALGORITHMS)}, not {algorithm}")
+    return ALGORITHMS[algorithm]()
+
+
+def solve(utility: DataFrame, profiles: list[Profile], budget: int, max_iter: int = 64, tolerance: float = 1e-3, low: float = 0.0, high: float = 1.0, dtype: str = "float16", local: int = LOCAL, by: Strategies | None = None) -> Solution:
     """The best of: the relaxation's best choice upgraded, the cheapest upgraded, the closest infeasible one downgraded and upgraded."""
     p = build(utility, profiles, budget, dtype)
-    if p.n * len(p.costs) <= local:
-        own = Local(p)
-        k, r = own.solve(max_iter, tolerance, low, high)
-        cost, value = own.value(k)
-        relaxed = r.pop("relaxed")
-        rows = [(d, p.names[i], float(own.u[n, i]), int(p.costs[i])) for n, (d, i) in enumerate(zip(own.docno, k.tolist(), strict=True))]
-        made = utility.sparkSession.createDataFrame(rows, "docno string, profile string, utility double, cost_bytes long")
-        return Solution(made, _report(p, cost, value / 1e15, None if relaxed is None else (relaxed[0], relaxed[1] / 1e15), r))
+    if by is None and p.n * len(p.costs) <= local:
+        made, r = _in_one_task(p, max_iter, tolerance, low, high)
+        (cost, value), relaxed = r.pop("total"), r.pop("relaxed")
+        return Solution(made, _report(p, cost, value / UNITS, None if relaxed is None else (relaxed[0], relaxed[1] / UNITS), r))
+    by = by or Strategies()
     base = cheapest(p)
-    found = search(p, base, max_iter, tolerance, low, high)
-    finals = [upgrade(p, found.best)]
+    found = by.search(p, base, max_iter, tolerance, low, high)
+    finals = [by.upgrade(p, found.best)]
     if found.best is not base:
-        finals.append(upgrade(p, base))
+        finals.append(by.upgrade(p, base))
     if found.infeasible is not None:
-        finals.append(upgrade(p, downgrade(p, found.infeasible)))
+        finals.append(by.upgrade(p, by.downgrade(p, found.infeasible)))
     best = finals[0]
     for c in finals[1:]:
-        if better_feasible(c, best, p.budget):
+        if by.better(c, best, p.budget):
             best = c
     r = {"lambda_star": best.lam, "num_upgrades": best.upgrades, "num_downgrades": best.downgrades, "search_iterations": found.iterations, "selected_candidate_origin": best.origin, "tolerance_reached": found.reached, "positive_gain_moves_remaining": best.moves_left}
     return Solution(assignments(kept(best.chosen), p), _report(p, best.cost, float(best.utility), None if best.relaxed_cost is None else (best.relaxed_cost, float(best.relaxed_utility)), r))

@@ -29,9 +29,17 @@ def blanks(df: DataFrame) -> DataFrame:
     return row.unpivot([], df.columns, "column", "n_blank")
 
 
-def validated(df: DataFrame) -> DataFrame:
-    """df, or an error that names its columns with blank texts."""
-    bad = blanks(df).where("n_blank > 0").collect()
+def first_blank(df: DataFrame, order: str) -> DataFrame:
+    """The first row, by `order`, that has a null or blank text: `<order>`, `column` (the first such one); no row if there is none."""
+    columns = [c for c in df.columns if c != order]
+    blank = F.coalesce(*(F.when(F.col(c).isNull() | (strip(F.col(c)) == ""), F.lit(c)) for c in columns))
+    return df.select(order, blank.alias("column")).where("column IS NOT NULL").orderBy(order, "column").limit(1)
+
+
+def validated(df: DataFrame, order: str | None = None) -> DataFrame:
+    """df, or an error that names its columns with blank texts and, given a column to order by, the first such row."""
+    bad = blanks(df.drop(order) if order else df).where("n_blank > 0").collect()
     if bad:
-        raise ValueError("blank texts: " + ", ".join(f"{r['n_blank']} in {r['column']}" for r in bad))
+        first = first_blank(df, order).first() if order else None
+        raise ValueError("blank texts: " + ", ".join(f"{r['n_blank']} in {r['column']}" for r in bad) + (f"; the first in {first['column']} of {order} {first[order]}" if first else ""))
     return df

@@ -110,6 +110,17 @@ def tail_utility(unranked: DataFrame, docs: DataFrame, quality: DataFrame, tail:
     return quality.join(unranked.select("docno").intersect(docs.select("docno")), "docno", "left_semi").select("docno", "profile", utility.alias("utility"), "profile_quality")
 
 
+def tail_report(tail: Tail, scored: DataFrame | None, unranked: int) -> dict:
+    """What a tail amounts to: its settings, masses for a document, mean quality of each profile, least, mean and largest utility. scored: tail_utility()'s rows; None or no documents give zeros."""
+    e, u = S.rbp_masses(tail.target_residual, tail.expected_fraction, tail.cap, unranked) if unranked and scored is not None else (0.0, 0.0)
+    rows = scored.groupBy("profile").agg(F.avg("profile_quality").alias("q"), F.min("utility").alias("a"), F.sum("utility").alias("s"), F.max("utility").alias("b"), F.count("*").alias("n")).collect() if unranked and scored is not None else []
+    n = sum(r["n"] for r in rows)
+    return {
+        "tail_mode": tail.mode, "tail_unranked_docs": unranked, "tail_target_residual": tail.target_residual, "tail_expected_relevance_per_doc": e, "tail_uncertainty_per_doc": u, "tail_profile_quality": tail.quality,
+        "tail_profile_quality_mean_by_profile": {r["profile"]: r["q"] for r in rows}, "tail_beta": tail.beta, "tail_utility_min": min((r["a"] for r in rows), default=0.0), "tail_utility_mean": sum(r["s"] for r in rows) / n if n else 0.0, "tail_utility_max": max((r["b"] for r in rows), default=0.0),
+    }
+
+
 def table(docs: DataFrame, profiles: list[Profile], means: DataFrame | None, tail: DataFrame | None = None, default_name: str = "full") -> DataFrame:
     """Exactly one `utility` for each document and profile: observed, else the tail's, else the default."""
     t = default(docs, profiles, default_name).withColumnRenamed("utility", "_d")
@@ -127,3 +138,9 @@ def coverage(docs: DataFrame, pairs: DataFrame, means: DataFrame) -> DataFrame:
 
 #: Estimators by name: what configurations call them.
 ESTIMATORS = {"residual_norm": residual, "query_log": observed}
+
+
+def estimator(name: str):
+    if name not in ESTIMATORS:
+        raise ValueError(f"utility.estimator is one of {sorted(ESTIMATORS)}, not {name}")
+    return ESTIMATORS[name]

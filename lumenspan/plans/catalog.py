@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from lumenspan.functions import scores as S
 from lumenspan.functions import text as X
 from lumenspan.functions import vectors as V
-from lumenspan.operators import bm25, dense, evaluation, knapsack, relevance, reporting, routing, training, utility
+from lumenspan.operators import bm25, dense, encoding, evaluation, knapsack, relevance, reporting, routing, training, utility
 from lumenspan.operators.profiles import Profile, frame, with_profiles
-from lumenspan.sources import tables
+from lumenspan.sources import sinks, tables
+from lumenspan.sources.shared import folder, kept
 from lumenspan.streaming import online
 
 PROFILES = [Profile("d8", 8), Profile("d16", 16), Profile("d32", 32), Profile("full", 64)]
@@ -176,7 +177,7 @@ def dense_topk_dot(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_DV}, scored AS (SELECT qid, docno, round(list_inner_product(qvec[1:32], v[1:32]) / (greatest(sqrt({_SQ.format('qvec[1:32]')}), 1e-12) * greatest(sqrt({_SQ.format('v[1:32]')}), 1e-12)), 9) AS score FROM qv, dv WHERE qid <> docno), {_RANKED} SELECT qid, docno, round(score, 6) AS score, rank FROM ranked WHERE rank <= {K}")
 def dense_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
     v = doc_vec(spark, d)
-    return rounded(dense.search(query_vec(spark, d), dense.materialize(v, dense.uniform(v, PROFILES[2])), K, "cosine", skip_self=True), "score")
+    return rounded(dense.search(query_vec(spark, d), dense.cut(v, PROFILES[2].dimension), K, "cosine", skip_self=True), "score")
 
 
 @query(f"WITH {_DV}, {_PROF}, {_RES1}, {_PICK}, scored AS (SELECT qid, docno, round(list_inner_product(qvec[1:dimension], v[1:dimension]), 9) AS score FROM qv, dv JOIN pick USING (docno) WHERE qid <> docno), {_RANKED} SELECT qid, docno, round(score, 6) AS score, rank FROM ranked WHERE rank <= {K}")
@@ -190,13 +191,13 @@ def mixed_width_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_CAND}, r AS (SELECT qid, docno, round(list_inner_product(qvec[1:16], v[1:16]), 9) AS score FROM cand JOIN qv USING (qid) JOIN dv USING (docno)) SELECT qid, docno, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS INTEGER) AS rank FROM r")
 def rerank_candidates(spark: SparkSession, d: str) -> DataFrame:
     v = doc_vec(spark, d)
-    return rounded(dense.rerank(candidates(spark, d), query_vec(spark, d), dense.materialize(v, dense.uniform(v, PROFILES[1]))), "score")
+    return rounded(dense.rerank(candidates(spark, d), query_vec(spark, d), dense.cut(v, PROFILES[1].dimension)), "score")
 
 
 @query(f"WITH {_CAND}, r AS (SELECT qid, docno, round(list_inner_product(qvec[1:32], v[1:32]), 9) AS score FROM cand JOIN qv USING (qid) JOIN dv USING (docno)), s AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS INTEGER) AS rank FROM r) SELECT qid, docno, round(score, 6) AS score, rank FROM s WHERE rank <= 5")
 def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
     v = doc_vec(spark, d)
-    return rounded(dense.rerank(candidates(spark, d), query_vec(spark, d), dense.materialize(v, dense.uniform(v, PROFILES[2])), k=5), "score")
+    return rounded(dense.rerank(candidates(spark, d), query_vec(spark, d), dense.cut(v, PROFILES[2].dimension), k=5), "score")
 
 
 @query(f"WITH {_CAND} SELECT qid, count(*) AS n_dropped FROM cand ANTI JOIN (SELECT CAST(doc_id AS VARCHAR) AS docno FROM labels) l USING (docno) GROUP BY qid")
@@ -268,7 +269,7 @@ _HALF = "half AS (SELECT qid, docno, round(list_inner_product(qvec[1:32], v[1:32
 @query(f"WITH {_CAND}, {_HALF}, u AS (SELECT qid, docno, max(score) AS score FROM (SELECT qid, docno, score FROM cand UNION ALL SELECT * FROM h) GROUP BY qid, docno), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) - 1 AS INTEGER) AS rank FROM u) SELECT qid, docno, round(score, 6) AS score, rank FROM r WHERE rank < 15")
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
     v = doc_vec(spark, d)
-    half = dense.search(query_vec(spark, d), dense.materialize(v, dense.uniform(v, PROFILES[2])), CANDIDATES, skip_self=True)
+    half = dense.search(query_vec(spark, d), dense.cut(v, PROFILES[2].dimension), CANDIDATES, skip_self=True)
     return rounded(relevance.fuse(candidates(spark, d), half, 15), "score")
 
 
@@ -341,12 +342,25 @@ _TQ = "tq AS (SELECT CAST(item_id AS VARCHAR) AS qid, CAST(doc_id AS VARCHAR) AS
 
 
 def qrels_text(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold an item's text: a bounded query set, checked and broadcast, against all documents."""
-    items = read(spark, d, "benchmark").select("item_id", F.col("text").alias("t"))
-    held = read(spark, d, "documents").join(F.broadcast(items) if items.count() <= 10_000 else items, F.contains(F.col("text"), F.col("t")))
+    """Documents that hold an item's text. A document that does holds the item's longest inner word as a word, so only those that share it are looked at."""
+    parts = lambda c: F.split(c, r"\s+")
+    items = read(spark, d, "benchmark").select("item_id", F.col("text").alias("t")).where("t IS NOT NULL")
+    inner = F.filter(F.slice(parts("t"), F.lit(2), F.greatest(F.size(parts("t")) - 2, F.lit(0))), lambda w: w != "")
+    items = items.withColumn("w", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w"))))["w"])
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", F.explode(F.array_distinct(parts("text"))).alias("w"))
+    near = words.join(items.where("w IS NOT NULL"), "w").select("item_id", "t", "doc_id").join(docs, "doc_id")
+    short = docs.join(F.broadcast(items.where("w IS NULL").select("item_id", "t").limit(SHORT_ITEMS)), F.contains("text", "t"))
+    if items.where("w IS NULL").count() > SHORT_ITEMS:
+        raise ValueError(f"more than {SHORT_ITEMS} items of fewer than three words")
+    held = near.where(F.contains("text", "t")).select("item_id", "doc_id").union(short.select("item_id", "doc_id"))
     return held.select(F.col("item_id").cast("string").alias("qid"), F.col("doc_id").cast("string").alias("docno"), F.lit(2).alias("label"))
 
 
+#: Items without a word inside are looked for in all documents; more than so many are refused.
+SHORT_ITEMS = 1000
+
+
 @query(f"WITH {_TQ} SELECT qid, CASE WHEN qid IN (SELECT qid FROM tq) THEN 'eval' ELSE 'opt' END AS side FROM tt")
 def route_split_by_qrels(spark: SparkSession, d: str) -> DataFrame:
     r = routing.split_by_qrels(text_topics(spark, d), qrels_text(spark, d))
@@ -503,7 +517,7 @@ def downgrade_pass(spark: SparkSession, d: str) -> DataFrame:
     return knapsack.downgrade_pass(chosen, p, knapsack.candidate(chosen, p, LAMBDA, "at_lambda").cost // 10).select("docno", "target", "saved")
 
 
-@query()
+@query(f"WITH RECURSIVE {_DV}, {_PROF}, {_RES1}, pick AS (SELECT * FROM res WHERE idx = 0), {_UPS}, m AS (SELECT docno, target, extra, row_number() OVER (ORDER BY ratio DESC, gain DESC, docno, target) AS n FROM ups), room AS (SELECT CAST(count(*) * 64 - count(*) * 16 AS BIGINT) AS r FROM dv), g AS (SELECT CAST(0 AS BIGINT) AS n, r, false AS took FROM room UNION ALL SELECT m.n, CASE WHEN m.extra <= g.r THEN g.r - m.extra ELSE g.r END, m.extra <= g.r FROM g JOIN m ON m.n = g.n + 1) SELECT docno, target FROM m JOIN g USING (n) WHERE took")
 def upgrade_pass(spark: SparkSession, d: str) -> DataFrame:
     """Upgrades of the cheapest choice that fit half of the full budget."""
     p = wide(spark, d)
@@ -545,9 +559,9 @@ width AS (SELECT CASE WHEN profile = 'full' THEN 'full_run' ELSE 'profile_' || p
 rs AS (SELECT run, qid, docno, round(list_inner_product(qvec[1:dimension], v[1:dimension]), 9) AS score FROM width JOIN dv USING (docno), qv WHERE qid <> docno),
 rr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, qid ORDER BY score DESC, docno) AS n FROM rs) WHERE n <= {DEPTH})"""
 _MEASURES = """idl AS (SELECT qid, sum(CASE WHEN n <= 10 THEN label / log2(n + 1) ELSE 0 END) AS idcg, sum(CASE WHEN label >= 1 THEN 1 ELSE 0 END) AS r1, sum(CASE WHEN label >= 2 THEN 1 ELSE 0 END) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY label DESC, docno) AS n FROM qrels) GROUP BY qid),
-jj AS (SELECT rr.run, rr.qid, rr.docno, rr.n, q.label, CASE WHEN q.label >= 2 THEN 1 ELSE 0 END AS h2, sum(CASE WHEN q.label >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY rr.run, rr.qid ORDER BY rr.n ROWS UNBOUNDED PRECEDING) AS c2 FROM rr LEFT JOIN qrels q ON q.qid = rr.qid AND q.docno = rr.docno),
-gg AS (SELECT run, qid, sum(CASE WHEN n <= 10 THEN coalesce(label, 0) / log2(n + 1) ELSE 0 END) AS dcg, sum(CASE WHEN h2 = 1 THEN c2 / n ELSE 0 END) AS ap, min(CASE WHEN label >= 2 THEN n END) AS f2, min(CASE WHEN label >= 1 AND n <= 10 THEN n END) AS f1, sum(CASE WHEN label >= 1 THEN 1 ELSE 0 END) AS top FROM jj GROUP BY run, qid),
-ev AS (SELECT run, qid, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END AS ndcg10, CASE WHEN r2 > 0 THEN ap / r2 ELSE 0 END AS ap_rel2, coalesce(1 / f2, 0) AS rr_rel2, coalesce(1 / f1, 0) AS rr10, CASE WHEN r1 > 0 THEN top / r1 ELSE 0 END AS recall100 FROM gg JOIN idl USING (qid))"""
+jj AS (SELECT rr.run, rr.qid, rr.docno, rr.n, q.label, CASE WHEN q.label >= 2 THEN 1 ELSE 0 END AS h2, sum(CASE WHEN q.label >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY rr.run, rr.qid ORDER BY rr.n ROWS UNBOUNDED PRECEDING) AS c2, sum(CASE WHEN q.label >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY rr.run, rr.qid ORDER BY rr.n ROWS UNBOUNDED PRECEDING) AS c1 FROM rr LEFT JOIN qrels q ON q.qid = rr.qid AND q.docno = rr.docno),
+gg AS (SELECT run, qid, sum(CASE WHEN n <= 10 THEN coalesce(label, 0) / log2(n + 1) ELSE 0 END) AS dcg, sum(CASE WHEN h2 = 1 THEN c2 / n ELSE 0 END) AS ap, sum(CASE WHEN label >= 1 THEN c1 / n ELSE 0 END) AS ap1, min(CASE WHEN label >= 1 THEN n END) AS fa, min(CASE WHEN label >= 2 THEN n END) AS f2, min(CASE WHEN label >= 1 AND n <= 10 THEN n END) AS f1, sum(CASE WHEN label >= 1 THEN 1 ELSE 0 END) AS top FROM jj GROUP BY run, qid),
+ev AS (SELECT run, qid, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END AS ndcg10, CASE WHEN r2 > 0 THEN ap / r2 ELSE 0 END AS ap_rel2, coalesce(1 / f2, 0) AS rr_rel2, coalesce(1 / f1, 0) AS rr10, CASE WHEN r1 > 0 THEN top / r1 ELSE 0 END AS recall100, CASE WHEN r1 > 0 THEN ap1 / r1 ELSE 0 END AS map, coalesce(1 / fa, 0) AS recip_rank FROM gg JOIN idl USING (qid))"""
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:
@@ -563,11 +577,31 @@ for _m in evaluation.MEASURES:
     query(f"WITH {_RUNS}, {_MEASURES} SELECT run, qid, round({_m}, 6) AS {_m} FROM ev")(_measure)
 
 
-@query(f"WITH {_RUNS}, {_MEASURES}, l AS (UNPIVOT ev ON ndcg10, ap_rel2, rr_rel2, rr10, recall100 INTO NAME metric VALUE value), p AS (SELECT a.run, a.metric, a.value, a.value - b.value AS d FROM l a JOIN l b ON b.qid = a.qid AND b.metric = a.metric AND b.run = 'full_run') SELECT run, metric, round(avg(value), 4) AS mean, CAST(sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins, CAST(sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS BIGINT) AS losses, CASE WHEN stddev_samp(d) > 1e-12 THEN round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 5) END AS t, count(*) AS n FROM p GROUP BY run, metric")
+@query(f"WITH {_RUNS}, {_MEASURES}, l AS (UNPIVOT ev ON ndcg10, ap_rel2, rr_rel2, rr10, recall100, map, recip_rank INTO NAME metric VALUE value), p AS (SELECT a.run, a.metric, a.value, a.value - b.value AS d FROM l a JOIN l b ON b.qid = a.qid AND b.metric = a.metric AND b.run = 'full_run') SELECT run, metric, round(avg(value), 4) AS mean, CAST(sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins, CAST(sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS BIGINT) AS losses, CASE WHEN stddev_samp(d) > 1e-12 THEN round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 5) END AS t, count(*) AS n FROM p GROUP BY run, metric")
 def run_comparison(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(evaluation.compare(measured(spark, d), "full_run"), "mean", digits=4), "t", digits=5)
 
 
+@query(f"WITH {_RUNS}, {_MEASURES} SELECT run, {', '.join(f'round(avg({m}), 4) AS {m}' for m in evaluation.MEASURES)} FROM ev GROUP BY run")
+def run_means(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.means(measured(spark, d))
+
+
+@query(f"WITH {_DV}, {_PROF}, {_RES1}, {_PICK} SELECT CAST(sum(cost_bytes) AS BIGINT) AS total_bytes, CAST(count(*) * 60 AS BIGINT) AS budget_bytes, sum(cost_bytes) <= count(*) * 60 AS fits, CAST(greatest(sum(cost_bytes) - count(*) * 60, 0) AS BIGINT) AS missing_bytes FROM pick")
+def byte_budget(spark: SparkSession, d: str) -> DataFrame:
+    return dense.fits(assigned(spark, d), read(spark, d, "embeddings").count() * 60)
+
+
+@query(f"WITH {_CAND}, {_PROF}, {_UN}, {_PQ}, t AS (SELECT profile, q, greatest(0.0, least(0.01, 0.005 / n) * q - 0.5 * (0.005 / n) * q) AS u FROM pq SEMI JOIN un USING (docno), nu) SELECT (SELECT n FROM nu) AS unranked, profile, round(avg(q), 6) AS mean_quality, (SELECT round(max(u), 8) FROM t) AS max_utility, (SELECT round(avg(u), 8) FROM t) AS mean_utility FROM t GROUP BY profile")
+def tail_report(spark: SparkSession, d: str) -> DataFrame:
+    v, tail = doc_vec(spark, d), utility.Tail("rbp_residual_interval")
+    unranked = v.select("docno").join(candidates(spark, d).select("docno"), "docno", "left_anti")
+    scored = kept(utility.tail_utility(unranked, v, utility.padding_quality(v, PROFILES), tail))
+    r = utility.tail_report(tail, scored, unranked.count())
+    rows = [(r["tail_unranked_docs"], p, round(q, 6), round(r["tail_utility_max"], 8), round(r["tail_utility_mean"], 8)) for p, q in r["tail_profile_quality_mean_by_profile"].items()]
+    return spark.createDataFrame(rows, "unranked long, profile string, mean_quality double, max_utility double, mean_utility double")
+
+
 @query()
 def run_significance(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.significance(evaluation.compare(measured(spark, d), "full_run"), "full_run")
@@ -589,6 +623,128 @@ def ann_ivf(spark: SparkSession, d: str) -> DataFrame:
     return dense.ivf_search(query_vec(spark, d), full_corpus(spark, d), K, skip_self=True)
 
 
+# ---- readers and writers: a table is written to the shared folder, and read by the reader
+
+
+def _tsv(spark: SparkSession, df: DataFrame) -> str:
+    to = folder(spark)
+    df.write.csv(to, sep="\t", header=True, quote="", escapeQuotes=False, emptyValue="")
+    return to
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS qid, regexp_replace(text, '\\s+', ' ', 'g') AS query FROM benchmark")
+def read_topics(spark: SparkSession, d: str) -> DataFrame:
+    """A topic is a line."""
+    return tables.topics(spark, _tsv(spark, read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.regexp_replace("text", r"\s+", " ").alias("title"))), "title")
+
+
+@query("SELECT CAST(toxic AS VARCHAR) AS qid, CAST(doc_id AS VARCHAR) AS docno, CAST(quality AS INTEGER) AS label FROM labels WHERE doc_id % 7 <> 0")
+def read_qrels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels that aren't numbers are left out."""
+    rows = read(spark, d, "labels").select(F.col("toxic").alias("qid"), F.col("doc_id").alias("docno"), F.when(F.col("doc_id") % 7 == 0, "n/a").otherwise(F.col("quality").cast("string")).alias("rel"))
+    return tables.qrels(spark, _tsv(spark, rows), "rel")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS docno, regexp_replace(concat_ws(chr(10), CASE WHEN regexp_replace(lang, '^\\s+|\\s+$', '', 'g') <> '' THEN lang END, CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' THEN text END), '^\\s+|\\s+$', '', 'g') AS text FROM documents")
+def read_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return tables.corpus(spark, f"{d}/documents.parquet", ("lang", "text"), "doc_id")
+
+
+@query("SELECT name, rows FROM (SELECT 'topics' AS name, count(*) AS rows FROM benchmark UNION ALL SELECT 'qrels', 0 UNION ALL SELECT 'corpus', count(*) FROM documents)")
+def read_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """A named source without judgements has none."""
+    c = tables.Catalog()
+    c.register("own", "topics", lambda s: text_topics(s, d))
+    c.register("own", "corpus", lambda s: text_corpus(s, d))
+    counted = [c.load(spark, "own", kind).agg(F.count("*").alias("rows")).select(F.lit(kind).alias("name"), "rows") for kind in ("topics", "qrels", "corpus")]
+    return counted[0].union(counted[1]).union(counted[2])
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS docno, CAST(len(embedding) AS INTEGER) AS width, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings")
+def read_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written in files of a bounded size, scanned and checked."""
+    to = folder(spark)
+    sinks.save_vectors(doc_vec(spark, d), to, 1)
+    v = tables.vectors(spark, to, width=64, expected=doc_vec(spark, d))
+    return v.select("docno", F.size("v").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def read_triplets(spark: SparkSession, d: str) -> DataFrame:
+    to = folder(spark)
+    read(spark, d, "conversations").write.json(to)
+    return tables.triplets(spark, to).select("conv_id", "turn", "role", "text")
+
+
+@query("SELECT CAST(p_partkey AS DOUBLE) AS step, CAST(p_size AS DOUBLE) AS epoch, p_retailprice AS loss, CAST(NULL AS DOUBLE) AS learning_rate, CAST(NULL AS DOUBLE) AS grad_norm FROM part")
+def read_trainer_log(spark: SparkSession, d: str) -> DataFrame:
+    row = F.to_json(F.named_struct(F.lit("step"), "p_partkey", F.lit("epoch"), F.col("p_size").cast("double"), F.lit("loss"), F.col("p_retailprice").cast("string"), F.lit("grad_norm"), F.lit("none yet")))
+    log = read(spark, d, "part").agg(F.concat(F.lit('{"global_step": 3, "log_history": ['), F.array_join(F.collect_list(row), ",\n"), F.lit("]}"))).first()[0]  # a log is a small file
+    to = f"{folder(spark)}/trainer_state.json"
+    sinks.save_text(spark, log, to)
+    return tables.trainer_log(spark, to)
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CASE WHEN n_regionkey < 2 THEN CAST(n_regionkey AS VARCHAR) END AS n_regionkey FROM nation")
+def read_result_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of different columns in folders of their own, united."""
+    to = folder(spark)
+    n = read(spark, d, "nation")
+    sinks.save(n.where("n_regionkey < 2").select("n_nationkey", "n_name", "n_regionkey"), f"{to}/a/b/results.csv", "csv")
+    sinks.save(n.where("n_regionkey >= 2").select("n_name", "n_nationkey"), f"{to}/c/results.csv", "csv")
+    return tables.result_files(spark, to, "*.csv")[0].select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source FROM documents UNION ALL SELECT 'parquet', lang, CAST(count(*) AS VARCHAR) FROM documents GROUP BY lang")
+def write_tables(spark: SparkSession, d: str) -> DataFrame:
+    """A table written twice to one place as CSV, then as parquet, and read again."""
+    to, t = folder(spark), read(spark, d, "documents").select("doc_id", "lang", "source")
+    sinks.save(t.limit(1), f"{to}/t.csv", "csv")
+    sinks.save(t, f"{to}/t.csv", "csv")
+    sinks.save(t, f"{to}/t.parquet", rows_per_file=100)
+    by = spark.read.parquet(f"{to}/t.parquet").groupBy("lang").agg(F.count("*").cast("string").alias("n")).select(F.lit("parquet").alias("doc_id"), "lang", "n")
+    return spark.read.csv(f"{to}/t.csv", header=True).union(by)
+
+
+@query("SELECT 'n_docs' AS name, CAST(count(*) AS DOUBLE) AS value FROM documents UNION ALL SELECT 'mean', round(avg(n_chars), 6) FROM documents UNION ALL SELECT 'full', 64")
+def write_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A summary as JSON and a configuration as YAML, read again."""
+    from lumenspan.sources import config
+
+    to = folder(spark)
+    r = read(spark, d, "documents").agg(F.count("*").alias("n_docs"), F.round(F.avg("n_chars"), 6).alias("mean")).first()
+    sinks.save_json(spark, r.asDict(), f"{to}/summary.json")
+    raw = {"data": {"pyterrier_dataset": "own"}, "profiles": [{"name": p.name, "dimension": p.dimension} for p in PROFILES], "optimization": {"budget_bytes": 1000}}
+    sinks.save_config(spark, config.parse(raw), f"{to}/config_snapshot.yaml")
+    again = config.parse(config.read_yaml("\n".join(x["value"] for x in spark.read.text(f"{to}/config_snapshot.yaml").collect())))
+    got = spark.read.json(f"{to}/summary.json", multiLine=True).select(F.col("n_docs").cast("double").alias("n_docs"), "mean").unpivot([], ["n_docs", "mean"], "name", "value")
+    return got.union(spark.createDataFrame([(p.name, float(p.dimension)) for p in again.profiles if p.name == again.model.full_profile_name], "name string, value double"))
+
+
+@query(f"WITH {_RUNS}, {_MEASURES}, m AS (SELECT run, avg(ndcg10) AS ndcg10, avg(recall100) AS recall100 FROM ev GROUP BY run) SELECT 'wide' AS file, run, CAST(ndcg10 AS VARCHAR) IS NOT NULL AS there, round(ndcg10, 6) AS ndcg10, round(recall100, 6) AS recall100 FROM m")
+def write_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """The result files of a benchmark; the wide one read again."""
+    to = folder(spark)
+    m = measured(spark, d).groupBy("run").agg(F.avg("ndcg10").alias("ndcg10"), F.avg("recall100").alias("recall100"))
+    long = reporting.to_long(m.withColumns({"model_id": F.col("run"), "dimension": F.lit(64)}), ["model_id", "dimension"], ["ndcg10", "recall100"])
+    sinks.save_benchmark(kept(long), ["model_id", "dimension"], ["ndcg10", "recall100"], to, {"k": DEPTH})
+    wide = spark.read.csv(f"{to}/metrics_wide.csv", header=True, inferSchema=True)
+    return wide.select(F.lit("wide").alias("file"), F.col("model_id").alias("run"), F.lit(True).alias("there"), F.round("ndcg10", 6).alias("ndcg10"), F.round("recall100", 6).alias("recall100"))
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS qid, 16 AS width FROM benchmark UNION ALL SELECT store, n FROM (VALUES ('own_queries__hashing-16', 0)) t(store, n)")
+def encoding_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of queries in a store named after the model, made in chunks; then one chunk is lost and made again."""
+    e = encoding.HashingEncoder(16)
+    store = encoding.store_name("own", "queries", e.name)
+    to, key, topics = f"{folder(spark)}/{store}", encoding.context(model=e.name, role="queries"), text_topics(spark, d)
+    made = lambda: encoding.cached(spark, to, key, topics, lambda x: encoding.encode(x, "qid", "query", e), "qid", chunks=3)
+    made()
+    fs, at = encoding._folder(spark, f"{to}/{key}/chunk-0001-of-0003")
+    fs.delete(at, True)
+    return made().select("qid", F.size("v").alias("width")).union(spark.createDataFrame([(store, 0)], "qid string, width int"))
+
+
 # ---- reporting and training data
 
 
@@ -629,6 +785,11 @@ def triplets_validate(spark: SparkSession, d: str) -> DataFrame:
     return training.blanks(read(spark, d, "documents").select("text", "source"))
 
 
+@query("SELECT min(doc_id) AS doc_id, 'text' AS \"column\" FROM documents WHERE text IS NULL OR regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' HAVING count(*) > 0")
+def first_blank(spark: SparkSession, d: str) -> DataFrame:
+    return training.first_blank(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
 def run_summary(spark: SparkSession, d: str) -> DataFrame:
     """The smallest whole experiment: residual utilities, the optimal assignment at half of the budget, all runs, their measures. A row per run."""
     v, n = doc_vec(spark, d), read(spark, d, "embeddings").count()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 from types import SimpleNamespace
 
@@ -12,6 +13,9 @@ from lumenspan.operators import bm25, dense, encoding, evaluation, knapsack, rel
 from lumenspan.operators.profiles import Profile, check, with_profiles
 from lumenspan.sources import config as C
 from lumenspan.sources import sinks, tables
+from lumenspan.sources.shared import kept
+
+log = logging.getLogger("lumenspan")
 
 
 @dataclass
@@ -34,6 +38,10 @@ class Experiment:
         self.full = next(p for p in self.profiles if p.name == cfg.model.full_profile_name)
         self.encoder = encoder or encoding.HashingEncoder(self.full.dimension)
         self.given, self.given_queries = vectors, query_vectors
+        self.encoded: dict[tuple, DataFrame] = {}
+        self.tail: dict = {}
+        for line in C.fallback_warnings(cfg):
+            log.warning(line)
         self.folder = f"{cfg.execution.output_dir}/{cfg.execution.experiment_name}"
 
     # sources
@@ -71,20 +79,36 @@ class Experiment:
 
     # vectors
 
+    def context(self, role: str, prompt: str, data: SimpleNamespace) -> str:
+        return encoding.context(role=role, model=self.encoder.name, prompt=prompt, width=self.encoder.width, data=C.as_dict(data))
+
     def doc_vectors(self, corpus: DataFrame) -> DataFrame:
+        """Given vectors; else those of a store that is configured and there; else made chunk by chunk, where finished chunks of this context stay. In this order, and checked."""
+        check = lambda v: tables.checked_vectors(v.select("docno", "v"), self.full.dimension, corpus)
         if self.given is not None:
-            return tables.checked_vectors(self.given.select("docno", "v"), self.full.dimension, corpus)
-        made = lambda: encoding.encode(corpus, "docno", "text", self.encoder, self.cfg.model.document_prompt)
-        x = self.cfg.execution
+            return check(self.given)
+        d, m, x = self.cfg.data, self.cfg.model, self.cfg.execution
+        if d.hf_embeddings_repo_id and d.full_embeddings_source != "compute":
+            store = encoding.store_name(d.hf_embeddings_repo_id, m.model_name_or_path, *([f"adapter-{m.adapter_type}", m.adapter_name, m.adapter_path] if m.adapter_type else []))
+            if encoding.finished(self.spark, store):
+                return tables.vectors(self.spark, store, d.hf_embeddings_docno_column, d.hf_embeddings_vector_column, self.full.dimension, corpus)
+            if d.full_embeddings_source == "hf_dataset":
+                raise FileNotFoundError(f"no vectors at {store}")
+        make = lambda df: encoding.encode(df, "docno", "text", self.encoder, m.document_prompt)
         if not x.embedding_checkpoint_enabled:
-            return made()
-        key = encoding.context(model=self.encoder.name, prompt=self.cfg.model.document_prompt, width=self.encoder.width, data=C.as_dict(C.evaluation(self.cfg).data))
-        return encoding.cached(self.spark, x.embedding_checkpoint_dir or f"{x.output_dir}/embeddings", key, made, x.embedding_checkpoint_resume)
+            return make(corpus)
+        folder = x.embedding_checkpoint_dir or f"{x.output_dir}/embeddings"
+        key = self.context("document", m.document_prompt, C.evaluation(self.cfg).data)
+        return check(encoding.cached(self.spark, folder, key, corpus, make, "docno", x.embedding_checkpoint_resume))
 
     def query_vectors(self, topics: DataFrame) -> DataFrame:
+        """As given, or encoded once for a set of topics and kept."""
         if self.given_queries is not None:
             return self.given_queries.join(topics.select("qid"), "qid", "left_semi").select("qid", "qvec")
-        return encoding.encode(topics, "qid", "query", self.encoder, self.cfg.model.query_prompt).withColumnRenamed("v", "qvec")
+        key = topics.select(F.coalesce(F.sum(F.xxhash64("qid", "query").cast("decimal(38,0)")), F.lit(0)), F.count("*")).first()
+        if tuple(key) not in self.encoded:
+            self.encoded[tuple(key)] = kept(encoding.encode(topics, "qid", "query", self.encoder, self.cfg.model.query_prompt).withColumnRenamed("v", "qvec"))
+        return self.encoded[tuple(key)]
 
     # stages
 
@@ -105,16 +129,18 @@ class Experiment:
 
     def utilities(self, routed: routing.Routed, corpus: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
         u = self.cfg.utility
-        if u.estimator == "residual_norm":
+        if utility.estimator(u.estimator) is utility.residual:
             return utility.residual(docs, self.profiles, int(u.residual_norm.norm), u.residual_norm.epsilon), None, None
         queries = self.query_vectors(routed.opt_topics)
         pairs = self.relevance(routed, corpus, docs, queries)
         scored = utility.observed(pairs, queries, docs, self.profiles, metric=u.metric, similarity=self.cfg.model.similarity, epsilon=u.epsilon, alpha=u.alpha, negatives=u.margin_negatives)
         tail = None
+        unranked = docs.select("docno").join(pairs.select("docno"), "docno", "left_anti")
+        t = utility.Tail(u.tail.mode, u.tail.target_residual, u.tail.conservatism_beta, u.tail.expected_fraction, u.tail.max_tail_relevance, u.tail.profile_quality, u.tail.sampled_quality_queries, u.tail.utility_low)
         if u.tail.mode == "rbp_residual_interval":
-            t = utility.Tail(u.tail.mode, u.tail.target_residual, u.tail.conservatism_beta, u.tail.expected_fraction, u.tail.max_tail_relevance, u.tail.profile_quality, u.tail.sampled_quality_queries, u.tail.utility_low)
             quality = utility.padding_quality(docs, self.profiles) if t.quality == "cosine_padding" else utility.sampled_quality(docs, queries, self.profiles, u.metric, self.cfg.model.similarity, t.sampled_queries, u.seed, u.epsilon, u.alpha, u.margin_negatives)
-            tail = utility.tail_utility(docs.select("docno").join(pairs.select("docno"), "docno", "left_anti"), docs, quality, t)
+            tail = kept(utility.tail_utility(unranked, docs, quality, t))
+        self.tail = utility.tail_report(t, tail, unranked.count() if tail is not None else 0)
         return utility.table(docs, self.profiles, utility.mean_utility(scored), tail, u.default_utility_profile_name), pairs, scored
 
     def run(self) -> Result:
@@ -137,13 +163,14 @@ class Experiment:
         scores = evaluation.per_query(runs, routed.eval_qrels)
         report = {"optimization": solved.report, "routing": routing.metadata(routed).first().asDict(), "memory": reporting.memory_summary(solved.assignments, self.full.cost(cfg.execution.dtype)).first().asDict()}
         if pairs is not None:
+            report["tail"] = self.tail
             report["coverage"] = utility.coverage(docs.select("docno"), pairs, utility.mean_utility(scored)).first().asDict()
         return Result(solved.assignments, runs, scores, table, pairs, scored, report)
 
     def reranked(self, queries: DataFrame, docs: DataFrame, found: DataFrame, assigned: DataFrame, baseline: DataFrame | None) -> DataFrame:
         """The same runs over lexical candidates."""
-        corpora = {"full_run": dense.materialize(docs, dense.uniform(docs, self.full))}
-        corpora |= {f"profile_{p.name}_run": dense.materialize(docs, dense.uniform(docs, p)) for p in sorted(self.profiles, key=lambda p: (p.dimension, p.name), reverse=True) if p != self.full}
+        corpora = {"full_run": dense.cut(docs, self.full.dimension)}
+        corpora |= {f"profile_{p.name}_run": dense.cut(docs, p.dimension) for p in sorted(self.profiles, key=lambda p: (p.dimension, p.name), reverse=True) if p != self.full}
         corpora["optimized_run"] = dense.materialize(docs, assigned)
         every = [("bm25_run", baseline)] if baseline is not None else []
         every += [(n, dense.rerank(found, queries, c, self.cfg.model.similarity)) for n, c in corpora.items()]
@@ -165,21 +192,38 @@ class Experiment:
             sinks.save(r.score_pairs, f"{f}/score_pairs.parquet", rows_per_file=100_000)
         sinks.save(evaluation.significance(evaluation.compare(r.scores, first), first), f"{f}/pt_experiment.csv", "csv")
         sinks.save_json(self.spark, r.report | {"metrics_by_run": evaluation.by_run(r.scores)}, f"{f}/summary.json")
-        sinks.save_json(self.spark, C.as_dict(self.cfg), f"{f}/config_snapshot.json")
+        sinks.save_config(self.spark, self.cfg, f"{f}/config_snapshot.yaml")
+
 
+def benchmark(spark: SparkSession, topics: DataFrame, qrels: DataFrame, corpus: DataFrame, models: dict[str, encoding.Encoder], dimensions: list[int], k: int = 100, similarity: str = "dot", candidates: DataFrame | None = None, cache: str | None = None, output: str | None = None) -> DataFrame:
+    """Models by dimensions: `model_id`, `dimension`, `metric`, `value`. Each model encodes once at its full width; all widths are searched in one pass. With candidates, these are reranked.
+
+    cache: a folder that keeps vectors by model, role, width and ids. output: a folder for the four result files.
+    """
+
+    def vectors(df: DataFrame, role: str, key: str, text: str, encoder: encoding.Encoder) -> DataFrame:
+        make = lambda d: encoding.encode(d, key, text, encoder)
+        if not cache:
+            return kept(make(df))
+        ids = df.select(F.coalesce(F.sum(F.xxhash64(key, text).cast("decimal(38,0)")), F.lit(0)), F.count("*")).first()
+        return encoding.cached(spark, f"{cache}/{encoding.store_name(role, encoder.name)}", encoding.context(model=encoder.name, role=role, width=encoder.width, ids=tuple(map(str, ids))), df, make, key)
 
-def benchmark(spark: SparkSession, topics: DataFrame, qrels: DataFrame, corpus: DataFrame, models: dict[str, encoding.Encoder], dimensions: list[int], k: int = 100, similarity: str = "dot", candidates: DataFrame | None = None) -> DataFrame:
-    """Models by dimensions: `model_id`, `dimension`, `metric`, `value`. Each model encodes once at its full width; all widths are evaluated together. With candidates, these are reranked."""
     runs = None
     for name, encoder in models.items():
-        docs = encoding.encode(corpus, "docno", "text", encoder)
-        queries = encoding.encode(topics, "qid", "query", encoder).withColumnRenamed("v", "qvec")
-        for m in dimensions:
-            own = dense.materialize(docs, dense.uniform(docs, Profile(f"d{m}", m)))
-            r = dense.search(queries, own, k, similarity) if candidates is None else dense.rerank(candidates, queries, own, similarity, k)
-            r = r.select(F.lit(f"{name}\t{m}").alias("run"), "qid", "docno", "score")
+        docs = vectors(corpus, "documents", "docno", "text", encoder)
+        queries = vectors(topics, "queries", "qid", "query", encoder).withColumnRenamed("v", "qvec")
+        if candidates is None:
+            own = [dense.search_widths(queries, docs, dimensions, k, similarity)]
+        else:
+            own = [dense.rerank(candidates, queries, dense.cut(docs, m), similarity, k).withColumn("w", F.lit(m)) for m in dimensions]
+        for r in own:
+            r = r.select(F.concat(F.lit(f"{name}\t"), F.col("w").cast("string")).alias("run"), "qid", "docno", "score")
             runs = r if runs is None else runs.unionByName(r)
     means = evaluation.means(evaluation.per_query(runs, qrels))
     part = F.split("run", "\t")
     wide = means.select(part[0].alias("model_id"), part[1].cast("int").alias("dimension"), *evaluation.MEASURES)
-    return reporting.to_long(wide, ["model_id", "dimension"], list(evaluation.MEASURES))
+    long = reporting.to_long(wide, ["model_id", "dimension"], list(evaluation.MEASURES))
+    if output:
+        long = kept(long)
+        sinks.save_benchmark(long, ["model_id", "dimension"], list(evaluation.MEASURES), output, {"models": sorted(models), "dimensions": dimensions, "k": k, "similarity": similarity, "mode": "full" if candidates is None else "candidates"})
+    return long

@@ -115,11 +115,15 @@ def parse(raw: dict[str, Any]) -> SimpleNamespace:
     return cfg
 
 
-def load(path: str) -> SimpleNamespace:
+def read_yaml(text: str) -> dict:
     import yaml
 
+    return yaml.safe_load(text)
+
+
+def load(path: str) -> SimpleNamespace:
     with open(path) as f:  # a driver's own file
-        return parse(yaml.safe_load(f))
+        return parse(read_yaml(f.read()))
 
 
 def _older_names(cfg: SimpleNamespace, data: dict, retrieval: dict) -> None:
@@ -192,6 +196,20 @@ def has_eval_overrides(cfg: SimpleNamespace) -> bool:
     return any(getattr(cfg.data, e) for e in _EVAL.values() if e != "local_eval_corpus_path")
 
 
+def fallback_warnings(cfg: SimpleNamespace) -> list[str]:
+    """What an evaluation that is only partly configured falls back to."""
+    d, out = cfg.data, []
+    for kind in ("topics", "qrels"):
+        if d.eval_pyterrier_dataset and not (getattr(d, f"eval_{kind}_variant") or getattr(d, f"local_eval_{kind}_path")):
+            out.append(f"eval_pyterrier_dataset is set without eval_{kind}_variant or local_eval_{kind}_path: the dataset's default {kind} are used")
+    for kind, other in (("topics", "qrels"), ("qrels", "topics")):
+        if getattr(d, f"local_eval_{kind}_path") and not getattr(d, f"local_eval_{other}_path"):
+            out.append(f"local_eval_{kind}_path is set without local_eval_{other}_path: {other} come from the dataset")
+    if d.local_eval_corpus_path and not (d.local_eval_topics_path or d.eval_pyterrier_dataset):
+        out.append("local_eval_corpus_path is set without a source of evaluation topics: topics come from the primary source")
+    return out
+
+
 def evaluation(cfg: SimpleNamespace) -> SimpleNamespace:
     """The configuration with its data section as evaluation sees it: each evaluation key, or else the plain one."""
     out = copy.copy(cfg)
@@ -209,3 +227,11 @@ def as_dict(cfg: Any) -> Any:
     if isinstance(cfg, SimpleNamespace):
         return {k: as_dict(v) for k, v in vars(cfg).items()}
     return [as_dict(v) for v in cfg] if isinstance(cfg, list) else cfg
+
+
+def snapshot(cfg: SimpleNamespace) -> dict:
+    """as_dict without what parse() derives, so that it can be parsed again."""
+    out = as_dict(cfg)
+    for p in out.get("profiles", []):
+        p.pop("cost_is_explicit", None)
+    return out

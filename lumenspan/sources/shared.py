@@ -9,14 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 _made: list[str] = []
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df as a table in spark.checkpoint.dir (below the warehouse only where that is unset): neither recomputed nor lost with executors."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+def folder(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir, which release() removes. Where that is unset, in local mode only, one below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     path = f"{root.rstrip('/')}/lumenspan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: neither recomputed nor lost with executors."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

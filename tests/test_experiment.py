@@ -33,6 +33,7 @@ def test_residual_experiment(spark, cfg, tmp_path):
     assert r.report["optimization"]["total_cost_bytes"] <= 240 and r.assignments.count() == 6
     e.persist(r)
     assert spark.read.csv(f"{e.folder}/pt_experiment.csv", header=True).count() == 4 * len(evaluation.MEASURES)
+    assert config.as_dict(config.load(f"{e.folder}/config_snapshot.yaml")) == config.as_dict(e.cfg)
 
 
 @pytest.mark.parametrize("source, tail, metric", [("bm25", "static_default", "relative_score_dissimilarity"), ("hybrid_rerank", "rbp_residual_interval", "hybrid_score_margin_utility"), ("dense", "rbp_residual_interval", "absolute_score_utility")])
@@ -57,8 +58,15 @@ def test_candidate_retrieval_over_named_sources(spark, cfg):
         named.load(spark, "other", "topics")
 
 
-def test_benchmark_matrix(spark, cfg):
+def test_benchmark_matrix(spark, cfg, tmp_path):
     c = cfg()
     t, q, d = tables.topics(spark, c.data.local_topics_path), tables.qrels(spark, c.data.local_qrels_path), tables.corpus(spark, c.data.local_corpus_path)
     got = benchmark(spark, t, q, d, {"h": encoding.HashingEncoder(32)}, [8, 32])
     assert got.count() == 2 * len(evaluation.MEASURES)
+    to = str(tmp_path / "b")
+    for _ in range(2):  # the second time from the cache
+        again = benchmark(spark, t, q, d, {"h": encoding.HashingEncoder(32)}, [8, 32], cache=f"{to}/cache", output=to)
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
+    for name, n in (("metrics_long", 2 * len(evaluation.MEASURES)), ("metrics_wide", 2), ("ranking_summary", len(evaluation.MEASURES))):
+        assert spark.read.csv(f"{to}/{name}.csv", header=True).count() == n
+    assert (tmp_path / "b" / "run_metadata.json").exists() and len(list((tmp_path / "b" / "cache").iterdir())) == 2

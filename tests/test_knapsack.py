@@ -36,6 +36,25 @@ def test_passes_over_the_table_and_arrays_agree(spark):
     assert sorted(map(tuple, a.assignments.select("docno", "profile").collect())) == sorted(map(tuple, b.assignments.select("docno", "profile").collect()))
 
 
+def test_utilities_that_nearly_tie_are_summed_alike(spark):
+    """Sums that differ in the last digits decide alike in one task and in passes over the table."""
+    rng = np.random.default_rng(5)
+    u = np.sort(np.round(rng.random((20, 3)), 1) + rng.integers(0, 3, (20, 3)) * 1e-15, axis=1)
+    a, b = (K.solve(table(spark, u), P, 700, max_iter=10, local=n) for n in (K.LOCAL, 0))
+    assert a.report == b.report
+    assert sorted(map(tuple, a.assignments.collect())) == sorted(map(tuple, b.assignments.collect()))
+
+
+def test_strategies_can_be_replaced(spark):
+    u = table(spark, [[0.1, 0.5, 0.9], [0.2, 0.3, 0.4], [0.0, 0.0, 0.7]])
+    kept = K.Strategies(upgrade=lambda p, c: c)
+    plain, none = K.solve(u, P, 150, local=0), K.solve(u, P, 150, by=kept)
+    assert none.report["num_upgrades"] == 0 and none.report["total_utility"] <= plain.report["total_utility"]
+    assert isinstance(K.strategies("lagrangian_dual"), K.Strategies)
+    with pytest.raises(ValueError):
+        K.strategies("greedy")
+
+
 def test_moves_that_do_not_fit_are_skipped(spark):
     p = K.Problem(spark.createDataFrame([("x", [0.0, 0.1, 0.9]), ("y", [0.0, 0.2, 0.2]), ("z", [0.0, 0.1, 0.1])], "docno string, u array<double>"), ["a", "b", "c"], [16, 32, 64], 16 * 3 + 40, 3)
     taken, n, spent = K.upgrade_round(K.upgrade_moves(K.cheapest(p).chosen, p), 40)

@@ -43,11 +43,60 @@ def test_search_breaks_ties_by_docno_and_agrees_with_pairs(spark, docs, queries)
     assert all(abs(pairs[q, d] - s) < 1e-9 for q, d, s, _ in got)
 
 
-def test_blocks_of_queries_change_nothing(spark, docs, queries, monkeypatch):
-    full = dense.materialize(docs, dense.uniform(docs, P[1]))
+def test_blocks_and_shards_change_nothing(spark, docs, queries, monkeypatch):
+    full = dense.cut(docs, P[1].dimension)
     a = sorted(map(tuple, dense.search(queries, full, 2).collect()))
-    monkeypatch.setattr(dense, "BLOCK_BYTES", 8)
-    assert sorted(map(tuple, dense.search(queries, full, 2).collect())) == a
+    for bytes_ in (8, 40):
+        for name in ("BLOCK_BYTES", "SHARD_BYTES", "SCORE_BYTES"):
+            monkeypatch.setattr(dense, name, bytes_)
+        assert sorted(map(tuple, dense.search(queries, full, 2).collect())) == a
+
+
+@pytest.mark.parametrize("similarity", ["dot", "cosine"])
+@pytest.mark.parametrize("small", [False, True])
+def test_search_is_exact(spark, monkeypatch, similarity, small):
+    """Against all products: ties, equal vectors, own vectors, several widths in one pass, a corpus of mixed widths."""
+    if small:
+        for name in ("BLOCK_BYTES", "SHARD_BYTES", "SCORE_BYTES"):
+            monkeypatch.setattr(dense, name, 2048)
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (300, 8)).astype(float)
+    v[50:80] = v[50]
+    v[90:] = np.where(rng.random((210, 8)) < 0.5, rng.normal(size=(210, 8)), v[90:])
+    ids = [f"d{i}" for i in rng.permutation(300)]
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "docno string, v array<double>").repartition(5)
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids[:60], v[:60])], "qid string, qvec array<double>")
+
+    def brute(widths):
+        out = set()
+        for i in range(60):
+            own = []
+            for j in range(300):
+                if i != j:
+                    a, b = v[i, : widths[j]], v[j, : widths[j]]
+                    s = a @ b / (1 if similarity == "dot" else max(np.linalg.norm(a), 1e-12) * max(np.linalg.norm(b), 1e-12))
+                    own.append((-round(s, 9), ids[j]))
+            out |= {(ids[i], x, n + 1) for n, (_, x) in enumerate(sorted(own)[:7])}
+        return out
+
+    got = dense.search_widths(q, d, [3, 8], 7, similarity, skip_self=True).collect()
+    for w in (3, 8):
+        assert {(r.qid, r.docno, r["rank"]) for r in got if r.w == w} == brute([w] * 300)
+    widths = rng.choice([2, 5, 8], 300)
+    mixed = spark.createDataFrame([(i, x[:w].tolist()) for i, x, w in zip(ids, v, widths)], "docno string, vec array<double>")
+    assert {(r.qid, r.docno, r["rank"]) for r in dense.search(q, mixed, 7, similarity, skip_self=True).collect()} == brute(widths)
+
+
+def test_search_kinds_and_budgets(spark, docs, queries):
+    full = dense.cut(docs, P[1].dimension)
+    exact = sorted(map(tuple, dense.search(queries, full, 2).collect()))
+    with pytest.warns(UserWarning):
+        assert sorted(map(tuple, dense.search_by("hnsw", queries, full, 2).collect())) == exact
+    assert sorted(map(tuple, dense.search_by("flat", queries, full, 2).collect())) == exact
+    own = dense.uniform(docs, P[1])
+    assert dense.check_fits(own, 10_000) is own
+    with pytest.raises(MemoryError):
+        dense.check_fits(own, 1)
 
 
 def test_missing_vectors_are_an_error(spark, docs):
@@ -114,7 +163,7 @@ def test_measures_by_hand(spark):
     got = {r["qid"]: r for r in evaluation.per_query(runs, qrels).collect()}
     dcg, idcg = 2 / np.log2(3), 2 + 1 / np.log2(3)
     assert got["1"]["ndcg10"] == pytest.approx(dcg / idcg) and got["1"]["ap_rel2"] == 0.5 == got["1"]["rr_rel2"] and got["1"]["recall100"] == 0.5
-    assert [got["2"][m] for m in evaluation.MEASURES] == [0.0] * 5
+    assert [got["2"][m] for m in evaluation.MEASURES] == [0.0] * 7 and got["1"]["map"] == 0.25 and got["1"]["recip_rank"] == 0.5
 
 
 def test_p_values():
@@ -135,6 +184,10 @@ def test_training_data(spark):
     assert t.count() == 6 and training.nested(n, negatives=None).count() == 3
     with pytest.raises(ValueError):
         training.validated(t.union(t.selectExpr("anchor", "' \t'", "negative")))
+    rows = spark.createDataFrame([(3, "a", None), (1, "x", "y"), (2, "b", " ")], "n int, anchor string, positive string")
+    with pytest.raises(ValueError, match="the first in positive of n 2"):
+        training.validated(rows, "n")
+    assert training.validated(rows.where("n = 1"), "n").count() == 1
 
 
 def test_files_and_streams(spark, tmp_path, docs):
@@ -171,14 +224,52 @@ def test_index_is_kept_and_reused(spark, tmp_path):
 
 
 def test_vector_cache(spark, tmp_path):
-    d = spark.createDataFrame([("a", "x y"), ("b", None)], "docno string, text string")
+    d = spark.createDataFrame([(str(i), "x y" if i else None) for i in range(20)], "docno string, text string")
     made = []
-    make = lambda: made.append(1) or encoding.encode(d, "docno", "text", encoding.HashingEncoder(8))
+    make = lambda df: made.append(1) or encoding.encode(df, "docno", "text", encoding.HashingEncoder(8))
     for resume in ("auto", "auto", "restart"):
-        assert encoding.cached(spark, str(tmp_path / "v"), "k", make, resume).count() == 2
-    assert len(made) == 2 and encoding.newest(spark, str(tmp_path / "v")) == "k" and encoding.newest(spark, str(tmp_path / "none")) is None
+        assert encoding.cached(spark, str(tmp_path / "v"), "k", d, make, resume=resume, chunks=3).count() == 20
+    assert len(made) == 6 and encoding.newest(spark, str(tmp_path / "v")) == "k" and encoding.newest(spark, str(tmp_path / "none")) is None
+    with pytest.raises(ValueError):
+        encoding.cached(spark, str(tmp_path / "v"), "other", d, make, resume="fail", chunks=3)
+    (tmp_path / "v" / "k" / "chunk-0001-of-0003" / "_SUCCESS").unlink()  # as an interruption leaves it
+    assert encoding.cached(spark, str(tmp_path / "v"), "k", d, make, chunks=3).count() == 20 and len(made) == 7
+    assert encoding.store_name("me/vectors", "My Model/large", "", "x") == "me/vectors_my-model-large__x"
+    long = encoding.store_name("v", "m" * 100)
+    assert len(long) == 2 + 64 and long != encoding.store_name("v", "m" * 101) and encoding.store_name("v", "...") == "v_model"
+
+
+def test_writers_leave_no_parts(spark, tmp_path, docs):
+    to = tmp_path / "t.csv"
+    sinks.save(docs.select("docno"), str(to), "csv")
+    with pytest.raises(Exception):
+        sinks.save(docs.select(F.raise_error(F.lit("no")).alias("docno")), str(to), "csv")
+    assert spark.read.csv(str(to), header=True).count() == docs.count()
+    sinks.save(docs.limit(0).select("docno"), str(to), "csv")
+    sinks.save_json(spark, {"a": 1}, str(tmp_path / "x" / "a.json"))
+    sinks.save_json(spark, {"a": 2}, str(tmp_path / "x" / "a.json"))
+    assert (tmp_path / "x" / "a.json").read_text() == '{\n  "a": 2\n}' and spark.read.csv(str(to), header=True).count() == 0
+    c = config.parse(RAW | {"utility": {"relevance": {"scale": {"mode": "explicit_map", "explicit_map": {"1": 0.5}}}}})
+    sinks.save_config(spark, c, str(tmp_path / "c.yaml"))
+    assert config.as_dict(config.load(str(tmp_path / "c.yaml"))) == config.as_dict(c)
+
+
+def test_fallbacks_of_evaluation_are_told():
+    c = config.parse(RAW | {"data": RAW["data"] | {"local_eval_topics_path": "e", "eval_pyterrier_dataset": "x"}})
+    told = " ".join(config.fallback_warnings(c))
+    assert "default qrels" in told and "qrels come from the dataset" in told and "default topics" not in told
+    assert config.fallback_warnings(config.parse(RAW)) == []
+
+
+def test_tail_reports(spark):
+    t = utility.Tail("rbp_residual_interval")
+    scored = spark.createDataFrame([("a", "p", 0.1, 0.5), ("b", "p", 0.3, 1.0), ("a", "q", 0.0, 0.25)], "docno string, profile string, utility double, profile_quality double")
+    r = utility.tail_report(t, scored, 2)
+    assert r["tail_profile_quality_mean_by_profile"] == {"p": 0.75, "q": 0.25} and (r["tail_utility_min"], r["tail_utility_max"]) == (0.0, 0.3) and abs(r["tail_utility_mean"] - 0.4 / 3) < 1e-12
+    for none in (utility.tail_report(t, None, 0), utility.tail_report(t, scored.limit(0), 0)):
+        assert none["tail_utility_max"] == 0.0 and none["tail_profile_quality_mean_by_profile"] == {} and none["tail_expected_relevance_per_doc"] == 0.0
     with pytest.raises(ValueError):
-        encoding.cached(spark, str(tmp_path / "v"), "other", make, "fail")
+        utility.estimator("none")
 
 
 def test_scores(spark):
