@@ -1,9 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
 A sketch keeps every shingle hash below `SCALE` of the hash range, whatever the document's length, so sketches of very unequal
-documents are samples of the same part of all shingles: unions merge, and intersections estimate containment. Where that part
-holds fewer than `FLOOR` hashes, the sketch goes on to the FLOOR smallest ones; the threshold up to which it is complete is
-written in front of it, and two sketches are compared below the smaller of theirs. Short documents are thus kept whole.
+documents are samples of the same part of all shingles: unions merge, and intersections estimate containment. A fixed part alone
+leaves 3 % of the provided documents without any hash and is off by 0.10 on average (see the README), so the threshold of a
+document whose part holds fewer than `FLOOR` hashes is raised to keep that many: every hash below it is kept, it is written in
+front of the sketch, and two sketches are compared below the smaller of theirs. Short documents are thus kept whole.
 
 As a string: the threshold in 12 hexadecimal digits, a colon, then the hashes in ascending order, 12 digits each.
 """

@@ -1,6 +1,6 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-A task holds a shard of the rows and a block of the queries. The shard's vectors, by descending length, form buckets of similar
+A task holds a shard of the rows, `SHARD_BYTES` of components, and a block of the queries, `BLOCK_BYTES`. The shard's vectors, by descending length, form buckets of similar
 length. A query with the k-th best score s so far needs, in a bucket whose longest vector has length L, a cosine of at least
 s / (|q| L): beyond 1 the bucket and all after it are pruned; from `COORDINATE` on, vectors are pruned whose leading coordinates
 can't belong to such a cosine; below it, only by their lengths. What remains is verified by exact products. Each query starts
@@ -21,10 +21,11 @@ SHRINK = 0.9
 COORDINATE = 0.3
 FOCUS = 4
 SEEDS = 1024
-SHARD_ROWS = 1 << 16
+SHARD_BYTES = 1 << 25
 SHARDS = 32
-BLOCK_QUERIES = 1 << 13
+BLOCK_BYTES = 1 << 22
 LOW = np.iinfo(np.int64).min
+LARGEST = float(1 << 52)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int = 0) -> np.ndarray:
@@ -115,14 +116,15 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """`query_id`, `rank` (from 1), `vec_id`, `score`: each query's k best rows of df by the integer product of floor(1024 x), ties to the smaller vec_id.
 
     Both have `vec_id`, `embedding`. A row is no candidate of a query of its own vec_id. Vectors that are null or hold a null or
-    a component that isn't finite, and rows without vec_id, take no part; a shorter vector counts as filled up with zeros.
+    a component that isn't finite, and rows without vec_id, take no part; a shorter vector counts as filled up with zeros. Nor do
+    vectors with a component of `LARGEST` or more, whose floor is no 64-bit integer; scores must fit 64 bits, too.
     Repeated rows are candidates each; equal query rows are one query. Without candidates there are no rows.
     """
-    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.col("vec_id").isNotNull()
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= LARGEST)) & F.col("vec_id").isNotNull()
     ready = lambda d: d.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(whole).mapInArrow(_quantised, "vec_id long, v binary")
     rows, asked = ready(df), ready(queries).distinct()
-    n, m = rows.count(), asked.count()
-    shards, blocks = max(SHARDS, -(-n // SHARD_ROWS)), max(1, -(-m // BLOCK_QUERIES))
+    bytes_ = lambda d: d.agg(F.coalesce(F.sum(F.octet_length("v")), F.lit(0))).first()[0]
+    shards, blocks = max(SHARDS, -(-bytes_(rows) // SHARD_BYTES)), max(1, -(-bytes_(asked) // BLOCK_BYTES))
     seeds = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SEEDS).collect()
     seed = df.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in seeds], np.int64), [bytes(r["v"]) for r in seeds]))
 

@@ -205,7 +205,7 @@ def test_top_k_is_exact(spark, scale):
 
 def test_top_k_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (1, None), (2, [nan, 1.0]), (3, [1.0, None]), (4, [inf, 0.0]), (None, [9.0, 9.0]), (5, [2.0, 0.0]), (6, [2.0, 0.0]), (6, [2.0, 0.0]), (100, [1.0]), (200, [0.0, 0.0])]
+    rows = [(7, [1e300, 0.0]), (0, [1.0, 0.0]), (1, None), (2, [nan, 1.0]), (3, [1.0, None]), (4, [inf, 0.0]), (None, [9.0, 9.0]), (5, [2.0, 0.0]), (6, [2.0, 0.0]), (6, [2.0, 0.0]), (100, [1.0]), (200, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [tuple(r) for r in topk.top_k(df, df.where("vec_id % 100 = 0"), 3).orderBy("query_id", "rank").collect()]
     assert [g[2] for g in got if g[0] == 0] == [5, 6, 6] and [g[2] for g in got if g[0] == 200] == [0, 5, 6]
@@ -660,6 +660,27 @@ def test_fingerprints_of_edited_texts(spark, odd, none):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_likeness_is_that_of_the_shingle_sets(spark, odd):
+    """Against sets of words, by nothing of the operator's own: exact where all shingles are kept, within four deviations else."""
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    exact = 0
+    for df in (odd.where("doc_id <> 8").select("doc_id", "text"), spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")):
+        docs = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda x: -x[0])
+        got = {r.doc_id: r for r in fingerprint.edited_by_next(df.repartition(3)).collect()}
+        for (d, t), (_, nxt) in zip(docs, docs[1:] + docs[:1]):
+            own, new, nex = (shingle_set(x) for x in (t, t[: len(t) - len(t) // 3] + nxt[: len(t) // 3], nxt))
+            kept = (len(got[d].fingerprint) - 13) // 12
+            assert min(len(own), 48) <= kept <= len(own) and (kept == len(own) or kept < 48 + len(own) / 8)
+            for near, true, other in ((got[d].near_edited, jaccard(own, new), new), (got[d].near_next, jaccard(own, nex), nex)):
+                n = max(min(len(own | other), 48), len(own | other) // 16)
+                if max(len(own), len(other)) <= 48:
+                    exact += 1
+                    assert abs(near - true) < 1e-12
+                else:
+                    assert abs(near - true) <= 4 * (true * (1 - true) / n) ** 0.5 + 3 / n, (d, near, true, n)
+    assert exact > 20
+
+
 def test_sketches_estimate_merge_and_contain():
     rng = random.Random(5)
     a, b = sentence(rng, 9000), sentence(rng, 2000)
