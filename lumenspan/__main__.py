@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import sys
 
 from lumenspan.sources import config
@@ -12,6 +13,7 @@ def main(args: list[str]) -> int:
     if len(args) != 2 or args[0] not in ("run", "check"):
         print(__doc__)
         return 2
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(name)s: %(message)s")
     cfg = config.load(args[1])
     if args[0] == "check":
         print(json.dumps(config.as_dict(cfg), indent=2, default=str))

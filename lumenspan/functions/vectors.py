@@ -73,17 +73,28 @@ def padding_quality(v: Column | str, m: Column | int) -> Column:
     return F.least(F.greatest(square / (F.greatest(norm(v), F.lit(NORM_FLOOR)) * F.greatest(norm(head), F.lit(NORM_FLOOR))), F.lit(0.0)), F.lit(1.0))
 
 
-def mean_pool(rows: Column | str, width: int) -> Column:
-    """Mean of an array of token vectors."""
+def pooled(rows: Column | str, width: int, how: str = "mean") -> Column:
+    """One vector of an array of token vectors: their mean, or the first one (`cls`)."""
     r = _col(rows)
+    if how == "cls":
+        return F.transform(F.element_at(r, 1), lambda x: x.cast("double"))
+    if how != "mean":
+        raise ValueError(f"pooling is mean or cls, not {how}")
     return F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.aggregate(r, F.lit(0.0), lambda a, t: a + F.element_at(t, i).cast("double")) / F.size(r))
 
 
-def half_precision(v: Column | str) -> Column:
-    """Components rounded to the 11 significant bits of a 16-bit float (its exponent range isn't imitated)."""
-    def rounded(x: Column) -> Column:
+#: Significant bits of types.
+PRECISION = {"float16": 11, "bfloat16": 8, "float32": 24}
+
+
+def rounded(v: Column | str, dtype: str) -> Column:
+    """Components rounded to the significant bits of a type (its exponent range isn't imitated)."""
+    if dtype not in PRECISION:
+        raise ValueError(f"the type is one of {sorted(PRECISION)}, not {dtype}")
+
+    def one(x: Column) -> Column:
         e = F.floor(F.log2(F.abs(x.cast("double"))))
-        step = F.pow(F.lit(2.0), e - 10)
+        step = F.pow(F.lit(2.0), e - (PRECISION[dtype] - 1))
         return F.when(x == 0, 0.0).otherwise(F.rint(x.cast("double") / step) * step)
 
-    return F.transform(_col(v), rounded)
+    return F.transform(_col(v), one)

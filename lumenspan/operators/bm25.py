@@ -12,12 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenspan.functions.text import sanitize_query, tokens
-from lumenspan.sources.shared import kept, spread
+from lumenspan.sources.shared import kept, small, spread
 
 K1, B = 1.2, 0.75
 MODELS = ("BM25", "TF_IDF")
-#: Terms of all queries together that are broadcast; more are joined by term.
-BROADCAST_TERMS = 1_000_000
 
 
 @dataclass
@@ -49,14 +47,16 @@ def query_terms(topics: DataFrame) -> DataFrame:
 
 
 def build(corpus: DataFrame, only: DataFrame | None = None) -> Index:
-    """Of `docno`, `text`; null texts are empty. Texts are split once, into a kept table of their terms.
+    """Of `docno`, `text`; null texts are empty. A whole index splits texts once, into a kept table of their terms.
 
-    only: a table of `term`; no others are indexed, which is enough for runs of topics of these terms, but not for stats().
+    only: a table of `term`; no others are indexed, which is enough for runs of topics of these terms, but not for stats(). Then
+    postings are found in one pass, and lengths in another.
     """
-    t = kept(spread(corpus.select("docno", "text")).select("docno", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t")))
+    split = spread(corpus.select("docno", "text")).select("docno", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    t = kept(split) if only is None else split
     words = t.select("docno", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
     if only is not None:
-        words = words.join(only.select("term").distinct(), "term", "left_semi")
+        words = words.join(small(only.select("term").distinct()), "term", "left_semi")
     postings = words.groupBy("docno", "dl", "term").agg(F.count("*").alias("tf"))
     postings = kept(postings) if only is not None else postings
     return Index(postings, t.select("docno", F.size("t").cast("long").alias("dl")), postings.groupBy("term").agg(F.count("*").alias("df")))
@@ -90,9 +90,7 @@ def run(index: Index, topics: DataFrame, k: int, model: str = "BM25", first_rank
         raise ValueError(f"the model is one of {MODELS}, not {model}")
     q = query_terms(topics)
     n = index.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = q.join(index.terms, "term").join(F.broadcast(n))
-    if q.count() <= BROADCAST_TERMS:  # scores then add up where a document's postings are
-        asked = F.broadcast(asked)
+    asked = small(kept(q.join(index.terms, "term").join(F.broadcast(n))))  # broadcast, scores add up where a document's postings are
     hits = index.postings.repartition("docno").join(asked, "term")
     if model == "BM25":
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -230,6 +230,23 @@ def normalized_vectors(spark: SparkSession, d: str) -> DataFrame:
     return doc_vec(spark, d).select("docno", F.round(F.aggregate(n, F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(V.norm("v"), 6).alias("length"))
 
 
+_ROUNDED = "CASE WHEN x = 0 THEN 0.0 ELSE round_even(x / pow(2.0, floor(log2(abs(x))) - {0}), 0) * pow(2.0, floor(log2(abs(x))) - {0}) END"
+
+
+@query(f"WITH {_DV} SELECT docno, {', '.join(f'round(list_sum(list_transform(v, lambda x: {_ROUNDED.format(bits - 1)})), 9) AS {name}' for name, bits in (('float16', 11), ('bfloat16', 8)))} FROM dv")
+def rounded_vectors(spark: SparkSession, d: str) -> DataFrame:
+    total = lambda kind: F.round(F.aggregate(V.rounded("v", kind), F.lit(0.0), lambda a, x: a + x), 9).alias(kind)
+    return doc_vec(spark, d).select("docno", total("float16"), total("bfloat16"))
+
+
+@query(f"WITH {_DV} SELECT docno, round(list_sum(list_transform(range(1, 33), lambda i: i * (v[i] + v[i + 32]) / 2)), 6) AS mean, round(list_sum(list_transform(range(1, 33), lambda i: i * v[i])), 6) AS cls FROM dv")
+def pooled_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Halves of a vector as two token vectors."""
+    rows = F.array(V.prefix("v", 32), V.suffix("v", 32))
+    weighed = lambda how: F.round(F.aggregate(F.transform(V.pooled(rows, 32, how), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias(how)
+    return doc_vec(spark, d).select("docno", weighed("mean"), weighed("cls"))
+
+
 # ---- text retrieval
 
 
@@ -372,6 +389,27 @@ def route_overlap(spark: SparkSession, d: str) -> DataFrame:
     return routing.metadata(routing.split_by_qrels(text_topics(spark, d), qrels_text(spark, d)))
 
 
+@query(f"WITH {_BM25}, z AS (SELECT qid, docno, score FROM bm WHERE rank < 20), x AS (SELECT z.qid, z.docno, len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), {_TOK})), list_distinct(t.w))) / greatest(len(list_distinct(list_concat(regexp_extract_all(lower(b.text), {_TOK}), t.w))), 1) AS j FROM z JOIN benchmark b ON CAST(b.item_id AS VARCHAR) = z.qid JOIN t USING (docno)), cand AS (SELECT qid, docno, round(j, 9) AS score FROM x), {_MM}, {_CONF} {_CAL_OUT}")
+def model_relevance(spark: SparkSession, d: str) -> DataFrame:
+    """Lexical candidates rescored by query and text, and calibrated."""
+    p = relevance.estimate("model", text_run(spark, d, 20), text_topics(spark, d), text_corpus(spark, d))
+    return rounded(p.select("qid", "docno", "relevance_final", "confidence", "uncertainty"), "relevance_final", "confidence", "uncertainty")
+
+
+@query(f"WITH {_CAND} SELECT qid, docno, rank FROM cand SEMI JOIN (SELECT CAST(doc_id AS VARCHAR) AS docno FROM labels) USING (docno)")
+def known_docnos(spark: SparkSession, d: str) -> DataFrame:
+    return candidates(spark, d).join(read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("docno")), "docno", "left_semi").select("qid", "docno", "rank")
+
+
+@query(f"WITH {_TQ}, n AS (SELECT count(*) AS n FROM tq) SELECT 'shared' AS routing, CAST(0 AS BIGINT) AS may_override UNION ALL SELECT 'dual_source', n FROM n")
+def suppressed_qrels(spark: SparkSession, d: str) -> DataFrame:
+    """Judgements never override where a query is on both sides."""
+    t, q = text_topics(spark, d), kept(qrels_text(spark, d))
+    other = t.withColumn("qid", F.concat(F.lit("e"), "qid"))
+    counted = lambda name, r: routing.utility_qrels(r).agg(F.count("*").alias("may_override")).select(F.lit(name).alias("routing"), "may_override")
+    return counted("shared", routing.shared(t, q)).union(counted("dual_source", routing.dual_source(t, q, other, q)))
+
+
 # ---- utilities from a query log
 
 _PAIRS = f"{_CAND}, {_PROF}, sc AS (SELECT qid, docno, profile, list_inner_product(qvec, v) AS s, list_inner_product(qvec[1:dimension], v[1:dimension]) AS r FROM cand JOIN qv USING (qid) JOIN dv USING (docno), prof)"
@@ -543,6 +581,35 @@ def profile_groups(spark: SparkSession, d: str) -> DataFrame:
     return rounded(reporting.profile_counts(assigned(spark, d)), "utility", digits=4)
 
 
+@query(f"WITH {_DV}, {_PROF}, {_RES1} SELECT round(greatest(0.0001, (max(utility) - min(utility)) / 16), 9) AS lam FROM res")
+def lambda_bound(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(round(knapsack.lambda_ceiling(wide(spark, d)), 9),)], "lam double")
+
+
+@query(f"WITH {_DV}, {_PROF}, {_RES1}, lam(l) AS (VALUES {', '.join(f'({x})' for x in GRID)}), k AS (SELECT l, cost_bytes, utility, row_number() OVER (PARTITION BY l, docno ORDER BY utility - CAST(l AS DOUBLE) * cost_bytes DESC, idx) AS n FROM res, lam), c AS (SELECT CAST(l AS DOUBLE) AS lam, CAST(sum(cost_bytes) AS BIGINT) AS cost, sum(utility) AS utility FROM k WHERE n = 1 GROUP BY l), b AS (SELECT count(*) * 64 AS budget FROM dv) SELECT kind, lam, cost FROM (SELECT 'feasible' AS kind, lam, cost, row_number() OVER (ORDER BY utility DESC, cost DESC) AS n FROM c, b WHERE cost <= budget UNION ALL SELECT 'infeasible', lam, cost, row_number() OVER (ORDER BY cost, utility DESC) FROM c, b WHERE cost > budget) WHERE n = 1")
+def candidate_policy(spark: SparkSession, d: str) -> DataFrame:
+    """Of the choices at several multipliers, the best that fits the budget and the closest that doesn't."""
+    p = wide(spark, d)
+    every = [knapsack.candidate(knapsack.at_lambda(p, x), p, x, "grid") for x in GRID]
+    best = far = None
+    for c in every:
+        if knapsack.better_feasible(c, best, p.budget):
+            best = c
+        if knapsack.better_infeasible(c, far, p.budget):
+            far = c
+    return spark.createDataFrame([(k, c.lam, c.cost) for k, c in (("feasible", best), ("infeasible", far)) if c], "kind string, lam double, cost long")
+
+
+@query("SELECT CAST(536870912 AS BIGINT) AS from_gb, CAST(7 AS BIGINT) AS from_bytes")
+def budgets(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(S.budget_bytes(None, 0.5), S.budget_bytes(7, 0.5))], "from_gb long, from_bytes long")
+
+
+@query(f"WITH {_DV} SELECT CAST(0 AS BIGINT) AS n_pairs, CAST(0 AS BIGINT) AS pair_docs, CAST(0 AS BIGINT) AS pair_queries, CAST(0 AS BIGINT) AS overrides, count(*) AS n_docs, count(*) AS default_docs, CAST(1 AS DOUBLE) AS default_fraction FROM dv")
+def coverage_without_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return utility.coverage(doc_vec(spark, d).select("docno"), log_pairs(spark, d).limit(0), log_means(spark, d).limit(0))
+
+
 # ---- runs and measures
 
 DEPTH = 100
@@ -623,6 +690,15 @@ def ann_ivf(spark: SparkSession, d: str) -> DataFrame:
     return dense.ivf_search(query_vec(spark, d), full_corpus(spark, d), K, skip_self=True)
 
 
+@query("SELECT * FROM (VALUES ('bm25_run', 0), ('full_run', 1), ('profile_d32_run', 2), ('profile_d16_run', 3), ('profile_d8_run', 4), ('optimized_run', 5)) t(run, run_order)")
+def run_order(spark: SparkSession, d: str) -> DataFrame:
+    """A lexical baseline comes first, then the full width, then profiles from the widest."""
+    v = doc_vec(spark, d)
+    dims = with_profiles(v.select("docno"), PROFILES).select("docno", "profile", "dimension")
+    runs = dense.runs(query_vec(spark, d), v, PROFILES, assigned(spark, d).join(dims, ["docno", "profile"]), 1, skip_self=True, bm25=candidates(spark, d))
+    return runs.select("run", "run_order").distinct()
+
+
 # ---- readers and writers: a table is written to the shared folder, and read by the reader
 
 
@@ -645,6 +721,17 @@ def read_qrels(spark: SparkSession, d: str) -> DataFrame:
     return tables.qrels(spark, _tsv(spark, rows), "rel")
 
 
+@query("SELECT CAST(item_id AS VARCHAR) AS qid, regexp_replace(text, '\\s+', ' ', 'g') AS query FROM benchmark ORDER BY CAST(item_id AS VARCHAR) LIMIT 7")
+def read_first_topics(spark: SparkSession, d: str) -> DataFrame:
+    return tables.topics(spark, _tsv(spark, read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.regexp_replace("text", r"\s+", " ").alias("query"))), max_queries=7)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS qid, CAST(quality AS VARCHAR) AS docno, CAST(toxic AS INTEGER) AS label FROM labels SEMI JOIN benchmark ON doc_id = item_id")
+def qrels_of_topics(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "labels").select(F.col("doc_id").alias("qid"), F.col("quality").alias("docno"), F.col("toxic").alias("label"))
+    return tables.qrels(spark, _tsv(spark, rows), of=text_topics(spark, d))
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS docno, regexp_replace(concat_ws(chr(10), CASE WHEN regexp_replace(lang, '^\\s+|\\s+$', '', 'g') <> '' THEN lang END, CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' THEN text END), '^\\s+|\\s+$', '', 'g') AS text FROM documents")
 def read_corpus(spark: SparkSession, d: str) -> DataFrame:
     return tables.corpus(spark, f"{d}/documents.parquet", ("lang", "text"), "doc_id")
@@ -780,6 +867,11 @@ def triplets_nested(spark: SparkSession, d: str) -> DataFrame:
     return training.nested(turns(spark, d))
 
 
+@query("SELECT role AS anchor, text AS positive, CAST(conv_id AS VARCHAR) AS negative FROM conversations")
+def triplet_columns(spark: SparkSession, d: str) -> DataFrame:
+    return training.normalize(read(spark, d, "conversations").withColumn("conv_id", F.col("conv_id").cast("string")), "role", "text", "conv_id")
+
+
 @query("SELECT 'text' AS \"column\", count(*) FILTER (text IS NULL OR regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '') AS n_blank FROM documents UNION ALL SELECT 'source', count(*) FILTER (source IS NULL OR regexp_replace(source, '^\\s+|\\s+$', '', 'g') = '') FROM documents")
 def triplets_validate(spark: SparkSession, d: str) -> DataFrame:
     return training.blanks(read(spark, d, "documents").select("text", "source"))

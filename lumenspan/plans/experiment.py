@@ -147,11 +147,13 @@ class Experiment:
         cfg = self.cfg
         check(self.profiles, None, cfg.model.full_profile_name)
         routed = self.route()
+        log.info("queries are routed (%s); utilities by %s", routed.mode, cfg.utility.estimator)
         corpus = self.corpus(C.evaluation(cfg).data if cfg.utility.estimator == "residual_norm" else cfg.data)
         docs = self.doc_vectors(corpus)
         table, pairs, scored = self.utilities(routed, corpus, docs)
         o = cfg.optimization
         solved = knapsack.solve(table, self.profiles, C.budget(cfg), o.max_iter, o.tolerance, o.lambda_low, o.lambda_high, cfg.execution.dtype)
+        log.info("%d documents assigned: %d of %d bytes", solved.report["num_docs"], solved.report["total_cost_bytes"], solved.report["budget_bytes"])
         dims = with_profiles(docs.select("docno"), self.profiles, cfg.execution.dtype).select("docno", "profile", "dimension")
         queries = self.query_vectors(routed.eval_topics)
         assigned = solved.assignments.join(dims, ["docno", "profile"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[str] = []
 
@@ -28,6 +29,16 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What a broadcast table may hold, by the bytes of its values.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df as a table to be broadcast, if its values are counted to have `most` bytes at most; else as it is."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) if kind == "string" else F.lit(0) for c, kind in df.dtypes), F.lit(16 * len(df.columns)))
+    return F.broadcast(df) if (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= most else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if its files make fewer partitions than that; the usual many files stay as they are."""
     n = df.sparkSession.sparkContext.defaultParallelism

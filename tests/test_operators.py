@@ -277,7 +277,7 @@ def test_scores(spark):
     got = spark.range(1).select(S.relative(f, r), S.absolute(f, r), S.squared(f, r), S.unit_scale(F.lit(5.0), 0, 3), S.rank_discount(F.lit(0)), S.slug(F.lit(" a/b--c. "))).first()
     assert list(got) == [-0.5, 0.25, 0.1, 1.0, 1.0, "a-b-c"]
     assert S.budget_bytes(None, 0.5) == 1 << 29 and S.budget_bytes(7, 0.5) == 7
-    half = spark.range(1).select(V.half_precision(F.array(F.lit(0.1), F.lit(0.0), F.lit(-3.14159))).alias("h")).first()["h"]
+    half = spark.range(1).select(V.rounded(F.array(F.lit(0.1), F.lit(0.0), F.lit(-3.14159)), "float16").alias("h")).first()["h"]
     assert half == [float(np.float16(x)) for x in (0.1, 0.0, -3.14159)]
 
 
