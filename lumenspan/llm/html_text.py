@@ -261,7 +261,11 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
 
 
 def extract(df: DataFrame, html: str = "html") -> DataFrame:
-    """df's other columns with `text` and `n_chars` (code points) in place of its page and of columns of these names. Rows stay as they are, repeated or not; an empty table gives no rows."""
+    """df's other columns with `text` and `n_chars` (code points) in place of its page and of columns of these names.
+
+    Null and empty pages give an empty text. Rows stay as they are, repeated or not; an empty table gives no rows. Pages are
+    taken whole, in time and memory proportional to their length, however deeply they are nested.
+    """
     rest = [c for c in df.columns if c not in (html, "text", "n_chars")]
     schema = df.select(*(f"`{c}`" for c in rest)).schema.add("text", "string").add("n_chars", "long")
 

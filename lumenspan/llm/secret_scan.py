@@ -422,7 +422,10 @@ def redacted(text: str, findings: list[tuple], mark: str = "[secret]") -> str:
 
 
 def redact(df: DataFrame, column: str = "text") -> DataFrame:
-    """The rows of df, all columns kept, with every found span of `column` replaced by a mark. Null texts stay null."""
+    """The rows of df, all columns kept, with every found span of `column` replaced by a mark; spans that overlap give one.
+
+    Null texts stay null, empty ones empty; repeated rows stay; an empty table gives no rows.
+    """
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
