@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenspan.llm.kernel import flat
@@ -161,12 +161,12 @@ def fit(labelled: DataFrame, per_lang: int = 800, most_rows: int = 6000, seed: i
     per_lang = max(1, min(per_lang, most_rows // len(counts)))
     spark = labelled.sparkSession
     parts = spark.createDataFrame([(r["lang"], min(1.0, (1.5 * per_lang + 60) / max(r["n"], 1)) * (1 << 30)) for r in counts], "lang string, _below double")
-    drawn = rows.join(F.broadcast(parts), "lang").where(F.pmod("_order", F.lit(1 << 30)) < F.col("_below")).select("text", "lang", "_order").dropDuplicates(["lang", "_order"])
+    place = F.pmod("_order", F.lit(1 << 30))
+    drawn = rows.join(F.broadcast(parts), "lang").where((place < F.col("_below")) & F.col("text").rlike(r"\p{L}")).select("text", "lang", "_order").dropDuplicates(["lang", "_order"])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(place, "_order"))
     got: dict[str, list] = {}
-    for r in sorted(drawn.mapInArrow(_featured, "lang string, _order long, x binary").where("x IS NOT NULL").collect(), key=lambda r: (r["lang"], r["_order"] & ((1 << 30) - 1), r["_order"])):
-        own = got.setdefault(r["lang"], [])
-        if len(own) < per_lang:
-            own.append(np.frombuffer(r["x"], np.float16))
+    for r in sorted(drawn.withColumn("_n", first).where(F.col("_n") <= per_lang).drop("_n").mapInArrow(_featured, "lang string, _order long, x binary").where("x IS NOT NULL").collect(), key=lambda r: (r["lang"], r["_order"])):
+        got.setdefault(r["lang"], []).append(np.frombuffer(r["x"], np.float16))
     if not got:
         return None
     x = np.stack([v for own in got.values() for v in own]).astype(np.float32)
