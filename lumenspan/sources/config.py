@@ -234,4 +234,6 @@ def snapshot(cfg: SimpleNamespace) -> dict:
     out = as_dict(cfg)
     for p in out.get("profiles", []):
         p.pop("cost_is_explicit", None)
+    for moved in ("candidate_source", "candidates_per_query"):  # retrieval has them under their new names
+        out["data"].pop(moved, None)
     return out
