@@ -98,7 +98,10 @@ def fingerprints(df: DataFrame, k: int = SHINGLE) -> DataFrame:
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([written(s) for s in sketches(part.column("text").to_pylist(), k)])], names=["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([written(s) for s in sketches(part.column("text").to_pylist(), k)])],
+                    names=["doc_id", "fingerprint"]
+                )
 
     return only(df, doc_id="long", text="string").mapInArrow(kernel, "doc_id long, fingerprint string")
 
@@ -111,7 +114,10 @@ def _against(rows: list[tuple[int | None, str, str, Sketch]]) -> list[list]:
     """rows: document, text, the next text, the next text's sketch. Columns of the result."""
     edited = [t[: len(t) - len(t) // 3] + nxt[: len(t) // 3] for _, t, nxt, _ in rows]
     own, new = sketches([r[1] for r in rows]), sketches(edited)
-    made = [(r[0], len(r[1]), hashlib.sha256(e.encode()).digest(), packed(s), packed(n), likeness(s, n), likeness(s, r[3])) for r, e, s, n in zip(rows, edited, own, new, strict=True)]
+    made = [
+        (r[0], len(r[1]), hashlib.sha256(e.encode()).digest(), packed(s), packed(n), likeness(s, n), likeness(s, r[3])) for r,
+        e, s, n in zip(rows, edited, own, new, strict=True)
+    ]
     return [list(c) for c in zip(*made, strict=True)] if made else [[] for _ in COLUMNS]
 
 
@@ -119,7 +125,9 @@ _TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.floa
 
 
 def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in descending doc_id: each but the last against the one after it. The last row gives its text and the text of the partition's first row instead."""
+    """Rows in descending doc_id: each but the last against the one after it. The last row gives its text and the text of the
+    partition's first row instead.
+    """
     from pyspark import TaskContext
 
     context = TaskContext.get()
@@ -129,7 +137,10 @@ def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     head: tuple[int | None, str] | None = None
     for batch in batches:
         for part in slices(batch, "text", 1 << 19):
-            texts = (codec.decompress(t.as_buffer(), n, asbytes=True).decode() if n else "" for t, n in zip(part.column("text"), part.column("n_bytes").to_pylist(), strict=True))
+            texts = (
+                codec.decompress(t.as_buffer(), n, asbytes=True).decode() if n else "" for t,
+                n in zip(part.column("text"), part.column("n_bytes").to_pylist(), strict=True)
+            )
             rows = list(zip(part.column("doc_id").to_pylist(), texts, strict=True))
             head = head or rows[0]
             rows = [last, *rows] if last else rows
@@ -138,10 +149,16 @@ def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = rows[-1]
             n = len(columns[0])
             empty = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.string())]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)), *empty], names=[*COLUMNS, "part", "head_id", "head", "tail"])
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)), *empty],
+                names=[*COLUMNS, "part", "head_id", "head", "tail"]
+            )
     if last:
         values = [last[0], *[None] * 6, number, head[0], head[1], last[1]]
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (*_TYPES, pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=[*COLUMNS, "part", "head_id", "head", "tail"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([v], t) for v, t in zip(values, (*_TYPES, pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)],
+            names=[*COLUMNS, "part", "head_id", "head", "tail"]
+        )
 
 
 def _compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +166,14 @@ def _compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 1 << 22):
             texts = [t.as_buffer() if t.is_valid else b"" for t in part.column("text")]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([codec.compress(t, asbytes=True) if len(t) else b"" for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "text", "n_bytes"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"),
+                    pa.array([codec.compress(t, asbytes=True) if len(t) else b"" for t in texts], pa.binary()),
+                    pa.array([len(t) for t in texts], pa.int64())
+                ],
+                names=["doc_id", "text", "n_bytes"]
+            )
 
 
 def _ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +181,9 @@ def _ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "tail"):
             nxt = part.column("next").to_pylist()
             rows = zip(part.column("doc_id").to_pylist(), part.column("tail").to_pylist(), nxt, sketches(nxt), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(_against(list(rows)), _TYPES, strict=True)], names=list(COLUMNS))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(_against(list(rows)), _TYPES, strict=True)], names=list(COLUMNS)
+            )
 
 
 def edited_by_next(df: DataFrame) -> DataFrame:
@@ -172,7 +198,16 @@ def edited_by_next(df: DataFrame) -> DataFrame:
     made = materialize(ordered.mapInArrow(_edges, f"{_OUT}, part long, head_id long, head string, tail string"))
     ends = made.where("part IS NOT NULL").select("doc_id", "part", "head_id", "head", "tail")
     w = Window.partitionBy(F.lit(0)).orderBy(F.col("head_id").desc_nulls_last())
-    order = ends.select("part", "head_id").withColumn("to", F.coalesce(F.lead("part").over(w), F.first("part").over(w))).select("part", "to")
-    whole = ends.join(order, "part").join(ends.select(F.col("part").alias("to"), F.col("head").alias("next")), "to").select("doc_id", "tail", "next")
+    order = ends.select("part", "head_id").withColumn(
+        "to", F.coalesce(F.lead("part").over(w), F.first("part").over(w))
+    ).select("part", "to")
+    whole = ends.join(order, "part").join(
+        ends.select(F.col("part").alias("to"), F.col("head").alias("next")), "to"
+    ).select("doc_id", "tail", "next")
     out = made.where("part IS NULL").select(*COLUMNS).unionByName(whole.mapInArrow(_ends, _OUT))
-    return out.withColumns({"edited_sha256": F.lower(F.hex("edited_sha256")), "fingerprint": as_written("fingerprint"), "edited_fingerprint": as_written("edited_fingerprint")})
+    return out.withColumns(
+        {
+            "edited_sha256": F.lower(F.hex("edited_sha256")), "fingerprint": as_written("fingerprint"),
+            "edited_fingerprint": as_written("edited_fingerprint")
+        }
+    )

@@ -45,7 +45,9 @@ _AROUND_INLINE = HOLDS | {"p", "li"}
 
 
 class Events(HTMLParser):
-    """Blocks of a page (text parts, node), their lines (block, characters outside links, tags), and the tree of its nodes: elements that hold blocks or hide what is in them."""
+    """Blocks of a page (text parts, node), their lines (block, characters outside links, tags), and the tree of its nodes:
+    elements that hold blocks or hide what is in them.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -201,7 +203,9 @@ def upper(ratio: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def main_text(html: str | None, sigma: float = 1.0) -> str:
-    """The main text of a page: blocks joined by an empty line, white space inside a block as one space. Null, empty pages and pages without content give an empty text."""
+    """The main text of a page: blocks joined by an empty line, white space inside a block as one space. Null, empty pages and
+    pages without content give an empty text.
+    """
     if not html:
         return ""
     page = Events()
@@ -273,6 +277,9 @@ def extract(df: DataFrame, html: str = "html") -> DataFrame:
         for batch in batches:
             for part in slices(batch, html):
                 texts = [main_text(x) for x in part.column(html).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*rest, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                    names=[*rest, "text", "n_chars"]
+                )
 
     return df.select(*(f"`{c}`" for c in [*rest, html])).mapInArrow(kernel, schema)

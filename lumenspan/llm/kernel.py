@@ -86,7 +86,9 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 def shingles(h: np.ndarray, first: np.ndarray, k: int = SHINGLE, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's k-word shingles in order, and each text's first one. A text of 1 to k-1 words gives its whole sequence as one if `whole`, else none."""
+    """Hashes of each text's k-word shingles in order, and each text's first one. A text of 1 to k-1 words gives its whole sequence
+    as one if `whole`, else none.
+    """
     n = np.diff(first)
     counts = np.where(n >= k, n - k + 1, ((n > 0) & whole).astype(np.int64))
     at = np.concatenate(([0], np.cumsum(counts)))

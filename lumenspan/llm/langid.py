@@ -65,7 +65,9 @@ def features(texts: pa.Array) -> Iterator[np.ndarray | None]:
 
 
 def machines(x: np.ndarray, y: np.ndarray, c: float = 4.0, rounds: int = 150) -> np.ndarray:
-    """A column of weights (the last is the bias) for each column of y (1 and -1): linear SVMs with squared hinge loss, by accelerated gradient descent from zero; both sides count alike."""
+    """A column of weights (the last is the bias) for each column of y (1 and -1): linear SVMs with squared hinge loss, by
+    accelerated gradient descent from zero; both sides count alike.
+    """
     x = np.hstack((x, np.ones((len(x), 1), np.float32)))
     up = y > 0
     share = (np.where(up, 0.5 / np.maximum(up.sum(axis=0), 1), 0.5 / np.maximum((~up).sum(axis=0), 1)) * y).astype(np.float32)
@@ -90,7 +92,12 @@ def fitted(x: np.ndarray, langs: list[str]) -> dict:
     fam = np.array([family(c) for c in langs])
     families = sorted(set(fam.tolist()))
     languages = {f: [n for n in names if family(n) == f] for f in families}
-    pairs = {f: {(a, b): machines(x[m], _sides(own[m], [a]))[:, 0] for a, b in combinations(languages[f], 2) for m in [(own == a) | (own == b)]} for f in families}
+    pairs = {
+        f: {
+            (a, b): machines(x[m], _sides(own[m], [a]))[:, 0] for a,
+            b in combinations(languages[f], 2) for m in [(own == a) | (own == b)]
+        } for f in families
+    }
     told = machines(x, _sides(fam, families[: len(families) if len(families) > 2 else 1])) if len(families) > 1 else None
     return {"families": families, "family": told, "languages": languages, "language": pairs}
 
@@ -142,7 +149,9 @@ def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             rows = [None if x is None else x.astype(np.float16).tobytes() for x in features(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("_order"), pa.array(rows, pa.binary())], names=["lang", "_order", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("lang"), part.column("_order"), pa.array(rows, pa.binary())], names=["lang", "_order", "x"]
+            )
 
 
 def fit(labelled: DataFrame, per_lang: int = 800, most_rows: int = 6000, seed: int = 5) -> dict | None:
@@ -160,12 +169,22 @@ def fit(labelled: DataFrame, per_lang: int = 800, most_rows: int = 6000, seed: i
         return None
     per_lang = max(1, min(per_lang, most_rows // len(counts)))
     spark = labelled.sparkSession
-    parts = spark.createDataFrame([(r["lang"], min(1.0, (1.5 * per_lang + 60) / max(r["n"], 1)) * (1 << 30)) for r in counts], "lang string, _below double")
+    parts = spark.createDataFrame(
+        [(r["lang"], min(1.0, (1.5 * per_lang + 60) / max(r["n"], 1)) * (1 << 30)) for r in counts],
+        "lang string, _below double"
+    )
     place = F.pmod("_order", F.lit(1 << 30))
-    drawn = rows.join(F.broadcast(parts), "lang").where((place < F.col("_below")) & F.col("text").rlike(r"\p{L}")).select("text", "lang", "_order").dropDuplicates(["lang", "_order"])
+    drawn = rows.join(F.broadcast(parts), "lang").where(
+        (place < F.col("_below")) & F.col("text").rlike(r"\p{L}")
+    ).select("text", "lang", "_order").dropDuplicates(["lang", "_order"])
     first = F.row_number().over(Window.partitionBy("lang").orderBy(place, "_order"))
     got: dict[str, list] = {}
-    for r in sorted(drawn.withColumn("_n", first).where(F.col("_n") <= per_lang).drop("_n").mapInArrow(_featured, "lang string, _order long, x binary").where("x IS NOT NULL").collect(), key=lambda r: (r["lang"], r["_order"])):
+    for r in sorted(
+        drawn.withColumn("_n", first).where(F.col("_n") <= per_lang).drop("_n").mapInArrow(
+            _featured, "lang string, _order long, x binary"
+        ).where("x IS NOT NULL").collect(),
+        key=lambda r: (r["lang"], r["_order"])
+    ):
         got.setdefault(r["lang"], []).append(np.frombuffer(r["x"], np.float16))
     if not got:
         return None
@@ -174,7 +193,9 @@ def fit(labelled: DataFrame, per_lang: int = 800, most_rows: int = 6000, seed: i
 
 
 def predict(df: DataFrame, model: dict | None) -> DataFrame:
-    """df with `lang_pred` and `score` (0 to 1), in place of columns of these names. Null texts and texts without a letter, and all texts if there is no model, are `und` with score 0. All other columns of df are kept; it must have a `text`."""
+    """df with `lang_pred` and `score` (0 to 1), in place of columns of these names. Null texts and texts without a letter, and all
+    texts if there is no model, are `und` with score 0. All other columns of df are kept; it must have a `text`.
+    """
     df = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")))
     schema = df.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -191,7 +212,10 @@ def predict(df: DataFrame, model: dict | None) -> DataFrame:
                     score[rows] = p
                     for i, name in zip(rows, names, strict=True):
                         lang[i] = name
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(lang, pa.string()), pa.array(score)],
+                    names=[*part.schema.names, "lang_pred", "score"]
+                )
 
     return df.mapInArrow(kernel, schema)
 

@@ -90,7 +90,13 @@ def _signed(texts_of: str, k: int):
                     for i, s in zip(full.tolist(), signatures(every, begin), strict=True):
                         sig[i] = s.tobytes()
                 more = [c for c in part.schema.names if c not in ("doc_id", texts_of)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(one), pa.array(two), pa.array(sig, pa.binary()), *(part.column(c) for c in more)], names=["doc_id", "n_shingles", "one", "two", "sig", *more])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"), pa.array(n), pa.array(one), pa.array(two), pa.array(sig, pa.binary()),
+                        *(part.column(c) for c in more)
+                    ],
+                    names=["doc_id", "n_shingles", "one", "two", "sig", *more]
+                )
 
     return kernel
 
@@ -110,7 +116,10 @@ def _banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketch = pa.array([x.tobytes() for x in low[:, ::2] | low[:, 1::2] << 4], pa.binary())
             rid = part.column("rid").to_numpy()
             many = np.tile(np.arange(len(sig)), len(BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rid[many]), sketch.take(pa.array(many))], names=["key", "rid", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.ravel().view(np.int64)), pa.array(rid[many]), sketch.take(pa.array(many))],
+                names=["key", "rid", "sketch"]
+            )
 
 
 def _packed(sketch: np.ndarray) -> np.ndarray:
@@ -160,8 +169,12 @@ def _united(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 Pairs = list[tuple[np.ndarray, np.ndarray]]
 
 
-def _joined(words: np.ndarray, rows: np.ndarray, others: np.ndarray, parent: np.ndarray, share: np.ndarray | None = None) -> tuple[Pairs, np.ndarray]:
-    """Each of rows against all others, of other shares if these are told: a pair with the nearest of each part that agrees in `LOW` places and isn't joined yet. parent holds roots; returns the pairs and the new roots."""
+def _joined(
+    words: np.ndarray, rows: np.ndarray, others: np.ndarray, parent: np.ndarray, share: np.ndarray | None = None
+) -> tuple[Pairs, np.ndarray]:
+    """Each of rows against all others, of other shares if these are told: a pair with the nearest of each part that agrees in
+    `LOW` places and isn't joined yet. parent holds roots; returns the pairs and the new roots.
+    """
     out: Pairs = []
     step = max(1, (1 << 21) // max(len(others), 1))
     for at in range(0, len(rows), step):
@@ -204,7 +217,9 @@ def _bucket(rid: np.ndarray, sketch: np.ndarray) -> tuple[Pairs, np.ndarray]:
     joins: Pairs = []
     while len(queue := queue[circle[queue] < 0]) and len(hubs) < HUBS:
         first = queue[:32]
-        hub = int(first[((s[first][:, None] == s[queue][None, :2048]).sum(axis=2) >= MID).sum(axis=1).argmax()]) if len(queue) > 2 else int(queue[0])
+        hub = int(
+            first[((s[first][:, None] == s[queue][None, :2048]).sum(axis=2) >= MID).sum(axis=1).argmax()]
+        ) if len(queue) > 2 else int(queue[0])
         same = (s == s[hub]).sum(axis=1)
         free = circle < 0
         free[hub] = False
@@ -290,7 +305,10 @@ def _pairs_of(found: Pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-_SHARE = {"key": pa.int64(), "salt": pa.int32(), "rid": pa.int64(), "sketch": pa.binary(), "part": pa.int64(), "main": pa.bool_(), "a": pa.int64(), "b": pa.int64()}
+_SHARE = {
+    "key": pa.int64(), "salt": pa.int32(), "rid": pa.int64(), "sketch": pa.binary(), "part": pa.int64(),
+    "main": pa.bool_(), "a": pa.int64(), "b": pa.int64()
+}
 
 
 def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +325,9 @@ def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _families(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, salt, rid, sketch, size: the leader of each share's largest part. Pairs of those that may belong together, and the salts of those in the largest such family."""
+    """key, salt, rid, sketch, size: the leader of each share's largest part. Pairs of those that may belong together, and the
+    salts of those in the largest such family.
+    """
     for key, salt, rid, raw, size in _by_group(batches, 1):
         words, ids = _packed(_unpacked(raw)), np.array(rid)
         parent, found = np.arange(len(rid)), []
@@ -319,12 +339,19 @@ def _families(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = np.bincount(parent, np.array(size, float)).argmax()
         pairs, inside = _pairs_of(found), [s for s, p in zip(salt, parent.tolist(), strict=True) if p == most]
         n, m = pairs.num_rows, len(inside)
-        yield pa.RecordBatch.from_arrays([*pairs.columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=["a", "b", "key", "salt"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([key[0]] * m, pa.int64()), pa.array(inside, pa.int32())], names=["a", "b", "key", "salt"])
+        yield pa.RecordBatch.from_arrays(
+            [*pairs.columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=["a", "b", "key", "salt"]
+        )
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([key[0]] * m, pa.int64()), pa.array(inside, pa.int32())],
+            names=["a", "b", "key", "salt"]
+        )
 
 
 def _apart(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """task, side, salt, rid, part, sketch by task: pairs of what shares have left apart (side 0) with the nearest of each part of another share (side 1)."""
+    """task, side, salt, rid, part, sketch by task: pairs of what shares have left apart (side 0) with the nearest of each part of
+    another share (side 1).
+    """
     for _, side, salt, rid, part, raw in _by_group(batches, 1):
         words, ids, share, side = _packed(_unpacked(raw)), np.array(rid), np.array(salt), np.array(side)
         _, first, own = np.unique(np.stack((share, np.array(part))), axis=1, return_index=True, return_inverse=True)
@@ -342,20 +369,46 @@ def _candidates(classes: DataFrame, hot: int, n: int) -> DataFrame:
     band = lambda c: c.select("rid", "sig").mapInArrow(_banded, "key long, rid long, sketch binary")
     banded = band(classes)
     drawn = band(classes.where(F.pmod(F.xxhash64("rid"), F.lit(64)) == 0)).groupBy("key").agg(F.count("*").alias("n"))
-    large = materialize(drawn.where(F.col("n") * 64 > hot).select("key", F.ceil(F.col("n") * 64 / hot).cast("int").alias("shares")), len(BANDS) * n // hot)
+    large = materialize(
+        drawn.where(F.col("n") * 64 > hot).select("key", F.ceil(F.col("n") * 64 / hot).cast("int").alias("shares")),
+        len(BANDS) * n // hot
+    )
     if not large.take(1):
         return banded.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_paired, "a long, b long")
-    salted = banded.join(large, "key").withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("shares")).cast("int")).select("key", "salt", "rid", "sketch")
-    gathered = materialize(salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "rid").mapInArrow(_gathered, "key long, salt int, rid long, sketch binary, part long, main boolean, a long, b long"))
+    salted = banded.join(large, "key").withColumn(
+        "salt", F.pmod(F.xxhash64("rid"), F.col("shares")).cast("int")
+    ).select("key", "salt", "rid", "sketch")
+    gathered = materialize(
+        salted.repartition("key", "salt").sortWithinPartitions("key", "salt", "rid").mapInArrow(
+            _gathered, "key long, salt int, rid long, sketch binary, part long, main boolean, a long, b long"
+        )
+    )
     members = gathered.where("a IS NULL").select("key", "salt", "rid", "sketch", "part", "main")
-    leaders = members.where("main").groupBy("key", "salt").agg(F.min_by(F.struct("rid", "sketch"), F.struct(F.col("rid") != F.col("part"), "rid")).alias("x"), F.count("*").alias("size"))
-    joined = materialize(leaders.select("key", "salt", "x.rid", "x.sketch", "size").repartition("key").sortWithinPartitions("key", "salt").mapInArrow(_families, "a long, b long, key long, salt int"))
+    leaders = members.where("main").groupBy("key", "salt").agg(
+        F.min_by(F.struct("rid", "sketch"), F.struct(F.col("rid") != F.col("part"), "rid")).alias("x"),
+        F.count("*").alias("size")
+    )
+    joined = materialize(
+        leaders.select("key", "salt", "x.rid", "x.sketch", "size").repartition("key").sortWithinPartitions("key", "salt").mapInArrow(
+            _families, "a long, b long, key long, salt int"
+        )
+    )
     inside = joined.where("a IS NULL").select("key", "salt")
-    left = materialize(members.where("NOT main").select("key", "salt", "rid", "sketch", "part").union(members.where("main").select("key", "salt", "rid", "sketch", "part").join(inside, ["key", "salt"], "left_anti")))
+    left = materialize(
+        members.where("NOT main").select("key", "salt", "rid", "sketch", "part").union(
+            members.where("main").select("key", "salt", "rid", "sketch", "part").join(inside, ["key", "salt"], "left_anti")
+        )
+    )
     blocks = left.groupBy("key").agg(F.ceil(F.count("*") / LEFT).cast("int").alias("blocks")).join(large, "key")
     every = lambda c, name: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias(name)
-    one = left.join(blocks, "key").select("key", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"), every("shares", "share"), F.lit(0).alias("side"), "salt", "rid", "part", "sketch")
-    two = members.join(blocks, "key").select("key", every("blocks", "block"), F.col("salt").alias("share"), F.lit(1).alias("side"), "salt", "rid", "part", "sketch")
+    one = left.join(blocks, "key").select(
+        "key", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"), every("shares", "share"),
+        F.lit(0).alias("side"), "salt", "rid", "part", "sketch"
+    )
+    two = members.join(blocks, "key").select(
+        "key", every("blocks", "block"), F.col("salt").alias("share"), F.lit(1).alias("side"), "salt", "rid", "part",
+        "sketch"
+    )
     tasks = one.union(two).withColumn("task", F.xxhash64("key", "block", "share")).select("task", "side", "salt", "rid", "part", "sketch")
     apart = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_apart, "a long, b long")
     cool = banded.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_paired, "a long, b long")
@@ -363,7 +416,9 @@ def _candidates(classes: DataFrame, hot: int, n: int) -> DataFrame:
 
 
 def _sets(k: int):
-    """Rows of doc_id, text joined with the classes (rid, one, two) that the id stands for, rows of one id together: the set of each class, once."""
+    """Rows of doc_id, text joined with the classes (rid, one, two) that the id stands for, rows of one id together: the set of
+    each class, once.
+    """
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, given = None, set()
@@ -371,7 +426,9 @@ def _sets(k: int):
             for part in slices(batch, "text"):
                 sets, _ = distinct_sets(part.column("text"), k)
                 rids, rows = [], []
-                for doc, rid, one, two, own in zip(*(part.column(c).to_pylist() for c in ("doc_id", "rid", "one", "two")), sets, strict=True):
+                for doc, rid, one, two, own in zip(
+                    *(part.column(c).to_pylist() for c in ("doc_id", "rid", "one", "two")), sets, strict=True
+                ):
                     if doc != now:
                         now, given = doc, set()
                     if rid not in given and len(own) and (one, two) == _digest(own):
@@ -395,13 +452,18 @@ def _confirmed(percent: int):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())],
+                names=["a", "b"]
+            )
 
     return kernel
 
 
 def _across(percent: int):
-    """Sorted by task and side (0: outside the largest part): a link from each document of side 0 to each other part that it is linked with."""
+    """Sorted by task and side (0: outside the largest part): a link from each document of side 0 to each other part that it is
+    linked with.
+    """
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
@@ -439,12 +501,20 @@ def _across(percent: int):
 
 
 def _between_parts(nodes: DataFrame, groups: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """nodes: `rid`, `n_shingles`. Links between different parts of one group, enough to connect those that have any; None if no group has parts."""
-    n = nodes.join(groups.withColumnRenamed("root", "g"), F.col("rid") == F.col("node"), "left").drop("node").join(parts.withColumnRenamed("root", "p"), F.col("rid") == F.col("node"), "left").drop("node")
+    """nodes: `rid`, `n_shingles`. Links between different parts of one group, enough to connect those that have any; None if no
+    group has parts.
+    """
+    n = nodes.join(
+        groups.withColumnRenamed("root", "g"), F.col("rid") == F.col("node"), "left"
+    ).drop("node").join(parts.withColumnRenamed("root", "p"), F.col("rid") == F.col("node"), "left").drop("node")
     n = materialize(n.select("rid", "n_shingles", F.coalesce("g", "rid").alias("gid"), F.coalesce("p", "rid").alias("part")), nodes.count())
     sizes = n.groupBy("gid", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     largest = F.struct("n", -F.col("part"))
-    whole = sizes.groupBy("gid").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max_by("part", largest).alias("main"), (F.sum("n") - F.max("n")).alias("out"), (F.sum("s") - F.max_by("s", largest)).alias("out_s"), F.count("*").alias("parts"))
+    whole = sizes.groupBy("gid").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.max_by("part", largest).alias("main"),
+        (F.sum("n") - F.max("n")).alias("out"), (F.sum("s") - F.max_by("s", largest)).alias("out_s"),
+        F.count("*").alias("parts")
+    )
     block = F.least(F.greatest(F.sqrt(F.col("n") * F.col("out")) / DEALT, F.lit(BLOCKS[0])), F.lit(BLOCKS[1]))
     blocks = lambda n, s: F.ceil(F.greatest(F.col(n) / block, F.col(s) * 8 / BLOCK_BYTES)).cast("int")
     whole = materialize(whole.where("parts > 1 AND n > 2").select("gid", "main", blocks("n", "s").alias("inner"), blocks("out", "out_s").alias("outer")), nodes.count())
@@ -452,7 +522,10 @@ def _between_parts(nodes: DataFrame, groups: DataFrame, parts: DataFrame, sets:
         return None
     n = n.join(whole, "gid").withColumn("at", F.xxhash64("rid"))
     every = lambda c, name: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias(name)
-    out = n.where("part <> main").select("gid", "rid", "part", F.pmod("at", F.col("outer")).cast("int").alias("i"), every("inner", "j"), F.lit(0).alias("side"))
+    out = n.where("part <> main").select(
+        "gid", "rid", "part", F.pmod("at", F.col("outer")).cast("int").alias("i"), every("inner", "j"),
+        F.lit(0).alias("side")
+    )
     inn = n.select("gid", "rid", "part", every("outer", "i"), F.pmod("at", F.col("inner")).cast("int").alias("j"), F.lit(1).alias("side"))
     tasks = out.union(inn).withColumn("task", F.xxhash64("gid", "i", "j")).select("task", "side", "rid", "part")
     return tasks.join(sets, "rid").select("task", "side", "rid", "part", "set").repartition("task").sortWithinPartitions("task", "side").mapInArrow(_across(percent), "a long, b long")
@@ -470,25 +543,45 @@ def near_duplicates(df: DataFrame, percent: int = 75, k: int = SHINGLE, hot: int
         raise ValueError("the bands are laid out for similarities of 75 to 100 hundredths")
     tags = {tag: "long"} if tag else {}
     docs = only(df, doc_id="long", text="string")
-    rows = materialize(only(df, doc_id="long", text="string", **tags).mapInArrow(_signed("text", k), ", ".join(["doc_id long, n_shingles long, one long, two long, sig binary", *(f"`{t}` long" for t in tags)])))
+    rows = materialize(
+        only(df, doc_id="long", text="string", **tags).mapInArrow(
+            _signed("text", k),
+            ", ".join(["doc_id long, n_shingles long, one long, two long, sig binary", *(f"`{t}` long" for t in tags)])
+        )
+    )
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("one", "two").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    classes = full.groupBy("one", "two").agg(
+        F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")
+    )
     classes = materialize(classes.withColumn("rid", F.monotonically_increasing_id()), rows.count())
     n = classes.count()
     pairs = materialize(_candidates(classes, hot, n).distinct(), n)
     m = pairs.count()
     ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
     ends = materialize(classes.select("rid", "doc", "one", "two", "n_shingles").join(ends, "rid"), 2 * m)
-    sets = materialize(docs.join(ends.drop("n_shingles").hint("merge"), F.col("doc_id") == F.col("doc")).select("doc_id", "rid", "one", "two", "text").mapInArrow(_sets(k), "rid long, set binary"))
+    sets = materialize(
+        docs.join(
+            ends.drop("n_shingles").hint("merge"), F.col("doc_id") == F.col("doc")
+        ).select("doc_id", "rid", "one", "two", "text").mapInArrow(_sets(k), "rid long, set binary")
+    )
     a, b = (sets.select(F.col("rid").alias(x), F.col("set").alias(f"set_{x}")) for x in ("a", "b"))
     links = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long"))
     parts = components(links, m)
     more = _between_parts(ends.select("rid", "n_shingles"), components(pairs, m), parts, sets, percent)
     roots = parts if more is None else components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     discard(pairs, sets, links)
-    inside = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).join(ends.select("rid", "doc"), F.col("node") == F.col("rid")).select("rid", "root", "doc")
+    inside = roots.union(
+        roots.select(F.col("root").alias("node"), "root").distinct()
+    ).join(ends.select("rid", "doc"), F.col("node") == F.col("rid")).select("rid", "root", "doc")
     found = inside.join(inside.groupBy("root").agg(F.min("doc").alias("found")), "root").select("rid", "found")
-    named = classes.select("one", "two", "rid", "doc").join(found, "rid", "left").select("one", "two", F.coalesce("found", "doc").alias("found"))
+    named = classes.select("one", "two", "rid", "doc").join(found, "rid", "left").select(
+        "one", "two", F.coalesce("found", "doc").alias("found")
+    )
     out = rows.drop("sig").join(named, ["one", "two"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("found", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), *tags).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", *tags)
+    component = F.when(
+        F.col("doc_id").isNotNull(),
+        F.when(F.col("n_shingles") > 0, F.coalesce("found", "doc_id")).otherwise(F.col("doc_id"))
+    )
+    return out.select(
+        "doc_id", "n_shingles", component.alias("component_id"), *tags
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", *tags)

@@ -48,7 +48,10 @@ def targets(sizes: DataFrame, fraction: float, weights: tuple[float, ...], cap:
     total, level, known = None, 0.0, -1
     while True:
         full = (F.col("source_size") * F.lit(float(cap)) < F.lit(level) * F.col("w")) if total is not None else F.lit(False)
-        every, used, w, n = s.agg(F.sum("source_size"), F.sum(F.when(full, F.col("source_size"))), F.sum(F.when(~full, F.col("w"))), F.count(F.when(full, 1))).first()
+        every, used, w, n = s.agg(
+            F.sum("source_size"), F.sum(F.when(full, F.col("source_size"))), F.sum(F.when(~full, F.col("w"))),
+            F.count(F.when(full, 1))
+        ).first()
         total = fraction * (every or 0)
         if n == known or not w:
             break
@@ -57,22 +60,35 @@ def targets(sizes: DataFrame, fraction: float, weights: tuple[float, ...], cap:
 
 
 def plan(slim: DataFrame, fraction: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), cap: float = 2.0) -> DataFrame:
-    """slim: `source`, `_size`, `_key`, `_tie`. A row per source: `source_size`, `target`, `epochs`, and the last document (`cut_key`, `cut_tie`) of the fractional epoch with the words that it gives (`cut_words`)."""
+    """slim: `source`, `_size`, `_key`, `_tie`. A row per source: `source_size`, `target`, `epochs`, and the last document
+    (`cut_key`, `cut_tie`) of the fractional epoch with the words that it gives (`cut_words`).
+    """
     n = slim.agg(F.approx_count_distinct("source")).first()[0]
     goal = targets(slim.groupBy("source").agg(F.sum("_size").alias("source_size")), fraction, weights, cap, n)
-    goal = materialize(goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)).withColumn("budget", F.greatest(F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"), F.lit(0))), n)
+    goal = materialize(
+        goal.withColumn(
+            "epochs",
+            F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)
+        ).withColumn("budget", F.greatest(F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"), F.lit(0))),
+        n
+    )
     bin_ = F.coalesce(F.floor(F.log2(F.col("_key")) * BINS), F.lit(-1 << 40))  # a key may be 0
     slim = slim.where("_size > 0").withColumn("bin", bin_)
     sums = slim.groupBy("source", "bin").agg(F.sum("_size").alias("words")).withColumnRenamed("source", "s")
     w = Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(w), F.lit(0)))
-    ends = sums.join(small(goal.where("budget > 0")), F.col("s").eqNullSafe(F.col("source"))).where("before < budget AND before + words >= budget")
+    ends = sums.join(
+        small(goal.where("budget > 0")), F.col("s").eqNullSafe(F.col("source"))
+    ).where("before < budget AND before + words >= budget")
     ends = materialize(ends.select("s", F.col("bin").alias("b"), "before", "budget"), n)
     last = slim.join(small(ends), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
     rows = last.groupBy("s", "before", "budget", "_key", "_tie").agg(F.sum("_size").alias("words"), F.count("*").alias("copies"))
     at = Window.partitionBy("s").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("prior", F.col("before") + F.coalesce(F.sum("words").over(at), F.lit(0)))
-    cut = rows.where("prior < budget AND prior + words >= budget").select("s", F.col("_key").alias("cut_key"), F.col("_tie").alias("cut_tie"), F.floor((F.col("budget") - F.col("prior")) / F.col("copies")).alias("cut_words"))
+    cut = rows.where("prior < budget AND prior + words >= budget").select(
+        "s", F.col("_key").alias("cut_key"), F.col("_tie").alias("cut_tie"),
+        F.floor((F.col("budget") - F.col("prior")) / F.col("copies")).alias("cut_words")
+    )
     return materialize(goal.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), n)
 
 
@@ -98,14 +114,20 @@ def mix(df: DataFrame, fraction: float = 1.5, weights: tuple[float, ...] = (5, 2
     the budget ends among them, they share it evenly. An empty table gives no rows; other columns are left aside.
     """
     slim = materialize(_told(df, seed).drop("text"))
-    return apply(slim, plan(slim, fraction, weights, cap)).select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "epochs", F.col("taken").cast("long"))
+    return apply(slim, plan(slim, fraction, weights, cap)).select(
+        "doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "epochs", F.col("taken").cast("long")
+    )
 
 
 def sample(df: DataFrame, fraction: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), cap: float = 2.0, seed: int = 6) -> DataFrame:
-    """The mix itself: rows of df with all their columns, whatever they are called, once for each epoch and once more if the fractional epoch takes at least half of them. Whole documents only."""
+    """The mix itself: rows of df with all their columns, whatever they are called, once for each epoch and once more if the
+    fractional epoch takes at least half of them. Whole documents only.
+    """
     rows = _told(df, seed, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")).drop("doc_id", "text")
     slim = materialize(rows.drop("_row"))
     got = apply(rows, plan(slim, fraction, weights, cap))
-    times = F.col("epochs") + F.when((F.col("_size") > 0) & (2 * (F.col("taken") - F.col("epochs") * F.col("_size")) >= F.col("_size")), 1).otherwise(0)
+    times = F.col("epochs") + F.when(
+        (F.col("_size") > 0) & (2 * (F.col("taken") - F.col("epochs") * F.col("_size")) >= F.col("_size")), 1
+    ).otherwise(0)
     copies = F.explode(F.array_repeat(F.lit(0), F.coalesce(times, F.lit(0)).cast("int")))
     return got.select("_row", copies).select(*(F.col("_row").getField(c).alias(c) for c in df.columns))

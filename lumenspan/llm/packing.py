@@ -121,7 +121,9 @@ class Encoder:
         return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[which] - ends + size, size)], size
 
     def learn(self) -> None:
-        """Ids of the new words. Where the pre-tokeniser cuts between a letter or digit and other signs, the signs that end a word are encoded apart."""
+        """Ids of the new words. Where the pre-tokeniser cuts between a letter or digit and other signs, the signs that end a word
+        are encoded apart.
+        """
         known, new = self.known, self.known.new
         first = len(known) - len(new)
         alone, whole, parts = [], [], []
@@ -219,7 +221,10 @@ def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -
     return out
 
 
-def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, linear: float = 1.0, quadratic: float = 1 / 1024, block_tokens: int = 1 << 20) -> DataFrame:
+def pack(
+    df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, linear: float = 1.0,
+    quadratic: float = 1 / 1024, block_tokens: int = 1 << 20
+) -> DataFrame:
     """Pack `doc_id`, `text` of every row into sequences of at most `capacity` tokens.
 
     A row's tokens are the ids of its whole text, then `end_id`; null or empty texts are `end_id` alone. Returns a row per
@@ -248,7 +253,10 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
                     at += n
                 number += 1
             held, size = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4), strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_tokens"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4), strict=True)],
+                names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_tokens"]
+            )
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -267,4 +275,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
+        "sequence_tokens"
+    )

@@ -56,7 +56,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_topk, op3_substring, op4_html, op5_langid, op6_mix, op7_fingerprint, op8_warc, op9_minhash, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (
+        op1_pack, op2_topk, op3_substring, op4_html, op5_langid, op6_mix, op7_fingerprint, op8_warc, op9_minhash,
+        op10_secrets
+    )
+}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -36,7 +36,9 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, which release() removes: below spark.checkpoint.dir as the cluster names it. Where it is unset, in local mode only, one below the warehouse."""
+    """A new folder that driver and executors share, which release() removes: below spark.checkpoint.dir as the cluster names it.
+    Where it is unset, in local mode only, one below the warehouse.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
@@ -52,7 +54,9 @@ FILE_ROWS, FILES = 1 << 17, 16
 
 
 def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Cut the lineage with a table in the shared folder: it survives the loss of any executor and is read by all. rows: about how many it has, if few files should hold them."""
+    """Cut the lineage with a table in the shared folder: it survives the loss of any executor and is read by all. rows: about how
+    many it has, if few files should hold them.
+    """
     path = shared_dir(df.sparkSession)
     if rows is not None:
         df = df.coalesce(max(FILES, -(-rows // FILE_ROWS)))
@@ -87,9 +91,13 @@ def _removed(spark: SparkSession, path: str) -> None:
 
 
 def numbered(df: DataFrame, *order: Column, rows: int | None = None) -> DataFrame:
-    """df with `_n`, the number of each row (from 0) in that order, written as a table. Rows are sorted in ranges; only each range's count reaches the driver. rows: as of materialize()."""
+    """df with `_n`, the number of each row (from 0) in that order, written as a table. Rows are sorted in ranges; only each
+    range's count reaches the driver. rows: as of materialize().
+    """
     spark = df.sparkSession
-    own = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    own = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
+        {"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}
+    )
     own = materialize(own, rows)
     counts = sorted(map(tuple, own.groupBy("_part").agg(F.count("*")).collect()))
     if not counts:
@@ -108,7 +116,10 @@ BROADCAST_BYTES = 8 << 20
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """df as a table to be broadcast, if its values are counted to have `most` bytes at most; else as it is."""
-    width = sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) if kind == "string" else F.lit(0) for c, kind in df.dtypes), F.lit(16 * len(df.columns)))
+    width = sum(
+        (F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) if kind == "string" else F.lit(0) for c, kind in df.dtypes),
+        F.lit(16 * len(df.columns))
+    )
     return F.broadcast(df) if (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= most else df
 
 

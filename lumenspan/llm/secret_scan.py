@@ -117,7 +117,9 @@ def opened(data: bytes) -> Iterator[tuple[bytes, str]]:
             new += len(part)
             total += len(part)
             if new >= PIECE:
-                closed = closed or total == len(held) <= LARGEST_INNER and _format(held) is not None and next(_inflated(bytes(held), _format(held)), b"") != b""
+                closed = closed or total == len(held) <= LARGEST_INNER and _format(held) is not None and next(
+                    _inflated(bytes(held), _format(held)), b""
+                ) != b""
                 if not closed or len(held) > LARGEST_INNER:
                     yield bytes(held), via
                     del held[:-OVERLAP]
@@ -193,7 +195,9 @@ class Escaped:
 
 
 class Coded:
-    """Characters at bytes `at` (None: at their own number) of what base64 says in pieces that begin at `cut` of its n signs and stand at `place`."""
+    """Characters at bytes `at` (None: at their own number) of what base64 says in pieces that begin at `cut` of its n signs and
+    stand at `place`.
+    """
 
     def __init__(self, at: np.ndarray | None, n: int, cut: np.ndarray, place: np.ndarray):
         self.at, self.n, self.cut, self.place = at, n, cut, place
@@ -289,7 +293,9 @@ Layer = tuple[str, str, Whole | Escaped | Coded]
 
 
 def unwrapped(text: str, escapes: bool = True, runs: bool = True, rows: int = 0) -> Iterator[Layer]:
-    """Layers inside text: how, its text, and where in `text` its characters stand. rows: of how many escaped layers in a row text is the last."""
+    """Layers inside text: how, its text, and where in `text` its characters stand. rows: of how many escaped layers in a row text
+    is the last.
+    """
     pattern = _ESCAPE if rows < ROWS else _AGAIN
     if escapes and ("%" in text or "\\" in text or "&#" in text):
         at = 0
@@ -312,12 +318,16 @@ def unwrapped(text: str, escapes: bool = True, runs: bool = True, rows: int = 0)
             body = m.group().rstrip("=")
             for part in (body, re.split(r"[/_-]", body)[-1]):  # a run may have swallowed a path's slash or the like
                 a = m.start() + len(body) - len(part)
-                if part is not body and (part == body or len(part) < 16) or (yield from _decoded(part, np.zeros(1, np.int64), np.array([a]), m.end())):
+                if part is not body and (part == body or len(part) < 16) or (
+                    yield from _decoded(part, np.zeros(1, np.int64), np.array([a]), m.end())
+                ):
                     break
 
 
 def _decoded(part: str, cut: np.ndarray, place: np.ndarray, stop: int):
-    """Layers of a base64 run whose pieces begin at `cut` and stand at `place`, like `unwrapped`; returns whether it was text or compressed."""
+    """Layers of a base64 run whose pieces begin at `cut` and stand at `place`, like `unwrapped`; returns whether it was text or
+    compressed.
+    """
     if len(part) % 4 == 1:
         return False
     try:
@@ -444,4 +454,7 @@ def digest(found: DataFrame) -> DataFrame:
     shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     base = F.filter("findings", lambda x: x["depth"] == 0)
     counts = [F.expr(f"cast(size(filter(findings, x -> x.depth = 0 AND x.kind = '{k}')) AS long)").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"), shown(F.col("findings")).alias("spans"), F.size("findings").cast("long").alias("n_spans"))
+    return found.select(
+        "doc_id", *counts, F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"),
+        shown(F.col("findings")).alias("spans"), F.size("findings").cast("long").alias("n_spans")
+    )

@@ -99,7 +99,8 @@ def search(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, floo
             for f in focus[i]:
                 x = qunit[i, f]
                 slack = np.sqrt(max(0.0, (1 - t * t) * (1 - x * x))) + 1e-9
-                # a unit vector of cosine c >= t to q has a coordinate within the band of c; over all c the band's ends are at t, or at 1 and -1 if x is beyond them
+                # a unit vector of cosine c >= t to q has a coordinate within the band of c; over all c the band's ends are at
+                # t, or at 1 and -1 if x is beyond them
                 low = x * t - slack if x > -t else -1.0
                 high = x * t + slack if x < t else 1.0
                 keep &= (unit[a:b, f] >= low - 1e-9) & (unit[a:b, f] <= high + 1e-9)
@@ -120,8 +121,12 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     vectors with a component of `LARGEST` or more, whose floor is no 64-bit integer; scores must fit 64 bits, too.
     Repeated rows are candidates each; equal query rows are one query. Without candidates there are no rows.
     """
-    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= LARGEST)) & F.col("vec_id").isNotNull()
-    ready = lambda d: d.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(whole).mapInArrow(_quantised, "vec_id long, v binary")
+    whole = F.col("embedding").isNotNull() & ~F.exists(
+        "embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= LARGEST)
+    ) & F.col("vec_id").isNotNull()
+    ready = lambda d: d.select(
+        F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")
+    ).where(whole).mapInArrow(_quantised, "vec_id long, v binary")
     rows, asked = ready(df), ready(queries).distinct()
     bytes_ = lambda d: d.agg(F.coalesce(F.sum(F.octet_length("v")), F.lit(0))).first()[0]
     shards, blocks = max(SHARDS, -(-bytes_(rows) // SHARD_BYTES)), max(1, -(-bytes_(asked) // BLOCK_BYTES))
@@ -140,8 +145,12 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(floor)], names=["vec_id", "v", "floor"])
 
     numbers = lambda name, count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
-    left = rows.select("*", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), numbers("block", blocks)).select((F.col("shard") * blocks + F.col("block")).alias("task"), "vec_id", "v")
-    right = asked.mapInArrow(floored, "vec_id long, v binary, floor long").select("*", F.pmod(F.xxhash64("v", "vec_id"), F.lit(blocks)).cast("int").alias("block"), numbers("shard", shards)).select((F.col("shard") * blocks + F.col("block")).alias("task"), "vec_id", "v", "floor")
+    left = rows.select(
+        "*", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), numbers("block", blocks)
+    ).select((F.col("shard") * blocks + F.col("block")).alias("task"), "vec_id", "v")
+    right = asked.mapInArrow(floored, "vec_id long, v binary, floor long").select(
+        "*", F.pmod(F.xxhash64("v", "vec_id"), F.lit(blocks)).cast("int").alias("block"), numbers("shard", shards)
+    ).select((F.col("shard") * blocks + F.col("block")).alias("task"), "vec_id", "v", "floor")
 
     def together(rows: pa.Table, asked: pa.Table) -> pa.Table:
         v, q = _matrix(rows.column("v")), _matrix(asked.column("v"))
@@ -149,7 +158,13 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         v, q = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (v, q))
         best = search(rows.column("vec_id").to_numpy(), v, asked.column("vec_id").to_numpy(), q, asked.column("floor").to_numpy(), k)
         at, col = np.nonzero(best.score > LOW)
-        return pa.table([asked.column("vec_id").take(pa.array(at)), asked.column("v").take(pa.array(at)), pa.array(best.id[at, col]), pa.array(best.score[at, col])], names=["query_id", "q", "vec_id", "score"])
+        return pa.table(
+            [
+                asked.column("vec_id").take(pa.array(at)), asked.column("v").take(pa.array(at)),
+                pa.array(best.id[at, col]), pa.array(best.score[at, col])
+            ],
+            names=["query_id", "q", "vec_id", "score"]
+        )
 
     found = left.groupBy("task").cogroup(right.groupBy("task")).applyInArrow(together, "query_id long, q binary, vec_id long, score long")
     found = found.withColumn("q", F.xxhash64("q"))

@@ -39,14 +39,22 @@ def records(pages: DataFrame) -> DataFrame:
     Null pages have an empty payload. A null url leaves its header out. Rows without page_id never are what others refer to;
     rows that repeat the largest page_id of a payload are responses all. An empty table gives no records.
     """
-    p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    p = pages.select(
+        F.col("page_id").cast("long"), F.col("url").cast("string"),
+        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
+    )
     p = p.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html").cast("long")})
-    groups = p.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = p.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest", "bytes").agg(
+        F.max("page_id").alias("first"), F.count("*").alias("n")
+    ).where("n > 1").drop("n")
     p = p.join(groups, ["digest", "bytes"], "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
     identity = lambda c: F.concat(F.lit("<urn:x-page:"), c.cast("string"), F.lit(">"))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(SEPARATOR))
+    http = F.concat(
+        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
+        F.col("bytes").cast("string"), F.lit(SEPARATOR)
+    )
     block = F.when(again, http).otherwise(F.concat(http, F.col("html")))
     url = F.regexp_replace("url", r"[\r\n]", "")
     none = F.lit("")
@@ -81,7 +89,9 @@ def url_key(url: str | None) -> str:
         return url.strip().lower()
     host = host.removeprefix("www.")
     query = "&".join(sorted(u.query.lower().split("&"))) if u.query else ""
-    return ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in (80, 443) else "") + ")" + (u.path.lower() or "/") + (f"?{query}" if query else "")
+    return ",".join(reversed(host.split("."))) + (
+        f":{port}" if port and port not in (80, 443) else ""
+    ) + ")" + (u.path.lower() or "/") + (f"?{query}" if query else "")
 
 
 def parsed(archive: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
@@ -141,7 +151,12 @@ def _run(path: str, archive: io.BufferedIOBase) -> pa.RecordBatch:
         if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
             raise ValueError(f"{path}: the record at byte {at} is damaged")
         url = h.get("warc-target-uri")
-        rows.append((path, url_key(url), h["warc-date"], _number(h.get("warc-record-id")), url, kind, size, digest, _number(h.get("warc-refers-to")), at, n))
+        rows.append(
+            (
+                path, url_key(url), h["warc-date"], _number(h.get("warc-record-id")), url, kind, size, digest,
+                _number(h.get("warc-refers-to")), at, n
+            )
+        )
     rows.sort(key=lambda r: _order(r[1:4]))
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES.values())], names=list(_TYPES))
 
@@ -166,9 +181,15 @@ def _order(key: tuple) -> tuple:
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of all gzip archives in a folder, each archive's a sorted run, written as run files. A compressed file isn't split, so its lines come in order."""
+    """The captures of all gzip archives in a folder, each archive's a sorted run, written as run files. A compressed file isn't
+    split, so its lines come in order.
+    """
     lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.gz").text(path)
-    return materialize(lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value")).mapInArrow(_captures, CAPTURES))
+    return materialize(
+        lines.select(
+            F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value")
+        ).mapInArrow(_captures, CAPTURES)
+    )
 
 
 class LoserTree:
@@ -221,7 +242,9 @@ def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merge(captures: DataFrame) -> DataFrame:
-    """All runs (a written table) in one order by URL key and timestamp: partitions follow each other, and rows within them. Equal captures are in order of their archives, so a key may have any number."""
+    """All runs (a written table) in one order by URL key and timestamp: partitions follow each other, and rows within them. Equal
+    captures are in order of their archives, so a key may have any number.
+    """
     keys = (F.col("url_key"), F.col("stamp"), F.col("page_id").asc_nulls_first())
     spark = captures.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // RANGE_ROWS))
@@ -229,6 +252,8 @@ def merge(captures: DataFrame) -> DataFrame:
 
 
 def history(pages: DataFrame, path: str) -> DataFrame:
-    """Write pages as archives below path, read them back, and give all captures in global order. Repeated rows are captures each; an empty table gives no rows."""
+    """Write pages as archives below path, read them back, and give all captures in global order. Repeated rows are captures each;
+    an empty table gives no rows.
+    """
     write(pages, path)
     return merge(runs(pages.sparkSession, path))

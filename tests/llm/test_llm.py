@@ -43,7 +43,13 @@ def odd(spark):
     """Nulls everywhere, empty, blank and long texts, repeated rows, and columns whose names operators use themselves."""
     rng = random.Random(1)
     long = sentence(rng, 30_000)
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \t\n", None, "s", 3), (4, "One two\x0bthree", "en", None, 1), (5, long, "en", "t", 1), (6, long + " end", "en", "t", 1), (None, "no id here at all, none", "en", "s", 1), (7, "x" * 100_000, "de", "s", 1), (8, "Ünï ©ode 🎉 wörds \x1c and more", "de", "u", 1), (8, "Ünï ©ode 🎉 wörds \x1c and more", "de", "u", 1), (9, "12345 %%% 678", None, "s", 1)]
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "s", 0), (3, " \t\n", None, "s", 3),
+        (4, "One two\x0bthree", "en", None, 1), (5, long, "en", "t", 1), (6, long + " end", "en", "t", 1),
+        (None, "no id here at all, none", "en", "s", 1), (7, "x" * 100_000, "de", "s", 1),
+        (8, "Ünï ©ode 🎉 wörds \x1c and more", "de", "u", 1), (8, "Ünï ©ode 🎉 wörds \x1c and more", "de", "u", 1),
+        (9, "12345 %%% 678", None, "s", 1)
+    ]
     df = spark.createDataFrame(rows, DOCS)
     for c in ("key", "rid", "one", "two", "sig", "a", "b", "size", "target", "ids", "score", "_size", "findings", "part", "task"):
         df = df.withColumn(c, F.lit("clash"))
@@ -146,7 +152,9 @@ def test_assignment_takes_the_cheapest_sequence_with_room():
 def test_few_documents_are_cut(kind):
     """Blocks of a million tokens: a document is cut only when no sequence has room."""
     rng = np.random.default_rng(6)
-    draw = (lambda: rng.lognormal(5, 1.2)) if kind == "log-normal" else (lambda: rng.integers(1, 60) if rng.random() < 0.7 else rng.integers(600, 1400))
+    draw = (lambda: rng.lognormal(5, 1.2)) if kind == "log-normal" else (
+        lambda: rng.integers(1, 60) if rng.random() < 0.7 else rng.integers(600, 1400)
+    )
     lengths = []
     while sum(lengths) < 1_000_000:
         lengths.append(max(1, int(draw())))
@@ -198,14 +206,19 @@ def test_top_k_is_exact(spark, scale):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(900, 8)) * rng.choice([0.1, 1, scale], size=(900, 1))
     x[100:140] = x[100]
-    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
+    df = spark.createDataFrame(
+        [(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"
+    ).withColumn("score", F.lit(1))
     got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0")).collect()))
     assert got == sorted(brute_top(list(range(900)), np.floor(1024 * x).astype(np.int64), range(0, 900, 50)))
 
 
 def test_top_k_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(7, [1e300, 0.0]), (0, [1.0, 0.0]), (1, None), (2, [nan, 1.0]), (3, [1.0, None]), (4, [inf, 0.0]), (None, [9.0, 9.0]), (5, [2.0, 0.0]), (6, [2.0, 0.0]), (6, [2.0, 0.0]), (100, [1.0]), (200, [0.0, 0.0])]
+    rows = [
+        (7, [1e300, 0.0]), (0, [1.0, 0.0]), (1, None), (2, [nan, 1.0]), (3, [1.0, None]), (4, [inf, 0.0]),
+        (None, [9.0, 9.0]), (5, [2.0, 0.0]), (6, [2.0, 0.0]), (6, [2.0, 0.0]), (100, [1.0]), (200, [0.0, 0.0])
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [tuple(r) for r in topk.top_k(df, df.where("vec_id % 100 = 0"), 3).orderBy("query_id", "rank").collect()]
     assert [g[2] for g in got if g[0] == 0] == [5, 6, 6] and [g[2] for g in got if g[0] == 200] == [0, 5, 6]
@@ -260,7 +273,11 @@ def test_repeats_are_found_and_clean_documents_left(spark):
             t.insert(rng.randint(0, 1), common.upper() if i % 2 else common)
         docs.append((i, " ".join(t)))
     changed = near[:40] + ["other"] + near[41:]
-    docs += [(100, sentence(rng, 30) + " " + " ".join(near)), (101, " ".join(changed) + " " + sentence(rng, 30)), (102, sentence(rng, 40) + " " + " ".join(sentence(rng, 49).split())), (103, None), (104, ""), (None, docs[0][1]), (105, docs[0][1])]
+    docs += [
+        (100, sentence(rng, 30) + " " + " ".join(near)), (101, " ".join(changed) + " " + sentence(rng, 30)),
+        (102, sentence(rng, 40) + " " + " ".join(sentence(rng, 49).split())), (103, None), (104, ""),
+        (None, docs[0][1]), (105, docs[0][1])
+    ]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("key", F.lit("x"))
     got = substring.repeats(df).collect()
     found = {r.doc_id for r in got}
@@ -268,7 +285,9 @@ def test_repeats_are_found_and_clean_documents_left(spark):
     assert found == {i for i in range(60) if i % 3 == 0} | {100, 101, 105}
     for r in got:
         a, b = words(dict(docs)[r.doc_id])[r.start_word : r.end_word], words(dict(docs)[r.match_doc_id])
-        assert len(a) >= 50 and len({tuple(a[i : i + 5]) for i in range(len(a) - 4)} & {tuple(b[i : i + 5]) for i in range(len(b) - 4)}) >= 0.6 * len(a)
+        assert len(a) >= 50 and len(
+            {tuple(a[i : i + 5]) for i in range(len(a) - 4)} & {tuple(b[i : i + 5]) for i in range(len(b) - 4)}
+        ) >= 0.6 * len(a)
     assert substring.repeats(df.limit(0)).count() == 0
 
 
@@ -307,7 +326,9 @@ def test_hot_windows_are_combined_in_each_task(spark, monkeypatch):
     """What all documents share leaves each task once for a group, and the documents are linked all the same."""
     rng = random.Random(9)
     common = sentence(rng, 70)
-    docs = [(i, f"{sentence(rng, 20)} {common} {sentence(rng, 20)}") for i in range(400)] + [(1000 + i, sentence(rng, 90)) for i in range(100)]
+    docs = [
+        (i, f"{sentence(rng, 20)} {common} {sentence(rng, 20)}") for i in range(400)
+    ] + [(1000 + i, sentence(rng, 90)) for i in range(100)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     plain = substring.shared_passages(df).collect()
     monkeypatch.setattr(substring, "HOT", 64 * 3)
@@ -327,7 +348,11 @@ def test_a_hub_comes_to_its_partners_in_blocks(spark, monkeypatch):
     docs = [(0, " ".join(one))] + [(i, f"{sentence(rng, 10)} {' '.join(one[20 * i : 20 * i + 60])}") for i in range(1, 100)]
     docs += [docs[5], docs[5]]  # repeated rows
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {partners: sorted(map(tuple, substring.shared_passages(df).collect())) for partners in (64, 3) if not monkeypatch.setattr(substring, "PARTNERS", partners)}
+    got = {
+        partners: sorted(
+            map(tuple, substring.shared_passages(df).collect())
+        ) for partners in (64, 3) if not monkeypatch.setattr(substring, "PARTNERS", partners)
+    }
     assert got[64] == got[3] and {r[3] for r in got[3] if r[0] == 0} == set(range(1, 100))
     assert len(set(got[3])) == len(got[3])
 
@@ -355,7 +380,10 @@ def test_a_passage_that_one_document_repeats_often(spark):
     rng = random.Random(9)
     common = sentence(rng, 60)
     for m in (1, 16, 17, 50):
-        docs = [(1, f"{sentence(rng, 20)} {common} {sentence(rng, 20)}"), (2, " ".join(f"{sentence(rng, 30 + i)} {common}" for i in range(m)))]
+        docs = [
+            (1, f"{sentence(rng, 20)} {common} {sentence(rng, 20)}"),
+            (2, " ".join(f"{sentence(rng, 30 + i)} {common}" for i in range(m)))
+        ]
         got = {(r.a, r.b, r.b_start) for r in substring.shared_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
         assert got and {x[:2] for x in got} == {(1, 2)}, m
 
@@ -403,7 +431,9 @@ def test_pages_without_an_article_lose_no_text():
     long, short = [sentence(rng, 120) for _ in range(4)], sentence(rng, 100)
     p = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
     menu = "<nav><a>Home</a></nav>"
-    assert html_text.main_text(f"<body>{menu}<div><section>{p(long)}</section><section>{p([short])}</section></div></body>") == "\n\n".join([*long, short])
+    assert html_text.main_text(
+        f"<body>{menu}<div><section>{p(long)}</section><section>{p([short])}</section></div></body>"
+    ) == "\n\n".join([*long, short])
     divs = [" ".join(long), short, sentence(rng, 60)]
     assert html_text.main_text(f"<body>{menu}" + "".join(f"<div>{t}</div>" for t in divs) + "</body>") == "\n\n".join(divs)
     assert html_text.main_text(f"<body>{menu}<h1>Title</h1>{p(long)}<p>The end.</p></body>") == "\n\n".join(["Title", *long, "The end."])
@@ -441,16 +471,26 @@ def test_parts_beside_the_content():
     one, two = (f"<p>{sentence(rng, 90)}</p><p>{sentence(rng, 70)}</p>" for _ in range(2))
     said = lambda *x: [re.sub("<[^>]*>", "", p) for h in x for p in re.findall("<p>.*?</p>", h)]
     # two parts with content, links between and before them
-    assert html_text.main_text(f"<body><div>{LINKS}</div><div><div>{LINKS}</div>{one}</div><div>{LINKS}</div><div>{two}</div><div>{LINKS}</div></body>").split("\n\n") == said(one, two)
+    assert html_text.main_text(
+        f"<body><div>{LINKS}</div><div><div>{LINKS}</div>{one}</div><div>{LINKS}</div><div>{two}</div><div>{LINKS}</div></body>"
+    ).split("\n\n") == said(one, two)
     # a short part between
-    assert html_text.main_text(f"<body><div>{LINKS}</div><div>{one}</div><div>Yes, <a>so</a> it was.</div><div>{two}</div></body>").split("\n\n") == [*said(one), "Yes, so it was.", *said(two)]
+    assert html_text.main_text(
+        f"<body><div>{LINKS}</div><div>{one}</div><div>Yes, <a>so</a> it was.</div><div>{two}</div></body>"
+    ).split("\n\n") == [*said(one), "Yes, so it was.", *said(two)]
     # a page that is one form, a form on a page, lines of the source
     assert html_text.main_text(f"<body><form><div>{LINKS}</div><div>{one}</div></form></body>").split("\n\n") == said(one)
     assert html_text.main_text(f"<body><div>{one}</div><form>Your name, please <input></form></body>").split("\n\n") == said(one)
     assert html_text.main_text("<body><div>" + one.replace(" ", "\n") + f"</div><div>{LINKS}</div></body>").split("\n\n") == said(one)
 
 
-@pytest.mark.parametrize("unit", ["<div>", "<div>x", "<div class=ad>x", "<span>x", "<b><table>", "<ul><li>x", "<p><b>x", "<form>x", "<article><div class=ad>x", "</p>", "x<br>", "<td>x\n"])
+@pytest.mark.parametrize(
+    "unit",
+    [
+        "<div>", "<div>x", "<div class=ad>x", "<span>x", "<b><table>", "<ul><li>x", "<p><b>x", "<form>x",
+        "<article><div class=ad>x", "</p>", "x<br>", "<td>x\n"
+    ]
+)
 def test_deep_nesting_takes_linear_time(unit):
     import time
 
@@ -477,7 +517,10 @@ def test_extraction_of_the_table(spark):
 
 
 def test_extraction_keeps_other_columns(spark):
-    df = spark.createDataFrame([(1, None, "<p>a b</p>", "t", 5), (None, "u", None, None, None), (1, None, "<p>a b</p>", "t", 5)], "page_id long, url string, html string, text string, other int")
+    df = spark.createDataFrame(
+        [(1, None, "<p>a b</p>", "t", 5), (None, "u", None, None, None), (1, None, "<p>a b</p>", "t", 5)],
+        "page_id long, url string, html string, text string, other int"
+    )
     assert [tuple(r) for r in html_text.extract(df).collect()] == [(1, None, 5, "a b", 3), (None, "u", None, "", 0), (1, None, 5, "a b", 3)]
     assert html_text.extract(df.limit(0)).count() == 0
 
@@ -522,7 +565,9 @@ def test_rare_languages_and_copies_are_learnt(spark):
     rng = random.Random(6)
     letters = {"aa": "abcdefg", "bb": "hijklmn", "cc": "opqrstu"}
     text = lambda c, n=20: " ".join("".join(rng.choice(letters[c]) for _ in range(5)) for _ in range(n))
-    rows = [(text("aa"), "aa") for _ in range(2000)] + [(text("bb"), "bb") for _ in range(2000)] + [(t, "cc") for t in [text("cc") for _ in range(5)] for _ in range(600)]
+    rows = [(text("aa"), "aa") for _ in range(2000)] + [(text("bb"), "bb") for _ in range(2000)] + [
+        (t, "cc") for t in [text("cc") for _ in range(5)] for _ in range(600)
+    ]
     model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), per_lang=50)
     assert model["families"] == ["aa", "bb", "cc"]
     asked = [(c, text(c)) for c in letters for _ in range(10)]
@@ -585,7 +630,9 @@ def test_mixing(spark, odd, table):
 
 def test_mixing_of_nothing(spark, none):
     assert mixing.mix(none).count() == 0
-    assert mixing.mix(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).agg(F.sum("taken")).first()[0] == 0
+    assert mixing.mix(
+        spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
+    ).agg(F.sum("taken")).first()[0] == 0
 
 
 def test_epochs_come_before_fractions(spark):
@@ -599,14 +646,20 @@ def test_epochs_come_before_fractions(spark):
 
 
 def test_better_documents_are_drawn_first(spark):
-    d = spark.createDataFrame([(i, "word " * 10 + ("#### " * 10 if i % 2 else "more " * 10), "s") for i in range(600)] + [(9999, "y " * 40_000, "t")], "doc_id long, text string, source string")
+    d = spark.createDataFrame(
+        [(i, "word " * 10 + ("#### " * 10 if i % 2 else "more " * 10), "s") for i in range(600)] + [(9999, "y " * 40_000, "t")],
+        "doc_id long, text string, source string"
+    )
     got = mixing.mix(d, weights=(1,), fraction=0.15).where("source = 's'").collect()
     good, bad = (sum(r.taken for r in got if r.doc_id % 2 == k) for k in (0, 1))
     assert good > 1.15 * bad
 
 
 def test_a_source_of_low_quality_is_dealt_into_many_ranges(spark):
-    d = spark.createDataFrame([(i, "#### " * 5 + f"{i} {i}", "s") for i in range(4000)] + [(9999, "y " * 40_000, "t")], "doc_id long, text string, source string")
+    d = spark.createDataFrame(
+        [(i, "#### " * 5 + f"{i} {i}", "s") for i in range(4000)] + [(9999, "y " * 40_000, "t")],
+        "doc_id long, text string, source string"
+    )
     rows = mixing._told(d, 6)
     most = rows.where("source = 's'").groupBy(F.floor(F.log2("_key") * mixing.BINS)).count().agg(F.max("count")).first()[0]
     assert rows.agg(F.min(mixing.text_quality(F.col("text")))).first()[0] < 0.2 and most < 15
@@ -616,15 +669,27 @@ def test_a_source_of_low_quality_is_dealt_into_many_ranges(spark):
 
 def test_many_sources_share_as_by_rounds(spark):
     rng = random.Random(5)
-    rows = [(i, "w " * rng.choice([0, 1, 3, 40, 900]), rng.choice([None, *(chr(97 + k) + "é" * (k % 3) for k in range(25))])) for i in range(300)]
+    rows = [
+        (
+            i, "w " * rng.choice([0, 1, 3, 40, 900]),
+            rng.choice([None, *(chr(97 + k) + "é" * (k % 3) for k in range(25))])
+        ) for i in range(300)
+    ]
     size, by, goal = brute_mix(rows)
-    got = {r.source: r.target for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(9)).collect()}
+    got = {
+        r.source: r.target for r in mixing.mix(
+            spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(9)
+        ).collect()
+    }
     assert set(got) == set(by) and all(abs(got[s] - goal[s]) < 1e-6 for s in by)
 
 
 def test_sample_keeps_columns_of_any_name(spark):
     names = ["epochs", "target", "taken", "source_size", "budget", "_size", "_key", "_row", "_s", "cut_key", "a.b"]
-    d = spark.createDataFrame([(i, "word " * 20, "s", *[i] * len(names)) for i in range(50)], f"doc_id long, text string, source string, {', '.join(f'`{n}` int' for n in names)}")
+    d = spark.createDataFrame(
+        [(i, "word " * 20, "s", *[i] * len(names)) for i in range(50)],
+        f"doc_id long, text string, source string, {', '.join(f'`{n}` int' for n in names)}"
+    )
     got = mixing.sample(d).collect()
     assert mixing.sample(d).columns == d.columns and len(got) == 75 and all(set(r[3:]) == {r.doc_id} for r in got)
 
@@ -644,7 +709,10 @@ def test_rows_are_numbered_in_order(spark):
 
 
 def test_fingerprints_of_edited_texts(spark, odd, none):
-    for df in (odd.where("doc_id <> 8 OR doc_id IS NULL").unionByName(odd.where("doc_id = 8").limit(1)), spark.read.parquet(f"{SF}/documents.parquet")):
+    for df in (
+        odd.where("doc_id <> 8 OR doc_id IS NULL").unionByName(odd.where("doc_id = 8").limit(1)),
+        spark.read.parquet(f"{SF}/documents.parquet")
+    ):
         docs = sorted(((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()), key=lambda x: (x[0] is None, -(x[0] or 0)))
         got = {r.doc_id: r for r in fingerprint.edited_by_next(df.repartition(5)).collect()}
         assert len(got) == len(docs)
@@ -706,7 +774,11 @@ def test_equal_texts_have_equal_fingerprints(spark, odd):
 
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>WARC/1.1\r\nContent-Length: 3\r\n\r\nx</p>" + "é" * 600
-    rows = [(1, "http://www.B.example/x?b=1&a=2#f", big), (2, "https://b.example/x", "short"), (3, None, big), (4, "http://a.example:8080/", None), (5, "u\r\nv", ""), (6, "http://b.example/x?a=2&b=1", big), (None, "http://c.example/", big), (7, "x", "short"), (8, "http://l.example/", "z" * 2_000_000)]
+    rows = [
+        (1, "http://www.B.example/x?b=1&a=2#f", big), (2, "https://b.example/x", "short"), (3, None, big),
+        (4, "http://a.example:8080/", None), (5, "u\r\nv", ""), (6, "http://b.example/x?a=2&b=1", big),
+        (None, "http://c.example/", big), (7, "x", "short"), (8, "http://l.example/", "z" * 2_000_000)
+    ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
     got = warc.history(df.repartition(3), str(tmp_path / "w")).collect()
     by = {r.page_id: r for r in got}
@@ -729,14 +801,21 @@ def test_archives_are_read_in_parts(spark, tmp_path, monkeypatch):
     """Payloads with separators at their ends and inside, long ones, and a merge of many ranges."""
     rng = random.Random(3)
     ends = ["\r\n\r\n", "\r\n", "\r\r\n\r\n", "\r\n\r", "\n\r\n\r\n\r\n", "x"]
-    rows = [(i, f"http://h{rng.randrange(9)}.example/{rng.randrange(5)}", rng.choice(ends) + "\r\n\r\n".join(sentence(rng, rng.randrange(40)) for _ in range(rng.randrange(5))) + rng.choice(ends)) for i in range(400)] + [(999, None, "é\r\n\r\n" * 300_000)]
+    rows = [
+        (
+            i, f"http://h{rng.randrange(9)}.example/{rng.randrange(5)}",
+            rng.choice(ends) + "\r\n\r\n".join(sentence(rng, rng.randrange(40)) for _ in range(rng.randrange(5))) + rng.choice(ends)
+        ) for i in range(400)
+    ] + [(999, None, "é\r\n\r\n" * 300_000)]
     rows += [(i, "http://hot.example/", "") for i in range(1000, 1200)] + [(5000, "http://hot.example/", "same")] * 20
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     monkeypatch.setattr(warc, "RANGE_ROWS", 64)
     warc.write(df.repartition(5), str(tmp_path / "w"))
     captures = warc.runs(spark, str(tmp_path / "w"))
     got = warc.merge(captures).collect()
-    assert sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == sorted((i, len(h.encode()), hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows)
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == sorted(
+        (i, len(h.encode()), hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows
+    )
     keys = [(r.url_key.encode(), r.stamp, r.page_id) for r in got]
     assert keys == sorted(keys) and warc.merge(captures).rdd.getNumPartitions() >= 9
     for p in (tmp_path / "w").glob("*.gz"):  # offsets and lengths are those of the archive
@@ -748,7 +827,10 @@ def test_archives_are_read_in_parts(spark, tmp_path, monkeypatch):
 
 def test_damaged_archives_are_refused():
     record = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    assert [(h, b, at, n) for h, b, at, n in warc.parsed(io.BytesIO(record * 2))] == [({"content-length": "3"}, b"abc", 0, len(record) - 4), ({"content-length": "3"}, b"abc", len(record), len(record) - 4)]
+    assert [(h, b, at, n) for h, b, at, n in warc.parsed(io.BytesIO(record * 2))] == [
+        ({"content-length": "3"}, b"abc", 0, len(record) - 4),
+        ({"content-length": "3"}, b"abc", len(record), len(record) - 4)
+    ]
     for bad in (record[:-6], record[1:], record + b"x"):
         with pytest.raises(ValueError):
             list(warc.parsed(io.BytesIO(bad)))
@@ -805,7 +887,10 @@ def test_groups_of_near_copies(spark):
 
 def test_near_duplicates_of_odd_rows(spark, odd, none):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect()}
-    assert {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (6, 29_997, 5, False), (None, 2, None, True), (7, 1, 7, True), (8, 2, 8, True)} <= got
+    assert {
+        (1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (6, 29_997, 5, False),
+        (None, 2, None, True), (7, 1, 7, True), (8, 2, 8, True)
+    } <= got
     assert minhash.near_duplicates(none).count() == 0
     with pytest.raises(ValueError):
         minhash.near_duplicates(odd, percent=50)
@@ -876,15 +961,27 @@ def test_shares_of_a_hot_bucket_connect_all_that_agree(spark, monkeypatch, left)
 def test_ids_with_several_texts_are_documents_each(spark):
     rng = random.Random(3)
     one, two, three = (sentence(rng, 60) for _ in range(3))
-    rows = [(1, one), (7, one), (7, two), (7, two), (9, two + " more"), (7, three), (12, three), (20, one + " or so"), (7, None)] + [(30, one)] * 40
-    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    want = [(1, 56, 1, True), (7, 56, 1, False), (7, 56, 7, True), (7, 56, 7, True), (9, 57, 7, False), (7, 56, 7, True), (12, 56, 7, False), (20, 58, 1, False), (7, 0, 7, True)] + [(30, 56, 1, False)] * 40
+    rows = [
+        (1, one), (7, one), (7, two), (7, two), (9, two + " more"), (7, three), (12, three), (20, one + " or so"),
+        (7, None)
+    ] + [(30, one)] * 40
+    got = collections.Counter(
+        (r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(
+            spark.createDataFrame(rows, "doc_id long, text string")
+        ).collect()
+    )
+    want = [
+        (1, 56, 1, True), (7, 56, 1, False), (7, 56, 7, True), (7, 56, 7, True), (9, 57, 7, False), (7, 56, 7, True),
+        (12, 56, 7, False), (20, 58, 1, False), (7, 0, 7, True)
+    ] + [(30, 56, 1, False)] * 40
     assert got == collections.Counter(want)
 
 
 def test_components(spark):
     rng = random.Random(0)
-    edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 160)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(7, 7), (None, 3)]
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 160)] + [
+        (rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)
+    ] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     root = {}
 
@@ -968,7 +1065,10 @@ def test_ties_failures_and_endless_layers():
 
 def test_equal_layers_at_other_places_are_opened():
     inner = B64(f"the key is {KEY} ok")
-    for parts in ([B64(f"first {inner}"), B64(f"second {inner}")], [inner, B64(f"again {inner}")], [inner, "x%20" + "".join(f"%{ord(c):02x}" for c in inner)]):
+    for parts in (
+        [B64(f"first {inner}"), B64(f"second {inner}")], [inner, B64(f"again {inner}")],
+        [inner, "x%20" + "".join(f"%{ord(c):02x}" for c in inner)]
+    ):
         text = "\n".join(parts)
         spans = [f[1:3] for f in secret_scan.scan_text(text) if f[0] == "access"]
         at = 0
@@ -982,8 +1082,14 @@ def test_layers_that_are_wrapped_unclean_or_in_parts(monkeypatch):
     rng = random.Random(3)
     pad = sentence(rng, 60)
     raw = f"{pad} key {KEY} {pad}".encode()
-    hidden = [wrap(f(raw), n, end) for f in (gzip.compress, zlib.compress, lambda x: x) for n, end in ((64, "\n"), (76, "\r\n"), (64, "\n  "))]
-    hidden += [wrap(f"{pad[:45]} {KEY} {pad}", 64), B64(f"\ufeffno\u00a0break {KEY} ok"), B64(b"one bad \xff byte " + KEY.encode() + b" ok")]
+    hidden = [
+        wrap(f(raw), n, end) for f in (gzip.compress, zlib.compress, lambda x: x) for n,
+        end in ((64, "\n"), (76, "\r\n"), (64, "\n  "))
+    ]
+    hidden += [
+        wrap(f"{pad[:45]} {KEY} {pad}", 64), B64(f"\ufeffno\u00a0break {KEY} ok"),
+        B64(b"one bad \xff byte " + KEY.encode() + b" ok")
+    ]
     hidden += [B64(f(b"first") + f(KEY.encode())) for f in (gzip.compress, bz2.compress, lzma.compress)]
     large = B64(gzip.compress(b"x " * 40_000 + KEY.encode() + b" y" * 40_000))
     for h in [*hidden, large]:
@@ -992,7 +1098,10 @@ def test_layers_that_are_wrapped_unclean_or_in_parts(monkeypatch):
             monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 10)
         text = f"see: {h}\nend of it"
         assert any(f[0] == "access" and f[3] and 5 <= f[1] < f[2] <= 5 + len(h) for f in secret_scan.scan_text(text)), h
-    assert [text[a:b] for text in (f"{B64(b'bad ' + bytes([255]) + b' ' + KEY.encode())} z",) for k, a, b, *_ in secret_scan.scan_text(text)] == [B64(b"bad \xff " + KEY.encode())[8:].rstrip("=")]
+    assert [
+        text[a:b] for text in (f"{B64(b'bad ' + bytes([255]) + b' ' + KEY.encode())} z",) for k, a, b,
+        *_ in secret_scan.scan_text(text)
+    ] == [B64(b"bad \xff " + KEY.encode())[8:].rstrip("=")]
 
 
 @pytest.mark.parametrize("depth", [1, 5, 17, 40, 90])
@@ -1029,7 +1138,10 @@ def test_a_large_layer_takes_little_memory():
         "peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10\n"
         "before = peak(); found = s.scan_text(text); print(len(text), sum(f[0] == 'access' for f in found), peak() - before)"
     )
-    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    done = subprocess.run(
+        [sys.executable, "-c", code], capture_output=True, text=True,
+        cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    )
     n, found, grown = map(int, done.stdout.split())
     assert n < 70_000 and found == 1 and grown < 200
 
@@ -1054,13 +1166,21 @@ def test_query_agrees_with_sql(spark, name):
     names = sorted(got.columns)
     rel = c.sql(queries.SQL[name])
     assert names == sorted(rel.columns)
-    assert sorted(map(str, (tuple(r[n] for n in names) for r in got.collect()))) == sorted(map(str, (tuple(dict(zip(rel.columns, r))[n] for n in names) for r in rel.fetchall())))
+    assert sorted(map(str, (tuple(r[n] for n in names) for r in got.collect()))) == sorted(
+        map(str, (tuple(dict(zip(rel.columns, r))[n] for n in names) for r in rel.fetchall()))
+    )
 
 
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd_rows = spark.createDataFrame([(10_001, None, None, "src1", None), (10_002, "12 34", "en", None, 5), (10_003, f"hello token={KEY} x", None, "src1", 9), (10_003, f"hello token={KEY} x", None, "src1", 9)], docs.schema)
+    odd_rows = spark.createDataFrame(
+        [
+            (10_001, None, None, "src1", None), (10_002, "12 34", "en", None, 5),
+            (10_003, f"hello token={KEY} x", None, "src1", 9), (10_003, f"hello token={KEY} x", None, "src1", 9)
+        ],
+        docs.schema
+    )
     docs = docs.union(odd_rows)
     kept = [docs]
     for _, stage in pipeline.STAGES:
@@ -1070,7 +1190,9 @@ def test_pipeline(spark):
     want = {d for d, (_, c) in brute_components([(r.doc_id, r.text) for r in kept[1].collect()]).items() if d == c}
     assert sorted(ids[2]) == sorted(want)
     assert sorted(ids[3]) == sorted(ids[2]) and not any(base_spans(r.text or "") for r in kept[3].collect())
-    assert all(k.columns == docs.columns for k in kept[1:5]) and set(ids[4]) <= set(ids[3]) and max(collections.Counter(ids[4]).values()) <= 2
+    assert all(
+        k.columns == docs.columns for k in kept[1:5]
+    ) and set(ids[4]) <= set(ids[3]) and max(collections.Counter(ids[4]).values()) <= 2
     check_packing([r for r in packing.pack(kept[4], WORDS).collect()], [(r.doc_id, r.text) for r in kept[4].collect()])
     assert sum(r.length for r in kept[5].collect()) == sum(r.doc_tokens for r in kept[5].collect() if r.start == 0)
     for k in kept[1:]:
