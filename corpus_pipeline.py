@@ -26,10 +26,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays, of those with the smallest doc_id the one of the smallest hash; rows without words or doc_id aren't in groups, but of repeated rows with an id one stays."""
+    """One row of each group stays, of those with the smallest doc_id the one of the smallest hash; rows without words or doc_id
+    aren't in groups, but of repeated rows with an id one stays.
+    """
     docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS))
     found = minhash.near_duplicates(docs, tag="_row").where("kept AND doc_id IS NOT NULL")
-    kept = found.groupBy("doc_id", F.when(F.col("n_shingles") == 0, F.col("_row"))).agg(F.min("_row").alias("_row")).select("doc_id", "_row")
+    kept = found.groupBy(
+        "doc_id", F.when(F.col("n_shingles") == 0, F.col("_row"))
+    ).agg(F.min("_row").alias("_row")).select("doc_id", "_row")
     named = docs.join(kept, ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"])
     return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 

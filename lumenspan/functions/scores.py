@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names of the score preservation metrics, and bytes a component by type.
-METRICS = ("relative_score_dissimilarity", "absolute_score_utility", "squared_score_utility", "relative_margin_utility", "hybrid_score_margin_utility")
+METRICS = (
+    "relative_score_dissimilarity", "absolute_score_utility", "squared_score_utility", "relative_margin_utility",
+    "hybrid_score_margin_utility"
+)
 MARGIN_METRICS = METRICS[3:]
 DTYPE_BYTES = {"float16": 2, "bfloat16": 2, "float32": 4}
 
@@ -28,7 +31,10 @@ def margin(full: Column, reduced: Column, full_negative: Column, reduced_negativ
     return relative(full - full_negative, reduced - reduced_negative, epsilon)
 
 
-def preservation(metric: str, full: Column, reduced: Column, full_negative: Column | None = None, reduced_negative: Column | None = None, size: Column | None = None, epsilon: float = 1e-6, alpha: float = 0.7) -> Column:
+def preservation(
+    metric: str, full: Column, reduced: Column, full_negative: Column | None = None,
+    reduced_negative: Column | None = None, size: Column | None = None, epsilon: float = 1e-6, alpha: float = 0.7
+) -> Column:
     """By name. Margin metrics need the negatives and the size of the query's group; a group of one is preserved wholly."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
@@ -36,7 +42,10 @@ def preservation(metric: str, full: Column, reduced: Column, full_negative: Colu
         m = margin(full, reduced, full_negative, reduced_negative, epsilon)
         value = m if metric == METRICS[3] else alpha * relative(full, reduced, epsilon) + (1 - alpha) * m
         return F.when(size <= 1, 1.0).otherwise(value)
-    return {METRICS[0]: lambda: relative(full, reduced, epsilon), METRICS[1]: lambda: absolute(full, reduced), METRICS[2]: lambda: squared(full, reduced)}[metric]()
+    return {
+        METRICS[0]: lambda: relative(full, reduced, epsilon), METRICS[1]: lambda: absolute(full, reduced),
+        METRICS[2]: lambda: squared(full, reduced)
+    }[metric]()
 
 
 def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:

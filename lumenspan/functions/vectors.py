@@ -63,7 +63,9 @@ def residual_utility(v: Column | str, m: Column | int, p: int = 2, epsilon: floa
     """1 - |v[m:]| / |v|, within 0 and 1; 1 for the full width and for vectors of no length."""
     n = norm(v, p)
     m_ = F.lit(m) if isinstance(m, int) else m
-    return F.when((n <= epsilon) | (m_ >= F.size(_col(v))), 1.0).otherwise(F.least(F.greatest(1 - residual_norm(v, m, p) / F.greatest(n, F.lit(epsilon)), F.lit(0.0)), F.lit(1.0)))
+    return F.when((n <= epsilon) | (m_ >= F.size(_col(v))), 1.0).otherwise(
+        F.least(F.greatest(1 - residual_norm(v, m, p) / F.greatest(n, F.lit(epsilon)), F.lit(0.0)), F.lit(1.0))
+    )
 
 
 def padding_quality(v: Column | str, m: Column | int) -> Column:
@@ -80,7 +82,10 @@ def pooled(rows: Column | str, width: int, how: str = "mean") -> Column:
         return F.transform(F.element_at(r, 1), lambda x: x.cast("double"))
     if how != "mean":
         raise ValueError(f"pooling is mean or cls, not {how}")
-    return F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.aggregate(r, F.lit(0.0), lambda a, t: a + F.element_at(t, i).cast("double")) / F.size(r))
+    return F.transform(
+        F.sequence(F.lit(1), F.lit(width)),
+        lambda i: F.aggregate(r, F.lit(0.0), lambda a, t: a + F.element_at(t, i).cast("double")) / F.size(r)
+    )
 
 
 #: Significant bits of types.

@@ -43,7 +43,9 @@ class Index:
 
 def query_terms(topics: DataFrame) -> DataFrame:
     """`qid`, `term`, `qtf`."""
-    return topics.select("qid", F.explode(tokens(sanitize_query(F.col("query")))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    return topics.select(
+        "qid", F.explode(tokens(sanitize_query(F.col("query")))).alias("term")
+    ).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
 def build(corpus: DataFrame, only: DataFrame | None = None) -> Index:
@@ -52,7 +54,9 @@ def build(corpus: DataFrame, only: DataFrame | None = None) -> Index:
     only: a table of `term`; no others are indexed, which is enough for runs of topics of these terms, but not for stats(). Then
     postings are found in one pass, and lengths in another.
     """
-    split = spread(corpus.select("docno", "text")).select("docno", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    split = spread(corpus.select("docno", "text")).select(
+        "docno", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t")
+    )
     t = kept(split) if only is None else split
     words = t.select("docno", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
     if only is not None:

@@ -48,7 +48,10 @@ def encode(df: DataFrame, key: str, text: str, encoder: Encoder, prompt: str = "
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
                 v = np.asarray(encoder([x or "" for x in part.column("text").to_pylist()]), np.float32)
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel()))], names=["key", "v"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel()))],
+                    names=["key", "v"]
+                )
 
     rows = df.select(F.col(key).cast("string").alias("key"), prompted(prompt, F.coalesce(F.col(text), F.lit(""))).alias("text"))
     return rows.mapInArrow(kernel, "key string, v array<float>").withColumnRenamed("key", key)
@@ -70,14 +73,19 @@ def finished(spark: SparkSession, path: str) -> bool:
 
 
 def store_name(base: str, *parts: str) -> str:
-    """A name for a store of one model's vectors: the base and a slug of the parts, of 64 characters at most, a digest in place of what is cut off."""
+    """A name for a store of one model's vectors: the base and a slug of the parts, of 64 characters at most, a digest in place of
+    what is cut off.
+    """
     slug = re.sub(r"[^a-zA-Z0-9._-]+", "-", "__".join(p for p in parts if p).lower()).strip(".-_") or "model"
     if len(slug) > 64:
         slug = f"{slug[:53]}-{hashlib.sha1(slug.encode()).hexdigest()[:10]}"
     return f"{base}_{slug}"
 
 
-def cached(spark: SparkSession, folder: str, key: str, df: DataFrame, make: Callable[[DataFrame], DataFrame], column: str = "docno", resume: str = "auto", chunks: int = 8) -> DataFrame:
+def cached(
+    spark: SparkSession, folder: str, key: str, df: DataFrame, make: Callable[[DataFrame], DataFrame],
+    column: str = "docno", resume: str = "auto", chunks: int = 8
+) -> DataFrame:
     """make(df), kept at folder/key. Rows go in `chunks` by a hash of `column`; chunks that are finished stay, so what an interruption left is done again chunk by chunk.
 
     `restart` makes all of them again. `fail` takes only a folder that holds no other context.

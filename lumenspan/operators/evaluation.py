@@ -19,10 +19,18 @@ def per_query(runs: DataFrame, qrels: DataFrame) -> DataFrame:
     """`run`, `qid` and all measures. runs: `run`, `qid`, `docno`, `score`; qrels: `qid`, `docno`, `label`."""
     judged = qrels.where("label IS NOT NULL").groupBy("qid", "docno").agg(F.max("label").alias("label"))
     ideal_rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("label"), "docno"))
-    ideal = judged.withColumn("_n", ideal_rank).groupBy("qid").agg(F.sum(F.when((F.col("_n") <= 10) & (F.col("label") > 0), F.col("label") / F.log2(F.col("_n") + 1)).otherwise(0.0)).alias("idcg"), F.sum(F.when(F.col("label") >= 1, 1).otherwise(0)).alias("rel1"), F.sum(F.when(F.col("label") >= 2, 1).otherwise(0)).alias("rel2"))
+    ideal = judged.withColumn("_n", ideal_rank).groupBy("qid").agg(
+        F.sum(F.when((F.col("_n") <= 10) & (F.col("label") > 0), F.col("label") / F.log2(F.col("_n") + 1)).otherwise(0.0)).alias("idcg"),
+        F.sum(F.when(F.col("label") >= 1, 1).otherwise(0)).alias("rel1"),
+        F.sum(F.when(F.col("label") >= 2, 1).otherwise(0)).alias("rel2")
+    )
     w = Window.partitionBy("run", "qid").orderBy(F.desc("score"), "docno")
-    ranked = runs.join(ideal.select("qid"), "qid", "left_semi").withColumn("n", F.row_number().over(w)).join(judged, ["qid", "docno"], "left")
-    hits = lambda label: F.sum(F.when(F.col("label") >= label, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = runs.join(
+        ideal.select("qid"), "qid", "left_semi"
+    ).withColumn("n", F.row_number().over(w)).join(judged, ["qid", "docno"], "left")
+    hits = lambda label: F.sum(
+        F.when(F.col("label") >= label, 1).otherwise(0)
+    ).over(w.rowsBetween(Window.unboundedPreceding, 0))
     ranked = ranked.withColumns({"hits1": hits(1), "hits2": hits(2)})
     precision = lambda label: F.sum(F.when(F.col("label") >= label, F.col(f"hits{label}") / F.col("n")).otherwise(0.0))
     got = ranked.groupBy("run", "qid").agg(
@@ -35,7 +43,13 @@ def per_query(runs: DataFrame, qrels: DataFrame) -> DataFrame:
     )
     every = ideal.join(F.broadcast(runs.select("run").distinct()))  # the runs of an experiment are a few names
     share = lambda a, b: F.when(F.col(b) > 0, F.coalesce(F.col(a), F.lit(0.0)) / F.col(b)).otherwise(0.0)
-    return every.join(got, ["run", "qid"], "left").select("run", "qid", share("dcg", "idcg").alias("ndcg10"), share("ap", "rel2").alias("ap_rel2"), F.coalesce(1 / F.col("first2"), F.lit(0.0)).alias("rr_rel2"), F.coalesce(F.when(F.col("first1") <= 10, 1 / F.col("first1")), F.lit(0.0)).alias("rr10"), share("top", "rel1").alias("recall100"), share("ap1", "rel1").alias("map"), F.coalesce(1 / F.col("first1"), F.lit(0.0)).alias("recip_rank"))
+    return every.join(got, ["run", "qid"], "left").select(
+        "run", "qid", share("dcg", "idcg").alias("ndcg10"), share("ap", "rel2").alias("ap_rel2"),
+        F.coalesce(1 / F.col("first2"), F.lit(0.0)).alias("rr_rel2"),
+        F.coalesce(F.when(F.col("first1") <= 10, 1 / F.col("first1")), F.lit(0.0)).alias("rr10"),
+        share("top", "rel1").alias("recall100"), share("ap1", "rel1").alias("map"),
+        F.coalesce(1 / F.col("first1"), F.lit(0.0)).alias("recip_rank")
+    )
 
 
 def means(scores: DataFrame, digits: int = 4) -> DataFrame:
@@ -47,12 +61,18 @@ def long(scores: DataFrame) -> DataFrame:
 
 
 def compare(scores: DataFrame, baseline: str) -> DataFrame:
-    """`run`, `metric`, `mean`, queries better (`wins`) and worse (`losses`) than the baseline, `t` of the paired differences (null without spread) and their number `n`."""
+    """`run`, `metric`, `mean`, queries better (`wins`) and worse (`losses`) than the baseline, `t` of the paired differences (null
+    without spread) and their number `n`.
+    """
     s = long(scores)
     b = s.where(F.col("run") == baseline).select("qid", "metric", F.col("value").alias("base"))
     d = s.join(b, ["qid", "metric"]).withColumn("d", F.col("value") - F.col("base"))
     sd = F.stddev_samp("d")
-    return d.groupBy("run", "metric").agg(F.avg("value").alias("mean"), F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("wins"), F.sum(F.when(F.col("d") < 0, 1).otherwise(0)).alias("losses"), F.when(sd > 1e-12, F.avg("d") / (sd / F.sqrt(F.count("*")))).alias("t"), F.count("*").alias("n"))
+    return d.groupBy("run", "metric").agg(
+        F.avg("value").alias("mean"), F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("wins"),
+        F.sum(F.when(F.col("d") < 0, 1).otherwise(0)).alias("losses"),
+        F.when(sd > 1e-12, F.avg("d") / (sd / F.sqrt(F.count("*")))).alias("t"), F.count("*").alias("n")
+    )
 
 
 def _fraction(a: float, b: float, x: float) -> float:
@@ -86,7 +106,9 @@ def p_value(t: float | None, n: int) -> float | None:
 
 
 def significance(compared: DataFrame, baseline: str, alpha: float = 0.05) -> DataFrame:
-    """compare()'s rows with `p_value`, `p_corrected` (Bonferroni over the runs that aren't the baseline) and `reject`. A row per run and measure reaches the driver."""
+    """compare()'s rows with `p_value`, `p_corrected` (Bonferroni over the runs that aren't the baseline) and `reject`. A row per
+    run and measure reaches the driver.
+    """
     rows = compared.collect()
     tests = len({r["run"] for r in rows} - {baseline})
     out = []
@@ -96,7 +118,9 @@ def significance(compared: DataFrame, baseline: str, alpha: float = 0.05) -> Dat
         out.append((*r, p, q, q is not None and q < alpha))
     from pyspark.sql.types import BooleanType, DoubleType
 
-    return compared.sparkSession.createDataFrame(out, compared.schema.add("p_value", DoubleType()).add("p_corrected", DoubleType()).add("reject", BooleanType()))
+    return compared.sparkSession.createDataFrame(
+        out, compared.schema.add("p_value", DoubleType()).add("p_corrected", DoubleType()).add("reject", BooleanType())
+    )
 
 
 def by_run(scores: DataFrame) -> dict[str, dict[str, float]]:

@@ -62,18 +62,29 @@ class Candidate:
 
 
 def build(utility: DataFrame, profiles: list[Profile], budget: int, dtype: str = "float16") -> Problem:
-    """From exactly one finite `utility` for each `docno` and `profile`; raises on unknown profiles, gaps, repeats and budgets below the cheapest choice."""
+    """From exactly one finite `utility` for each `docno` and `profile`; raises on unknown profiles, gaps, repeats and budgets
+    below the cheapest choice.
+    """
     names, costs = [p.name for p in profiles], [p.cost(dtype) for p in profiles]
     if len(set(names)) != len(names) or any(c <= 0 for c in costs):
         raise ValueError("profiles need unique names and positive costs")
     order = F.array_position(F.array(*map(F.lit, names)), F.col("profile")) - 1
     t = utility.select("docno", order.cast("int").alias("i"), F.col("utility").cast("double").alias("utility"))
-    bad = t.agg(F.count_if((F.col("i") < 0) | F.col("i").isNull()).alias("unknown"), F.count_if(F.col("utility").isNull() | F.isnan("utility") | (F.abs("utility") == float("inf"))).alias("odd"), F.count_if(F.abs("utility") > LARGEST).alias("large")).first()
+    bad = t.agg(
+        F.count_if((F.col("i") < 0) | F.col("i").isNull()).alias("unknown"),
+        F.count_if(F.col("utility").isNull() | F.isnan("utility") | (F.abs("utility") == float("inf"))).alias("odd"),
+        F.count_if(F.abs("utility") > LARGEST).alias("large")
+    ).first()
     if bad["unknown"] or bad["odd"]:
         raise ValueError(f"{bad['unknown']} utilities of unknown profiles, {bad['odd']} that aren't finite")
     if bad["large"]:
         raise ValueError(f"{bad['large']} utilities beyond {LARGEST:g}; scale them down")
-    wide = kept(t.groupBy("docno").agg(F.count("*").alias("n"), F.size(F.collect_set("i")).alias("d"), F.sort_array(F.collect_list(F.struct("i", "utility"))).alias("s")).select("docno", "n", "d", F.transform("s", lambda x: x["utility"]).alias("u")))
+    wide = kept(
+        t.groupBy("docno").agg(
+            F.count("*").alias("n"), F.size(F.collect_set("i")).alias("d"),
+            F.sort_array(F.collect_list(F.struct("i", "utility"))).alias("s")
+        ).select("docno", "n", "d", F.transform("s", lambda x: x["utility"]).alias("u"))
+    )
     wrong = wide.where((F.col("n") != len(names)) | (F.col("d") != len(names))).select("docno").limit(5).collect()
     if wrong:
         raise ValueError(f"not one utility for each profile: {[r['docno'] for r in wrong]}")
@@ -92,7 +103,13 @@ def choice(u: Column, costs: list[int], lam: Column | float) -> Column:
 
 def _totals(chosen: DataFrame, p: Problem, *by: str) -> DataFrame:
     k = F.col("k") + 1
-    sums = (F.coalesce(F.sum(F.element_at(p.cost_array, k)), F.lit(0)).alias("cost"), F.coalesce(F.sum(F.rint(F.element_at("u", k) * UNITS).cast("long").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("utility"))
+    sums = (
+        F.coalesce(F.sum(F.element_at(p.cost_array, k)), F.lit(0)).alias("cost"),
+        F.coalesce(
+            F.sum(F.rint(F.element_at("u", k) * UNITS).cast("long").cast("decimal(38,0)")),
+            F.lit(0).cast("decimal(38,0)")
+        ).alias("utility")
+    )
     return chosen.groupBy(*by).agg(*sums) if by else chosen.agg(*sums)
 
 
@@ -110,7 +127,11 @@ def curve(p: Problem, lams: list[float]) -> dict[float, tuple[int, object]]:
     if not lams:
         return {}
     many = p.wide.withColumn("lam", F.explode(F.array(*map(F.lit, map(float, lams)))))
-    got = {r["lam"]: (int(r["cost"]), Decimal(r["utility"]).scaleb(-15)) for r in _totals(many.withColumn("k", choice(F.col("u"), p.costs, F.col("lam"))), p, "lam").collect()}
+    got = {
+        r["lam"]: (int(r["cost"]), Decimal(r["utility"]).scaleb(-15)) for r in _totals(
+            many.withColumn("k", choice(F.col("u"), p.costs, F.col("lam"))), p, "lam"
+        ).collect()
+    }
     return {x: got.get(x, (0, Decimal(0))) for x in lams}
 
 
@@ -169,7 +190,9 @@ class Search:
 
 
 def search(p: Problem, start: Candidate, max_iter: int = 64, tolerance: float = 1e-3, low: float = 0.0, high: float = 1.0) -> Search:
-    """Bisection of the multiplier. The best feasible and the closest infeasible choice of all that it visits, those at both ends included."""
+    """Bisection of the multiplier. The best feasible and the closest infeasible choice of all that it visits, those at both ends
+    included.
+    """
     high = max(high, lambda_ceiling(p))
     best, infeasible = start, None
     known: dict[float, tuple[int, object]] = {}
@@ -214,21 +237,57 @@ def search(p: Problem, start: Candidate, max_iter: int = 64, tolerance: float =
 
 
 def upgrade_moves(chosen: DataFrame, p: Problem) -> DataFrame:
-    """Each document's best move to a dearer profile: most gain for a byte, then most gain, then the first. `docno`, `target`, `extra`, `gain`, `ratio`."""
+    """Each document's best move to a dearer profile: most gain for a byte, then most gain, then the first. `docno`, `target`,
+    `extra`, `gain`, `ratio`.
+    """
     here_cost, here = F.element_at(p.cost_array, F.col("k") + 1), F.element_at("u", F.col("k") + 1)
-    moves = F.transform(F.array(*map(F.lit, range(len(p.costs)))), lambda i: F.struct((F.element_at(p.cost_array, i + 1) - here_cost).alias("extra"), (F.element_at("u", i + 1) - here).alias("gain"), i.alias("target")))
+    moves = F.transform(
+        F.array(*map(F.lit, range(len(p.costs)))),
+        lambda i: F.struct(
+            (F.element_at(p.cost_array, i + 1) - here_cost).alias("extra"),
+            (F.element_at("u", i + 1) - here).alias("gain"), i.alias("target")
+        )
+    )
     fit = F.filter(moves, lambda m: (m["extra"] > 0) & (m["gain"] > 0))
-    best = F.array_max(F.transform(fit, lambda m: F.struct((m["gain"] / m["extra"]).alias("ratio"), m["gain"].alias("gain"), (-m["target"]).alias("t"), m["extra"].alias("extra"))))
-    return chosen.select("docno", best.alias("m")).where("m IS NOT NULL").select("docno", (-F.col("m.t")).alias("target"), "m.extra", "m.gain", "m.ratio")
+    best = F.array_max(
+        F.transform(
+            fit,
+            lambda m: F.struct(
+                (m["gain"] / m["extra"]).alias("ratio"), m["gain"].alias("gain"), (-m["target"]).alias("t"),
+                m["extra"].alias("extra")
+            )
+        )
+    )
+    return chosen.select("docno", best.alias("m")).where("m IS NOT NULL").select(
+        "docno", (-F.col("m.t")).alias("target"), "m.extra", "m.gain", "m.ratio"
+    )
 
 
 def downgrade_moves(chosen: DataFrame, p: Problem) -> DataFrame:
-    """Each document's best move to a cheaper profile: least loss for a byte, then least loss, then most bytes, then the first. `docno`, `target`, `saved`, `loss`, `ratio`."""
+    """Each document's best move to a cheaper profile: least loss for a byte, then least loss, then most bytes, then the first.
+    `docno`, `target`, `saved`, `loss`, `ratio`.
+    """
     here_cost, here = F.element_at(p.cost_array, F.col("k") + 1), F.element_at("u", F.col("k") + 1)
-    moves = F.transform(F.array(*map(F.lit, range(len(p.costs)))), lambda i: F.struct((here_cost - F.element_at(p.cost_array, i + 1)).alias("saved"), (here - F.element_at("u", i + 1)).alias("loss"), i.alias("target")))
+    moves = F.transform(
+        F.array(*map(F.lit, range(len(p.costs)))),
+        lambda i: F.struct(
+            (here_cost - F.element_at(p.cost_array, i + 1)).alias("saved"),
+            (here - F.element_at("u", i + 1)).alias("loss"), i.alias("target")
+        )
+    )
     fit = F.filter(moves, lambda m: m["saved"] > 0)
-    best = F.array_min(F.transform(fit, lambda m: F.struct((m["loss"] / m["saved"]).alias("ratio"), m["loss"].alias("loss"), (-m["saved"]).alias("s"), m["target"].alias("target"))))
-    return chosen.select("docno", best.alias("m")).where("m IS NOT NULL").select("docno", "m.target", (-F.col("m.s")).alias("saved"), "m.loss", "m.ratio")
+    best = F.array_min(
+        F.transform(
+            fit,
+            lambda m: F.struct(
+                (m["loss"] / m["saved"]).alias("ratio"), m["loss"].alias("loss"), (-m["saved"]).alias("s"),
+                m["target"].alias("target")
+            )
+        )
+    )
+    return chosen.select("docno", best.alias("m")).where("m IS NOT NULL").select(
+        "docno", "m.target", (-F.col("m.s")).alias("saved"), "m.loss", "m.ratio"
+    )
 
 
 UP = (F.desc, "ratio"), (F.desc, "gain"), (F.asc, "docno"), (F.asc, "target")
@@ -251,7 +310,9 @@ def running(df: DataFrame, order: tuple, value: str) -> DataFrame:
         return parted.withColumns({"_pos": F.lit(0).cast("long"), "_cum": F.lit(0).cast("long")}).drop("_part")
     at = F.element_at(F.create_map(*offsets), F.col("_part"))
     w = Window.partitionBy("_part").orderBy(*cols)
-    return parted.withColumns({"_pos": at["n"] + F.row_number().over(w) - 1, "_cum": at["s"] + F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))}).drop("_part")
+    return parted.withColumns(
+        {"_pos": at["n"] + F.row_number().over(w) - 1, "_cum": at["s"] + F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))}
+    ).drop("_part")
 
 
 def _moved(chosen: DataFrame, taken: DataFrame) -> DataFrame:
@@ -293,7 +354,10 @@ def upgrade(p: Problem, c: Candidate) -> Candidate:
             break
         chosen, cost, done = _moved(chosen, taken), cost + spent, done + n
     left = bool(upgrade_moves(chosen, p).where(F.col("extra") <= p.budget - cost).take(1))
-    return candidate(chosen, p, c.lam, f"{c.origin}_upgraded" if done else c.origin, upgrades=c.upgrades + done, downgrades=c.downgrades, relaxed_cost=c.relaxed_cost, relaxed_utility=c.relaxed_utility, moves_left=left)
+    return candidate(
+        chosen, p, c.lam, f"{c.origin}_upgraded" if done else c.origin, upgrades=c.upgrades + done,
+        downgrades=c.downgrades, relaxed_cost=c.relaxed_cost, relaxed_utility=c.relaxed_utility, moves_left=left
+    )
 
 
 def downgrade_pass(chosen: DataFrame, p: Problem, overflow: int) -> DataFrame:
@@ -313,7 +377,10 @@ def downgrade(p: Problem, c: Candidate) -> Candidate:
         chosen, cost, done = _moved(chosen, taken), cost - r["s"], done + r["n"]
     if cost > p.budget:
         raise RuntimeError("the choice can't be repaired, though the cheapest fits")
-    return candidate(chosen, p, c.lam, "repaired_infeasible_relaxed", upgrades=c.upgrades, downgrades=c.downgrades + done, relaxed_cost=c.cost, relaxed_utility=c.utility)
+    return candidate(
+        chosen, p, c.lam, "repaired_infeasible_relaxed", upgrades=c.upgrades, downgrades=c.downgrades + done,
+        relaxed_cost=c.cost, relaxed_utility=c.utility
+    )
 
 
 @dataclass
@@ -324,7 +391,10 @@ class Solution:
 
 def assignments(chosen: DataFrame, p: Problem) -> DataFrame:
     k = F.col("k") + 1
-    return chosen.select("docno", F.element_at(F.array(*map(F.lit, p.names)), k).alias("profile"), F.element_at("u", k).alias("utility"), F.element_at(p.cost_array, k).alias("cost_bytes"))
+    return chosen.select(
+        "docno", F.element_at(F.array(*map(F.lit, p.names)), k).alias("profile"), F.element_at("u", k).alias("utility"),
+        F.element_at(p.cost_array, k).alias("cost_bytes")
+    )
 
 
 #: Up to so many utilities (32 MB) a problem is solved in the memory of one task by the same rules; beyond, by passes over the table.
@@ -453,7 +523,11 @@ class Local:
                 win = f
         k, at, ups, downs, left = win
         relaxed = at[2]
-        return k, {"lambda_star": at[0], "relaxed": relaxed, "num_upgrades": ups, "num_downgrades": downs, "search_iterations": done, "selected_candidate_origin": at[1] + ("_upgraded" if ups else ""), "tolerance_reached": reached, "positive_gain_moves_remaining": left}
+        return k, {
+            "lambda_star": at[0], "relaxed": relaxed, "num_upgrades": ups, "num_downgrades": downs,
+            "search_iterations": done, "selected_candidate_origin": at[1] + ("_upgraded" if ups else ""),
+            "tolerance_reached": reached, "positive_gain_moves_remaining": left
+        }
 
 
 def _in_one_task(p: Problem, max_iter: int, tolerance: float, low: float, high: float) -> tuple[DataFrame, dict]:
@@ -463,17 +537,26 @@ def _in_one_task(p: Problem, max_iter: int, tolerance: float, low: float, high:
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         docno = pa.chunked_array([b.column("docno") for b in held], pa.string()).combine_chunks()
-        u = np.concatenate([b.column("u").flatten().to_numpy(zero_copy_only=False) for b in held] or [np.zeros(0)]).astype(np.float64).reshape(len(docno), len(costs))
+        u = np.concatenate(
+            [b.column("u").flatten().to_numpy(zero_copy_only=False) for b in held] or [np.zeros(0)]
+        ).astype(np.float64).reshape(len(docno), len(costs))
         order = np.array(sorted(range(len(docno)), key=docno.to_pylist().__getitem__), np.int64)
         own = Local(u[order], costs, budget)
         k, report = own.solve(max_iter, tolerance, low, high)
         report["total"] = own.value(k)
-        columns = [docno.take(pa.array(order)), pa.array(names, pa.string()).take(pa.array(k)), pa.array(own.u[own.rows, k]), pa.array(own.c[k]), pa.nulls(len(k), pa.string())]
+        columns = [
+            docno.take(pa.array(order)), pa.array(names, pa.string()).take(pa.array(k)), pa.array(own.u[own.rows, k]),
+            pa.array(own.c[k]), pa.nulls(len(k), pa.string())
+        ]
         kinds = ["docno", "profile", "utility", "cost_bytes", "report"]
         yield pa.RecordBatch.from_arrays(columns, names=kinds)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, c.type) for c in columns[:4]] + [pa.array([json.dumps(report)])], names=kinds)
 
-    made = kept(p.wide.select("docno", "u").repartition(1).mapInArrow(kernel, "docno string, profile string, utility double, cost_bytes long, report string"))
+    made = kept(
+        p.wide.select("docno", "u").repartition(1).mapInArrow(
+            kernel, "docno string, profile string, utility double, cost_bytes long, report string"
+        )
+    )
     report = json.loads(made.where("report IS NOT NULL").first()["report"])
     return made.where("report IS NULL").drop("report"), report
 
@@ -497,7 +580,10 @@ def strategies(algorithm: str) -> Strategies:
     return ALGORITHMS[algorithm]()
 
 
-def solve(utility: DataFrame, profiles: list[Profile], budget: int, max_iter: int = 64, tolerance: float = 1e-3, low: float = 0.0, high: float = 1.0, dtype: str = "float16", local: int = LOCAL, by: Strategies | None = None) -> Solution:
+def solve(
+    utility: DataFrame, profiles: list[Profile], budget: int, max_iter: int = 64, tolerance: float = 1e-3,
+    low: float = 0.0, high: float = 1.0, dtype: str = "float16", local: int = LOCAL, by: Strategies | None = None
+) -> Solution:
     """The best of: the relaxation's best choice upgraded, the cheapest upgraded, the closest infeasible one downgraded and upgraded."""
     p = build(utility, profiles, budget, dtype)
     if by is None and p.n * len(p.costs) <= local:
@@ -516,12 +602,26 @@ def solve(utility: DataFrame, profiles: list[Profile], budget: int, max_iter: in
     for c in finals[1:]:
         if by.better(c, best, p.budget):
             best = c
-    r = {"lambda_star": best.lam, "num_upgrades": best.upgrades, "num_downgrades": best.downgrades, "search_iterations": found.iterations, "selected_candidate_origin": best.origin, "tolerance_reached": found.reached, "positive_gain_moves_remaining": best.moves_left}
-    return Solution(assignments(kept(best.chosen), p), _report(p, best.cost, float(best.utility), None if best.relaxed_cost is None else (best.relaxed_cost, float(best.relaxed_utility)), r))
+    r = {
+        "lambda_star": best.lam, "num_upgrades": best.upgrades, "num_downgrades": best.downgrades,
+        "search_iterations": found.iterations, "selected_candidate_origin": best.origin,
+        "tolerance_reached": found.reached, "positive_gain_moves_remaining": best.moves_left
+    }
+    return Solution(
+        assignments(kept(best.chosen), p),
+        _report(
+            p, best.cost, float(best.utility),
+            None if best.relaxed_cost is None else (best.relaxed_cost, float(best.relaxed_utility)), r
+        )
+    )
 
 
 def _report(p: Problem, cost: int, utility: float, relaxed: tuple[int, float] | None, more: dict) -> dict:
-    return {"total_cost_bytes": cost, "total_utility": utility, "feasible": True, "num_docs": p.n, "budget_bytes": p.budget, "pre_repair_relaxed_cost_bytes": relaxed and relaxed[0], "pre_repair_relaxed_utility": relaxed and relaxed[1], "unused_budget_bytes": p.budget - cost, "budget_utilization_ratio": cost / max(p.budget, 1), **more}
+    return {
+        "total_cost_bytes": cost, "total_utility": utility, "feasible": True, "num_docs": p.n, "budget_bytes": p.budget,
+        "pre_repair_relaxed_cost_bytes": relaxed and relaxed[0], "pre_repair_relaxed_utility": relaxed and relaxed[1],
+        "unused_budget_bytes": p.budget - cost, "budget_utilization_ratio": cost / max(p.budget, 1), **more
+    }
 
 
 def online(stream: DataFrame, costs: list[int], names: list[str], lam: float) -> DataFrame:
@@ -530,11 +630,18 @@ def online(stream: DataFrame, costs: list[int], names: list[str], lam: float) ->
     return stream.withColumn("k", k).withColumn("profile", F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1))
 
 
-def repair_by_single_moves(rows: list[tuple[str, list[float], int]], costs: list[int], names: list[str], budget: int) -> list[tuple[str, list[float], int]]:
-    """The former repair, for small problems that are on the driver anyway: the single cheapest downgrade (loss for a byte, docno, profile), again and again."""
+def repair_by_single_moves(
+    rows: list[tuple[str, list[float], int]], costs: list[int], names: list[str], budget: int
+) -> list[tuple[str, list[float], int]]:
+    """The former repair, for small problems that are on the driver anyway: the single cheapest downgrade (loss for a byte, docno,
+    profile), again and again.
+    """
     rows = list(rows)
     while sum(costs[k] for _, _, k in rows) > budget:
-        moves = [((u[k] - u[t]) / (costs[k] - costs[t]), d, names[t], i, t) for i, (d, u, k) in enumerate(rows) for t in range(len(costs)) if costs[t] < costs[k]]
+        moves = [
+            ((u[k] - u[t]) / (costs[k] - costs[t]), d, names[t], i, t) for i,
+            (d, u, k) in enumerate(rows) for t in range(len(costs)) if costs[t] < costs[k]
+        ]
         if not moves:
             raise RuntimeError("no downgrade is left")
         *_, i, t = min(moves)

@@ -37,13 +37,28 @@ def check(profiles: list[Profile], width: int | None = None, full: str = "full")
 
 def frame(spark: SparkSession, profiles: list[Profile], dtype: str = "float16") -> DataFrame:
     """`idx` (from 0), `profile`, `dimension`, `cost_bytes`."""
-    return spark.createDataFrame([(i, p.name, p.dimension, p.cost(dtype)) for i, p in enumerate(profiles)], "idx int, profile string, dimension int, cost_bytes long")
+    return spark.createDataFrame(
+        [(i, p.name, p.dimension, p.cost(dtype)) for i, p in enumerate(profiles)],
+        "idx int, profile string, dimension int, cost_bytes long"
+    )
 
 
 def exploded(profiles: list[Profile], dtype: str = "float16") -> Column:
     """A row for each profile, as a struct; no join is needed."""
-    return F.explode(F.array(*(F.struct(F.lit(i).alias("idx"), F.lit(p.name).alias("profile"), F.lit(p.dimension).alias("dimension"), F.lit(p.cost(dtype)).cast("long").alias("cost_bytes")) for i, p in enumerate(profiles))))
+    return F.explode(
+        F.array(
+            *(
+                F.struct(
+                    F.lit(i).alias("idx"), F.lit(p.name).alias("profile"), F.lit(p.dimension).alias("dimension"),
+                    F.lit(p.cost(dtype)).cast("long").alias("cost_bytes")
+                ) for i,
+                p in enumerate(profiles)
+            )
+        )
+    )
 
 
 def with_profiles(df: DataFrame, profiles: list[Profile], dtype: str = "float16") -> DataFrame:
-    return df.withColumn("_p", exploded(profiles, dtype)).select(*(c for c in df.columns), "_p.idx", "_p.profile", "_p.dimension", "_p.cost_bytes")
+    return df.withColumn("_p", exploded(profiles, dtype)).select(
+        *(c for c in df.columns), "_p.idx", "_p.profile", "_p.dimension", "_p.cost_bytes"
+    )

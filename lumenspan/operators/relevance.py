@@ -40,14 +40,26 @@ def calibrate(run: DataFrame, how: str = "minmax_score", source_mode: str = "wea
         w2 = Window.partitionBy("qid").orderBy(F.desc("relevance_estimated"), "docno")
         out = out.withColumn("_n", F.row_number().over(w2))
         every = Window.partitionBy("qid")
-        pivot = F.coalesce(F.max(F.when(F.col("_n") == 2, F.col("relevance_estimated"))).over(every), F.max(F.when(F.col("_n") == 1, F.col("relevance_estimated"))).over(every))
+        pivot = F.coalesce(
+            F.max(F.when(F.col("_n") == 2, F.col("relevance_estimated"))).over(every),
+            F.max(F.when(F.col("_n") == 1, F.col("relevance_estimated"))).over(every)
+        )
         out = out.withColumn("confidence", S.clip(F.abs(F.col("relevance_estimated") - pivot))).drop("_n")
-    return out.withColumns({"relevance_final": F.col("relevance_estimated"), "uncertainty": 1 - F.col("confidence"), "source_mode": F.lit(source_mode), "is_qrel_overridden": F.lit(False)}).select(*PAIR)
+    return out.withColumns(
+        {
+            "relevance_final": F.col("relevance_estimated"), "uncertainty": 1 - F.col("confidence"),
+            "source_mode": F.lit(source_mode), "is_qrel_overridden": F.lit(False)
+        }
+    ).select(*PAIR)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
-    """Two candidate runs as one: of a pair in both the higher raw score stays (the first run's, if equal), the k best of each query, ranked from 0 anew."""
-    both = first.select("qid", "docno", "score", F.lit(0).alias("_s")).unionByName(second.select("qid", "docno", "score", F.lit(1).alias("_s")))
+    """Two candidate runs as one: of a pair in both the higher raw score stays (the first run's, if equal), the k best of each
+    query, ranked from 0 anew.
+    """
+    both = first.select("qid", "docno", "score", F.lit(0).alias("_s")).unionByName(
+        second.select("qid", "docno", "score", F.lit(1).alias("_s"))
+    )
     one = both.groupBy("qid", "docno").agg(F.max("score").alias("score"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "docno")
     return one.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
@@ -58,7 +70,9 @@ def uncertain_high_impact(pairs: DataFrame, fraction: float) -> DataFrame:
     n = pairs.count()
     if not n:
         return pairs.select("qid", "docno")
-    return pairs.orderBy(F.desc("uncertainty"), F.desc(S.impact(F.col("relevance_final"), F.col("uncertainty"))), "qid", "docno").limit(max(1, int(n * fraction))).select("qid", "docno")
+    return pairs.orderBy(
+        F.desc("uncertainty"), F.desc(S.impact(F.col("relevance_final"), F.col("uncertainty"))), "qid", "docno"
+    ).limit(max(1, int(n * fraction))).select("qid", "docno")
 
 
 def merge_refined(base: DataFrame, refined: DataFrame, source_mode: str = "hybrid") -> DataFrame:
@@ -70,7 +84,10 @@ def merge_refined(base: DataFrame, refined: DataFrame, source_mode: str = "hybri
     return j.withColumns({**new, "source_mode": F.when(F.col("_hit"), F.lit(source_mode)).otherwise(F.col("source_mode"))}).select(*PAIR)
 
 
-def judged(pairs: DataFrame, qrels: DataFrame, how: str = "hard_override", scale: str = "minmax", low: float = 0.0, high: float = 3.0, mapping: dict[str, float] | None = None, threshold: float = 1.0, label: str = "label") -> DataFrame:
+def judged(
+    pairs: DataFrame, qrels: DataFrame, how: str = "hard_override", scale: str = "minmax", low: float = 0.0,
+    high: float = 3.0, mapping: dict[str, float] | None = None, threshold: float = 1.0, label: str = "label"
+) -> DataFrame:
     """Pairs whose judgement overrides the estimate. A pair that is judged twice becomes two rows.
 
     hard_override: the label, scaled between low and high or by the mapping; a label that the mapping lacks keeps the estimate
@@ -84,7 +101,9 @@ def judged(pairs: DataFrame, qrels: DataFrame, how: str = "hard_override", scale
     j = pairs.join(q, ["qid", "docno"], "left")
     if how == "hard_override":
         hit = F.col("_label").isNotNull()
-        value = S.unit_scale(F.col("_label"), low, high) if scale == "minmax" else S.label_lookup(F.col("_label"), mapping or {}, F.col("relevance_final"))
+        value = S.unit_scale(F.col("_label"), low, high) if scale == "minmax" else S.label_lookup(
+            F.col("_label"), mapping or {}, F.col("relevance_final")
+        )
     else:
         hit, value = F.coalesce(F.col("_label") >= threshold, F.lit(False)), F.lit(1.0)
     return j.withColumns({"relevance_final": F.when(hit, value).otherwise(F.col("relevance_final")), "is_qrel_overridden": F.col("is_qrel_overridden") | hit}).select(*PAIR)
@@ -101,12 +120,17 @@ def overlap(query: Column, text: Column) -> Column:
 
 def rescore(candidates: DataFrame, topics: DataFrame, corpus: DataFrame, scorer: Scorer = overlap) -> DataFrame:
     """Candidates by a scorer of query and text, ranked from 0; pairs without either are left out."""
-    j = candidates.select("qid", "docno").join(topics.select("qid", "query"), "qid").join(corpus.select("docno", "text"), "docno").dropna(subset=["query", "text"])
+    j = candidates.select("qid", "docno").join(topics.select("qid", "query"), "qid").join(
+        corpus.select("docno", "text"), "docno"
+    ).dropna(subset=["query", "text"])
     s = j.select("qid", "docno", F.round(scorer(F.col("query"), F.col("text")), 9).alias("score"))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "docno")) - 1)
 
 
-def estimate(mode: str, candidates: DataFrame, topics: DataFrame, corpus: DataFrame, calibration: str = "minmax_score", fraction: float = 0.2, scorer: Scorer = overlap) -> DataFrame:
+def estimate(
+    mode: str, candidates: DataFrame, topics: DataFrame, corpus: DataFrame, calibration: str = "minmax_score",
+    fraction: float = 0.2, scorer: Scorer = overlap
+) -> DataFrame:
     """weak: candidates calibrated; model: rescored, then calibrated; hybrid: weak, with the uncertain pairs of high impact rescored."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")

@@ -25,18 +25,28 @@ def ranking_summary(long: DataFrame, ids: tuple[str, ...] = ("model_id", "dimens
 
 def memory_summary(assignments: DataFrame, full_cost: int) -> DataFrame:
     """One row: bytes in all and a document, the bytes at full width, and the share that is saved."""
-    a = assignments.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("cost_bytes"), F.lit(0)).alias("total_bytes"), F.avg("cost_bytes").alias("mean_bytes"))
-    return a.withColumn("full_bytes", F.col("n_docs") * F.lit(full_cost)).withColumn("saved_fraction", 1 - F.col("total_bytes") / F.greatest(F.col("full_bytes"), F.lit(1)))
+    a = assignments.agg(
+        F.count("*").alias("n_docs"), F.coalesce(F.sum("cost_bytes"), F.lit(0)).alias("total_bytes"),
+        F.avg("cost_bytes").alias("mean_bytes")
+    )
+    return a.withColumn("full_bytes", F.col("n_docs") * F.lit(full_cost)).withColumn(
+        "saved_fraction", 1 - F.col("total_bytes") / F.greatest(F.col("full_bytes"), F.lit(1))
+    )
 
 
 def profile_counts(assignments: DataFrame) -> DataFrame:
-    return assignments.groupBy("profile").agg(F.count("*").alias("n_docs"), F.sum("cost_bytes").alias("cost_bytes"), F.sum("utility").alias("utility"))
+    return assignments.groupBy("profile").agg(
+        F.count("*").alias("n_docs"), F.sum("cost_bytes").alias("cost_bytes"), F.sum("utility").alias("utility")
+    )
 
 
 def describe(df: DataFrame, column: str, by: list[str], points: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
     """Count, mean, spread, extremes and exact percentiles."""
     p = F.percentile(column, F.array(*map(F.lit, points)))
-    stats = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), p.alias("_p"))
+    stats = df.groupBy(*by).agg(
+        F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"),
+        F.min(column).alias("min"), F.max(column).alias("max"), p.alias("_p")
+    )
     return stats.select(*by, "n", "mean", "std", "min", "max", *(F.col("_p")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(points)))
 
 

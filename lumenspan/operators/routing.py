@@ -45,7 +45,12 @@ def metadata(r: Routed) -> DataFrame:
     """One row: the numbers of queries and judgements on both sides, and of queries on both."""
     ids = lambda d: d.select("qid").distinct()
     one = lambda d, name, c: d.agg(c.alias(name))
-    parts = [one(r.opt_topics, "opt_queries", F.countDistinct("qid")), one(r.eval_topics, "eval_queries", F.countDistinct("qid")), one(r.opt_qrels, "opt_qrels", F.count("*")), one(r.eval_qrels, "eval_qrels", F.count("*")), one(ids(r.opt_topics).intersect(ids(r.eval_topics)), "overlap", F.count("*"))]
+    parts = [
+        one(r.opt_topics, "opt_queries", F.countDistinct("qid")),
+        one(r.eval_topics, "eval_queries", F.countDistinct("qid")), one(r.opt_qrels, "opt_qrels", F.count("*")),
+        one(r.eval_qrels, "eval_qrels", F.count("*")),
+        one(ids(r.opt_topics).intersect(ids(r.eval_topics)), "overlap", F.count("*"))
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(F.broadcast(p))

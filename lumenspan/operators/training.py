@@ -16,11 +16,18 @@ def normalize(df: DataFrame, query: str = "query", positive: str = "positive", n
     return df.select(*out)
 
 
-def nested(df: DataFrame, query: str = "query", positives: str = "positive_passages", negatives: str | None = "negative_passages", text: str = "text") -> DataFrame:
-    """Every positive of a query with every negative of it; without a column of negatives, every positive. Rows with an empty list have none."""
+def nested(
+    df: DataFrame, query: str = "query", positives: str = "positive_passages",
+    negatives: str | None = "negative_passages", text: str = "text"
+) -> DataFrame:
+    """Every positive of a query with every negative of it; without a column of negatives, every positive. Rows with an empty list
+    have none.
+    """
     d = df.select(F.col(query).alias("anchor"), F.explode(positives).alias("_p"), *([F.col(negatives).alias("_n")] if negatives else []))
     d = d.select("anchor", F.col("_p")[text].alias("positive"), *(["_n"] if negatives else []))
-    return d.select("anchor", "positive", F.explode("_n").alias("_m")).select("anchor", "positive", F.col("_m")[text].alias("negative")) if negatives else d
+    return d.select("anchor", "positive", F.explode("_n").alias("_m")).select(
+        "anchor", "positive", F.col("_m")[text].alias("negative")
+    ) if negatives else d
 
 
 def blanks(df: DataFrame) -> DataFrame:
@@ -41,5 +48,9 @@ def validated(df: DataFrame, order: str | None = None) -> DataFrame:
     bad = blanks(df.drop(order) if order else df).where("n_blank > 0").collect()
     if bad:
         first = first_blank(df, order).first() if order else None
-        raise ValueError("blank texts: " + ", ".join(f"{r['n_blank']} in {r['column']}" for r in bad) + (f"; the first in {first['column']} of {order} {first[order]}" if first else ""))
+        raise ValueError(
+            "blank texts: " + ", ".join(f"{r['n_blank']} in {r['column']}" for r in bad) + (
+                f"; the first in {first['column']} of {order} {first[order]}" if first else ""
+            )
+        )
     return df

@@ -53,12 +53,16 @@ def doc_vec(spark: SparkSession, d: str) -> DataFrame:
 
 
 def query_vec(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel"))
+    return read(spark, d, "embeddings").where("vec_id % 20 = 0").select(
+        F.col("vec_id").cast("string").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel")
+    )
 
 
 def qrels_dense(spark: SparkSession, d: str) -> DataFrame:
     q, v = query_vec(spark, d), doc_vec(spark, d)
-    return q.join(v, F.col("qlabel") == F.col("label")).where("qid <> docno").select("qid", "docno", (F.lit(1) + F.col("docno").cast("int") % 3).alias("label"))
+    return q.join(v, F.col("qlabel") == F.col("label")).where("qid <> docno").select(
+        "qid", "docno", (F.lit(1) + F.col("docno").cast("int") % 3).alias("label")
+    )
 
 
 def full_corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +134,9 @@ def sanitize_query(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT item_id, concat('query: ', text) AS query, coalesce(text, '') AS body FROM benchmark")
 def prompt_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "benchmark").select("item_id", X.prompted("query: ", F.col("text")).alias("query"), X.index_text("text").alias("body"))
+    return read(spark, d, "benchmark").select(
+        "item_id", X.prompted("query: ", F.col("text")).alias("query"), X.index_text("text").alias("body")
+    )
 
 
 @query("SELECT CAST(e.vec_id AS VARCHAR) AS docno FROM embeddings e ANTI JOIN documents d ON e.vec_id = d.doc_id UNION ALL SELECT CAST(doc_id AS VARCHAR) FROM documents d ANTI JOIN embeddings e ON e.vec_id = d.doc_id")
@@ -147,12 +153,17 @@ def duplicate_docnos(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k, try_cast(event_type AS DOUBLE) AS none FROM events")
 def numeric_log(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select("event_id", S.number(F.get_json_object("props", "$.k")).alias("k"), S.number(F.col("event_type")).alias("none"))
+    return read(spark, d, "events").select(
+        "event_id", S.number(F.get_json_object("props", "$.k")).alias("k"), S.number(F.col("event_type")).alias("none")
+    )
 
 
 @query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[^a-zA-Z0-9._-]+', '-', 'g'), '-{2,}', '-', 'g'), '^[-.]+|[-.]+$', '', 'g') AS slug, substr(sha256(url), 1, 8) AS digest FROM pages")
 def slugs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", S.slug(F.col("url")).alias("slug"), F.substring(F.sha2(F.col("url").cast("binary"), 256), 1, 8).alias("digest"))
+    return read(spark, d, "pages").select(
+        "page_id", S.slug(F.col("url")).alias("slug"),
+        F.substring(F.sha2(F.col("url").cast("binary"), 256), 1, 8).alias("digest")
+    )
 
 
 @query("SELECT source, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS digest FROM documents GROUP BY source")
@@ -227,7 +238,10 @@ def cosine_padding_quality(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_DV} SELECT docno, round(list_sum(list_transform(v, lambda x: x / greatest({_N2}, 1e-12))), 6) AS total, round({_N2}, 6) AS length FROM dv")
 def normalized_vectors(spark: SparkSession, d: str) -> DataFrame:
     n = V.normalized("v")
-    return doc_vec(spark, d).select("docno", F.round(F.aggregate(n, F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(V.norm("v"), 6).alias("length"))
+    return doc_vec(spark, d).select(
+        "docno", F.round(F.aggregate(n, F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
+        F.round(V.norm("v"), 6).alias("length")
+    )
 
 
 _ROUNDED = "CASE WHEN x = 0 THEN 0.0 ELSE round_even(x / pow(2.0, floor(log2(abs(x))) - {0}), 0) * pow(2.0, floor(log2(abs(x))) - {0}) END"
@@ -243,7 +257,9 @@ def rounded_vectors(spark: SparkSession, d: str) -> DataFrame:
 def pooled_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Halves of a vector as two token vectors."""
     rows = F.array(V.prefix("v", 32), V.suffix("v", 32))
-    weighed = lambda how: F.round(F.aggregate(F.transform(V.pooled(rows, 32, how), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias(how)
+    weighed = lambda how: F.round(
+        F.aggregate(F.transform(V.pooled(rows, 32, how), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6
+    ).alias(how)
     return doc_vec(spark, d).select("docno", weighed("mean"), weighed("cls"))
 
 
@@ -297,7 +313,10 @@ _CAL_OUT = "SELECT qid, docno, round(rel, 6) AS relevance_final, round(conf, 6)
 
 
 def _calibrated(spark: SparkSession, d: str, how: str) -> DataFrame:
-    return rounded(relevance.calibrate(candidates(spark, d), how).select("qid", "docno", "relevance_final", "confidence", "uncertainty"), "relevance_final", "confidence", "uncertainty")
+    return rounded(
+        relevance.calibrate(candidates(spark, d), how).select("qid", "docno", "relevance_final", "confidence", "uncertainty"),
+        "relevance_final", "confidence", "uncertainty"
+    )
 
 
 @query(f"WITH {_CAND}, {_MM}, {_CONF} {_CAL_OUT}")
@@ -322,13 +341,18 @@ _TOP3 = "keys AS (SELECT qid, docno FROM (SELECT *, row_number() OVER (ORDER BY
 def uncertain_high_impact(spark: SparkSession, d: str) -> DataFrame:
     p = relevance.calibrate(candidates(spark, d))
     n = p.count()
-    return p.orderBy(F.round("uncertainty", 9).desc(), F.round(S.impact(F.col("relevance_final"), F.col("uncertainty")), 9).desc(), "qid", "docno").limit(max(1, int(n * 0.2))).select("qid", "docno")
+    return p.orderBy(
+        F.round("uncertainty", 9).desc(), F.round(S.impact(F.col("relevance_final"), F.col("uncertainty")), 9).desc(),
+        "qid", "docno"
+    ).limit(max(1, int(n * 0.2))).select("qid", "docno")
 
 
 @query(f"WITH {_CAND}, {_MM}, {_CONF}, ref AS (SELECT qid, docno, 1 / log2(rank + 2) AS r2 FROM cand WHERE rank % 2 = 0) SELECT c.qid, c.docno, round(coalesce(r2, rel), 6) AS relevance_final, CASE WHEN r2 IS NULL THEN 'weak' ELSE 'hybrid' END AS source_mode FROM cal c LEFT JOIN ref r ON r.qid = c.qid AND r.docno = c.docno")
 def merge_refined(spark: SparkSession, d: str) -> DataFrame:
     c = candidates(spark, d)
-    refined = relevance.calibrate(c, "rank_log_discount").join(c.where("rank % 2 = 0").select("qid", "docno"), ["qid", "docno"], "left_semi")
+    refined = relevance.calibrate(c, "rank_log_discount").join(
+        c.where("rank % 2 = 0").select("qid", "docno"), ["qid", "docno"], "left_semi"
+    )
     return rounded(relevance.merge_refined(relevance.calibrate(c), refined).select("qid", "docno", "relevance_final", "source_mode"), "relevance_final")
 
 
@@ -359,7 +383,9 @@ _TQ = "tq AS (SELECT CAST(item_id AS VARCHAR) AS qid, CAST(doc_id AS VARCHAR) AS
 
 
 def qrels_text(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold an item's text. A document that does holds the item's longest inner word as a word, so only those that share it are looked at."""
+    """Documents that hold an item's text. A document that does holds the item's longest inner word as a word, so only those that
+    share it are looked at.
+    """
     parts = lambda c: F.split(c, r"\s+")
     items = read(spark, d, "benchmark").select("item_id", F.col("text").alias("t")).where("t IS NOT NULL")
     inner = F.filter(F.slice(parts("t"), F.lit(2), F.greatest(F.size(parts("t")) - 2, F.lit(0))), lambda w: w != "")
@@ -398,7 +424,9 @@ def model_relevance(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_CAND} SELECT qid, docno, rank FROM cand SEMI JOIN (SELECT CAST(doc_id AS VARCHAR) AS docno FROM labels) USING (docno)")
 def known_docnos(spark: SparkSession, d: str) -> DataFrame:
-    return candidates(spark, d).join(read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("docno")), "docno", "left_semi").select("qid", "docno", "rank")
+    return candidates(spark, d).join(
+        read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("docno")), "docno", "left_semi"
+    ).select("qid", "docno", "rank")
 
 
 @query(f"WITH {_TQ}, n AS (SELECT count(*) AS n FROM tq) SELECT 'shared' AS routing, CAST(0 AS BIGINT) AS may_override UNION ALL SELECT 'dual_source', n FROM n")
@@ -406,7 +434,9 @@ def suppressed_qrels(spark: SparkSession, d: str) -> DataFrame:
     """Judgements never override where a query is on both sides."""
     t, q = text_topics(spark, d), kept(qrels_text(spark, d))
     other = t.withColumn("qid", F.concat(F.lit("e"), "qid"))
-    counted = lambda name, r: routing.utility_qrels(r).agg(F.count("*").alias("may_override")).select(F.lit(name).alias("routing"), "may_override")
+    counted = lambda name, r: routing.utility_qrels(r).agg(F.count("*").alias("may_override")).select(
+        F.lit(name).alias("routing"), "may_override"
+    )
     return counted("shared", routing.shared(t, q)).union(counted("dual_source", routing.dual_source(t, q, other, q)))
 
 
@@ -479,7 +509,10 @@ def tail_utility_beta(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_CAND}, {_PROF}, {_UN}, {_PQ} SELECT docno, profile, CAST(0.001 AS DOUBLE) AS utility, round(q, 8) AS profile_quality FROM pq SEMI JOIN un USING (docno)")
 def tail_utility_lowbound(spark: SparkSession, d: str) -> DataFrame:
-    return _tail(spark, d, utility.Tail("rbp_residual_interval", beta=None, low=0.001), utility.padding_quality(doc_vec(spark, d), PROFILES))
+    return _tail(
+        spark, d, utility.Tail("rbp_residual_interval", beta=None, low=0.001),
+        utility.padding_quality(doc_vec(spark, d), PROFILES)
+    )
 
 
 @query(f"WITH {_CAND}, {_PROF}, {_UN}, pq AS (SELECT docno, profile, least(greatest(avg(1 / (1 + abs(list_inner_product(qvec, v) - list_inner_product(qvec[1:dimension], v[1:dimension])))), 0.0), 1.0) AS q FROM qv, dv, prof GROUP BY docno, profile) SELECT docno, profile, round(greatest(0.0, least(0.01, 0.005 / n) * q - 0.5 * (0.005 / n) * q), 8) AS utility, round(q, 8) AS profile_quality FROM pq SEMI JOIN un USING (docno), nu")
@@ -552,7 +585,9 @@ def downgrade_moves(spark: SparkSession, d: str) -> DataFrame:
 def downgrade_pass(spark: SparkSession, d: str) -> DataFrame:
     p = wide(spark, d)
     chosen = knapsack.at_lambda(p, LAMBDA)
-    return knapsack.downgrade_pass(chosen, p, knapsack.candidate(chosen, p, LAMBDA, "at_lambda").cost // 10).select("docno", "target", "saved")
+    return knapsack.downgrade_pass(
+        chosen, p, knapsack.candidate(chosen, p, LAMBDA, "at_lambda").cost // 10
+    ).select("docno", "target", "saved")
 
 
 @query(f"WITH RECURSIVE {_DV}, {_PROF}, {_RES1}, pick AS (SELECT * FROM res WHERE idx = 0), {_UPS}, m AS (SELECT docno, target, extra, row_number() OVER (ORDER BY ratio DESC, gain DESC, docno, target) AS n FROM ups), room AS (SELECT CAST(count(*) * 64 - count(*) * 16 AS BIGINT) AS r FROM dv), g AS (SELECT CAST(0 AS BIGINT) AS n, r, false AS took FROM room UNION ALL SELECT m.n, CASE WHEN m.extra <= g.r THEN g.r - m.extra ELSE g.r END, m.extra <= g.r FROM g JOIN m ON m.n = g.n + 1) SELECT docno, target FROM m JOIN g USING (n) WHERE took")
@@ -597,7 +632,10 @@ def candidate_policy(spark: SparkSession, d: str) -> DataFrame:
             best = c
         if knapsack.better_infeasible(c, far, p.budget):
             far = c
-    return spark.createDataFrame([(k, c.lam, c.cost) for k, c in (("feasible", best), ("infeasible", far)) if c], "kind string, lam double, cost long")
+    return spark.createDataFrame(
+        [(k, c.lam, c.cost) for k, c in (("feasible", best), ("infeasible", far)) if c],
+        "kind string, lam double, cost long"
+    )
 
 
 @query("SELECT CAST(536870912 AS BIGINT) AS from_gb, CAST(7 AS BIGINT) AS from_bytes")
@@ -665,7 +703,10 @@ def tail_report(spark: SparkSession, d: str) -> DataFrame:
     unranked = v.select("docno").join(candidates(spark, d).select("docno"), "docno", "left_anti")
     scored = kept(utility.tail_utility(unranked, v, utility.padding_quality(v, PROFILES), tail))
     r = utility.tail_report(tail, scored, unranked.count())
-    rows = [(r["tail_unranked_docs"], p, round(q, 6), round(r["tail_utility_max"], 8), round(r["tail_utility_mean"], 8)) for p, q in r["tail_profile_quality_mean_by_profile"].items()]
+    rows = [
+        (r["tail_unranked_docs"], p, round(q, 6), round(r["tail_utility_max"], 8), round(r["tail_utility_mean"], 8)) for p,
+        q in r["tail_profile_quality_mean_by_profile"].items()
+    ]
     return spark.createDataFrame(rows, "unranked long, profile string, mean_quality double, max_utility double, mean_utility double")
 
 
@@ -676,7 +717,9 @@ def run_significance(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_RUNS}, {_MEASURES}, m AS (SELECT run, avg(ndcg10) AS ndcg10, avg(recall100) AS recall100 FROM ev GROUP BY run) SELECT metric, run, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY round(value, 9) DESC, run) AS n FROM (UNPIVOT m ON ndcg10, recall100 INTO NAME metric VALUE value)) WHERE n = 1")
 def ranking_summary(spark: SparkSession, d: str) -> DataFrame:
-    m = measured(spark, d).groupBy("run").agg(F.round(F.avg("ndcg10"), 9).alias("ndcg10"), F.round(F.avg("recall100"), 9).alias("recall100"))
+    m = measured(spark, d).groupBy("run").agg(
+        F.round(F.avg("ndcg10"), 9).alias("ndcg10"), F.round(F.avg("recall100"), 9).alias("recall100")
+    )
     return rounded(reporting.ranking_summary(reporting.to_long(m, ["run"], ["ndcg10", "recall100"]), ("run",)), "value")
 
 
@@ -695,7 +738,10 @@ def run_order(spark: SparkSession, d: str) -> DataFrame:
     """A lexical baseline comes first, then the full width, then profiles from the widest."""
     v = doc_vec(spark, d)
     dims = with_profiles(v.select("docno"), PROFILES).select("docno", "profile", "dimension")
-    runs = dense.runs(query_vec(spark, d), v, PROFILES, assigned(spark, d).join(dims, ["docno", "profile"]), 1, skip_self=True, bm25=candidates(spark, d))
+    runs = dense.runs(
+        query_vec(spark, d), v, PROFILES, assigned(spark, d).join(dims, ["docno", "profile"]), 1, skip_self=True,
+        bm25=candidates(spark, d)
+    )
     return runs.select("run", "run_order").distinct()
 
 
@@ -717,13 +763,20 @@ def read_topics(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(toxic AS VARCHAR) AS qid, CAST(doc_id AS VARCHAR) AS docno, CAST(quality AS INTEGER) AS label FROM labels WHERE doc_id % 7 <> 0")
 def read_qrels(spark: SparkSession, d: str) -> DataFrame:
     """Labels that aren't numbers are left out."""
-    rows = read(spark, d, "labels").select(F.col("toxic").alias("qid"), F.col("doc_id").alias("docno"), F.when(F.col("doc_id") % 7 == 0, "n/a").otherwise(F.col("quality").cast("string")).alias("rel"))
+    rows = read(spark, d, "labels").select(
+        F.col("toxic").alias("qid"), F.col("doc_id").alias("docno"),
+        F.when(F.col("doc_id") % 7 == 0, "n/a").otherwise(F.col("quality").cast("string")).alias("rel")
+    )
     return tables.qrels(spark, _tsv(spark, rows), "rel")
 
 
 @query("SELECT CAST(item_id AS VARCHAR) AS qid, regexp_replace(text, '\\s+', ' ', 'g') AS query FROM benchmark ORDER BY CAST(item_id AS VARCHAR) LIMIT 7")
 def read_first_topics(spark: SparkSession, d: str) -> DataFrame:
-    return tables.topics(spark, _tsv(spark, read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.regexp_replace("text", r"\s+", " ").alias("query"))), max_queries=7)
+    return tables.topics(
+        spark,
+        _tsv(spark, read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.regexp_replace("text", r"\s+", " ").alias("query"))),
+        max_queries=7
+    )
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS qid, CAST(quality AS VARCHAR) AS docno, CAST(toxic AS INTEGER) AS label FROM labels SEMI JOIN benchmark ON doc_id = item_id")
@@ -765,8 +818,15 @@ def read_triplets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT CAST(p_partkey AS DOUBLE) AS step, CAST(p_size AS DOUBLE) AS epoch, p_retailprice AS loss, CAST(NULL AS DOUBLE) AS learning_rate, CAST(NULL AS DOUBLE) AS grad_norm FROM part")
 def read_trainer_log(spark: SparkSession, d: str) -> DataFrame:
-    row = F.to_json(F.named_struct(F.lit("step"), "p_partkey", F.lit("epoch"), F.col("p_size").cast("double"), F.lit("loss"), F.col("p_retailprice").cast("string"), F.lit("grad_norm"), F.lit("none yet")))
-    log = read(spark, d, "part").agg(F.concat(F.lit('{"global_step": 3, "log_history": ['), F.array_join(F.collect_list(row), ",\n"), F.lit("]}"))).first()[0]  # a log is a small file
+    row = F.to_json(
+        F.named_struct(
+            F.lit("step"), "p_partkey", F.lit("epoch"), F.col("p_size").cast("double"), F.lit("loss"),
+            F.col("p_retailprice").cast("string"), F.lit("grad_norm"), F.lit("none yet")
+        )
+    )
+    log = read(spark, d, "part").agg(
+        F.concat(F.lit('{"global_step": 3, "log_history": ['), F.array_join(F.collect_list(row), ",\n"), F.lit("]}"))
+    ).first()[0]  # a log is a small file
     to = f"{folder(spark)}/trainer_state.json"
     sinks.save_text(spark, log, to)
     return tables.trainer_log(spark, to)
@@ -789,7 +849,9 @@ def write_tables(spark: SparkSession, d: str) -> DataFrame:
     sinks.save(t.limit(1), f"{to}/t.csv", "csv")
     sinks.save(t, f"{to}/t.csv", "csv")
     sinks.save(t, f"{to}/t.parquet", rows_per_file=100)
-    by = spark.read.parquet(f"{to}/t.parquet").groupBy("lang").agg(F.count("*").cast("string").alias("n")).select(F.lit("parquet").alias("doc_id"), "lang", "n")
+    by = spark.read.parquet(f"{to}/t.parquet").groupBy("lang").agg(F.count("*").cast("string").alias("n")).select(
+        F.lit("parquet").alias("doc_id"), "lang", "n"
+    )
     return spark.read.csv(f"{to}/t.csv", header=True).union(by)
 
 
@@ -801,11 +863,22 @@ def write_summary(spark: SparkSession, d: str) -> DataFrame:
     to = folder(spark)
     r = read(spark, d, "documents").agg(F.count("*").alias("n_docs"), F.round(F.avg("n_chars"), 6).alias("mean")).first()
     sinks.save_json(spark, r.asDict(), f"{to}/summary.json")
-    raw = {"data": {"pyterrier_dataset": "own"}, "profiles": [{"name": p.name, "dimension": p.dimension} for p in PROFILES], "optimization": {"budget_bytes": 1000}}
+    raw = {
+        "data": {"pyterrier_dataset": "own"},
+        "profiles": [{"name": p.name, "dimension": p.dimension} for p in PROFILES],
+        "optimization": {"budget_bytes": 1000}
+    }
     sinks.save_config(spark, config.parse(raw), f"{to}/config_snapshot.yaml")
     again = config.parse(config.read_yaml("\n".join(x["value"] for x in spark.read.text(f"{to}/config_snapshot.yaml").collect())))
-    got = spark.read.json(f"{to}/summary.json", multiLine=True).select(F.col("n_docs").cast("double").alias("n_docs"), "mean").unpivot([], ["n_docs", "mean"], "name", "value")
-    return got.union(spark.createDataFrame([(p.name, float(p.dimension)) for p in again.profiles if p.name == again.model.full_profile_name], "name string, value double"))
+    got = spark.read.json(f"{to}/summary.json", multiLine=True).select(
+        F.col("n_docs").cast("double").alias("n_docs"), "mean"
+    ).unpivot([], ["n_docs", "mean"], "name", "value")
+    return got.union(
+        spark.createDataFrame(
+            [(p.name, float(p.dimension)) for p in again.profiles if p.name == again.model.full_profile_name],
+            "name string, value double"
+        )
+    )
 
 
 @query(f"WITH {_RUNS}, {_MEASURES}, m AS (SELECT run, avg(ndcg10) AS ndcg10, avg(recall100) AS recall100 FROM ev GROUP BY run) SELECT 'wide' AS file, run, CAST(ndcg10 AS VARCHAR) IS NOT NULL AS there, round(ndcg10, 6) AS ndcg10, round(recall100, 6) AS recall100 FROM m")
@@ -813,10 +886,16 @@ def write_benchmark(spark: SparkSession, d: str) -> DataFrame:
     """The result files of a benchmark; the wide one read again."""
     to = folder(spark)
     m = measured(spark, d).groupBy("run").agg(F.avg("ndcg10").alias("ndcg10"), F.avg("recall100").alias("recall100"))
-    long = reporting.to_long(m.withColumns({"model_id": F.col("run"), "dimension": F.lit(64)}), ["model_id", "dimension"], ["ndcg10", "recall100"])
+    long = reporting.to_long(
+        m.withColumns({"model_id": F.col("run"), "dimension": F.lit(64)}), ["model_id", "dimension"],
+        ["ndcg10", "recall100"]
+    )
     sinks.save_benchmark(kept(long), ["model_id", "dimension"], ["ndcg10", "recall100"], to, {"k": DEPTH})
     wide = spark.read.csv(f"{to}/metrics_wide.csv", header=True, inferSchema=True)
-    return wide.select(F.lit("wide").alias("file"), F.col("model_id").alias("run"), F.lit(True).alias("there"), F.round("ndcg10", 6).alias("ndcg10"), F.round("recall100", 6).alias("recall100"))
+    return wide.select(
+        F.lit("wide").alias("file"), F.col("model_id").alias("run"), F.lit(True).alias("there"),
+        F.round("ndcg10", 6).alias("ndcg10"), F.round("recall100", 6).alias("recall100")
+    )
 
 
 @query("SELECT CAST(item_id AS VARCHAR) AS qid, 16 AS width FROM benchmark UNION ALL SELECT store, n FROM (VALUES ('own_queries__hashing-16', 0)) t(store, n)")
@@ -853,12 +932,22 @@ def describe_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, lang, CAST(NULL AS VARCHAR) AS quality, CAST(NULL AS VARCHAR) AS note FROM documents UNION ALL SELECT doc_id, NULL, CAST(quality AS VARCHAR), NULL FROM labels")
 def canonical_union(spark: SparkSession, d: str) -> DataFrame:
-    return reporting.canonical_union([read(spark, d, "documents").select("doc_id", "lang", "source"), read(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"), "toxic")], ["doc_id", "lang", "quality", "note"])
+    return reporting.canonical_union(
+        [
+            read(spark, d, "documents").select("doc_id", "lang", "source"),
+            read(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"), "toxic")
+        ],
+        ["doc_id", "lang", "quality", "note"]
+    )
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
     """Nested training rows: what a user says, the assistant's turns after it as positives, the system's as negatives."""
-    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("role") == "user", F.struct("turn", "text")))["text"].alias("query"), F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", F.struct("text")))).alias("positive_passages"), F.sort_array(F.collect_list(F.when(F.col("role") != "assistant", F.struct("text")))).alias("negative_passages"))
+    c = read(spark, d, "conversations").groupBy("conv_id").agg(
+        F.max(F.when(F.col("role") == "user", F.struct("turn", "text")))["text"].alias("query"),
+        F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", F.struct("text")))).alias("positive_passages"),
+        F.sort_array(F.collect_list(F.when(F.col("role") != "assistant", F.struct("text")))).alias("negative_passages")
+    )
     return c.where("query IS NOT NULL")
 
 
@@ -869,7 +958,10 @@ def triplets_nested(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT role AS anchor, text AS positive, CAST(conv_id AS VARCHAR) AS negative FROM conversations")
 def triplet_columns(spark: SparkSession, d: str) -> DataFrame:
-    return training.normalize(read(spark, d, "conversations").withColumn("conv_id", F.col("conv_id").cast("string")), "role", "text", "conv_id")
+    return training.normalize(
+        read(spark, d, "conversations").withColumn("conv_id", F.col("conv_id").cast("string")), "role", "text",
+        "conv_id"
+    )
 
 
 @query("SELECT 'text' AS \"column\", count(*) FILTER (text IS NULL OR regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '') AS n_blank FROM documents UNION ALL SELECT 'source', count(*) FILTER (source IS NULL OR regexp_replace(source, '^\\s+|\\s+$', '', 'g') = '') FROM documents")
@@ -883,7 +975,9 @@ def first_blank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_summary(spark: SparkSession, d: str) -> DataFrame:
-    """The smallest whole experiment: residual utilities, the optimal assignment at half of the budget, all runs, their measures. A row per run."""
+    """The smallest whole experiment: residual utilities, the optimal assignment at half of the budget, all runs, their measures. A
+    row per run.
+    """
     v, n = doc_vec(spark, d), read(spark, d, "embeddings").count()
     solved = knapsack.solve(residuals(spark, d), PROFILES, n * 64).assignments
     dims = with_profiles(v.select("docno"), PROFILES).select("docno", "profile", "dimension")

@@ -32,7 +32,11 @@ class Result:
 class Experiment:
     """One configuration. `vectors` (`docno`, `v`) and `encoder` may be given; by default documents and queries are encoded by hashing."""
 
-    def __init__(self, spark: SparkSession, cfg: SimpleNamespace, catalog: tables.Catalog | None = None, encoder: encoding.Encoder | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, scorer: relevance.Scorer = relevance.overlap):
+    def __init__(
+        self, spark: SparkSession, cfg: SimpleNamespace, catalog: tables.Catalog | None = None,
+        encoder: encoding.Encoder | None = None, vectors: DataFrame | None = None,
+        query_vectors: DataFrame | None = None, scorer: relevance.Scorer = relevance.overlap
+    ):
         self.spark, self.cfg, self.catalog, self.scorer = spark, cfg, catalog or tables.Catalog(), scorer
         self.profiles: list[Profile] = C.catalogue(cfg)
         self.full = next(p for p in self.profiles if p.name == cfg.model.full_profile_name)
@@ -83,13 +87,18 @@ class Experiment:
         return encoding.context(role=role, model=self.encoder.name, prompt=prompt, width=self.encoder.width, data=C.as_dict(data))
 
     def doc_vectors(self, corpus: DataFrame) -> DataFrame:
-        """Given vectors; else those of a store that is configured and there; else made chunk by chunk, where finished chunks of this context stay. In this order, and checked."""
+        """Given vectors; else those of a store that is configured and there; else made chunk by chunk, where finished chunks of
+        this context stay. In this order, and checked.
+        """
         check = lambda v: tables.checked_vectors(v.select("docno", "v"), self.full.dimension, corpus)
         if self.given is not None:
             return check(self.given)
         d, m, x = self.cfg.data, self.cfg.model, self.cfg.execution
         if d.hf_embeddings_repo_id and d.full_embeddings_source != "compute":
-            store = encoding.store_name(d.hf_embeddings_repo_id, m.model_name_or_path, *([f"adapter-{m.adapter_type}", m.adapter_name, m.adapter_path] if m.adapter_type else []))
+            store = encoding.store_name(
+                d.hf_embeddings_repo_id, m.model_name_or_path,
+                *([f"adapter-{m.adapter_type}", m.adapter_name, m.adapter_path] if m.adapter_type else [])
+            )
             if encoding.finished(self.spark, store):
                 return tables.vectors(self.spark, store, d.hf_embeddings_docno_column, d.hf_embeddings_vector_column, self.full.dimension, corpus)
             if d.full_embeddings_source == "hf_dataset":
@@ -114,18 +123,30 @@ class Experiment:
 
     def bm25_run(self, corpus: DataFrame, topics: DataFrame, k: int, first_rank: int = 0) -> DataFrame:
         d = self.cfg.data
-        index = bm25.resolve(self.spark, d.local_terrier_index_path, corpus, True if not d.local_terrier_index_path else d.build_local_terrier_index_if_missing)
+        index = bm25.resolve(
+            self.spark, d.local_terrier_index_path, corpus,
+            True if not d.local_terrier_index_path else d.build_local_terrier_index_if_missing
+        )
         return bm25.run(index, topics, k, self.cfg.retrieval.terrier_wmodel, first_rank)
 
     def relevance(self, routed: routing.Routed, corpus: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
         r, k = self.cfg.utility.relevance, self.cfg.retrieval.candidate_k
         source = "bm25" if r.mode == "model" else r.weak_source
-        lexical = lambda: relevance.head(self.bm25_run(corpus, routed.opt_topics, k).join(corpus.select("docno"), "docno", "left_semi"), r.top_k_candidates)
-        vectors = lambda: dense.search(queries, docs.select("docno", F.col("v").alias("vec")), min(k, r.top_k_candidates), self.cfg.model.similarity, first_rank=0)
+        lexical = lambda: relevance.head(
+            self.bm25_run(corpus, routed.opt_topics, k).join(corpus.select("docno"), "docno", "left_semi"),
+            r.top_k_candidates
+        )
+        vectors = lambda: dense.search(
+            queries, docs.select("docno", F.col("v").alias("vec")), min(k, r.top_k_candidates),
+            self.cfg.model.similarity, first_rank=0
+        )
         run = lexical() if source == "bm25" else vectors() if source == "dense" else relevance.fuse(lexical(), vectors(), r.rerank_k)
         pairs = relevance.estimate(r.mode, run, routed.opt_topics, corpus, r.calibration, r.high_impact_fraction, self.scorer)
         s = r.scale
-        return relevance.judged(pairs, routing.utility_qrels(routed), r.qrel_adjustment, s.mode, s.min_label, s.max_label, s.explicit_map, self.cfg.utility.relevance_threshold)
+        return relevance.judged(
+            pairs, routing.utility_qrels(routed), r.qrel_adjustment, s.mode, s.min_label, s.max_label, s.explicit_map,
+            self.cfg.utility.relevance_threshold
+        )
 
     def utilities(self, routed: routing.Routed, corpus: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
         u = self.cfg.utility
@@ -133,12 +154,21 @@ class Experiment:
             return utility.residual(docs, self.profiles, int(u.residual_norm.norm), u.residual_norm.epsilon), None, None
         queries = self.query_vectors(routed.opt_topics)
         pairs = self.relevance(routed, corpus, docs, queries)
-        scored = utility.observed(pairs, queries, docs, self.profiles, metric=u.metric, similarity=self.cfg.model.similarity, epsilon=u.epsilon, alpha=u.alpha, negatives=u.margin_negatives)
+        scored = utility.observed(
+            pairs, queries, docs, self.profiles, metric=u.metric, similarity=self.cfg.model.similarity,
+            epsilon=u.epsilon, alpha=u.alpha, negatives=u.margin_negatives
+        )
         tail = None
         unranked = docs.select("docno").join(pairs.select("docno"), "docno", "left_anti")
-        t = utility.Tail(u.tail.mode, u.tail.target_residual, u.tail.conservatism_beta, u.tail.expected_fraction, u.tail.max_tail_relevance, u.tail.profile_quality, u.tail.sampled_quality_queries, u.tail.utility_low)
+        t = utility.Tail(
+            u.tail.mode, u.tail.target_residual, u.tail.conservatism_beta, u.tail.expected_fraction,
+            u.tail.max_tail_relevance, u.tail.profile_quality, u.tail.sampled_quality_queries, u.tail.utility_low
+        )
         if u.tail.mode == "rbp_residual_interval":
-            quality = utility.padding_quality(docs, self.profiles) if t.quality == "cosine_padding" else utility.sampled_quality(docs, queries, self.profiles, u.metric, self.cfg.model.similarity, t.sampled_queries, u.seed, u.epsilon, u.alpha, u.margin_negatives)
+            quality = utility.padding_quality(docs, self.profiles) if t.quality == "cosine_padding" else utility.sampled_quality(
+                docs, queries, self.profiles, u.metric, self.cfg.model.similarity, t.sampled_queries, u.seed, u.epsilon,
+                u.alpha, u.margin_negatives
+            )
             tail = kept(utility.tail_utility(unranked, docs, quality, t))
         self.tail = utility.tail_report(t, tail, unranked.count() if tail is not None else 0)
         return utility.table(docs, self.profiles, utility.mean_utility(scored), tail, u.default_utility_profile_name), pairs, scored
@@ -152,18 +182,30 @@ class Experiment:
         docs = self.doc_vectors(corpus)
         table, pairs, scored = self.utilities(routed, corpus, docs)
         o = cfg.optimization
-        solved = knapsack.solve(table, self.profiles, C.budget(cfg), o.max_iter, o.tolerance, o.lambda_low, o.lambda_high, cfg.execution.dtype)
-        log.info("%d documents assigned: %d of %d bytes", solved.report["num_docs"], solved.report["total_cost_bytes"], solved.report["budget_bytes"])
+        solved = knapsack.solve(
+            table, self.profiles, C.budget(cfg), o.max_iter, o.tolerance, o.lambda_low, o.lambda_high,
+            cfg.execution.dtype
+        )
+        log.info(
+            "%d documents assigned: %d of %d bytes", solved.report["num_docs"], solved.report["total_cost_bytes"],
+            solved.report["budget_bytes"]
+        )
         dims = with_profiles(docs.select("docno"), self.profiles, cfg.execution.dtype).select("docno", "profile", "dimension")
         queries = self.query_vectors(routed.eval_topics)
         assigned = solved.assignments.join(dims, ["docno", "profile"])
         baseline = self.bm25_run(corpus, routed.eval_topics, cfg.retrieval.top_k, 1) if cfg.retrieval.include_bm25_baseline else None
         if cfg.retrieval.mode == "dense_exact":
-            runs = dense.runs(queries, docs, self.profiles, assigned, cfg.retrieval.top_k, cfg.model.similarity, self.full.name, bm25=baseline)
+            runs = dense.runs(
+                queries, docs, self.profiles, assigned, cfg.retrieval.top_k, cfg.model.similarity, self.full.name,
+                bm25=baseline
+            )
         else:
             runs = self.reranked(queries, docs, self.bm25_run(corpus, routed.eval_topics, cfg.retrieval.candidate_k), assigned, baseline)
         scores = evaluation.per_query(runs, routed.eval_qrels)
-        report = {"optimization": solved.report, "routing": routing.metadata(routed).first().asDict(), "memory": reporting.memory_summary(solved.assignments, self.full.cost(cfg.execution.dtype)).first().asDict()}
+        report = {
+            "optimization": solved.report, "routing": routing.metadata(routed).first().asDict(),
+            "memory": reporting.memory_summary(solved.assignments, self.full.cost(cfg.execution.dtype)).first().asDict()
+        }
         if pairs is not None:
             report["tail"] = self.tail
             report["coverage"] = utility.coverage(docs.select("docno"), pairs, utility.mean_utility(scored)).first().asDict()
@@ -172,7 +214,11 @@ class Experiment:
     def reranked(self, queries: DataFrame, docs: DataFrame, found: DataFrame, assigned: DataFrame, baseline: DataFrame | None) -> DataFrame:
         """The same runs over lexical candidates."""
         corpora = {"full_run": dense.cut(docs, self.full.dimension)}
-        corpora |= {f"profile_{p.name}_run": dense.cut(docs, p.dimension) for p in sorted(self.profiles, key=lambda p: (p.dimension, p.name), reverse=True) if p != self.full}
+        corpora |= {
+            f"profile_{p.name}_run": dense.cut(docs, p.dimension) for p in sorted(
+                self.profiles, key=lambda p: (p.dimension, p.name), reverse=True
+            ) if p != self.full
+        }
         corpora["optimized_run"] = dense.materialize(docs, assigned)
         every = [("bm25_run", baseline)] if baseline is not None else []
         every += [(n, dense.rerank(found, queries, c, self.cfg.model.similarity)) for n, c in corpora.items()]
@@ -197,7 +243,11 @@ class Experiment:
         sinks.save_config(self.spark, self.cfg, f"{f}/config_snapshot.yaml")
 
 
-def benchmark(spark: SparkSession, topics: DataFrame, qrels: DataFrame, corpus: DataFrame, models: dict[str, encoding.Encoder], dimensions: list[int], k: int = 100, similarity: str = "dot", candidates: DataFrame | None = None, cache: str | None = None, output: str | None = None) -> DataFrame:
+def benchmark(
+    spark: SparkSession, topics: DataFrame, qrels: DataFrame, corpus: DataFrame, models: dict[str, encoding.Encoder],
+    dimensions: list[int], k: int = 100, similarity: str = "dot", candidates: DataFrame | None = None,
+    cache: str | None = None, output: str | None = None
+) -> DataFrame:
     """Models by dimensions: `model_id`, `dimension`, `metric`, `value`. Each model encodes once at its full width; all widths are searched in one pass. With candidates, these are reranked.
 
     cache: a folder that keeps vectors by model, role, width and ids. output: a folder for the four result files.
@@ -208,7 +258,11 @@ def benchmark(spark: SparkSession, topics: DataFrame, qrels: DataFrame, corpus:
         if not cache:
             return kept(make(df))
         ids = df.select(F.coalesce(F.sum(F.xxhash64(key, text).cast("decimal(38,0)")), F.lit(0)), F.count("*")).first()
-        return encoding.cached(spark, f"{cache}/{encoding.store_name(role, encoder.name)}", encoding.context(model=encoder.name, role=role, width=encoder.width, ids=tuple(map(str, ids))), df, make, key)
+        return encoding.cached(
+            spark, f"{cache}/{encoding.store_name(role, encoder.name)}",
+            encoding.context(model=encoder.name, role=role, width=encoder.width, ids=tuple(map(str, ids))), df, make,
+            key
+        )
 
     runs = None
     for name, encoder in models.items():
@@ -227,5 +281,11 @@ def benchmark(spark: SparkSession, topics: DataFrame, qrels: DataFrame, corpus:
     long = reporting.to_long(wide, ["model_id", "dimension"], list(evaluation.MEASURES))
     if output:
         long = kept(long)
-        sinks.save_benchmark(long, ["model_id", "dimension"], list(evaluation.MEASURES), output, {"models": sorted(models), "dimensions": dimensions, "k": k, "similarity": similarity, "mode": "full" if candidates is None else "candidates"})
+        sinks.save_benchmark(
+            long, ["model_id", "dimension"], list(evaluation.MEASURES), output,
+            {
+                "models": sorted(models), "dimensions": dimensions, "k": k, "similarity": similarity,
+                "mode": "full" if candidates is None else "candidates"
+            }
+        )
     return long

@@ -74,7 +74,11 @@ CHOICES = {
     "optimization.algorithm": ("lagrangian_relaxation", "lagrangian_dual"),
     "execution.embedding_checkpoint_resume": ("auto", "restart", "fail"),
 }
-POSITIVE = ("retrieval.candidate_k", "retrieval.top_k", "utility.margin_negatives", "utility.residual_norm.epsilon", "utility.relevance.top_k_candidates", "utility.relevance.rerank_k", "utility.relevance.validation_qids_limit", "utility.tail.sampled_quality_queries", "execution.embedding_checkpoint_every_docs")
+POSITIVE = (
+    "retrieval.candidate_k", "retrieval.top_k", "utility.margin_negatives", "utility.residual_norm.epsilon",
+    "utility.relevance.top_k_candidates", "utility.relevance.rerank_k", "utility.relevance.validation_qids_limit",
+    "utility.tail.sampled_quality_queries", "execution.embedding_checkpoint_every_docs"
+)
 UNIT = ("utility.relevance.high_impact_fraction", "utility.tail.target_residual", "utility.tail.expected_fraction")
 
 
@@ -189,7 +193,12 @@ def catalogue(cfg: SimpleNamespace) -> list:
     return [Profile(p.name, int(p.dimension), p.cost_bytes, p.layer, p.normalize) for p in cfg.profiles]
 
 
-_EVAL = {"pyterrier_dataset": "eval_pyterrier_dataset", "dataset_provider": "eval_dataset_provider", "topics_variant": "eval_topics_variant", "qrels_variant": "eval_qrels_variant", "local_corpus_path": "local_eval_corpus_path", "local_topics_path": "local_eval_topics_path", "local_qrels_path": "local_eval_qrels_path"}
+_EVAL = {
+    "pyterrier_dataset": "eval_pyterrier_dataset", "dataset_provider": "eval_dataset_provider",
+    "topics_variant": "eval_topics_variant", "qrels_variant": "eval_qrels_variant",
+    "local_corpus_path": "local_eval_corpus_path", "local_topics_path": "local_eval_topics_path",
+    "local_qrels_path": "local_eval_qrels_path"
+}
 
 
 def has_eval_overrides(cfg: SimpleNamespace) -> bool:

@@ -35,7 +35,10 @@ BROADCAST_BYTES = 32 << 20
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """df as a table to be broadcast, if its values are counted to have `most` bytes at most; else as it is."""
-    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) if kind == "string" else F.lit(0) for c, kind in df.dtypes), F.lit(16 * len(df.columns)))
+    width = sum(
+        (F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) if kind == "string" else F.lit(0) for c, kind in df.dtypes),
+        F.lit(16 * len(df.columns))
+    )
     return F.broadcast(df) if (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= most else df
 
 

@@ -38,7 +38,10 @@ def qrels(spark: SparkSession, path: str | None, label_column: str = "label", of
     return q.join(of.select("qid"), "qid", "left_semi") if of is not None else q
 
 
-def corpus(spark: SparkSession, path: str, fields: tuple[str, ...] = ("text",), docno_column: str = "docno", max_docs: int | None = None) -> DataFrame:
+def corpus(
+    spark: SparkSession, path: str, fields: tuple[str, ...] = ("text",), docno_column: str = "docno",
+    max_docs: int | None = None
+) -> DataFrame:
     """`docno`, `text` of a parquet table: its fields, a line each."""
     c = spark.read.parquet(path).select(F.col(docno_column).cast("string").alias("docno"), compose_text(*fields).alias("text"))
     return c.orderBy("docno").limit(max_docs) if max_docs else c
@@ -52,7 +55,10 @@ def missing_docnos(expected: DataFrame, vectors: DataFrame) -> DataFrame:
     return expected.select("docno").join(vectors.select("docno"), "docno", "left_anti")
 
 
-def vectors(spark: SparkSession, path: str, docno_column: str = "docno", vector_column: str = "full_embedding", width: int | None = None, expected: DataFrame | None = None) -> DataFrame:
+def vectors(
+    spark: SparkSession, path: str, docno_column: str = "docno", vector_column: str = "full_embedding",
+    width: int | None = None, expected: DataFrame | None = None
+) -> DataFrame:
     """`docno`, `v`, checked: known columns, one row a document, one width, and no document of `expected` missing."""
     d = spark.read.parquet(path)
     if {docno_column, vector_column} - set(d.columns):

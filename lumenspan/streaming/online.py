@@ -1,4 +1,6 @@
-"""Online choice of profiles on a stream: at the multiplier of a finished optimisation, a document's profile needs nothing but its own vector."""
+"""Online choice of profiles on a stream: at the multiplier of a finished optimisation, a document's profile needs nothing but its
+own vector.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +22,10 @@ def choose(docs: DataFrame, profiles: list[Profile], lam: float, p: int = 2, dty
     """`docno`, `profile`, `utility`, `cost_bytes` of a batch or a stream of `docno`, `v`."""
     costs = [x.cost(dtype) for x in profiles]
     k = knapsack.online(utilities(docs, profiles, p), costs, [x.name for x in profiles], lam)
-    return k.select("docno", "profile", F.element_at("u", F.col("k") + 1).alias("utility"), F.element_at(F.array(*(F.lit(c).cast("long") for c in costs)), F.col("k") + 1).alias("cost_bytes"))
+    return k.select(
+        "docno", "profile", F.element_at("u", F.col("k") + 1).alias("utility"),
+        F.element_at(F.array(*(F.lit(c).cast("long") for c in costs)), F.col("k") + 1).alias("cost_bytes")
+    )
 
 
 def start(spark: SparkSession, source: str, schema: str, profiles: list[Profile], lam: float, sink: str, checkpoint: str) -> StreamingQuery:

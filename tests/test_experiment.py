@@ -29,16 +29,32 @@ def cfg(spark, tmp_path):
 def test_residual_experiment(spark, cfg, tmp_path):
     e = Experiment(spark, cfg(utility={"estimator": "residual_norm", "residual_norm": {"norm": 1}}))
     r = e.run()
-    assert {x["run"] for x in r.runs.select("run").distinct().collect()} == {"full_run", "profile_d16_run", "profile_d8_run", "optimized_run"}
+    assert {x["run"] for x in r.runs.select("run").distinct().collect()} == {
+        "full_run", "profile_d16_run", "profile_d8_run", "optimized_run"
+    }
     assert r.report["optimization"]["total_cost_bytes"] <= 240 and r.assignments.count() == 6
     e.persist(r)
     assert spark.read.csv(f"{e.folder}/pt_experiment.csv", header=True).count() == 4 * len(evaluation.MEASURES)
     assert config.as_dict(config.load(f"{e.folder}/config_snapshot.yaml")) == config.as_dict(e.cfg)
 
 
-@pytest.mark.parametrize("source, tail, metric", [("bm25", "static_default", "relative_score_dissimilarity"), ("hybrid_rerank", "rbp_residual_interval", "hybrid_score_margin_utility"), ("dense", "rbp_residual_interval", "absolute_score_utility")])
+@pytest.mark.parametrize(
+    "source, tail, metric",
+    [
+        ("bm25", "static_default", "relative_score_dissimilarity"),
+        ("hybrid_rerank", "rbp_residual_interval", "hybrid_score_margin_utility"),
+        ("dense", "rbp_residual_interval", "absolute_score_utility")
+    ]
+)
 def test_query_log_experiments(spark, cfg, source, tail, metric):
-    c = cfg(data={"local_topics_path": cfg().data.local_topics_path, "local_qrels_path": cfg().data.local_qrels_path, "local_corpus_path": cfg().data.local_corpus_path, "single_log_policy": "split_by_qrels"}, utility={"metric": metric, "relevance": {"weak_source": source, "top_k_candidates": 4}, "tail": {"mode": tail}}, retrieval={"include_bm25_baseline": source == "bm25", "top_k": 5})
+    c = cfg(
+        data={
+            "local_topics_path": cfg().data.local_topics_path, "local_qrels_path": cfg().data.local_qrels_path,
+            "local_corpus_path": cfg().data.local_corpus_path, "single_log_policy": "split_by_qrels"
+        },
+        utility={"metric": metric, "relevance": {"weak_source": source, "top_k_candidates": 4}, "tail": {"mode": tail}},
+        retrieval={"include_bm25_baseline": source == "bm25", "top_k": 5}
+    )
     r = Experiment(spark, c).run()
     assert r.utility.count() == 18 and r.utility.where("utility IS NULL").count() == 0
     assert r.report["routing"]["opt_queries"] == 2 == r.report["routing"]["eval_queries"]

@@ -10,7 +10,10 @@ P = [Profile("a", 8, 16), Profile("b", 16, 32), Profile("c", 32, 64)]
 
 
 def table(spark, u):
-    return spark.createDataFrame([(f"d{i:03d}", P[j].name, float(x)) for i, row in enumerate(u) for j, x in enumerate(row)], "docno string, profile string, utility double")
+    return spark.createDataFrame(
+        [(f"d{i:03d}", P[j].name, float(x)) for i, row in enumerate(u) for j, x in enumerate(row)],
+        "docno string, profile string, utility double"
+    )
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -31,9 +34,14 @@ def test_passes_over_the_table_and_arrays_agree(spark):
     rng = np.random.default_rng(11)
     u = np.sort(rng.random((25, 3)).round(2), axis=1)
     a, b = (K.solve(table(spark, u), P, 900, max_iter=12, local=n) for n in (K.LOCAL, 0))
-    same = ("total_cost_bytes", "selected_candidate_origin", "num_upgrades", "num_downgrades", "search_iterations", "tolerance_reached", "lambda_star")
+    same = (
+        "total_cost_bytes", "selected_candidate_origin", "num_upgrades", "num_downgrades", "search_iterations",
+        "tolerance_reached", "lambda_star"
+    )
     assert {k: a.report[k] for k in same} == {k: b.report[k] for k in same}
-    assert sorted(map(tuple, a.assignments.select("docno", "profile").collect())) == sorted(map(tuple, b.assignments.select("docno", "profile").collect()))
+    assert sorted(
+        map(tuple, a.assignments.select("docno", "profile").collect())
+    ) == sorted(map(tuple, b.assignments.select("docno", "profile").collect()))
 
 
 def test_utilities_that_nearly_tie_are_summed_alike(spark):
@@ -56,7 +64,10 @@ def test_strategies_can_be_replaced(spark):
 
 
 def test_moves_that_do_not_fit_are_skipped(spark):
-    p = K.Problem(spark.createDataFrame([("x", [0.0, 0.1, 0.9]), ("y", [0.0, 0.2, 0.2]), ("z", [0.0, 0.1, 0.1])], "docno string, u array<double>"), ["a", "b", "c"], [16, 32, 64], 16 * 3 + 40, 3)
+    p = K.Problem(
+        spark.createDataFrame([("x", [0.0, 0.1, 0.9]), ("y", [0.0, 0.2, 0.2]), ("z", [0.0, 0.1, 0.1])], "docno string, u array<double>"),
+        ["a", "b", "c"], [16, 32, 64], 16 * 3 + 40, 3
+    )
     taken, n, spent = K.upgrade_round(K.upgrade_moves(K.cheapest(p).chosen, p), 40)
     assert {r["docno"] for r in taken.collect()} == {"y", "z"} and (n, spent) == (2, 32)
 

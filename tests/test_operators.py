@@ -15,7 +15,10 @@ P = [Profile("d2", 2), Profile("full", 4)]
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([("a", [1.0, 0.0, 0.0, 0.0]), ("b", [0.0, 0.0, 3.0, 4.0]), ("c", [0.0, 0.0, 0.0, 0.0]), ("d", [1.0, 0.0, 0.0, 0.0])], "docno string, v array<float>")
+    return spark.createDataFrame(
+        [("a", [1.0, 0.0, 0.0, 0.0]), ("b", [0.0, 0.0, 3.0, 4.0]), ("c", [0.0, 0.0, 0.0, 0.0]), ("d", [1.0, 0.0, 0.0, 0.0])],
+        "docno string, v array<float>"
+    )
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +28,10 @@ def queries(spark):
 
 def test_residual_utility_guards(spark, docs):
     got = {(r["docno"], r["profile"]): r["utility"] for r in utility.residual(docs, P).collect()}
-    assert got == {("a", "d2"): 1.0, ("a", "full"): 1.0, ("b", "d2"): 0.0, ("b", "full"): 1.0, ("c", "d2"): 1.0, ("c", "full"): 1.0, ("d", "d2"): 1.0, ("d", "full"): 1.0}
+    assert got == {
+        ("a", "d2"): 1.0, ("a", "full"): 1.0, ("b", "d2"): 0.0, ("b", "full"): 1.0, ("c", "d2"): 1.0,
+        ("c", "full"): 1.0, ("d", "d2"): 1.0, ("d", "full"): 1.0
+    }
 
 
 def test_residual_utility_grows_with_the_prefix(spark):
@@ -39,7 +45,11 @@ def test_search_breaks_ties_by_docno_and_agrees_with_pairs(spark, docs, queries)
     full = dense.materialize(docs, dense.uniform(docs, P[1]))
     got = [tuple(r) for r in dense.search(queries, full, 3).orderBy("qid", "rank").collect()]
     assert [x[1] for x in got if x[0] == "1"] == ["b", "a", "d"]
-    pairs = {(r["qid"], r["docno"]): r["full_score"] for r in dense.pair_scores(queries.select("qid").join(F.broadcast(docs.select("docno"))), queries, docs, P[1:]).collect()}
+    pairs = {
+        (r["qid"], r["docno"]): r["full_score"] for r in dense.pair_scores(
+            queries.select("qid").join(F.broadcast(docs.select("docno"))), queries, docs, P[1:]
+        ).collect()
+    }
     assert all(abs(pairs[q, d] - s) < 1e-9 for q, d, s, _ in got)
 
 
@@ -111,7 +121,10 @@ def test_uniform_assignment_is_the_full_run(spark, docs, queries):
 
 
 def test_hard_negatives_leave_the_row_out(spark):
-    s = spark.createDataFrame([("q", "p", f"d{i}", float(x)) for i, x in enumerate([5, 4, 4, 3, 1])] + [("r", "p", "d0", 1.0)], "qid string, profile string, docno string, s double")
+    s = spark.createDataFrame(
+        [("q", "p", f"d{i}", float(x)) for i, x in enumerate([5, 4, 4, 3, 1])] + [("r", "p", "d0", 1.0)],
+        "qid string, profile string, docno string, s double"
+    )
     got = {(r["qid"], r["docno"]): r["s_negative"] for r in utility.hard_negatives(s, "s", 2).collect()}
     x = [5, 4, 4, 3, 1]
     for i in range(5):
@@ -120,7 +133,10 @@ def test_hard_negatives_leave_the_row_out(spark):
 
 
 def test_calibration_of_single_candidates(spark):
-    run = spark.createDataFrame([("q", "a", 3.0, 0), ("r", "a", 2.0, 0), ("r", "b", 1.0, 1), ("r", "c", 0.0, 2)], "qid string, docno string, score double, rank int")
+    run = spark.createDataFrame(
+        [("q", "a", 3.0, 0), ("r", "a", 2.0, 0), ("r", "b", 1.0, 1), ("r", "c", 0.0, 2)],
+        "qid string, docno string, score double, rank int"
+    )
     got = {(r["qid"], r["docno"]): (r["relevance_final"], r["confidence"], r["uncertainty"]) for r in relevance.calibrate(run).collect()}
     assert got == {("q", "a"): (0.0, 0.0, 1.0), ("r", "a"): (1.0, 0.5, 0.5), ("r", "b"): (0.5, 0.0, 1.0), ("r", "c"): (0.0, 0.5, 0.5)}
 
@@ -130,7 +146,9 @@ def test_judgements_fan_out_and_keep_unknown_labels(spark):
     qrels = spark.createDataFrame([("q", "a", "2"), ("q", "a", "3"), ("q", "b", "x")], "qid string, docno string, label string")
     assert sorted(r["relevance_final"] for r in relevance.judged(run, qrels).collect()) == pytest.approx([0.0, 2 / 3, 1.0])
     m = relevance.judged(run, qrels, scale="explicit_map", mapping={"3": 0.5})
-    assert sorted((r["docno"], r["relevance_final"], r["is_qrel_overridden"]) for r in m.collect()) == [("a", 0.5, True), ("a", 1.0, True), ("b", 0.0, False)]
+    assert sorted(
+        (r["docno"], r["relevance_final"], r["is_qrel_overridden"]) for r in m.collect()
+    ) == [("a", 0.5, True), ("a", 1.0, True), ("b", 0.0, False)]
     with pytest.raises(ValueError):
         relevance.judged(run, qrels, label="grade")
 
@@ -158,7 +176,10 @@ def test_routing(spark):
 
 
 def test_measures_by_hand(spark):
-    runs = spark.createDataFrame([("r", "1", "a", 3.0), ("r", "1", "b", 2.0), ("r", "1", "c", 1.0)], "run string, qid string, docno string, score double")
+    runs = spark.createDataFrame(
+        [("r", "1", "a", 3.0), ("r", "1", "b", 2.0), ("r", "1", "c", 1.0)],
+        "run string, qid string, docno string, score double"
+    )
     qrels = spark.createDataFrame([("1", "b", 2), ("1", "z", 1), ("2", "a", 2)], "qid string, docno string, label int")
     got = {r["qid"]: r for r in evaluation.per_query(runs, qrels).collect()}
     dcg, idcg = 2 / np.log2(3), 2 + 1 / np.log2(3)
@@ -179,7 +200,10 @@ def test_text_functions(spark):
 
 
 def test_training_data(spark):
-    n = spark.createDataFrame([("q", [("p1",), ("p2",)], [("n1",), ("n2",), ("n3",)]), ("r", [("p",)], [])], "query string, positive_passages array<struct<text string>>, negative_passages array<struct<text string>>")
+    n = spark.createDataFrame(
+        [("q", [("p1",), ("p2",)], [("n1",), ("n2",), ("n3",)]), ("r", [("p",)], [])],
+        "query string, positive_passages array<struct<text string>>, negative_passages array<struct<text string>>"
+    )
     t = training.nested(n)
     assert t.count() == 6 and training.nested(n, negatives=None).count() == 3
     with pytest.raises(ValueError):
@@ -196,7 +220,9 @@ def test_files_and_streams(spark, tmp_path, docs):
     t = tables.topics(spark, str(tmp_path / "t.tsv"), max_queries=1)
     assert [tuple(r) for r in t.collect()] == [("1", "a")]
     assert tables.qrels(spark, str(tmp_path / "q.tsv"), of=t).count() == 1 and tables.qrels(spark, None).count() == 0
-    (tmp_path / "s.json").write_text('{"global_step": 2, "log_history": [{"step": 1, "loss": 0.5}, {"step": 2, "loss": "nan?", "epoch": 1.0}]}')
+    (tmp_path / "s.json").write_text(
+        '{"global_step": 2, "log_history": [{"step": 1, "loss": 0.5}, {"step": 2, "loss": "nan?", "epoch": 1.0}]}'
+    )
     assert [(r["step"], r["loss"]) for r in tables.trainer_log(spark, str(tmp_path / "s.json")).collect()] == [(1.0, 0.5), (2.0, None)]
     for i, head in enumerate(("name,a", "name,b")):
         (tmp_path / f"r{i}").mkdir()
@@ -263,9 +289,14 @@ def test_fallbacks_of_evaluation_are_told():
 
 def test_tail_reports(spark):
     t = utility.Tail("rbp_residual_interval")
-    scored = spark.createDataFrame([("a", "p", 0.1, 0.5), ("b", "p", 0.3, 1.0), ("a", "q", 0.0, 0.25)], "docno string, profile string, utility double, profile_quality double")
+    scored = spark.createDataFrame(
+        [("a", "p", 0.1, 0.5), ("b", "p", 0.3, 1.0), ("a", "q", 0.0, 0.25)],
+        "docno string, profile string, utility double, profile_quality double"
+    )
     r = utility.tail_report(t, scored, 2)
-    assert r["tail_profile_quality_mean_by_profile"] == {"p": 0.75, "q": 0.25} and (r["tail_utility_min"], r["tail_utility_max"]) == (0.0, 0.3) and abs(r["tail_utility_mean"] - 0.4 / 3) < 1e-12
+    assert r["tail_profile_quality_mean_by_profile"] == {"p": 0.75, "q": 0.25} and (
+        r["tail_utility_min"], r["tail_utility_max"]
+    ) == (0.0, 0.3) and abs(r["tail_utility_mean"] - 0.4 / 3) < 1e-12
     for none in (utility.tail_report(t, None, 0), utility.tail_report(t, scored.limit(0), 0)):
         assert none["tail_utility_max"] == 0.0 and none["tail_profile_quality_mean_by_profile"] == {} and none["tail_expected_relevance_per_doc"] == 0.0
     with pytest.raises(ValueError):
@@ -274,17 +305,31 @@ def test_tail_reports(spark):
 
 def test_scores(spark):
     f, r = F.lit(2.0), F.lit(-1.0)
-    got = spark.range(1).select(S.relative(f, r), S.absolute(f, r), S.squared(f, r), S.unit_scale(F.lit(5.0), 0, 3), S.rank_discount(F.lit(0)), S.slug(F.lit(" a/b--c. "))).first()
+    got = spark.range(1).select(
+        S.relative(f, r), S.absolute(f, r), S.squared(f, r), S.unit_scale(F.lit(5.0), 0, 3), S.rank_discount(F.lit(0)),
+        S.slug(F.lit(" a/b--c. "))
+    ).first()
     assert list(got) == [-0.5, 0.25, 0.1, 1.0, 1.0, "a-b-c"]
     assert S.budget_bytes(None, 0.5) == 1 << 29 and S.budget_bytes(7, 0.5) == 7
     half = spark.range(1).select(V.rounded(F.array(F.lit(0.1), F.lit(0.0), F.lit(-3.14159)), "float16").alias("h")).first()["h"]
     assert half == [float(np.float16(x)) for x in (0.1, 0.0, -3.14159)]
 
 
-RAW = {"data": {"local_topics_path": "t", "local_qrels_path": "q", "local_corpus_path": "c"}, "profiles": [{"name": "d2", "dimension": 2}, {"name": "full", "dimension": 4}]}
+RAW = {
+    "data": {"local_topics_path": "t", "local_qrels_path": "q", "local_corpus_path": "c"},
+    "profiles": [{"name": "d2", "dimension": 2}, {"name": "full", "dimension": 4}]
+}
 
 
-@pytest.mark.parametrize("bad", [{"utility": {"metric": "x"}}, {"nothing": {}}, {"data": {"x": 1}}, {"profiles": []}, {"optimization": {"mode": "streaming"}}, {"retrieval": {"top_k": 0}}, {"profiles": [{"name": "full", "dimension": 2}, {"name": "d4", "dimension": 4}]}, {"data": {}}, {"utility": {"relevance": {"scale": {"mode": "explicit_map"}}}}])
+@pytest.mark.parametrize(
+    "bad",
+    [
+        {"utility": {"metric": "x"}}, {"nothing": {}}, {"data": {"x": 1}}, {"profiles": []},
+        {"optimization": {"mode": "streaming"}}, {"retrieval": {"top_k": 0}},
+        {"profiles": [{"name": "full", "dimension": 2}, {"name": "d4", "dimension": 4}]}, {"data": {}},
+        {"utility": {"relevance": {"scale": {"mode": "explicit_map"}}}}
+    ]
+)
 def test_configurations_that_are_refused(bad):
     with pytest.raises(config.ConfigError):
         config.parse(RAW | bad)
@@ -292,8 +337,15 @@ def test_configurations_that_are_refused(bad):
 
 def test_configuration_of_older_names():
     with pytest.warns(UserWarning):
-        c = config.parse(RAW | {"data": RAW["data"] | {"candidates_per_query": 7, "candidate_source": "pyterrier_bm25"}, "optimization": {"algorithm": "lagrangian_dual", "budget_gb": 1}})
-    assert (c.retrieval.candidate_k, c.retrieval.mode, c.optimization.algorithm, config.budget(c)) == (7, "pyterrier_candidates", "lagrangian_relaxation", 1 << 30)
+        c = config.parse(
+            RAW | {
+                "data": RAW["data"] | {"candidates_per_query": 7, "candidate_source": "pyterrier_bm25"},
+                "optimization": {"algorithm": "lagrangian_dual", "budget_gb": 1}
+            }
+        )
+    assert (
+        c.retrieval.candidate_k, c.retrieval.mode, c.optimization.algorithm, config.budget(c)
+    ) == (7, "pyterrier_candidates", "lagrangian_relaxation", 1 << 30)
 
 
 def test_approximate_search_finds_most(spark):

@@ -32,7 +32,11 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert names == sorted(rel.columns)
     want = rel.df()[names]
     a = sorted(tuple(shown(r[c]) for c in names) for r in got.collect())
-    b = sorted(tuple(shown(None if x is None or x != x else float(x) if isinstance(x, float) else x) for x in row) for row in want.astype(object).where(want.notna(), None).itertuples(index=False))
+    b = sorted(
+        tuple(
+            shown(None if x is None or x != x else float(x) if isinstance(x, float) else x) for x in row
+        ) for row in want.astype(object).where(want.notna(), None).itertuples(index=False)
+    )
     assert a == b
 
 
