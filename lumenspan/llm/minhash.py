@@ -532,7 +532,8 @@ def _between_parts(nodes: DataFrame, groups: DataFrame, parts: DataFrame, sets:
 
 
 def near_duplicates(df: DataFrame, percent: int = 75, k: int = SHINGLE, hot: int = HOT, tag: str | None = None) -> DataFrame:
-    """`doc_id`, `n_shingles`, `component_id`, `kept` for each row of `doc_id`, `text`; and the column `tag` (long), if one is named.
+    """`doc_id`, `n_shingles`, `component_id`, `kept` for each row of `doc_id`, `text`. If a column `tag` (long) is named, also it
+    and `group_id`, which tells components apart even if ids repeat (null for rows that stand alone).
 
     Documents whose k-word shingle sets have a Jaccard similarity of `percent` hundredths or more are linked; component_id is
     the smallest doc_id reachable over links. Null, empty and blank texts have an empty set and stand alone, as do rows without
@@ -573,15 +574,15 @@ def near_duplicates(df: DataFrame, percent: int = 75, k: int = SHINGLE, hot: int
     inside = roots.union(
         roots.select(F.col("root").alias("node"), "root").distinct()
     ).join(ends.select("rid", "doc"), F.col("node") == F.col("rid")).select("rid", "root", "doc")
-    found = inside.join(inside.groupBy("root").agg(F.min("doc").alias("found")), "root").select("rid", "found")
-    named = classes.select("one", "two", "rid", "doc").join(found, "rid", "left").select(
-        "one", "two", F.coalesce("found", "doc").alias("found")
-    )
+    least = inside.groupBy("root").agg(F.min("doc").alias("found"))
+    found = inside.join(least, "root").select("rid", "root", "found")
+    named = classes.select("one", "two", "rid", "doc").join(found, "rid", "left")
+    named = named.select("one", "two", F.coalesce("found", "doc").alias("found"), F.coalesce("root", "rid").alias("group_id"))
     out = rows.drop("sig").join(named, ["one", "two"], "left")
-    component = F.when(
-        F.col("doc_id").isNotNull(),
-        F.when(F.col("n_shingles") > 0, F.coalesce("found", "doc_id")).otherwise(F.col("doc_id"))
-    )
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), *tags
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", *tags)
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    out = out.withColumns({
+        "component_id": F.when(alone, F.col("doc_id")).otherwise(F.coalesce("found", "doc_id")),
+        "group_id": F.when(~alone, F.col("group_id")),
+    })
+    out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", *([tag, "group_id"] if tag else []))

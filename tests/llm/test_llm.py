@@ -1199,6 +1199,18 @@ def test_pipeline(spark):
         k.unpersist()
 
 
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    """Rows that share an id: different texts stay, near copies and repeated rows leave one, whatever their other columns say."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(4)
+    one, two = sentence(rng, 80), sentence(rng, 80)
+    rows = [(7, one, "en", "s", 1), (7, one, "en", "s", 1), (7, one, "de", "t", 1), (7, one + " more", "en", "s", 1), (7, two, "en", "s", 1), (9, two, "en", "s", 1)]
+    rows += [(11, None, "en", "s", 0), (11, None, "en", "s", 0), (None, two, "en", "s", 1), (None, two, "en", "s", 1)]
+    got = dict(pipeline.STAGES)["near-duplicates"](spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted((r.doc_id, r.text is None, r.text == two) for r in got if r.doc_id) == [(7, False, False), (7, False, True), (11, True, False)]
+    assert sum(r.doc_id is None for r in got) == 2 and set(map(tuple, got)) <= set(rows)
+
+
 def test_pipeline_of_nothing(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     d = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
