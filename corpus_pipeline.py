@@ -31,9 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS))
     found = minhash.near_duplicates(docs, tag="_row").where("kept AND doc_id IS NOT NULL")
-    kept = found.groupBy(
-        "doc_id", F.when(F.col("n_shingles") == 0, F.col("_row"))
-    ).agg(F.min("_row").alias("_row")).select("doc_id", "_row")
+    own = F.when(F.col("group_id").isNull(), F.col("_row"))
+    kept = found.groupBy("doc_id", "group_id", own).agg(F.min("_row").alias("_row")).select("doc_id", "_row")
     named = docs.join(kept, ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"])
     return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
