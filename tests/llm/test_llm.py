@@ -342,6 +342,43 @@ def test_hot_windows_are_combined_in_each_task(spark, monkeypatch):
         assert all(r.a_end - r.a_start >= 70 and r.b < 1000 for r in got)
 
 
+def test_passages_around_a_line_of_many_documents(spark):
+    """Lines of 45 words, too short alone, are in many documents; some share a few words more, but not with the first of them."""
+    rng = random.Random(3)
+    texts, pairs = [], set()
+    for line in (sentence(rng, 45) for _ in range(8)):
+        n = len(texts)
+        texts += [[sentence(rng, 60), line, sentence(rng, 60)] for _ in range(60)]
+        for i in range(6):
+            more = sentence(rng, 6)
+            pairs.add((n + 5 + i, n + 40 + i))
+            for j in (n + 5 + i, n + 40 + i):
+                texts[j].insert(2 if i % 2 else 1, more)
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = substring.shared_passages(df).collect()
+    assert {(r.a, r.b) for r in got} == pairs and all(r.a_end - r.a_start >= 51 for r in got)  # chance may add a word
+
+
+def test_a_passage_between_two_repeated_words(spark):
+    rng = random.Random(4)
+    docs = [(1, ["The"] * 30 + ["one"] * 25 + ["two"] * 35 + ["the"] * 40), (2, ["one"] * 45 + ["two"] * 90), (3, ["two"] * 70)]
+    df = spark.createDataFrame([(i, f"{sentence(rng, 40)} {' '.join(x)} {sentence(rng, 40)}") for i, x in docs], "doc_id long, text string")
+    got = {tuple(r) for r in substring.shared_passages(df).collect()}
+    assert (1, 70, 130, 2, 60, 120) in got and (2, 3) in {(r[0], r[3]) for r in got}
+
+
+def test_windows_of_a_run_in_parts_are_crowded(monkeypatch):
+    """A group of ten has two windows in each part of a run, too few to look crowded there: the whole run counts as crowded."""
+    monkeypatch.setattr(substring, "HELD", 20)
+    monkeypatch.setattr(substring, "READY", 20)
+    rows = [(8, i, i + 100 << 32 | 60 << 16 | 60, (1 << 48) * (1 if i % 10 == 5 else i + 2), 0) for i in range(100)]
+    table = pa.table([pa.array(x) for x in zip(*rows)], names=list(substring._NAMES))
+    links = pa.Table.from_batches(list(substring._linked(iter(table.to_batches(max_chunksize=20))))).to_pylist()
+    told = {r["a"]: r["at"] for r in links if r["a"] == r["b"]}
+    assert set(range(100)) == set(told) and told[5] == 60 << 32 | 105
+    assert {r["a"] for r in links if r["a"] != r["b"]} <= set(range(5, 100, 10))
+
+
 def test_a_hub_comes_to_its_partners_in_blocks(spark, monkeypatch):
     rng = random.Random(10)
     one = sentence(rng, 3000).split()
