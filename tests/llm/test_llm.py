@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenspan.llm import components, fingerprint, html_text, kernel, langid, minhash, mixing, packing, queries, secret_scan, substring, topk, warc
+from lumenspan.llm import components, fingerprint, html_text, kernel, langid, minhash, mixing, packing, queries, runtime, secret_scan, substring, topk, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -359,6 +359,45 @@ def test_passages_around_a_line_of_many_documents(spark):
     assert {(r.a, r.b) for r in got} == pairs and all(r.a_end - r.a_start >= 51 for r in got)  # chance may add a word
 
 
+def test_near_passages_around_a_line_of_many_documents(spark):
+    """The line, another word, and some words that two documents share: 54 words with one change."""
+    rng = random.Random(5)
+    texts, pairs = [], set()
+    for line in (sentence(rng, 45) for _ in range(6)):
+        n = len(texts)
+        texts += [f"{sentence(rng, 60)} {line} {sentence(rng, 60)}" for _ in range(40)]
+        for i in range(6):
+            more = sentence(rng, 8)
+            pairs.add((n + 3 + i, n + 30 + i))
+            for j in (n + 3 + i, n + 30 + i):
+                texts[j] = f"{sentence(rng, 60)} {line} changed{j} {more} {sentence(rng, 60)}"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = substring.shared_passages(df).collect()
+    assert {(r.a, r.b) for r in got} <= pairs and len({(r.a, r.b) for r in got}) >= 0.95 * len(pairs)
+
+
+def test_passages_of_repeated_words_do_not_depend_on_partitions(spark):
+    rng = random.Random(6)
+    docs = [(i, f"{sentence(rng, 30)} {'so ' * (60 + 7 * i)}{'on ' * (50 + i)}{sentence(rng, 30)}") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    one, two = (sorted(map(tuple, substring.shared_passages(df.repartition(n)).collect())) for n in (2, 7))
+    assert one == two and linked_docs(pa.table({"a": [r[0] for r in one], "b": [r[3] for r in one]}), 40)
+
+
+def test_shuffles_of_a_written_table_are_removed(spark):
+    import time
+
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", files.getAllFiles().toString()))
+    before = shuffles()
+    table = runtime.materialize(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), cleanup=True)
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and table.count() == 7 and spark.conf.get(runtime.CLEANUP, None) is None
+
+
 def test_a_passage_between_two_repeated_words(spark):
     rng = random.Random(4)
     docs = [(1, ["The"] * 30 + ["one"] * 25 + ["two"] * 35 + ["the"] * 40), (2, ["one"] * 45 + ["two"] * 90), (3, ["two"] * 70)]
