@@ -404,6 +404,11 @@ def qrels_text(spark: SparkSession, d: str) -> DataFrame:
 SHORT_ITEMS = 1000
 
 
+def text_split(spark: SparkSession, d: str) -> routing.Routed:
+    """Items split by whether a document holds them, which may be all or none. The documents are read for them once."""
+    return routing.split_by_qrels(text_topics(spark, d), kept(qrels_text(spark, d)), allow_empty=True)
+
+
 @query(f"WITH {_TQ} SELECT qid, CASE WHEN qid IN (SELECT qid FROM tq) THEN 'eval' ELSE 'opt' END AS side FROM tt")
 def route_split_by_qrels(spark: SparkSession, d: str) -> DataFrame:
     r = routing.split_by_qrels(text_topics(spark, d), qrels_text(spark, d))
@@ -412,7 +417,7 @@ def route_split_by_qrels(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TQ}, n AS (SELECT (SELECT count(DISTINCT qid) FROM tq) AS e, (SELECT count(*) FROM tt) AS a, (SELECT count(*) FROM tq) AS j) SELECT a - e AS opt_queries, e AS eval_queries, CAST(0 AS BIGINT) AS opt_qrels, j AS eval_qrels, CAST(0 AS BIGINT) AS overlap, 'split_by_qrels' AS mode FROM n")
 def route_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return routing.metadata(routing.split_by_qrels(text_topics(spark, d), qrels_text(spark, d)))
+    return routing.metadata(text_split(spark, d))
 
 
 @query(f"WITH {_BM25}, z AS (SELECT qid, docno, score FROM bm WHERE rank < 20), x AS (SELECT z.qid, z.docno, len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), {_TOK})), list_distinct(t.w))) / greatest(len(list_distinct(list_concat(regexp_extract_all(lower(b.text), {_TOK}), t.w))), 1) AS j FROM z JOIN benchmark b ON CAST(b.item_id AS VARCHAR) = z.qid JOIN t USING (docno)), cand AS (SELECT qid, docno, round(j, 9) AS score FROM x), {_MM}, {_CONF} {_CAL_OUT}")
