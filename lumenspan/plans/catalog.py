@@ -411,7 +411,7 @@ def text_split(spark: SparkSession, d: str) -> routing.Routed:
 
 @query(f"WITH {_TQ} SELECT qid, CASE WHEN qid IN (SELECT qid FROM tq) THEN 'eval' ELSE 'opt' END AS side FROM tt")
 def route_split_by_qrels(spark: SparkSession, d: str) -> DataFrame:
-    r = routing.split_by_qrels(text_topics(spark, d), qrels_text(spark, d))
+    r = text_split(spark, d)
     return r.opt_topics.select("qid", F.lit("opt").alias("side")).union(r.eval_topics.select("qid", F.lit("eval").alias("side")))
 
 
