@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.functions import scores as S
 from lumenspan.functions import vectors as V
-from lumenspan.operators import dense
+from lumenspan.operators import dense, sampled
 from lumenspan.operators.knapsack import running
 from lumenspan.operators.profiles import Profile, check, with_profiles
 
@@ -105,9 +105,11 @@ def sampled_quality(
 
     Margin metrics take a document's negatives from its chunk, `chunk` documents in order of docno.
     """
-    drawn = queries.orderBy(F.xxhash64(F.lit(seed), "qid"), "qid").limit(n)
-    pairs = docs.select("docno").join(F.broadcast(drawn.select("qid")))
+    if metric not in S.METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    drawn = queries if queries.count() <= n else queries.orderBy(F.xxhash64(F.lit(seed), "qid"), "qid").limit(n)
     if metric in S.MARGIN_METRICS:
+        pairs = docs.select("docno").join(F.broadcast(drawn.select("qid")))
         at = running(
             docs.select("docno", F.lit(1).alias("one")), ((F.asc, "docno"),), "one"
         ).select("docno", F.floor(F.col("_pos") / chunk).alias("chunk"))
@@ -121,9 +123,13 @@ def sampled_quality(
                 F.col("reduced_score_negative"), F.col("n"), epsilon, alpha
             )
         )
-    else:
-        s = preserved(pairs, drawn, docs, profiles, metric, similarity, epsilon)
-    return s.groupBy("docno", "profile").agg(S.clip(F.avg("score_preservation")).alias("profile_quality"))
+        return s.groupBy("docno", "profile").agg(S.clip(F.avg("score_preservation")).alias("profile_quality"))
+    own = docs.select("docno", "v")
+    found = sampled.sums(own, drawn, [p.dimension for p in profiles], metric, similarity, epsilon, alpha, negatives)
+    mean = lambda i: S.clip(F.when(F.col("n") > 0, F.col(f"t{i}") / F.col("n")))
+    return found.groupBy("docno").agg(F.sum("n").alias("n"), *(F.sum(f"t{i}").alias(f"t{i}") for i in range(len(profiles)))).select(
+        "docno", F.inline(F.array(*(F.struct(F.lit(p.name).alias("profile"), mean(i).alias("profile_quality")) for i, p in enumerate(profiles))))
+    )
 
 
 def padding_quality(docs: DataFrame, profiles: list[Profile]) -> DataFrame:
