@@ -108,23 +108,10 @@ def sampled_quality(
     if metric not in S.METRICS:
         raise ValueError(f"unknown metric {metric}")
     drawn = queries if queries.count() <= n else queries.orderBy(F.xxhash64(F.lit(seed), "qid"), "qid").limit(n)
-    if metric in S.MARGIN_METRICS:
-        pairs = docs.select("docno").join(F.broadcast(drawn.select("qid")))
-        at = running(
-            docs.select("docno", F.lit(1).alias("one")), ((F.asc, "docno"),), "one"
-        ).select("docno", F.floor(F.col("_pos") / chunk).alias("chunk"))
-        s = dense.pair_scores(pairs.join(at, "docno"), drawn, docs, profiles, similarity)
-        keys = ("qid", "profile", "chunk")
-        s = hard_negatives(hard_negatives(s, "full_score", negatives, keys), "reduced_score", negatives, keys)
-        s = s.withColumn(
-            "score_preservation",
-            S.preservation(
-                metric, F.col("full_score"), F.col("reduced_score"), F.col("full_score_negative"),
-                F.col("reduced_score_negative"), F.col("n"), epsilon, alpha
-            )
-        )
-        return s.groupBy("docno", "profile").agg(S.clip(F.avg("score_preservation")).alias("profile_quality"))
     own = docs.select("docno", "v")
+    if metric in S.MARGIN_METRICS:
+        at = running(docs.select("docno", F.lit(1).alias("one")), ((F.asc, "docno"),), "one")
+        own = own.join(at.select("docno", F.floor(F.col("_pos") / chunk).alias("chunk")), "docno")
     found = sampled.sums(own, drawn, [p.dimension for p in profiles], metric, similarity, epsilon, alpha, negatives)
     mean = lambda i: S.clip(F.when(F.col("n") > 0, F.col(f"t{i}") / F.col("n")))
     return found.groupBy("docno").agg(F.sum("n").alias("n"), *(F.sum(f"t{i}").alias(f"t{i}") for i in range(len(profiles)))).select(

@@ -92,3 +92,20 @@ def pairs_listed(df) -> bool:
 def test_sampled_quality_lists_no_pairs(spark):
     docs, queries = tables(spark)
     assert not pairs_listed(utility.sampled_quality(docs, queries, P, S.METRICS[1], n=99))
+
+
+@pytest.mark.parametrize("similarity", ["dot", "cosine"])
+@pytest.mark.parametrize("metric", S.MARGIN_METRICS)
+def test_sampled_margins_agree_with_all_pairs(spark, metric, similarity):
+    agrees(spark, metric, similarity)
+
+
+def test_sampled_margins_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(dense, "SHARD_BYTES", 500)
+    agrees(spark, S.METRICS[3])
+
+
+def test_sampled_margins_list_no_pairs(spark):
+    docs, queries = tables(spark)
+    assert not pairs_listed(utility.sampled_quality(docs, queries, P, S.METRICS[3], n=99, chunk=CHUNK))
