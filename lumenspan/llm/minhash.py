@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.llm.components import components
 from lumenspan.llm.kernel import SHINGLE, U, mix, shingle_hashes
-from lumenspan.llm.runtime import discard, materialize, only, slices
+from lumenspan.llm.runtime import FEW, discard, materialize, only, slices
 
 COORDINATES = 64
 WIDTH = 4
@@ -48,6 +48,8 @@ HOT = 1 << 15
 LEFT = 4096
 #: A group is compared in about DEALT x DEALT blocks, of so many documents and bytes of one side.
 DEALT, BLOCKS, BLOCK_BYTES = 16, (64, 2048), 1 << 24
+#: Rows with signatures, and bytes of shingle sets, in a file of a table.
+SIGNED_ROWS, SET_BYTES = 1 << 15, 1 << 24
 
 
 def pi(x: np.ndarray) -> np.ndarray:
@@ -371,7 +373,7 @@ def _candidates(classes: DataFrame, hot: int, n: int) -> DataFrame:
     drawn = band(classes.where(F.pmod(F.xxhash64("rid"), F.lit(64)) == 0)).groupBy("key").agg(F.count("*").alias("n"))
     large = materialize(
         drawn.where(F.col("n") * 64 > hot).select("key", F.ceil(F.col("n") * 64 / hot).cast("int").alias("shares")),
-        len(BANDS) * n // hot
+        len(BANDS) * n // hot, least=FEW
     )
     if not large.take(1):
         return banded.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_paired, "a long, b long")
@@ -507,7 +509,7 @@ def _between_parts(nodes: DataFrame, groups: DataFrame, parts: DataFrame, sets:
     n = nodes.join(
         groups.withColumnRenamed("root", "g"), F.col("rid") == F.col("node"), "left"
     ).drop("node").join(parts.withColumnRenamed("root", "p"), F.col("rid") == F.col("node"), "left").drop("node")
-    n = materialize(n.select("rid", "n_shingles", F.coalesce("g", "rid").alias("gid"), F.coalesce("p", "rid").alias("part")), nodes.count())
+    n = materialize(n.select("rid", "n_shingles", F.coalesce("g", "rid").alias("gid"), F.coalesce("p", "rid").alias("part")), nodes.count(), least=FEW)
     sizes = n.groupBy("gid", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     largest = F.struct("n", -F.col("part"))
     whole = sizes.groupBy("gid").agg(
@@ -517,7 +519,7 @@ def _between_parts(nodes: DataFrame, groups: DataFrame, parts: DataFrame, sets:
     )
     block = F.least(F.greatest(F.sqrt(F.col("n") * F.col("out")) / DEALT, F.lit(BLOCKS[0])), F.lit(BLOCKS[1]))
     blocks = lambda n, s: F.ceil(F.greatest(F.col(n) / block, F.col(s) * 8 / BLOCK_BYTES)).cast("int")
-    whole = materialize(whole.where("parts > 1 AND n > 2").select("gid", "main", blocks("n", "s").alias("inner"), blocks("out", "out_s").alias("outer")), nodes.count())
+    whole = materialize(whole.where("parts > 1 AND n > 2").select("gid", "main", blocks("n", "s").alias("inner"), blocks("out", "out_s").alias("outer")), nodes.count(), least=FEW)
     if not whole.take(1):
         return None
     n = n.join(whole, "gid").withColumn("at", F.xxhash64("rid"))
@@ -544,33 +546,33 @@ def near_duplicates(df: DataFrame, percent: int = 75, k: int = SHINGLE, hot: int
         raise ValueError("the bands are laid out for similarities of 75 to 100 hundredths")
     tags = {tag: "long"} if tag else {}
     docs = only(df, doc_id="long", text="string")
-    rows = materialize(
-        only(df, doc_id="long", text="string", **tags).mapInArrow(
-            _signed("text", k),
-            ", ".join(["doc_id long, n_shingles long, one long, two long, sig binary", *(f"`{t}` long" for t in tags)])
-        )
+    count = docs.count()
+    rows = only(df, doc_id="long", text="string", **tags).mapInArrow(
+        _signed("text", k),
+        ", ".join(["doc_id long, n_shingles long, one long, two long, sig binary", *(f"`{t}` long" for t in tags)])
     )
+    rows = materialize(rows.repartition(max(FEW, -(-count // SIGNED_ROWS))), cleanup=True)  # after the scan, whose tasks stay as many
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("one", "two").agg(
         F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")
     )
-    classes = materialize(classes.withColumn("rid", F.monotonically_increasing_id()), rows.count())
+    classes = materialize(classes.withColumn("rid", F.monotonically_increasing_id()), count)
     n = classes.count()
-    pairs = materialize(_candidates(classes, hot, n).distinct(), n)
+    pairs = materialize(_candidates(classes, hot, n).distinct(), n, cleanup=True, least=FEW)
     m = pairs.count()
     ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    ends = materialize(classes.select("rid", "doc", "one", "two", "n_shingles").join(ends, "rid"), 2 * m)
-    sets = materialize(
-        docs.join(
-            ends.drop("n_shingles").hint("merge"), F.col("doc_id") == F.col("doc")
-        ).select("doc_id", "rid", "one", "two", "text").mapInArrow(_sets(k), "rid long, set binary")
-    )
+    ends = materialize(classes.select("rid", "doc", "one", "two", "n_shingles").join(ends, "rid"), 2 * m, least=FEW)
+    size = 8 * (ends.agg(F.sum("n_shingles")).first()[0] or 0)
+    sets = docs.join(
+        ends.drop("n_shingles").hint("merge"), F.col("doc_id") == F.col("doc")
+    ).select("doc_id", "rid", "one", "two", "text").mapInArrow(_sets(k), "rid long, set binary")
+    sets = materialize(sets.repartition(max(FEW, -(-size // SET_BYTES))), cleanup=True)
     a, b = (sets.select(F.col("rid").alias(x), F.col("set").alias(f"set_{x}")) for x in ("a", "b"))
-    links = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long"))
+    links = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long")
     parts = components(links, m)
     more = _between_parts(ends.select("rid", "n_shingles"), components(pairs, m), parts, sets, percent)
-    roots = parts if more is None else components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    discard(pairs, sets, links)
+    roots = parts if more is None else components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), 2 * m)
+    discard(pairs, sets)
     inside = roots.union(
         roots.select(F.col("root").alias("node"), "root").distinct()
     ).join(ends.select("rid", "doc"), F.col("node") == F.col("rid")).select("rid", "root", "doc")

@@ -1053,6 +1053,34 @@ def test_ids_with_several_texts_are_documents_each(spark):
     assert got == collections.Counter(want)
 
 
+def test_near_duplicates_write_few_files(spark, monkeypatch):
+    """A file costs a task the start of processes: their number follows what tables hold, not partitions of the input or of shuffles."""
+    rng = random.Random(11)
+    base = [sentence(rng, 80) for _ in range(30)]
+    docs = [(i, base[i % 30] + " " + sentence(rng, i % 7)) for i in range(150)]
+    files = []
+
+    def counted(*args, f=runtime.materialize, **more):
+        out = f(*args, **more)
+        files.append(sum(x.startswith("part-") for x in os.listdir(out._written.removeprefix("file:"))))
+        return out
+
+    for module in (minhash, components):
+        monkeypatch.setattr(module, "materialize", counted)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in held}
+    try:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+        out = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(40))
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got == brute_components(docs)
+    assert len(files) > 5 and max(files) <= runtime.FILES and sorted(files)[-2] <= runtime.FEW
+
+
 def test_components(spark):
     rng = random.Random(0)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 160)] + [
